@@ -73,7 +73,7 @@ def _prune(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 def _scan(query_ids, queries, query_scopes, k, skip_same_id, has_scope):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        slab = max(1, (32 << 20) // (8 * max(1, len(query_ids))))  # bounds one similarity block
+        slab = max(1, (32 << 20) // (8 * max(1, len(query_ids.value))))  # bounds one similarity block
         for batch in batches:
             for start in range(0, batch.num_rows, slab):
                 part = batch.slice(start, slab)

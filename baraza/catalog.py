@@ -481,3 +481,553 @@ def _(spark, sf):
     planned = retrieval.plan_responses(asked, _corpus_chunks(spark, sf), b.sources(spark, sf), hash_embed)
     return planned.select("query_id", "route", "weak", "retrieval_query", F.size("hits").alias("hit_count"), "prompt",
                           "snippets", "canned")
+
+
+# ---- conversations ----------------------------------------------------------------------------
+@query("history_window", f"""WITH {MSG}, h AS (SELECT id, role, list(role || ':' || text) OVER (PARTITION BY session_id ORDER BY id
+    ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS turns FROM msg WHERE role IN ('user', 'assistant'))
+  SELECT id, coalesce(len(turns), 0)::BIGINT AS n_turns, md5(coalesce(array_to_string(turns, chr(10)), '')) AS history_key FROM h""")
+def _(spark, sf):
+    turns = F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    return conversations.with_history(b.messages(spark, sf)).select(
+        "id", F.size("history").alias("n_turns"), F.md5(F.array_join(turns, "\n")).alias("history_key"))
+
+
+@query("followup_anchor", f"""WITH {MSG}, t AS (SELECT * FROM msg WHERE role IN ('user', 'assistant')),
+  h AS (SELECT *, list(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY session_id ORDER BY id
+    ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS prior FROM t),
+  p AS (SELECT id, text, list_filter(prior, lambda x: x IS NOT NULL) AS prior FROM h WHERE role = 'user')
+  SELECT id, CASE WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 40 AND len(prior) > 0
+    THEN {_strip("prior[-1] || ' ' || text")} ELSE text END AS retrieval_query FROM p""".replace("\\\\", "\\"))
+def _(spark, sf):
+    asked = conversations.with_history(b.messages(spark, sf)).where(F.col("role") == "user")
+    return asked.select("id", retrieval.anchored_query(F.col("text"), F.col("history"), 40).alias("retrieval_query"))
+
+
+_PRECEDING = f"""WITH {MSG}, prec AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS question,
+    last_value(CASE WHEN role = 'assistant' THEN id END IGNORE NULLS) OVER w AS last_answer_id FROM msg
+    WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("preceding_question", f"{_PRECEDING} SELECT id, question FROM prec WHERE role = 'assistant'")
+def _(spark, sf):
+    return conversations.with_preceding(b.messages(spark, sf)).where(F.col("role") == "assistant").select("id", "question")
+
+
+@query("last_answer", f"{_PRECEDING} SELECT id, last_answer_id FROM prec WHERE role = 'user'")
+def _(spark, sf):
+    return conversations.with_preceding(b.messages(spark, sf)).where(F.col("role") == "user").select("id", "last_answer_id")
+
+
+@query("report_state_labels", f"""{_PRECEDING}, u AS (SELECT *, length(text) % 3 = 0 AS is_report FROM prec WHERE role = 'user'),
+  l AS (SELECT *, lag(CASE WHEN is_report THEN last_answer_id END) OVER (PARTITION BY session_id ORDER BY id) AS pending FROM u)
+  SELECT id, session_id, CASE WHEN is_report AND last_answer_id IS NULL THEN 'no_answer' WHEN is_report THEN 'prompt_reason'
+    WHEN pending IS NOT NULL THEN 'file_reason' ELSE 'question' END AS action,
+    CASE WHEN NOT is_report THEN pending END AS target_message_id FROM l""")
+def _(spark, sf):
+    labelled = conversations.report_labels(b.messages(spark, sf), F.length("text") % 3 == 0)
+    return labelled.select("id", "session_id", "action", "target_message_id")
+
+
+_SESS = """sess AS (SELECT user_id AS id, user_id % 40 AS user_id, max(value) > 20 AS is_active, min(ts) AS created_at
+  FROM events GROUP BY user_id)"""
+
+
+def _sessions(spark, sf):
+    """Event users as sessions; at small scale some have no messages."""
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(
+        (F.max("value") > 20).alias("is_active"), F.min("ts").alias("created_at")).withColumn("user_id", F.col("id") % 40)
+
+
+_BROWSE = f"""WITH {MSG}, {_SESS}, st AS (SELECT session_id, count(*) AS n, min(created_at) AS f, max(created_at) AS l FROM msg GROUP BY 1),
+  brow AS (SELECT s.id, user_id, is_active, coalesce(n, 0) AS message_count, {_iso('coalesce(f, s.created_at)')} AS first_message_at,
+    {_iso('coalesce(l, s.created_at)')} AS last_message_at, {_iso('s.created_at')} AS created_at, l FROM sess s
+    LEFT JOIN st ON st.session_id = s.id)"""
+
+
+def _browse_row():
+    return ["id", "user_id", "is_active", "message_count", *[serialise.iso(F.col(c)).alias(c) for c in (
+        "first_message_at", "last_message_at", "created_at")]]
+
+
+@query("session_browser", f"{_BROWSE} SELECT id, user_id, is_active, message_count, first_message_at, last_message_at, created_at FROM brow")
+def _(spark, sf):
+    return conversations.session_browser(_sessions(spark, sf), b.messages(spark, sf)).select(*_browse_row())
+
+
+@query("session_page", f"""{_BROWSE} SELECT id, user_id, is_active, message_count, first_message_at, last_message_at, created_at
+  FROM brow ORDER BY l DESC NULLS LAST, id LIMIT 20 OFFSET 5""")
+def _(spark, sf):
+    return conversations.session_page(_sessions(spark, sf), b.messages(spark, sf), 20, 5).select(*_browse_row())
+
+
+@query("message_page", f"""WITH {MSG} SELECT id, session_id, role, text, citation, {_iso('created_at')} AS created_at FROM msg
+  ORDER BY msg.created_at, id LIMIT 20 OFFSET 40""")
+def _(spark, sf):
+    return conversations.message_page(b.messages(spark, sf), 20, 40).withColumn("created_at", serialise.iso(F.col("created_at")))
+
+
+@query("active_sessions", """WITH s AS (SELECT user_id, event_id AS session_id, value > 20 AS is_active, ts AS created_at FROM events
+    WHERE event_type = 'signup')
+  SELECT user_id, session_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM (SELECT *, row_number() OVER (
+    PARTITION BY user_id ORDER BY created_at DESC, session_id DESC) AS rn FROM s WHERE is_active) WHERE rn = 1""")
+def _(spark, sf):
+    made = table(spark, sf, "events").where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("id"), "user_id", (F.col("value") > 20).alias("is_active"), F.col("ts").alias("created_at"))
+    return conversations.active_sessions(made).withColumn("created_at", serialise.iso(F.col("created_at")))
+
+
+@query("user_upsert", """WITH u AS (SELECT sha256(user_id::VARCHAR) AS hashed_wa_id, min(ts) AS created_at, max(ts) AS last_active_at
+    FROM events WHERE event_type = 'purchase' GROUP BY 1),
+  m AS (SELECT sha256(user_id::VARCHAR) AS hashed_wa_id, min(ts) AS f, max(ts) AS l FROM events WHERE event_type = 'view' GROUP BY 1)
+  SELECT coalesce(u.hashed_wa_id, m.hashed_wa_id) AS hashed_wa_id, coalesce(created_at, f) AS created_at,
+    greatest(last_active_at, l) AS last_active_at FROM u FULL JOIN m ON u.hashed_wa_id = m.hashed_wa_id""")
+def _(spark, sf):
+    events = table(spark, sf, "events").withColumn("hashed_wa_id", F.sha2(F.col("user_id").cast("string"), 256))
+    users = events.where(F.col("event_type") == "purchase").groupBy("hashed_wa_id").agg(
+        F.min("user_id").alias("id"), F.min("ts").alias("created_at"), F.max("ts").alias("last_active_at"))
+    seen = events.where(F.col("event_type") == "view").withColumnRenamed("ts", "created_at")
+    return conversations.upsert_users(users, seen).drop("id")
+
+
+@query("incoming_posts", f"""WITH p AS (SELECT event_id, event_type, user_id, CASE WHEN event_type = 'click' THEN '' ELSE props END AS body FROM events)
+  SELECT event_id, body AS text, lower(hex(NULL)) AS unused, '+' || user_id AS sender FROM p WHERE body <> ''""".replace(
+      "lower(hex(NULL)) AS unused, ", ""))
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    other = F.col("event_type").isin("view", "signup")
+    number, body = F.col("user_id").cast("string"), F.when(F.col("event_type") == "click", "").otherwise(F.col("props"))
+    posts = e.select("event_id", "user_id", F.when(other, number).alias("WaId"), F.lit(None).cast("string").alias("From"),
+                     F.when(other, body).alias("Body"), F.when(~other, F.concat(F.lit("+"), number)).alias("from_number"),
+                     F.when(~other, body).alias("text"))
+    taken = conversations.incoming(posts, EXAMPLE_SECRET)
+    expected = identity.pseudonym(F.concat(F.lit("+"), number), EXAMPLE_SECRET)
+    return taken.select("event_id", "text", F.when(F.col("hashed_wa_id") == expected, F.concat(F.lit("+"), number)).alias("sender"))
+
+
+# ---- guards -----------------------------------------------------------------------------------
+def _limiter_sql(source: str, limit: int, window_us: int) -> str:
+    """The limiter one event per key and step; the list holds the allowed times of the current window."""
+    return f"""lim_e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM {source}),
+  lim AS (SELECT user_id, event_id, t, rn, TRUE AS allowed, 0.0::DOUBLE AS retry_after, [t] AS hits FROM lim_e WHERE rn = 1
+    UNION ALL SELECT user_id, event_id, t, rn, len(live) < {limit},
+      CASE WHEN len(live) < {limit} THEN 0.0 ELSE (live[1] + {window_us} - t) / 1e6::DOUBLE END,
+      CASE WHEN len(live) < {limit} THEN list_append(live, t) ELSE live END
+    FROM (SELECT e.user_id, e.event_id, e.t, e.rn, list_filter(l.hits, lambda h: h > e.t - {window_us}) AS live
+      FROM lim l JOIN lim_e e ON e.user_id = l.user_id AND e.rn = l.rn + 1))"""
+
+
+_SIX_HOURS = 6 * 3600
+_EV = "ev AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events)"
+
+
+@query("rate_limit_decisions", f"""WITH RECURSIVE {_EV}, {_limiter_sql('ev', 3, _SIX_HOURS * 1_000_000)}
+  SELECT user_id, event_id, allowed, retry_after FROM lim""")
+def rate_limit_decisions(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    return guards.rate_limit(events, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS).drop("ts")
+
+
+@query("block_notices", f"""WITH RECURSIVE {_EV}, {_limiter_sql('ev', 3, _SIX_HOURS * 1_000_000)},
+  blk AS (SELECT user_id, event_id, t FROM lim WHERE NOT allowed),
+  {_limiter_sql('blk', 1, _SIX_HOURS * 1_000_000).replace('lim_e', 'ntc_e').replace('lim', 'ntc')}
+  SELECT user_id, event_id, allowed AS notify FROM ntc""")
+def _(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    decided = guards.rate_limit(events, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS)
+    return guards.block_notices(decided, ["user_id"], "ts", "event_id", window_seconds=_SIX_HOURS).select(
+        "user_id", "event_id", "notify")
+
+
+_GUARD = f"""WITH RECURSIVE {MSG}, {DISP}, tgt AS (SELECT d.*, m.role AS target_role, epoch_us(d.created_at) AS t FROM disp d
+    LEFT JOIN msg m ON m.id = d.message_id),
+  g_e AS (SELECT *, row_number() OVER (PARTITION BY reported_by_user_id ORDER BY t, id) AS rn FROM tgt WHERE target_role = 'assistant'),
+  g AS (SELECT reported_by_user_id, id, message_id, rn, 'created' AS reason, NULL::DOUBLE AS retry_after, t AS last_t,
+      [message_id] AS seen FROM g_e WHERE rn = 1
+    UNION ALL SELECT reported_by_user_id, id, message_id, rn, verdict,
+      CASE WHEN verdict = 'rate_limited' THEN round(({_SIX_HOURS * 1_000_000} - (t - last_t)) / 1e6, 1) END,
+      CASE WHEN verdict = 'created' THEN t ELSE last_t END,
+      CASE WHEN verdict = 'created' THEN list_append(seen, message_id) ELSE seen END
+    FROM (SELECT e.*, g.last_t, g.seen, CASE WHEN list_contains(g.seen, e.message_id) THEN 'duplicate'
+        WHEN e.t - g.last_t < {_SIX_HOURS * 1_000_000} THEN 'rate_limited' ELSE 'created' END AS verdict
+      FROM g JOIN g_e e ON e.reported_by_user_id = g.reported_by_user_id AND e.rn = g.rn + 1)),
+  cnt AS (SELECT *, sum((reason = 'created')::INT) OVER (PARTITION BY message_id ORDER BY id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS n FROM g),
+  verd AS (SELECT id, message_id, reported_by_user_id, reason = 'created' AS created, reason,
+      CASE WHEN reason IN ('created', 'duplicate') THEN n ELSE 0 END AS report_count, retry_after FROM cnt
+    UNION ALL SELECT id, message_id, reported_by_user_id, FALSE,
+      CASE WHEN target_role IS NULL THEN 'message_not_found' ELSE 'not_an_answer' END, 0, NULL FROM tgt
+      WHERE target_role IS NULL OR target_role <> 'assistant')"""
+
+
+def _guarded(spark, sf):
+    reports = b.disputes(spark, sf).select("id", "message_id", "reported_by_user_id", "created_at")
+    return guards.report_guard(reports, b.messages(spark, sf), spacing_seconds=_SIX_HOURS, flag_threshold=15).drop("created_at")
+
+
+@query("report_guard", f"{_GUARD} SELECT *, report_count >= 15 AS flagged_for_review FROM verd")
+def report_guard(spark, sf):
+    return _guarded(spark, sf)
+
+
+@query("guard_replies", f"""{_GUARD}, v AS (SELECT id, CASE WHEN created AND report_count >= 15 THEN 'flagged' WHEN created THEN 'created'
+    WHEN reason IN ('duplicate', 'rate_limited') THEN reason ELSE 'no_recent' END AS kind, coalesce(retry_after, 0)::BIGINT AS s,
+    trunc(coalesce(retry_after, 0))::BIGINT AS wait FROM verd)
+  SELECT id, CASE kind {" ".join(
+      f"WHEN '{k}' THEN " + ("replace('" + (chr(10).join(t)).replace("'", "''") + "', '%d', wait::VARCHAR)" if k == "rate_limited"
+      else "'" + (chr(10).join(t)).replace("'", "''") + fv.REPLY_SUFFIX + "'") for k, t in fv.REPORT_REPLY_TEXT.items())} END AS reply FROM v""")
+def _(spark, sf):
+    return _guarded(spark, sf).select("id", guards.guard_reply(
+        F.col("created"), F.col("flagged_for_review"), F.col("reason"), F.col("retry_after")).alias("reply"))
+
+
+@query("diversity_flags", f"""WITH {DISP}, f AS (SELECT *, row_number() OVER (PARTITION BY message_id, reported_by_user_id ORDER BY id) AS n FROM disp)
+  SELECT id, message_id, count(*) OVER w AS reporters_so_far, count(*) OVER w >= 15 AS flagged FROM f WHERE n = 1
+  WINDOW w AS (PARTITION BY message_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def _(spark, sf):
+    from baraza.operators.ordered import running_sum
+
+    first = b.disputes(spark, sf).groupBy("message_id", "reported_by_user_id").agg(F.min("id").alias("id"))
+    counted = running_sum(first, ["message_id"], "id", F.lit(1).cast("long"), "reporters_so_far")
+    return counted.select("id", "message_id", "reporters_so_far", (F.col("reporters_so_far") >= 15).alias("flagged"))
+
+
+@query("report_spacing", f"""WITH {DISP} SELECT id, (epoch_us(created_at) - lag(epoch_us(created_at)) OVER (
+  PARTITION BY reported_by_user_id ORDER BY id)) / 1e6::DOUBLE AS seconds_since_last FROM disp""")
+def _(spark, sf):
+    timed = b.disputes(spark, sf).select("id", "reported_by_user_id", guards.micros(F.col("created_at")).alias("t"))
+    lagged = previous_row(timed, ["reported_by_user_id"], "id", F.col("t"), "before")
+    return lagged.select("id", ((F.col("t") - F.col("before")) / 1e6).alias("seconds_since_last"))
+
+
+@query("distinct_reporters", f"WITH {DISP} SELECT message_id, count(DISTINCT reported_by_user_id) AS reporters FROM disp GROUP BY 1")
+def _(spark, sf):
+    return guards.distinct_reporters(b.disputes(spark, sf))
+
+
+@query("distinct_reporters_approx")
+def _(spark, sf):
+    return guards.distinct_reporters(b.disputes(spark, sf), approximate=True)
+
+
+def _flagged(spark, sf):
+    return guards.backfill_counts(b.disputes(spark, sf), 15)
+
+
+@query("dispute_backfill", f"WITH {DISP}, {FLAGGED} SELECT id, message_id, report_count, flagged_for_review FROM flagged")
+def _(spark, sf):
+    return _flagged(spark, sf).select("id", "message_id", "report_count", "flagged_for_review")
+
+
+# ---- moderation -------------------------------------------------------------------------------
+_QUEUE = f"""{DISP}, {FLAGGED}, q AS (SELECT * FROM (SELECT *, max(created_at) OVER (PARTITION BY message_id) AS last_reported_at,
+  row_number() OVER (PARTITION BY message_id ORDER BY id) AS rn FROM flagged) WHERE rn = 1)"""
+
+
+@query("moderation_queue", f"""WITH {_QUEUE} SELECT message_id, id, reason, status, report_count, flagged_for_review,
+  {_iso('last_reported_at')} AS last_reported_at,
+  CASE WHEN status = 'pending_review' AND NOT flagged_for_review THEN 'awaiting_more_reports' ELSE status END AS label FROM q""")
+def _(spark, sf):
+    queue = moderation.dispute_queue(_flagged(spark, sf))
+    return queue.select("message_id", "id", "reason", "status", "report_count", "flagged_for_review",
+                        serialise.iso(F.col("last_reported_at")).alias("last_reported_at"),
+                        moderation.queue_label(F.col("status"), F.col("flagged_for_review")).alias("label"))
+
+
+@query("moderation_page", f"""WITH {_QUEUE} SELECT message_id, id, status, report_count FROM q
+  WHERE status = 'under_review' AND flagged_for_review ORDER BY last_reported_at DESC, id LIMIT 10 OFFSET 2""")
+def _(spark, sf):
+    page = moderation.dispute_page(_flagged(spark, sf), 10, 2, "under_review", True)
+    return page.select("message_id", "id", "status", "report_count")
+
+
+@query("dispute_context", f"""{_PRECEDING}, {_QUEUE} SELECT q.id, q.message_id, p.role AS answer_role, p.text AS answer_text, p.citation,
+  p.question FROM q LEFT JOIN prec p ON p.id = q.message_id""")
+def _(spark, sf):
+    messages = b.messages(spark, sf).withColumn("retrieved_chunks", F.lit(None).cast("string"))
+    queue = moderation.dispute_queue(_flagged(spark, sf))
+    return moderation.dispute_context(queue, messages).select(
+        "id", "message_id", "answer_role", "answer_text", "citation", "question")
+
+
+@query("dispute_rows", f"""WITH {DISP}, {FLAGGED} SELECT id, message_id, status, reason, reported_by_user_id, report_count, flagged_for_review,
+  NULL::VARCHAR AS reviewed_by, NULL::VARCHAR AS reviewed_at, NULL::VARCHAR AS resolution_note, NULL::VARCHAR AS escalation_report,
+  {_iso('created_at')} AS created_at FROM flagged""")
+def _(spark, sf):
+    return serialise.dispute_rows(_flagged(spark, sf))
+
+
+@query("dispute_status_counts", f"""WITH {_QUEUE} SELECT count(*) AS total, {", ".join(
+    f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in fv.DISPUTE_STATUSES)} FROM q""")
+def _(spark, sf):
+    return moderation.dispute_status_counts(b.disputes(spark, sf))
+
+
+_DECIDED = f"""{_QUEUE}, dec AS (SELECT id AS dispute_id, message_id, status AS old_status, reason,
+    {_pick(fv.DISPUTE_STATUSES, "id")} AS new_status, CASE WHEN id % 2 = 0 THEN 'note ' || id END AS note,
+    CASE WHEN id % 7 = 0 THEN 'fixed' END AS correction, CASE WHEN id % 3 = 0 THEN 'auditor' END AS recipient FROM q),
+  judged AS (SELECT *, CASE WHEN NOT (new_status = old_status OR (old_status = 'pending_review' AND new_status = 'under_review')
+      OR (old_status = 'under_review' AND new_status IN ('resolved_valid', 'resolved_invalid', 'escalated'))
+      OR (old_status = 'escalated' AND new_status IN ('resolved_valid', 'resolved_invalid'))) THEN 'invalid_transition'
+    WHEN correction IS NOT NULL AND new_status NOT IN ('resolved_valid', 'resolved_invalid') THEN 'correction_not_allowed' END AS error FROM dec)"""
+
+
+def _decided(spark, sf):
+    messages = b.messages(spark, sf).withColumn("retrieved_chunks", F.lit(None).cast("array<struct<source_title:string>>"))
+    disputes = _flagged(spark, sf)
+    n = F.col("dispute_id")
+    decisions = moderation.dispute_queue(disputes).select(F.col("id").alias("dispute_id")).select(
+        "dispute_id", b.pick(fv.DISPUTE_STATUSES, n).alias("new_status"),
+        F.when(n % 2 == 0, F.concat(F.lit("note "), n.cast("string"))).alias("resolution_note"),
+        F.when(n % 7 == 0, "fixed").alias("correction_message"), F.when(n % 3 == 0, "auditor").alias("recipient"))
+    return moderation.apply_decisions(disputes, decisions, messages, now())
+
+
+@query("decision_outcomes", f"WITH {_DECIDED} SELECT dispute_id, message_id, old_status, new_status, error IS NULL AS ok, error FROM judged")
+def _(spark, sf):
+    return _decided(spark, sf)[1]
+
+
+@query("dispute_decisions", f"""WITH {MSG}, {_DECIDED} SELECT f.id, f.message_id, coalesce(j.new_status, f.status) AS status,
+    CASE WHEN j.message_id IS NOT NULL THEN 'moderator' END AS reviewed_by,
+    CASE WHEN j.message_id IS NOT NULL THEN TIMESTAMP '{NOW}' END AS reviewed_at, j.note AS resolution_note,
+    CASE WHEN j.new_status = 'escalated' THEN to_json(struct_pack(dispute_id := j.dispute_id, generated_at := '2024-01-30T12:00:00',
+      recipient := coalesce(j.recipient, '(not specified)'), content := struct_pack(disputed_answer := left(m.text, 500),
+        citation := m.citation, retrieved_passages := NULL::VARCHAR, citizen_report := j.reason, moderator_note := j.note)))::VARCHAR
+      END AS escalation_report
+  FROM flagged f LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.message_id = f.message_id LEFT JOIN msg m ON m.id = f.message_id""")
+def _(spark, sf):
+    return _decided(spark, sf)[0].select("id", "message_id", "status", "reviewed_by", "reviewed_at", "resolution_note", "escalation_report")
+
+
+# ---- quality ----------------------------------------------------------------------------------
+_VAL = """val AS (SELECT doc_id AS id, doc_id * 1000 + 1 AS message_id, (1 + 4 * quality)::BIGINT AS tone_score, toxic = 0 AS grounded,
+  CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'formal_swahili' WHEN 'de' THEN 'sheng' ELSE 'other' END AS register
+  FROM labels JOIN documents USING (doc_id))"""
+
+
+@query("validation_stats", f"""WITH {MSG}, {_VAL} SELECT count(*) AS total_validations, round(avg(tone_score), 2) AS average_tone,
+  count(*) FILTER (WHERE grounded) AS grounded_count, {", ".join(
+      f"count(*) FILTER (WHERE register = '{r}') AS register_{r}" for r in fv.REGISTERS)},
+  round(100.0::DOUBLE * count(*) FILTER (WHERE grounded) / count(*), 1) AS grounded_pct,
+  (SELECT count(*) FROM msg WHERE role = 'assistant' AND id NOT IN (SELECT message_id FROM val)) AS pending_review FROM val""")
+def _(spark, sf):
+    return quality.validation_stats(b.validations(spark, sf), b.messages(spark, sf))
+
+
+@query("rating_checks", f"""WITH {MSG}, {_VAL}, r AS (SELECT id, message_id, tone_score + id % 3 AS tone_score, register FROM val)
+  SELECT r.id, r.message_id, tone_score, reject_reason IS NULL AS accepted, reject_reason FROM (SELECT r.*, CASE
+    WHEN tone_score NOT BETWEEN 1 AND 5 THEN 'tone_out_of_range' WHEN register NOT IN ({_list(fv.REGISTERS)}) THEN 'unknown_register'
+    WHEN m.role IS NULL THEN 'message_not_found' WHEN m.role <> 'assistant' THEN 'not_an_answer' END AS reject_reason
+    FROM r LEFT JOIN msg m ON m.id = r.message_id) r""")
+def _(spark, sf):
+    ratings = b.validations(spark, sf).withColumn("tone_score", F.col("tone_score") + F.col("id") % 3)
+    return quality.check_ratings(ratings, b.messages(spark, sf)).select("id", "message_id", "tone_score", "accepted", "reject_reason")
+
+
+@query("unrated_answers", f"""WITH {MSG}, {_VAL} SELECT id, session_id FROM msg WHERE role = 'assistant'
+  AND id NOT IN (SELECT message_id FROM val)""")
+def _(spark, sf):
+    return quality.unrated_answers(b.messages(spark, sf), b.validations(spark, sf)).select("id", "session_id")
+
+
+@query("review_queue", f"""{_PRECEDING}, {_VAL} SELECT id AS message_id, question, text AS answer, citation FROM prec
+  WHERE role = 'assistant' AND id NOT IN (SELECT message_id FROM val) ORDER BY md5('7-' || id), id LIMIT 10""")
+def _(spark, sf):
+    return quality.review_queue(b.messages(spark, sf), b.validations(spark, sf), 10, "7")
+
+
+# ---- statistics -------------------------------------------------------------------------------
+@query("status_counts_zero_filled", """SELECT s AS o_orderstatus, count(o_orderkey) AS cnt FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s)
+  LEFT JOIN orders ON o_orderstatus = s GROUP BY s""")
+def _(spark, sf):
+    return grouped.zero_filled_counts(table(spark, sf, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
+
+
+_ASK = "ask AS (SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click') THEN 'user' ELSE 'assistant' END AS role, ts AS created_at FROM events)"
+
+
+def _asked(spark, sf):
+    """Events as messages spread over a month."""
+    role = F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant")
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), role.alias("role"), F.col("ts").alias("created_at"), "user_id")
+
+
+@query("overview_stats", f"""WITH {SRC}, {CHUNK}, {_ASK}, {_QUEUE} SELECT (SELECT count(*) FROM src) AS total_sources,
+  {", ".join(f"(SELECT count(*) FROM src WHERE ingestion_status = '{s}') AS sources_{s}" for s in fv.INGESTION_STATUSES)},
+  (SELECT max(last_scraped_at) FROM src WHERE ingestion_status = 'completed') AS last_ingestion_at,
+  (SELECT min(published_at) FROM src) AS oldest_source_date, (SELECT max(published_at) FROM src) AS newest_source_date,
+  (SELECT count(*) FROM chunk) AS total_chunks, (SELECT count(*) FROM ask) AS total_messages,
+  (SELECT count(*) FROM ask WHERE role = 'user' AND created_at >= TIMESTAMP '2024-01-30') AS queries_today,
+  (SELECT count(*) FROM ask WHERE role = 'user' AND created_at >= TIMESTAMP '2024-01-29') AS queries_this_week,
+  (SELECT count(*) FROM q) AS total_disputes,
+  {", ".join(f"(SELECT count(*) FROM q WHERE status = '{s}') AS disputes_{s}" for s in fv.DISPUTE_STATUSES)},
+  (SELECT count(DISTINCT user_id) FROM events) AS unique_citizens""")
+def _(spark, sf):
+    users = table(spark, sf, "events").select("user_id").distinct()
+    return stats.overview(b.sources(spark, sf), corpus.chunk_pages(b.pages(spark, sf)), _asked(spark, sf), users,
+                          b.disputes(spark, sf), now())
+
+
+@query("query_volume_daily", f"WITH {_ASK} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS queries FROM ask WHERE role = 'user' GROUP BY 1")
+def _(spark, sf):
+    return stats.query_volume(_asked(spark, sf)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "queries")
+
+
+@query("query_volume_weekly", f"""WITH {_ASK} SELECT strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week, count(*) AS queries FROM ask
+  WHERE role = 'user' GROUP BY 1""")
+def _(spark, sf):
+    return stats.query_volume(_asked(spark, sf), "week").select(F.date_format("start", "yyyy-MM-dd").alias("week"), "queries")
+
+
+# ---- maintenance ------------------------------------------------------------------------------
+_SRC_COLUMNS = ("id, url, title, publisher, government_arm, county, report_type, fiscal_year, published_at, last_scraped_at, "
+                "ingestion_status, ingestion_error, created_at")
+
+
+@query("source_listing", f"""WITH {SRC}, {CHUNK}, n AS (SELECT regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS id, count(*) AS c FROM chunk GROUP BY 1)
+  SELECT src.id, url, title, publisher, government_arm, county, report_type, fiscal_year, {_iso('published_at')} AS published_at,
+  {_iso('last_scraped_at')} AS last_scraped_at, ingestion_status, ingestion_error, coalesce(c, 0) AS chunk_count,
+  {_iso('created_at')} AS created_at FROM src LEFT JOIN n ON n.id = src.id
+  WHERE county = 'nakuru' AND fiscal_year = '2022/23'""")
+def _(spark, sf):
+    chosen = maintenance.filter_sources(b.sources(spark, sf), county="nakuru", fiscal_year="2022/23", report_type=None)
+    counts = maintenance.chunk_counts(b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf))))
+    return serialise.source_rows(chosen, counts)
+
+
+@query("pending_sources", f"WITH {SRC} SELECT id, url FROM src WHERE ingestion_status = 'pending'")
+def _(spark, sf):
+    return documents.pending_sources(b.sources(spark, sf)).select("id", "url")
+
+
+@query("claimable_sources", f"""WITH {SRC} SELECT id, CASE WHEN ingestion_status = 'in_progress' THEN 'skipped' ELSE 'claimed' END AS claim FROM src""")
+def _(spark, sf):
+    return documents.claimable(b.sources(spark, sf)).select("id", "claim")
+
+
+_EDIT = f"""{SRC}, edit AS (SELECT id, CASE WHEN id % 4 = 0 THEN url || '/v2' ELSE url END AS url, CASE WHEN id % 2 = 0 THEN 'new ' || title END AS title,
+    CASE WHEN id % 5 = 1 THEN 'revenue' END AS government_arm FROM src WHERE ingestion_status <> 'in_progress'),
+  ed AS (SELECT src.*, e.url AS n_url, e.title AS n_title, e.government_arm AS n_arm,
+    coalesce(e.url <> src.url, FALSE) OR coalesce(e.government_arm <> src.government_arm, FALSE) AS reset FROM src LEFT JOIN edit e ON e.id = src.id)"""
+
+
+def _edited(spark, sf):
+    sources = b.sources(spark, sf)
+    i = F.col("id")
+    edits = sources.where(F.col("ingestion_status") != "in_progress").select(
+        "id", F.when(i % 4 == 0, F.concat("url", F.lit("/v2"))).otherwise(F.col("url")).alias("url"),
+        F.when(i % 2 == 0, F.concat(F.lit("new "), F.col("title"))).alias("title"),
+        F.when(i % 5 == 1, "revenue").alias("government_arm"))
+    chunks = b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf)))
+    return maintenance.edit_sources(sources, chunks, edits)
+
+
+@query("source_edits", f"""WITH {_EDIT} SELECT id, coalesce(n_url, url) AS url, coalesce(n_title, title) AS title, publisher,
+  coalesce(n_arm, government_arm) AS government_arm, county, report_type, fiscal_year, published_at,
+  CASE WHEN NOT reset THEN last_scraped_at END AS last_scraped_at, CASE WHEN reset THEN 'pending' ELSE ingestion_status END AS ingestion_status,
+  CASE WHEN NOT reset THEN ingestion_error END AS ingestion_error, created_at FROM ed""")
+def _(spark, sf):
+    return _edited(spark, sf)[0].drop("content_hash")
+
+
+@query("source_edit_chunks", f"""WITH {_EDIT}, {CHUNK} SELECT source || '_p' || page || '_c' || chunk_no AS chunk_id FROM chunk
+  WHERE source NOT IN (SELECT title FROM ed WHERE reset)""")
+def _(spark, sf):
+    return _edited(spark, sf)[1].select("chunk_id")
+
+
+def _deleted(spark, sf):
+    sources = b.sources(spark, sf)
+    ids = sources.where(F.col("county") == "nandi").select("id").unionByName(sources.select((F.col("id") + 1000).alias("id")))
+    return maintenance.delete_sources(sources, b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf))), ids)
+
+
+_DEL = f"""{SRC}, {CHUNK}, n AS (SELECT regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS id, count(*) AS c FROM chunk GROUP BY 1),
+  asked AS (SELECT id FROM src WHERE county = 'nandi' UNION SELECT id + 1000 FROM src),
+  verdict AS (SELECT a.id, CASE WHEN s.id IS NULL THEN 'not_found' WHEN s.ingestion_status = 'in_progress' THEN 'in_progress' ELSE 'deleted' END
+    AS outcome FROM asked a LEFT JOIN src s ON s.id = a.id)"""
+
+
+@query("source_deletes", f"""WITH {_DEL} SELECT v.id, outcome, CASE WHEN outcome = 'deleted' THEN coalesce(c, 0) ELSE 0 END AS chunks_deleted
+  FROM verdict v LEFT JOIN n ON n.id = v.id""")
+def _(spark, sf):
+    return _deleted(spark, sf)[2]
+
+
+@query("source_delete_survivors", f"""WITH {_DEL} SELECT s.id, coalesce(c, 0) AS chunks FROM src s LEFT JOIN n ON n.id = s.id
+  WHERE s.id NOT IN (SELECT id FROM verdict WHERE outcome = 'deleted')""")
+def _(spark, sf):
+    kept, chunks, _outcome = _deleted(spark, sf)
+    counts = chunks.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("chunks"))
+    return kept.select("id").join(counts, "id", "left").fillna(0, ["chunks"])
+
+
+@query("source_upsert", f"""WITH {SRC}, inc AS (SELECT url, CASE WHEN id % 2 = 0 THEN title ELSE title || ' II' END AS title, 'press' AS publisher,
+    'assembly' AS government_arm FROM src)
+  SELECT src.id, coalesce(src.url, inc.url) AS url, coalesce(src.title, inc.title) AS title, coalesce(inc.publisher, src.publisher) AS publisher,
+  coalesce(inc.government_arm, src.government_arm) AS government_arm, coalesce(ingestion_status, 'pending') AS ingestion_status,
+  coalesce(created_at, TIMESTAMP '{NOW}') AS created_at FROM src FULL JOIN inc ON src.url = inc.url AND src.title = inc.title""")
+def _(spark, sf):
+    sources = b.sources(spark, sf)
+    again = F.when(F.col("id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" II")))
+    incoming = sources.select("url", again.alias("title"), F.lit("press").alias("publisher"), F.lit("assembly").alias("government_arm"))
+    return maintenance.upsert_sources(sources, incoming, now()).select(
+        "id", "url", "title", "publisher", "government_arm", "ingestion_status", "created_at")
+
+
+_OUT = f"""{SRC}, outc AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN id % 3 = 0 THEN repeat('no answer from host. ', 40) END AS error, CASE WHEN id % 3 <> 0 THEN md5(title) END AS hash
+  FROM src WHERE ingestion_status <> 'in_progress')"""
+
+
+def _outcomes(spark, sf):
+    bad = F.col("id") % 3 == 0
+    return b.sources(spark, sf).where(F.col("ingestion_status") != "in_progress").select(
+        F.col("id").alias("source_id"), F.when(bad, "failed").otherwise("completed").alias("status"),
+        F.when(bad, F.repeat(F.lit("no answer from host. "), 40)).alias("error"),
+        F.when(~bad, F.md5("title")).alias("content_hash"))
+
+
+@query("ingest_rollup", f"""WITH {_OUT} SELECT src.id, coalesce(status, ingestion_status) AS ingestion_status,
+  CASE WHEN status IS NOT NULL THEN left(error, 500) ELSE ingestion_error END AS ingestion_error,
+  CASE WHEN status IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE last_scraped_at END AS last_scraped_at, hash AS content_hash
+  FROM src LEFT JOIN outc ON outc.id = src.id""")
+def _(spark, sf):
+    rolled = maintenance.roll_up_outcomes(b.sources(spark, sf), _outcomes(spark, sf), now())
+    return rolled.select("id", "ingestion_status", "ingestion_error", "last_scraped_at", "content_hash")
+
+
+@query("outcome_tally", f"WITH {_OUT} SELECT status, count(*) AS cnt FROM outc GROUP BY 1")
+def _(spark, sf):
+    return maintenance.outcome_tally(_outcomes(spark, sf))
+
+
+@query("failed_outcomes", f"WITH {_OUT} SELECT id AS source_id, error FROM outc WHERE status <> 'completed'")
+def _(spark, sf):
+    return maintenance.failed_outcomes(_outcomes(spark, sf)).select("source_id", "error")
+
+
+_RETAIN = f"""{MSG}, {DISP}, kept AS (SELECT * FROM disp WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY),
+  exp AS (SELECT *, created_at < TIMESTAMP '{NOW}' - INTERVAL 26 DAY AND id NOT IN (SELECT message_id FROM kept) AS expired FROM msg)"""
+
+
+def _retained(spark, sf):
+    return maintenance.retain(b.messages(spark, sf), b.disputes(spark, sf), now(), 26, 20)
+
+
+@query("retention_report", f"""WITH {_RETAIN} SELECT (SELECT count(*) FROM disp) - (SELECT count(*) FROM kept) AS disputes_deleted,
+  (SELECT count(*) FROM exp WHERE expired) AS messages_deleted, TIMESTAMP '{NOW}' - INTERVAL 26 DAY AS message_cutoff,
+  TIMESTAMP '{NOW}' - INTERVAL 20 DAY AS dispute_cutoff""")
+def _(spark, sf):
+    return _retained(spark, sf)[2]
+
+
+@query("retention_messages", f"WITH {_RETAIN} SELECT id, session_id FROM exp WHERE NOT expired")
+def _(spark, sf):
+    return _retained(spark, sf)[0].select("id", "session_id")
+
+
+@query("retention_disputes", f"WITH {_RETAIN} SELECT id, message_id FROM kept")
+def _(spark, sf):
+    return _retained(spark, sf)[1].select("id", "message_id")

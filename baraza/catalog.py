@@ -1031,3 +1031,192 @@ def _(spark, sf):
 @query("retention_disputes", f"WITH {_RETAIN} SELECT id, message_id FROM kept")
 def _(spark, sf):
     return _retained(spark, sf)[1].select("id", "message_id")
+
+
+# ---- links ------------------------------------------------------------------------------------
+_LINKS = r"""vis AS (SELECT page_id, url AS page_url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS h
+    FROM pages),
+  anch AS (SELECT page_id, page_url, regexp_extract_all(h, '(?is)<a\b[^>]*>.*?</a\s*>') AS tags FROM vis),
+  anc AS (SELECT page_id, page_url, u.i - 1 AS pos, u.a AS a FROM anch, LATERAL (SELECT unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS a) u),
+  href AS (SELECT page_id, page_url, pos, trim(regexp_extract(a, '(?is)^<a\b[^>]*\shref\s*=\s*"([^"]*)"', 1)) AS href,
+    trim(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g')) AS t FROM anc),
+  lnk AS (SELECT page_id, page_url, pos, CASE WHEN t <> '' THEN t ELSE regexp_extract(href, '([^/]*)$', 1) END AS title,
+    CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE regexp_extract(page_url, '^[a-z]+://[^/?#]*') || href END AS url,
+    lower(href) LIKE '%.pdf' AS is_pdf FROM href
+    WHERE href <> '' AND NOT (starts_with(href, '#') OR starts_with(href, 'javascript:') OR starts_with(href, 'mailto:'))),
+  links AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM lnk) WHERE rn = 1)"""
+
+
+@query("page_links", f"WITH {_LINKS} SELECT page_id, page_url, pos, title, url, is_pdf FROM links")
+def _(spark, sf):
+    return links.page_links(table(spark, sf, "pages"))
+
+
+def _has(text: str, word: str) -> str:
+    return f"contains({text}, '{word}')::INT"
+
+
+def _by_key(table_: dict, key: str) -> str:
+    return "CASE " + key + " " + " ".join(
+        f"WHEN '{k}' THEN {' + '.join(_has('spaced', w) for w in ws)}" for k, ws in table_.items()) + " ELSE 0 END"
+
+
+_SCORED = rf"""{_LINKS}, ls AS (SELECT page_id AS source_id, url AS listing_url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+    {_pick(fv.GOVERNMENT_ARMS, "page_id")} AS government_arm, {_pick(fv.REPORT_TYPES, "page_id")} AS report_type FROM pages),
+  cand AS (SELECT ls.*, l.pos, l.title AS link_title, l.url AS link_url, lower(l.title || ' ' || l.url) AS body,
+    regexp_replace(lower(l.title || ' ' || l.url), '[-/]', ' ', 'g') AS spaced FROM ls JOIN links l ON l.page_url = ls.listing_url),
+  scored AS (SELECT *, (2 * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')),
+      list_distinct(regexp_extract_all(body, '[a-z0-9]+')))) + 15 * ({_by_key(fv.ARM_KEYWORDS, 'government_arm')})
+    + 4 * ({_by_key(fv.REPORT_TYPE_KEYWORDS, 'report_type')}) + 3 * ({' + '.join(_has('spaced', w) for w in fv.EDITION_KEYWORDS)}))::BIGINT
+    AS score FROM cand)"""
+
+
+@query("link_scores", f"WITH {_SCORED} SELECT source_id, pos, link_url, score FROM scored")
+def _(spark, sf):
+    scored = links.scored_links(b.listing_sources(spark, sf), links.page_links(table(spark, sf, "pages")))
+    return scored.select("source_id", "pos", "link_url", "score")
+
+
+@query("best_link", f"""WITH {_SCORED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, pos) AS rn
+    FROM scored) WHERE rn = 1)
+  SELECT ls.source_id, CASE WHEN score > 0 THEN link_url END AS link_url, score,
+    CASE WHEN score IS NULL THEN 'no_links' WHEN score <= 0 THEN 'no_match' END AS error FROM ls LEFT JOIN best USING (source_id)""")
+def _(spark, sf):
+    return links.best_link(b.listing_sources(spark, sf), links.page_links(table(spark, sf, "pages")))
+
+
+@query("candidate_links", f"""WITH {_SCORED} SELECT source_id, link_url, score, rank FROM (SELECT *,
+  row_number() OVER (PARTITION BY source_id ORDER BY score DESC, pos) AS rank FROM scored) WHERE rank <= 5""")
+def _(spark, sf):
+    found = links.candidate_links(b.listing_sources(spark, sf), links.page_links(table(spark, sf, "pages")))
+    return found.select("source_id", "link_url", "score", "rank")
+
+
+_CLASS = rf"""{_LINKS}, n AS (SELECT page_id, count(*) AS links, count(*) FILTER (WHERE is_pdf) AS pdf_links FROM lnk GROUP BY 1),
+  cls AS (SELECT p.page_id, coalesce(links, 0) AS links, coalesce(pdf_links, 0) AS pdf_links,
+    CASE WHEN contains(html, '<ds-app') OR contains(left(html, 500), '<title>DSpace</title>') THEN 'repository_shell'
+      WHEN pdf_links > 0 THEN 'direct_pdf' WHEN regexp_matches(html, 'location\.href\s*=\s*''[^'']+''') THEN 'onclick_downloads'
+      WHEN links > 0 THEN 'two_level' ELSE 'nothing' END AS page_class FROM pages p LEFT JOIN n ON n.page_id = p.page_id)"""
+
+
+@query("page_classes", f"WITH {_CLASS} SELECT page_id, page_class, links, pdf_links FROM cls")
+def _(spark, sf):
+    return links.page_classes(table(spark, sf, "pages"))
+
+
+@query("listing_resolution")
+def _(spark, sf):
+    return links.resolve_listings(b.listing_sources(spark, sf), table(spark, sf, "pages"))
+
+
+@query("url_screen", r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || page_id || '.example.org/a'
+    WHEN 2 THEN 'http://' || (page_id % 224) || '.' || (page_id % 7 + 166) || '.' || (page_id % 256) || '.1:8080/x'
+    WHEN 3 THEN 'http:///' || page_id ELSE 'https://172.' || (page_id % 40) || '.0.9/' END AS url FROM pages),
+  p AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', '') AS host FROM u),
+  n AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$')
+    THEN list_transform(string_split(host, '.'), lambda o: o::BIGINT) END AS o FROM p)
+  SELECT page_id, url, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host'
+    WHEN o[1] IN (127, 10, 0) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254)
+    THEN 'private_address' END AS error FROM n""")
+def _(spark, sf):
+    i = F.col("page_id")
+
+    def n(x):
+        return x.cast("string")
+
+    url = (F.when(i % 5 == 0, F.col("url")).when(i % 5 == 1, F.concat(F.lit("ftp://"), n(i), F.lit(".example.org/a")))
+           .when(i % 5 == 2, F.concat(F.lit("http://"), n(i % 224), F.lit("."), n(i % 7 + 166), F.lit("."), n(i % 256), F.lit(".1:8080/x")))
+           .when(i % 5 == 3, F.concat(F.lit("http:///"), n(i))).otherwise(F.concat(F.lit("https://172."), n(i % 40), F.lit(".0.9/"))))
+    made = table(spark, sf, "pages").select("page_id", url.alias("url"))
+    return made.select("page_id", "url", urls.url_error(F.col("url")).alias("error"))
+
+
+@query("url_parts", r"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
+  nullif(regexp_extract('https://r.example.org/home/handle/12345/' || page_id || '?x=1', '/handle/([^?#]*)', 1), '') AS handle,
+  regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages""")
+def _(spark, sf):
+    made = F.concat(F.lit("https://r.example.org/home/handle/12345/"), F.col("page_id").cast("string"), F.lit("?x=1"))
+    return table(spark, sf, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.handle(made).alias("handle"),
+                                            urls.host(F.col("url")).alias("host"))
+
+
+# ---- answers ----------------------------------------------------------------------------------
+_HITS = f"""{_FUSE}, top AS (SELECT * FROM ranked WHERE rank <= 8), det AS (SELECT t.query_id, t.rank, t.id, d.source AS source_title,
+    regexp_extract(d.source, '([0-9]+)$', 1)::BIGINT AS source_id, d.doc_id % 50 AS page_number,
+    {_pick(fv.GOVERNMENT_ARMS, "regexp_extract(d.source, '([0-9]+)$', 1)::BIGINT")} AS government_arm, d.text AS chunk_text
+    FROM top t JOIN documents d ON d.doc_id = t.id)"""
+
+
+def _hit_lists(spark, sf):
+    docs = b.chunk_sources(table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), "source", (F.col("doc_id") % 50).alias("page_number"), F.col("text").alias("chunk_text")))
+    chunks = docs.withColumn("government_arm", b.pick(fv.GOVERNMENT_ARMS, F.col("source_id")))
+    return retrieval.hits_per_query(retrieval.with_chunk_details(_fused(spark, sf), chunks, b.sources(spark, sf)))
+
+
+@query("context_blocks", f"""WITH {_HITS.removeprefix('WITH ')} SELECT query_id, count(*) AS n_hits, md5(string_agg('[' || rank || '] Source chunk (page ' || page_number || '):' || chr(10)
+  || chunk_text, chr(10) || chr(10) ORDER BY rank)) AS context_key,
+  string_agg('- ' || left(chunk_text, 300), chr(10) ORDER BY rank) FILTER (WHERE rank <= 4) AS snippets FROM det GROUP BY 1""")
+def _(spark, sf):
+    return _hit_lists(spark, sf).select("query_id", F.size("hits").alias("n_hits"), F.md5(retrieval.context_text(F.col("hits"))).alias("context_key"),
+                                        retrieval.snippets(F.col("hits")).alias("snippets"))
+
+
+@query("json_snapshot", f"""WITH {_HITS.removeprefix('WITH ')} SELECT query_id, to_json(list(struct_pack(source_title := source_title, page_number := page_number,
+  government_arm := government_arm, chunk_text := chunk_text) ORDER BY rank))::VARCHAR AS retrieved_chunks, count(*) AS parsed FROM det GROUP BY 1""")
+def _(spark, sf):
+    kept = _hit_lists(spark, sf).select("query_id", answers.snapshot(F.col("hits")).alias("retrieved_chunks"))
+    return kept.withColumn("parsed", F.size(answers.read_snapshot(F.col("retrieved_chunks"))))
+
+
+_RAW_SQL = r"""raw AS (SELECT id, text || CASE id % 3 WHEN 0 THEN chr(10) || 'Source: x.pdf, page 2' WHEN 1 THEN chr(10) || ' chanzo : y' ELSE '' END
+    || CASE id % 4 WHEN 0 THEN chr(10) || 'USED_CHUNK: ' || (id % 11) || ', 3' WHEN 1 THEN chr(10) || 'used_chunk:  none ' WHEN 2 THEN '' ELSE
+    chr(10) || 'USED_CHUNK: 2' || chr(10) || 'bye' END AS raw_text FROM msg WHERE role = 'assistant')"""
+
+
+def _raw_answers(spark, sf):
+    i = F.col("id")
+    line = F.when(i % 3 == 0, "\nSource: x.pdf, page 2").when(i % 3 == 1, "\n chanzo : y").otherwise("")
+    mark = (F.when(i % 4 == 0, F.concat(F.lit("\nUSED_CHUNK: "), (i % 11).cast("string"), F.lit(", 3")))
+            .when(i % 4 == 1, "\nused_chunk:  none ").when(i % 4 == 2, "").otherwise("\nUSED_CHUNK: 2\nbye"))
+    return b.messages(spark, sf).where(F.col("role") == "assistant").select("id", F.concat("text", line, mark).alias("raw_text"))
+
+
+_MARK_RE = r"(?im)^\s*USED_CHUNK:\s*(\d+(?:\s*,\s*\d+)*|none)\s*$"
+
+
+@query("answer_parse", rf"""WITH {MSG}, {_RAW_SQL} SELECT id, CASE WHEN regexp_matches(raw_text, '{_MARK_RE}') THEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) END AS marker,
+  regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '(?im)^\s*(?:chanzo|source|rejea)\s*:.*$', '', 'g'),
+    '^\s+|\s+$', '', 'g') AS text,
+  CASE WHEN NOT regexp_matches(raw_text, '{_MARK_RE}') THEN 1 WHEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) = 'none' THEN NULL
+    ELSE regexp_extract(regexp_extract(raw_text, '{_MARK_RE}', 1), '\d+')::BIGINT END AS cited_rank FROM raw""")
+def _(spark, sf):
+    raw = F.col("raw_text")
+    return _raw_answers(spark, sf).select("id", answers.marker(raw).alias("marker"), answers.answer_text(raw).alias("text"),
+                                          answers.cited_rank(raw).alias("cited_rank"))
+
+
+@query("finished_answers", rf"""WITH {_HITS.removeprefix('WITH ')}, {MSG}, {_RAW_SQL}, a AS (SELECT id, id % 97 AS query_id,
+    regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '(?im)^\s*(?:chanzo|source|rejea)\s*:.*$', '', 'g'),
+      '^\s+|\s+$', '', 'g') AS text,
+    CASE WHEN NOT regexp_matches(raw_text, '{_MARK_RE}') THEN 1 WHEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) = 'none' THEN NULL
+      ELSE regexp_extract(regexp_extract(raw_text, '{_MARK_RE}', 1), '\d+')::BIGINT END AS cited FROM raw),
+  c AS (SELECT a.*, coalesce(d.source_title || ', page ' || d.page_number, 'N/A') AS citation FROM a LEFT JOIN det d
+    ON d.query_id = a.query_id AND d.rank = a.cited)
+  SELECT id, text, citation, CASE WHEN citation = 'N/A' THEN text ELSE text || chr(10) || chr(10) || '{fv.CITATION_ICON} ' ||
+    CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({_REAL}))) >= 2 THEN 'Chanzo' ELSE 'Source' END
+    || ': ' || citation END AS reply FROM c""")
+def _(spark, sf):
+    hit_lists = _hit_lists(spark, sf).withColumnRenamed("query_id", "asked")
+    raw = _raw_answers(spark, sf).withColumn("asked", F.col("id") % 97)
+    keyed = raw.select(F.col("id").alias("query_id"), "raw_text", "asked")
+    per_answer = keyed.join(hit_lists, "asked").select("query_id", "hits")
+    finished = answers.finish_answers(keyed.select("query_id", "raw_text"), per_answer)
+    return finished.select(F.col("query_id").alias("id"), "text", "citation", "reply")
+
+
+@query("canned_replies", f"""SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({_CLEAR}))) > 0
+  THEN '{fv.NO_ANSWER_TEXT["sw"]}' ELSE '{fv.NO_ANSWER_TEXT["en"].replace("'", "''")}' END AS no_answer FROM documents""")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.no_answer_text(F.col("text")).alias("no_answer"))

@@ -21,8 +21,9 @@ def pages(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("source", F.col("doc_id").alias("page"), "text")
 
 
-def messages(spark, sf) -> DataFrame:
-    c = table(spark, sf, "conversations")
+def messages(spark, sf, raw: DataFrame | None = None) -> DataFrame:
+    """Conversation turns as messages; ``raw`` may be the same rows as a stream."""
+    c = table(spark, sf, "conversations") if raw is None else raw
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int"))
     number = F.col("conv_id") * 1000 + F.col("turn")
@@ -32,11 +33,12 @@ def messages(spark, sf) -> DataFrame:
         at.alias("created_at"))
 
 
-def disputes(spark, sf) -> DataFrame:
-    """Error events as reports of answers; one status stays unused."""
+def disputes(spark, sf, raw: DataFrame | None = None) -> DataFrame:
+    """Error events as reports of answers; one status stays unused. ``raw`` may be the same rows as a stream."""
     k = F.get_json_object("props", "$.k").cast("long")
     used = ["pending_review", "under_review", "resolved_valid", "escalated"]
-    return table(spark, sf, "events").where(F.col("event_type") == "error").select(
+    events = table(spark, sf, "events") if raw is None else raw
+    return events.where(F.col("event_type") == "error").select(
         F.col("event_id").alias("id"), ((k + 5) * 1000 + 1).alias("message_id"),
         F.col("user_id").alias("reported_by_user_id"),
         F.concat(F.lit("reason "), F.col("event_id").cast("string")).alias("reason"),

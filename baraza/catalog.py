@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from baraza import bindings as b
 from baraza import fixed_values as fv
+from baraza import schemas
 from baraza.bindings import table
 from baraza.functions import identity, serialise, urls
 from baraza.functions import text as tx
@@ -13,9 +14,11 @@ from baraza.functions.vectors import hashed_word_vectors
 from baraza.operators import fusion, geometry, grouped, guards, knn, lexical
 from baraza.operators.ordered import previous_row
 from baraza.operators.topk import page_of, top_k
-from baraza.plans import answers, conversations, corpus, links, maintenance, moderation, quality, retrieval, stats
+from baraza.plans import answers, conversations, corpus, links, maintenance, moderation, quality, replay, retrieval, stats
 from baraza.session import run_folder
 from baraza.sources import documents
+from baraza.streaming import ingest, running, stateful, windows
+from baraza.streaming.replay import stream_replay
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -248,6 +251,14 @@ def _(spark, sf):
     return geometry.page_text(b.blocks(spark, sf), b.ruled_tables(spark, sf))
 
 
+@query("corpus_build", f"""WITH {SRC}, {CHUNK}, {_HEADED} SELECT src.id AS source_id, page::BIGINT AS page_number,
+  row_number() OVER (PARTITION BY source ORDER BY page, chunk_no) - 1 AS chunk_index, text AS chunk_text, src.government_arm
+  FROM chunk JOIN src ON src.title = chunk.source WHERE page IN (SELECT page FROM headed)""")
+def _(spark, sf):
+    chunks, _outcomes = corpus.build_chunks(b.pages(spark, sf), b.sources(spark, sf), "nakuru", first_pages=1 << 30)
+    return chunks.select("source_id", "page_number", "chunk_index", "chunk_text", "government_arm")
+
+
 # ---- text -------------------------------------------------------------------------------------
 _MARK = _list(MARKERS)
 _REAL = _list(fv.SWAHILI_MARKERS)
@@ -639,17 +650,20 @@ def _(spark, sf):
         "user_id", "event_id", "notify")
 
 
-_GUARD = f"""WITH RECURSIVE {MSG}, {DISP}, tgt AS (SELECT d.*, m.role AS target_role, epoch_us(d.created_at) AS t FROM disp d
-    LEFT JOIN msg m ON m.id = d.message_id),
+def _guard_sql(reports: str, messages: str, spacing_seconds: int) -> str:
+    """The report guard one report per reporter and step."""
+    us = spacing_seconds * 1_000_000
+    return f"""tgt AS (SELECT d.id, d.message_id, d.reported_by_user_id, m.role AS target_role, epoch_us(d.created_at) AS t FROM {reports} d
+    LEFT JOIN {messages} m ON m.id = d.message_id),
   g_e AS (SELECT *, row_number() OVER (PARTITION BY reported_by_user_id ORDER BY t, id) AS rn FROM tgt WHERE target_role = 'assistant'),
   g AS (SELECT reported_by_user_id, id, message_id, rn, 'created' AS reason, NULL::DOUBLE AS retry_after, t AS last_t,
       [message_id] AS seen FROM g_e WHERE rn = 1
     UNION ALL SELECT reported_by_user_id, id, message_id, rn, verdict,
-      CASE WHEN verdict = 'rate_limited' THEN round(({_SIX_HOURS * 1_000_000} - (t - last_t)) / 1e6, 1) END,
+      CASE WHEN verdict = 'rate_limited' THEN round(({us} - (t - last_t)) / 1e6, 1) END,
       CASE WHEN verdict = 'created' THEN t ELSE last_t END,
       CASE WHEN verdict = 'created' THEN list_append(seen, message_id) ELSE seen END
     FROM (SELECT e.*, g.last_t, g.seen, CASE WHEN list_contains(g.seen, e.message_id) THEN 'duplicate'
-        WHEN e.t - g.last_t < {_SIX_HOURS * 1_000_000} THEN 'rate_limited' ELSE 'created' END AS verdict
+        WHEN e.t - g.last_t < {us} THEN 'rate_limited' ELSE 'created' END AS verdict
       FROM g JOIN g_e e ON e.reported_by_user_id = g.reported_by_user_id AND e.rn = g.rn + 1)),
   cnt AS (SELECT *, sum((reason = 'created')::INT) OVER (PARTITION BY message_id ORDER BY id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS n FROM g),
@@ -660,6 +674,9 @@ _GUARD = f"""WITH RECURSIVE {MSG}, {DISP}, tgt AS (SELECT d.*, m.role AS target_
       WHERE target_role IS NULL OR target_role <> 'assistant')"""
 
 
+_GUARD = f"WITH RECURSIVE {MSG}, {DISP}, {_guard_sql('disp', 'msg', _SIX_HOURS)}"
+
+
 def _guarded(spark, sf):
     reports = b.disputes(spark, sf).select("id", "message_id", "reported_by_user_id", "created_at")
     return guards.report_guard(reports, b.messages(spark, sf), spacing_seconds=_SIX_HOURS, flag_threshold=15).drop("created_at")
@@ -1220,3 +1237,116 @@ def _(spark, sf):
   THEN '{fv.NO_ANSWER_TEXT["sw"]}' ELSE '{fv.NO_ANSWER_TEXT["en"].replace("'", "''")}' END AS no_answer FROM documents""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.no_answer_text(F.col("text")).alias("no_answer"))
+
+
+# ---- log replay -------------------------------------------------------------------------------
+def _log(spark, sf, raw=None):
+    return b.messages(spark, sf, raw).withColumn("user_id", F.col("session_id") % 25).drop("citation")
+
+
+_REPLAY = dict(limit=3, window_seconds=600, spacing_seconds=30 * 3600, flag_threshold=2)
+_REPLAY_SQL = f"""WITH RECURSIVE {MSG}, log AS (SELECT *, session_id % 25 AS user_id FROM msg),
+  asked AS (SELECT user_id, id AS event_id, epoch_us(created_at) AS t FROM log WHERE role = 'user'),
+  {_limiter_sql('asked', 3, 600_000_000)},
+  passed AS (SELECT * FROM log WHERE role <> 'user' OR id IN (SELECT event_id FROM lim WHERE allowed)),
+  prec AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_answer_id FROM passed),
+  u AS (SELECT *, length(text) % 3 = 0 AS is_report FROM prec WHERE role = 'user'),
+  l AS (SELECT *, lag(CASE WHEN is_report THEN last_answer_id END) OVER (PARTITION BY session_id ORDER BY id) AS pending FROM u),
+  labelled AS (SELECT *, CASE WHEN is_report AND last_answer_id IS NULL THEN 'no_answer' WHEN is_report THEN 'prompt_reason'
+    WHEN pending IS NOT NULL THEN 'file_reason' ELSE 'question' END AS action FROM l),
+  filed AS (SELECT id, pending AS message_id, user_id AS reported_by_user_id, created_at FROM labelled WHERE action = 'file_reason'),
+  {_guard_sql('filed', 'msg', 30 * 3600)}"""
+
+
+@query("replay_labels", f"{_REPLAY_SQL} SELECT id, user_id, action FROM labelled")
+def _(spark, sf):
+    labelled, _verdicts = replay.replay(_log(spark, sf), is_report=F.length("text") % 3 == 0, **_REPLAY)
+    return labelled.select("id", "user_id", "action")
+
+
+@query("replay_verdicts", f"{_REPLAY_SQL} SELECT id, message_id, reported_by_user_id, reason, report_count, report_count >= 2 AS flagged_for_review FROM verd")
+def _(spark, sf):
+    _labelled, verdicts = replay.replay(_log(spark, sf), is_report=F.length("text") % 3 == 0, **_REPLAY)
+    return verdicts.select("id", "message_id", "reported_by_user_id", "reason", "report_count", "flagged_for_review")
+
+
+# ---- streams ----------------------------------------------------------------------------------
+def _event_stream(spark, sf):
+    return running.read_stream(spark, sf, schemas.EVENTS, pattern="events.parquet")
+
+
+def _message_stream(spark, sf):
+    return b.messages(spark, sf, running.read_stream(spark, sf, schemas.CONVERSATIONS, pattern="conversations.parquet"))
+
+
+@query("stream_rate_limit", SQL["rate_limit_decisions"])
+def _(spark, sf):
+    events = _event_stream(spark, sf).select("user_id", "event_id", "ts")
+    limited = stateful.stream_rate_limit(events, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS)
+    return running.run_to_table(limited, "stream-rate-limit").drop("ts")
+
+
+@query("stream_report_guard", f"{_GUARD} SELECT id, message_id, reported_by_user_id, reason AS verdict, retry_after FROM verd")
+def _(spark, sf):
+    reports = b.disputes(spark, sf, _event_stream(spark, sf)).select("id", "message_id", "reported_by_user_id", "created_at")
+    judged = stateful.stream_report_guard(reports, b.messages(spark, sf), spacing_seconds=_SIX_HOURS)
+    return running.run_to_table(judged, "stream-report-guard").drop("created_at")
+
+
+@query("stream_report_labels", SQL["report_state_labels"])
+def _(spark, sf):
+    labelled = stateful.stream_report_labels(_message_stream(spark, sf).drop("citation", "created_at"), F.length("text") % 3 == 0)
+    return running.run_to_table(labelled, "stream-report-labels").select("id", "session_id", "action", "target_message_id")
+
+
+@query("stream_query_volume", SQL["query_volume_weekly"])
+def _(spark, sf):
+    e = _event_stream(spark, sf)
+    role = F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant")
+    weekly = windows.stream_query_volume(e.select(role.alias("role"), F.col("ts").alias("created_at")), "week")
+    return running.run_latest(weekly, "stream-volume").select(F.date_format("start", "yyyy-MM-dd").alias("week"), "queries")
+
+
+@query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S') AS ended,
+  count(*) AS messages FROM s GROUP BY user_id, n""")
+def _(spark, sf):
+    sessions = windows.stream_sessions(_event_stream(spark, sf).select("user_id", F.col("ts").alias("created_at")), "user_id", "6 hours")
+    return running.run_latest(sessions, "stream-sessions").select(
+        "user_id", serialise.iso(F.col("start")).alias("started"), serialise.iso(F.col("end")).alias("ended"), "messages")
+
+
+@query("stream_unique_reports", f"WITH {DISP} SELECT DISTINCT message_id, reported_by_user_id FROM disp")
+def _(spark, sf):
+    reports = b.disputes(spark, sf, _event_stream(spark, sf)).select("message_id", "reported_by_user_id", "created_at")
+    return running.run_to_table(windows.stream_unique_reports(reports), "stream-unique").select("message_id", "reported_by_user_id")
+
+
+@query("stream_reporter_counts", f"WITH {DISP} SELECT message_id, count(*) AS reporters, count(*) >= 15 AS flagged FROM disp GROUP BY 1")
+def _(spark, sf):
+    reports = b.disputes(spark, sf, _event_stream(spark, sf))
+    return running.run_latest(windows.stream_reporter_counts(reports, 15), "stream-counts")
+
+
+@query("stream_ingest", f"""WITH {SRC}, {CHUNK}, hl AS (SELECT source FROM documents GROUP BY source
+    HAVING bool_or(length({_strip('text')}) >= 20)), ok AS (SELECT doc_id FROM documents WHERE length({_strip('text')}) >= 20)
+  SELECT src.id AS source_id, count(*) AS chunks, sum(length(text))::BIGINT AS n_chars FROM chunk JOIN src ON src.title = chunk.source
+  WHERE source IN (SELECT source FROM hl) AND page IN (SELECT doc_id FROM ok) GROUP BY 1""")
+def _(spark, sf):
+    docs = running.read_stream(spark, sf, schemas.DOCUMENTS, pattern="documents.parquet")
+    arriving = docs.select("source", F.col("doc_id").alias("page"), "text")
+    folder = run_folder(spark, "stream-ingest")
+    ingest.ingest_arrivals(arriving, b.sources(spark, sf), "nakuru", f"{folder}/chunks", f"{folder}/outcomes", f"{folder}/checkpoint",
+                           first_pages=1 << 30)  # page numbers run over all sources here
+    return spark.read.parquet(f"{folder}/chunks").groupBy(F.col("source_id").cast("long").alias("source_id")).agg(
+        F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
+
+
+@query("stream_replay", f"{_REPLAY_SQL} SELECT id, message_id, reported_by_user_id, reason AS verdict FROM verd")
+def _(spark, sf):
+    raw = running.read_stream(spark, sf, schemas.CONVERSATIONS, pattern="conversations.parquet")
+    _labelled, verdicts, _counts = stream_replay(_log(spark, sf, raw), b.messages(spark, sf), is_report=F.length("text") % 3 == 0, **_REPLAY)
+    return verdicts.select("id", "message_id", "reported_by_user_id", "verdict")

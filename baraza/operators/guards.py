@@ -24,7 +24,7 @@ class SlidingWindow(Fold):
 
     def __init__(self, limit: int, window_us: int):
         self.limit, self.window = limit, window_us
-        self.inputs = ["_t"]
+        self.inputs = ["event_us"]
 
     def start(self, carried):
         return deque(carried or ())
@@ -45,10 +45,10 @@ def rate_limit(events: DataFrame, keys: list[str], ts: str, order: str, *, limit
                window_seconds: int = fv.RATE_WINDOW_SECONDS, max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``allowed`` and ``retry_after`` (seconds) per event, in ``(ts, order)`` order within the key."""
     window = window_seconds * 1_000_000
-    timed = events.withColumn("_t", micros(F.col(ts)))
-    scanned = sequential_scan(timed, keys, "_t", ["_t", order], SlidingWindow(limit, window),
+    timed = events.withColumn("event_us", micros(F.col(ts)))
+    scanned = sequential_scan(timed, keys, "event_us", ["event_us", order], SlidingWindow(limit, window),
                               quiet_us=window, max_rows=max_rows)
-    return scanned.drop("_t")
+    return scanned.drop("event_us")
 
 
 def block_notices(decisions: DataFrame, keys: list[str], ts: str, order: str, *,
@@ -65,7 +65,7 @@ class ReportSpacing(Fold):
     Accepted reports are at least one pause apart, so the remembered answers are bounded by time span / pause.
     """
 
-    inputs = ["_t", "message_id"]
+    inputs = ["event_us", "message_id"]
     outputs = [("verdict", T.StringType()), ("retry_after", T.DoubleType())]
     state_type = T.ArrayType(T.LongType())
 
@@ -97,9 +97,9 @@ def report_guard(reports: DataFrame, messages: DataFrame, *, spacing_seconds: in
     """
     roles = messages.select(F.col("id").alias("message_id"), F.col("role").alias("_role"))
     target = reports.join(roles, "message_id", "left").select(*reports.columns, "_role")
-    target = target.withColumn("_t", micros(F.col("created_at")))
+    target = target.withColumn("event_us", micros(F.col("created_at")))
     answers = target.where(F.col("_role") == "assistant")
-    judged = sequential_scan(answers, ["reported_by_user_id"], "_t", ["_t", "id"],
+    judged = sequential_scan(answers, ["reported_by_user_id"], "event_us", ["event_us", "id"],
                              ReportSpacing(spacing_seconds * 1_000_000), max_rows=max_rows)
     rejected = target.where(F.col("_role").isNull() | (F.col("_role") != "assistant")).withColumns({
         "verdict": F.when(F.col("_role").isNull(), "message_not_found").otherwise("not_an_answer"),

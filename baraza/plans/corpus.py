@@ -64,13 +64,14 @@ def chunk_pages_numbered(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap:
 
 def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,
                  embed: Callable[[DataFrame], DataFrame] | None = None,
-                 size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> tuple[DataFrame, DataFrame]:
+                 size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP,
+                 first_pages: int = fv.TEXT_LAYER_PAGES) -> tuple[DataFrame, DataFrame]:
     """The whole ingestion: ``(chunks, outcomes)`` for every source that has pages.
 
     ``pages`` has ``source, page, text``; ``sources`` has ``id, title, government_arm, county`` and pages refer to
     ``title``. Outcomes name the sources without a text layer or without pages for the county.
     """
-    layers = text_layer(pages)
+    layers = text_layer(pages, first_pages)
     usable = pages.join(layers.where("has_text").select("source"), "source", "left_semi")
     chosen = county_pages(usable, county)
     numbered = chunk_pages_numbered(chosen, size, overlap)

@@ -40,6 +40,8 @@ VALIDATIONS = _struct(("id", _L, False), ("message_id", _L, False), ("tone_score
                       ("notes", _S, True), ("created_at", _TS, True))
 EVENTS = _struct(("event_id", _L, True), ("ts", T.TimestampNTZType(), True), ("user_id", _L, True),
                  ("event_type", _S, True), ("value", _D, True), ("props", _S, True))
+CONVERSATIONS = _struct(("conv_id", _L, True), ("turn", _L, True), ("role", _S, True), ("text", _S, True))
+DOCUMENTS = _struct(("doc_id", _L, True), ("text", _S, True), ("lang", _S, True), ("source", _S, True), ("n_chars", _L, True))
 TABLES = {
     "users": USERS, "sessions": SESSIONS, "messages": MESSAGES, "disputes": DISPUTES,
     "sources": SOURCES, "chunks": CHUNKS, "validations": VALIDATIONS,

@@ -7,8 +7,18 @@ from baraza import fixed_values as fv
 from baraza.functions.text import literal_map
 
 
+_WIDE = {"documents": ["doc_id"], "pages": ["page_id"], "embeddings": ["vec_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. A text or vector table stored in fewer splits than there are cores is spread by its id,
+    so the per-row work on it runs in parallel; a table of many files is read as it is.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _WIDE and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *_WIDE[name])
+    return df
 
 
 def pick(values: list[str], number) -> F.Column:

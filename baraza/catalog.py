@@ -458,8 +458,12 @@ def _corpus_chunks(spark, sf):
     chunks = b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf)))
     shaped = chunks.select((F.col("page") * 1000 + F.col("chunk_no")).alias("id"), "source_id", F.col("page").alias("page_number"),
                            b.pick(fv.GOVERNMENT_ARMS, F.col("source_id")).alias("government_arm"), "text")
-    return hash_embed(shaped).select("id", "source_id", "page_number", "government_arm", F.col("text").alias("chunk_text"),
-                                     F.col("vector").alias("embedding"))
+    embedded = hash_embed(shaped).select("id", "source_id", "page_number", "government_arm", F.col("text").alias("chunk_text"),
+                                         F.col("vector").alias("embedding"))
+    # The chunk table is what ingestion leaves behind; retrieval reads it column by column.
+    path = run_folder(spark, "chunk-table")
+    embedded.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _questions(spark, sf):

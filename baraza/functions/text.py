@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 
-SPACE = r"[\s\x1c-\x1f]"
-SPACES = "(?U)" + SPACE + "+"
+# Every character that counts as white space.
+_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACE = r"[\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = SPACE + "+"
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
-_STRIP = f"(?U)^{SPACE}+|{SPACE}+\\z"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -31,7 +38,7 @@ def word_count(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def dedup_key(text: Column) -> Column:
@@ -57,10 +64,15 @@ def replace_words(text: Column, lexicon: dict) -> Column:
     """
     if not lexicon:
         return text
-    entries = literal_map(lexicon)
-    rewritten = F.array_join(
-        F.transform(F.split(text, r"(?U)\b"), lambda t: F.coalesce(F.element_at(entries, F.lower(t)), t)), "")
-    return F.when(text.rlike(_whole_word(lexicon)), rewritten).otherwise(text)
+    entries, keys = literal_map(lexicon), list(lexicon)
+
+    def rewritten(value):
+        # The membership test is a hash lookup; only words that are entries reach the map.
+        swap = F.transform(F.split(value, r"(?U)\b"), lambda t: F.when(
+            F.lower(t).isin(keys), F.element_at(entries, F.lower(t))).otherwise(t))
+        return F.when(value.rlike(_whole_word(lexicon)), F.array_join(swap, "")).otherwise(value)
+
+    return let(text, rewritten)
 
 
 def expand_slang(text: Column, lexicon: dict = fv.SLANG_TO_SWAHILI) -> Column:
@@ -74,16 +86,16 @@ def to_english(text: Column, lexicon: dict = fv.SWAHILI_TO_ENGLISH) -> Column:
 def query_variants(text: Column, slang: dict = fv.SLANG_TO_SWAHILI,
                    english: dict = fv.SWAHILI_TO_ENGLISH) -> Column:
     """``[text, slang-expanded, English]`` without repeats or an empty translation."""
-    expanded = expand_slang(text, slang)
-    translated = to_english(expanded, english)
-    return F.array_distinct(F.array_compact(F.array(
-        text, expanded, F.when(translated != "", translated))))
+    def variants(expanded):
+        translated = let(to_english(expanded, english), lambda t: F.when(t != "", t))
+        return F.array_distinct(F.array_compact(F.array(text, expanded, translated)))
+
+    return let(expand_slang(text, slang), variants)
 
 
 def lexicon_translation(text: Column, slang: dict = fv.SLANG_TO_SWAHILI,
                         english: dict = fv.SWAHILI_TO_ENGLISH) -> Column:
-    translated = to_english(expand_slang(text, slang), english)
-    return F.when(translated != "", translated).otherwise(text)
+    return let(to_english(expand_slang(text, slang), english), lambda t: F.when(t != "", t).otherwise(text))
 
 
 def _latin_words(text: Column) -> Column:
@@ -154,9 +166,11 @@ def accepted_translation(query: Column, supplied: Column) -> Column:
 
     Queries that need no translation pass through.
     """
-    cleaned = clean_translation(supplied)
-    usable = cleaned.isNotNull() & (cleaned != "") & (cleaned != query) & (reply_language(cleaned) == "en")
-    translated = F.when(usable, cleaned).otherwise(lexicon_translation(query))
+    def usable(cleaned):
+        good = cleaned.isNotNull() & (cleaned != "") & (cleaned != query) & (reply_language(cleaned) == "en")
+        return F.when(good, cleaned)
+
+    translated = F.coalesce(let(clean_translation(supplied), usable), lexicon_translation(query))
     blank = strip(query) == ""
     return F.when(blank | ~needs_translation(query), query).otherwise(translated)
 
@@ -181,7 +195,7 @@ def county_of(text: Column, counties=tuple(fv.COUNTIES)) -> Column:
     by_key = {_letters(c): c for c in counties}
     keys = sorted(by_key, key=len, reverse=True)
     found = F.regexp_extract(letters_only(text), "^(" + "|".join(keys) + ")", 1)
-    return F.element_at(literal_map(by_key), F.nullif(found, F.lit("")))
+    return F.try_element_at(literal_map(by_key), found)
 
 
 def heading_county(text: Column, counties=tuple(fv.COUNTIES), max_words: int = fv.MAX_HEADING_WORDS) -> Column:
@@ -189,16 +203,20 @@ def heading_county(text: Column, counties=tuple(fv.COUNTIES), max_words: int = f
     phrase = f"COUNTY{SPACE}+(?:EXECUTIVE|ASSEMBLY|GOVERNMENT){SPACE}+OF{SPACE}+"
     number = f"(?U)^{SPACE}*\\d+(?:\\.\\d+)*{SPACE}*[.)]?{SPACE}+"
 
-    def county(candidate):
-        line = F.regexp_replace(strip(candidate), number, "")
+    def named(line):
         rest = F.regexp_extract(line, f"(?iU)^{phrase}(.+)", 1)
         return F.when((rest != "") & (word_count(line) <= max_words), county_of(strip(rest), counties))
 
-    lines = F.split(text, _LINE_BREAK)
-    following = F.slice(lines, 2, F.size(lines))
-    candidates = F.flatten(F.zip_with(lines, following, lambda a, b: F.when(
-        b.isNull(), F.array(a)).otherwise(F.array(a, F.concat_ws(" ", a, b)))))
-    found = F.get(F.array_compact(F.transform(candidates, county)), F.lit(0))
+    def county(candidate):
+        heading = let(F.regexp_replace(strip(candidate), number, ""), named)
+        return F.when(F.contains(F.lower(candidate), F.lit("county")), heading)
+
+    def candidates(lines):
+        following = F.slice(lines, 2, F.size(lines))
+        return F.flatten(F.zip_with(lines, following, lambda a, b: F.when(
+            b.isNull(), F.array(a)).otherwise(F.array(a, F.concat_ws(" ", a, b)))))
+
+    found = F.get(F.array_compact(F.transform(let(F.split(text, _LINE_BREAK), candidates), county)), F.lit(0))
     # Most pages hold no such phrase: one scan spares them the line-by-line work.
     return F.when(text.rlike(f"(?iU){phrase}"), found)
 

@@ -1,9 +1,7 @@
 """Exact nearest vectors: every query against every vector, keeping only the best ``k``.
 
-No pair of (query, vector) is ever materialised. Each task multiplies its vectors with a block of
-queries and keeps the best ``k`` per query while it streams, so a task emits at most ``k`` rows per
-query; a ranked merge finishes. A counted, small query table is broadcast as one matrix. A larger one is
-laid out with the vectors on a grid of equal blocks, one bounded matrix product per cell.
+A counted, small query table is broadcast as one matrix and the vectors stream past it. A larger one is laid
+out with the vectors on a grid of equal blocks, one bounded matrix product per cell.
 """
 
 import math
@@ -15,76 +13,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from baraza.operators.blocked import CELLS, candidates, keep_best, prune, same_scope, slabs
 from baraza.operators.topk import top_k
 
 BROADCAST_BYTES = 64 << 20
 GRID_QUERIES = 4096
 GRID_VECTORS = 65536
-_SCALE = 10_000  # similarities are kept to four decimals
 _OUT = "query_id long, id long, similarity double"
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix of unit rows."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = array.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
-    rows = values.reshape(len(array), -1)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-
+    return _unit(values.reshape(len(array), -1))
 
-def _best(sims: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int):
-    """Positions of the ``k`` best ids per query row: rounded similarity descending, then id ascending."""
-    n = len(ids)
-    by_id = np.empty(n, dtype="int64")
-    by_id[np.argsort(ids, kind="stable")] = np.arange(n)
-    # One integer carries both criteria, so a partial selection honours the tie rule exactly.
-    key = by_id[None, :] - np.rint(sims * _SCALE).astype("int64") * n
-    never = np.iinfo("int64").max
-    if allowed is not None:
-        key = np.where(allowed, key, never)
-    take = min(k, n)
-    if take < n:
-        chosen = np.argpartition(key, take - 1, axis=1)[:, :take]
-    else:
-        chosen = np.broadcast_to(np.arange(n)[None, :], key.shape)
-    return chosen, np.take_along_axis(key, chosen, axis=1) != never
 
-
-def _candidates(ids, vectors, scopes, query_ids, queries, query_scopes, k, skip_same_id):
-    sims = queries @ vectors.T
-    allowed = None
-    if query_scopes is not None:
-        allowed = pd.isna(query_scopes)[:, None] | (query_scopes[:, None] == scopes[None, :])
+def _allowed(query_ids, ids, query_scopes, scopes, skip_same_id):
+    allowed = same_scope(query_scopes, scopes)
     if skip_same_id:
         other = query_ids[:, None] != ids[None, :]
         allowed = other if allowed is None else allowed & other
-    chosen, valid = _best(sims, ids, allowed, k)
-    row = np.broadcast_to(np.arange(len(query_ids))[:, None], chosen.shape)
-    chosen, row = chosen[valid], row[valid]
-    return pd.DataFrame({"query_id": query_ids[row], "id": ids[chosen],
-                         "similarity": np.rint(sims[row, chosen] * _SCALE) / _SCALE})
-
-
-def _prune(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = frame.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _scan(query_ids, queries, query_scopes, k, skip_same_id, has_scope):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        slab = max(1, (32 << 20) // (8 * max(1, len(query_ids.value))))  # bounds one similarity block
-        for batch in batches:
-            for start in range(0, batch.num_rows, slab):
-                part = batch.slice(start, slab)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scopes = part.column(2).to_pandas().to_numpy() if has_scope else None
-                found = _candidates(ids, _matrix(part.column(1)), scopes, query_ids.value, queries.value,
-                                    query_scopes.value if query_scopes is not None else None, k, skip_same_id)
-                best = _prune(found if best is None else pd.concat([best, found]), k)
-        if best is not None and len(best):
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-    return run
+    return allowed
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = False, skip_same_id: bool = False,
@@ -96,27 +50,39 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
     ``scope`` a query sees only vectors of its own scope (a null query scope sees all).
     Similarity is cosine, rounded to 4 decimals; ties go to the smaller id.
     """
-    fields = ["query_id", "vector"] + (["scope"] if scope else [])
-    queries = queries.select(*fields)
-    vectors = vectors.select("id", "vector", *(["scope"] if scope else []))
+    extra = ["scope"] if scope else []
+    queries = queries.select("query_id", "vector", *extra)
+    vectors = vectors.select("id", "vector", *extra)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    count, dims = size["n"], size["d"] or 1
-    if count * dims * 8 <= broadcast_bytes:
-        candidates = _broadcast_scan(queries, vectors, count, k, scope, skip_same_id)
+    if size["n"] * (size["d"] or 1) * 8 <= broadcast_bytes:
+        found = _broadcast_scan(queries, vectors, k, scope, skip_same_id)
     else:
-        candidates = _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, grid_vectors)
-    return top_k(candidates, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+        found = _grid_scan(queries, vectors, size["n"], k, scope, skip_same_id, grid_queries, grid_vectors)
+    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
-def _broadcast_scan(queries, vectors, count, k, scope, skip_same_id):
+def _broadcast_scan(queries, vectors, k, scope, skip_same_id):
     context = vectors.sparkSession.sparkContext
-    if count == 0:
+    table = queries.toArrow()  # the caller counted it: at most ``broadcast_bytes``
+    if table.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], _OUT)
-    table = queries.toArrow()  # counted above: at most ``broadcast_bytes``
-    ids = context.broadcast(table.column("query_id").to_numpy())
-    matrix = context.broadcast(_matrix(table.column("vector")))
-    scopes = context.broadcast(table.column("scope").to_pandas().to_numpy()) if scope else None
-    return vectors.mapInArrow(_scan(ids, matrix, scopes, k, skip_same_id, scope), _OUT)
+    shared = context.broadcast({
+        "ids": table.column("query_id").to_numpy(), "matrix": _matrix(table.column("vector")),
+        "scopes": table.column("scope").to_pandas().to_numpy() if scope else None})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+
+        def parts():
+            for part in slabs(batches, len(asked["ids"])):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                scopes = part.column(2).to_pandas().to_numpy() if scope else None
+                allowed = _allowed(asked["ids"], ids, asked["scopes"], scopes, skip_same_id)
+                yield candidates(asked["matrix"] @ _matrix(part.column(1)).T, ids, asked["ids"], allowed, k, "similarity")
+
+        yield from keep_best(parts(), k, "similarity")
+
+    return vectors.mapInArrow(run, _OUT)
 
 
 def _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, grid_vectors):
@@ -132,25 +98,21 @@ def _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, gr
              .withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
 
     def cell(query_part: pd.DataFrame, vector_part: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"),
+                              "similarity": pd.Series(dtype="float64")})
         if query_part.empty or vector_part.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"),
-                                 "similarity": pd.Series(dtype="float64")})
-
-        def unit(series):
-            m = np.stack(series.to_numpy()).astype("float64")
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-        query_ids, matrix = query_part["query_id"].to_numpy(), unit(query_part["vector"])
+            return empty
+        asked = _unit(np.stack(query_part["vector"].to_numpy()).astype("float64"))
+        held = _unit(np.stack(vector_part["vector"].to_numpy()).astype("float64"))
+        query_ids, ids = query_part["query_id"].to_numpy(), vector_part["id"].to_numpy()
         query_scopes = query_part["scope"].to_numpy() if scope else None
-        ids, rows_ = vector_part["id"].to_numpy(), unit(vector_part["vector"])
         scopes = vector_part["scope"].to_numpy() if scope else None
-        slab = max(1, (32 << 20) // (8 * len(query_ids)))
-        best = None
-        for start in range(0, len(ids), slab):
-            stop = start + slab
-            found = _candidates(ids[start:stop], rows_[start:stop], scopes[start:stop] if scope else None,
-                                query_ids, matrix, query_scopes, k, skip_same_id)
-            best = _prune(found if best is None else pd.concat([best, found]), k)
+        step, best = max(1, CELLS // len(query_ids)), empty
+        for start in range(0, len(ids), step):
+            s = slice(start, start + step)
+            allowed = _allowed(query_ids, ids[s], query_scopes, scopes[s] if scope else None, skip_same_id)
+            found = candidates(asked @ held[s].T, ids[s], query_ids, allowed, k, "similarity")
+            best = prune(found if best.empty else pd.concat([best, found]), k, "similarity")
         return best
 
-    return (left.groupBy("_row", "_col").cogroup(right.groupBy("_row", "_col")).applyInPandas(cell, _OUT))
+    return left.groupBy("_row", "_col").cogroup(right.groupBy("_row", "_col")).applyInPandas(cell, _OUT)

@@ -1,13 +1,26 @@
-"""Full-text matching: documents that hold any of a query's content terms, ranked, best ``k`` kept."""
+"""Full-text matching: documents that hold any of a query's content terms, ranked, best ``k`` kept.
+
+The rank is the mean over the query's distinct terms of a saturating term frequency, scaled to at most 1.
+For a counted, bounded table of query terms, documents stream past the broadcast terms and only the best ``k`` per
+query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger table of query terms
+goes through joins on the term.
+"""
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from baraza.operators.blocked import CELLS, candidates, keep_best, same_scope, slabs
 from baraza.operators.topk import top_k
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
+BROADCAST_TERMS = 2_000_000
+_OUT = "query_id long, id long, lexical_rank double"
 
 
 def saturated(count: Column) -> Column:
@@ -31,8 +44,7 @@ def lexical_matches(queries: DataFrame, documents: DataFrame, *, scope: bool = F
                     stems: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, lexical_rank)`` for every document sharing a term with the query.
 
-    ``queries`` has ``query_id, terms[, scope]``, ``documents`` has ``id, terms[, scope]``. The rank is the
-    mean over the query's distinct terms of a saturating term frequency, scaled to at most 1. ``stems``
+    ``queries`` has ``query_id, terms[, scope]``, ``documents`` has ``id, terms[, scope]``. ``stems``
     (``term, stem``) makes both sides meet on stems.
     """
     query_terms = queries.select("query_id", *(["scope"] if scope else []),
@@ -62,7 +74,88 @@ def _stemmed(terms: DataFrame, stems: DataFrame) -> DataFrame:
 
 
 def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bool = False,
-                  stems: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best matches per query (ties to the smaller id), with ``rank``."""
-    matches = lexical_matches(queries, documents, scope=scope, stems=stems)
+                  stems: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """The ``k`` best matches per query (ties to the smaller id), with ``rank``.
+
+    Inputs as for ``lexical_matches``.
+    """
+    if stems is None:
+        size = queries.agg(F.sum(F.size(F.array_distinct("terms"))).alias("n"), F.count("*").alias("q")).first()
+        small = (size["n"] or 0) <= broadcast_terms and size["q"] <= broadcast_terms // 8
+    else:
+        small = False
+    if small:
+        matches = _broadcast_matches(queries, documents, k, scope)
+    else:
+        matches = lexical_matches(queries, documents, scope=scope, stems=stems)
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
+
+
+def _query_index(table: pa.Table, scope: bool) -> dict:
+    """Query terms by term: for term ``t`` the query positions ``who[start[t]:start[t + 1]]``."""
+    lists = table.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = pc.dictionary_encode(lists.flatten())
+    order = np.argsort(coded.indices.to_numpy(zero_copy_only=False), kind="stable")
+    term = coded.indices.to_numpy(zero_copy_only=False)[order]
+    return {
+        "ids": table.column("query_id").to_numpy(), "vocabulary": coded.dictionary.cast(pa.string()), "who": owner[order],
+        "start": np.searchsorted(term, np.arange(len(coded.dictionary) + 1)),
+        "weight": _FULL / np.maximum(np.bincount(owner, minlength=table.num_rows), 1),
+        "scopes": table.column("scope").to_pandas().to_numpy() if scope else None}
+
+
+def _scores(lists: pa.Array, index: dict) -> np.ndarray:
+    """Ranks of a block of documents for all queries, ``(queries, documents)``."""
+    count, queries = len(lists), len(index["ids"])
+    owner = np.repeat(np.arange(count), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    code = pc.index_in(lists.flatten(), value_set=index["vocabulary"]).to_numpy(zero_copy_only=False)
+    known = ~np.isnan(code)
+    terms = len(index["vocabulary"])
+    pair, tf = np.unique(owner[known] * terms + code[known].astype("int64"), return_counts=True)
+    if len(pair) == 0:
+        return np.zeros((queries, count))
+    weight = np.cumsum(1.0 / np.arange(1, tf.max() + 1) ** 2)[tf - 1]
+    document, term = pair // terms, pair % terms
+    first = index["start"][term]
+    fan = index["start"][term + 1] - first
+    # One entry per (document, term, query holding the term), summed into a dense block piece by piece so that
+    # a common term cannot blow up the intermediate arrays.
+    total = np.zeros(queries * count)
+    ends = np.cumsum(fan)
+    start = 0
+    while start < len(pair):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
+        here = slice(start, stop)
+        spread = np.repeat(np.arange(start, stop), fan[here])
+        inside = np.arange(len(spread)) + base - np.repeat(ends[here] - fan[here], fan[here])
+        query = index["who"][first[spread] + inside]
+        total += np.bincount(query * count + document[spread], weights=weight[spread], minlength=queries * count)
+        start = stop
+    return total.reshape(queries, count) * index["weight"][:, None]
+
+
+def _broadcast_matches(queries, documents, k, scope):
+    extra = ["scope"] if scope else []
+    context = documents.sparkSession.sparkContext
+    table = queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra).toArrow()  # counted by the caller
+    if table.num_rows == 0:
+        return documents.sparkSession.createDataFrame([], _OUT)
+    shared = context.broadcast(_query_index(table, scope))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+
+        def parts():
+            for part in slabs(batches, len(index["ids"])):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                scores = _scores(part.column(1), index)
+                allowed = scores > 0
+                if scope:
+                    allowed &= same_scope(index["scopes"], part.column(2).to_pandas().to_numpy())
+                yield candidates(scores, ids, index["ids"], allowed, k, "lexical_rank")
+
+        yield from keep_best(parts(), k, "lexical_rank")
+
+    return documents.select("id", "terms", *extra).mapInArrow(run, _OUT)

@@ -1,6 +1,6 @@
 """Merging ranked lists and judging them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
@@ -36,12 +36,16 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int, constant: int = fv.RR
     return ordered.drop("_first")
 
 
+def is_weak(similarity: Column, lexical_rank: Column, hits: Column, threshold: float = fv.WEAK_SIMILARITY) -> Column:
+    """No hit, or neither a confident similarity nor any lexical match."""
+    confident = (F.coalesce(similarity, F.lit(0.0)) >= threshold) | (F.coalesce(lexical_rank, F.lit(0.0)) > 0)
+    return ~confident | (hits == 0)
+
+
 def weak_retrieval(queries: DataFrame, hits: DataFrame, threshold: float = fv.WEAK_SIMILARITY) -> DataFrame:
     """``(query_id, ..., best_similarity, best_lexical, hit_count, weak)`` for every query, with or without hits."""
     best = hits.groupBy("query_id").agg(
         F.max("similarity").alias("best_similarity"), F.max("lexical_rank").alias("best_lexical"),
         F.count("*").alias("hit_count"))
     joined = queries.join(best, "query_id", "left").fillna(0, ["hit_count"])
-    confident = ((F.coalesce("best_similarity", F.lit(0.0)) >= threshold)
-                 | (F.coalesce("best_lexical", F.lit(0.0)) > 0))
-    return joined.withColumn("weak", ~confident | (F.col("hit_count") == 0))
+    return joined.withColumn("weak", is_weak(F.col("best_similarity"), F.col("best_lexical"), F.col("hit_count"), threshold))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.functions import text as tx
-from baraza.operators.fusion import best_per_variant, reciprocal_rank_fusion, weak_retrieval
+from baraza.operators.fusion import best_per_variant, is_weak, reciprocal_rank_fusion
 from baraza.operators.knn import nearest
 from baraza.operators.lexical import lexical_top_k
+from baraza.session import shared_folder
 
 Embed = Callable[[DataFrame], DataFrame]
 _VARIANTS = 4  # at most three variants exist; leaves room for a compact key
@@ -52,10 +53,12 @@ def with_chunk_details(hits: DataFrame, chunks: DataFrame, sources: DataFrame) -
 
 
 def hits_per_query(hits: DataFrame) -> DataFrame:
-    """``(query_id, hits)``: the ranked hits of a query as one array (bounded by ``k``)."""
+    """The ranked hits of a query as one array (bounded by ``k``), with their count and best scores."""
     fields = ["rank", "id", "source_id", "source_title", "page_number", "government_arm", "chunk_text",
               "similarity", "lexical_rank"]
-    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("hits"))
+    return hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("hits"), F.count("*").alias("hit_count"),
+        F.max("similarity").alias("best_similarity"), F.max("lexical_rank").alias("best_lexical"))
 
 
 def context_text(hits: Column) -> Column:
@@ -109,15 +112,18 @@ def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, em
     asked = queries.withColumn("_anchored", anchored).withColumn(
         "retrieval_query", tx.accepted_translation(F.col("_anchored"), supplied)).drop("_anchored")
     keyed = asked.withColumn("_search", tx.dedup_key(F.col("retrieval_query")))
+    # The searches are read several times (vectors, terms, counts): cut their lineage once.
+    shared_folder(queries.sparkSession)
     distinct = keyed.groupBy("_search").agg(F.min("query_id").alias("search_id"), F.min_by(
-        "retrieval_query", "query_id").alias("text"))
+        "retrieval_query", "query_id").alias("text")).checkpoint()
     searches = distinct.select(F.col("search_id").alias("query_id"), "text")
     hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k), chunks, sources)
-    judged = weak_retrieval(searches.select("query_id"), hits)
-    grouped = judged.join(hits_per_query(hits), "query_id", "left").withColumnRenamed("query_id", "search_id")
-    rows = keyed.join(distinct.select("_search", "search_id"), "_search").join(grouped, "search_id")
+    grouped = hits_per_query(hits).withColumnRenamed("query_id", "search_id")
+    found = distinct.select("_search", "search_id").join(grouped, "search_id", "left")
+    rows = keyed.join(found, "_search").fillna(0, ["hit_count"])
     hit_list = F.coalesce("hits", F.array().cast(grouped.schema["hits"].dataType))
     rows = rows.withColumn("hits", hit_list).withColumn(
+        "weak", is_weak(F.col("best_similarity"), F.col("best_lexical"), F.col("hit_count"))).withColumn(
         "route", route(F.col("text"), F.col("weak"), F.col("hit_count")))
     return rows.select(
         "query_id", "text", "retrieval_query", "route", "weak", "hits",

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
-from baraza.functions.text import strip
+from baraza.functions.text import let, strip
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 
@@ -54,25 +54,31 @@ def url_error(url: Column, blocked=tuple(fv.BLOCKED_NETWORKS)) -> Column:
             .when(name.rlike(literal), F.when(inside, "private_address")))
 
 
+def _walk(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` steps taken."""
+    segments = F.split(path, "/")
+
+    def steps(parts):
+        last = F.element_at(parts, -1)
+        return F.concat(F.slice(parts, 2, F.size(parts)), F.when(last.isin(".", ".."), F.array(F.lit("")))
+                        .otherwise(F.array().cast("array<string>")))
+
+    walked = F.aggregate(let(segments, steps), F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(
+        F.array_append(acc, s)))
+    # Most links have nothing to take.
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute URL of ``href`` found on the page ``base``."""
-    root = origin(base)
-    path = F.regexp_extract(href, r"^[^?#]*", 0)
-    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    base_path = F.regexp_extract(base, _PARTS, 3)
+    root, base_path = origin(base), F.regexp_extract(base, _PARTS, 3)
+    path, tail = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     folder = F.regexp_replace(base_path, "[^/]*$", "")
-    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
-    segments = F.split(full, "/")
-    inner = F.filter(F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: s != "")
-    last = F.element_at(segments, -1)
-    steps = F.concat(inner, F.when(last.isin(".", ".."), F.array(last, F.lit(""))).otherwise(F.array(last)))
-    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(
-        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(
-        F.array_append(acc, s)))
-    plain = ~path.rlike(r"/\.{0,2}(/|$)|^\.{1,2}(/|$)|//")  # nothing to normalise: the common case
-    joined = F.when(plain & path.startswith("/"), path).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/")))
+    beside = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/{2,}", "/")
+    full = let(F.when(href.startswith("/"), path).otherwise(beside), _walk)
     return (F.when(scheme(href) != "", href).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-            .when(path == "", F.concat(root, base_path, tail)).otherwise(F.concat(root, joined, tail)))
+            .when(path == "", F.concat(root, base_path, tail)).otherwise(F.concat(root, full, tail)))
 
 
 # ---- anchors ---------------------------------------------------------------------------------
@@ -106,10 +112,13 @@ def anchors(html: Column) -> Column:
 
     def link(a):
         tag = F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0)
-        href = strip(attribute(tag, "href"))
-        text = inner_text(a)
-        title = F.when(text != "", text).otherwise(F.regexp_extract(href, r"([^/]*)$", 1))
-        return F.struct(href.alias("href"), strip(title).alias("title"), F.lower(href).endswith(".pdf").alias("is_pdf"))
+
+        def fields(parts):
+            href, text = parts["href"], parts["text"]
+            title = F.when(text != "", text).otherwise(F.regexp_extract(href, r"([^/]*)$", 1))
+            return F.struct(href.alias("href"), strip(title).alias("title"), F.lower(href).endswith(".pdf").alias("is_pdf"))
+
+        return let(F.struct(strip(attribute(tag, "href")).alias("href"), inner_text(a).alias("text")), fields)
 
     def usable(l):
         h = l["href"]

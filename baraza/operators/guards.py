@@ -41,12 +41,24 @@ class SlidingWindow(Fold):
         return list(state)
 
 
+class MessageWindow(SlidingWindow):
+    """The limiter over a whole conversation log: only user messages count, answers pass."""
+
+    def __init__(self, limit: int, window_us: int):
+        super().__init__(limit, window_us)
+        self.inputs = ["event_us", "role"]
+
+    def step(self, state, t, role):
+        return super().step(state, t) if role == "user" else (True, 0.0)
+
+
 def rate_limit(events: DataFrame, keys: list[str], ts: str, order: str, *, limit: int = fv.RATE_LIMIT,
-               window_seconds: int = fv.RATE_WINDOW_SECONDS, max_rows: int = MAX_ROWS) -> DataFrame:
+               window_seconds: int = fv.RATE_WINDOW_SECONDS, rule: type[SlidingWindow] = SlidingWindow,
+               max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``allowed`` and ``retry_after`` (seconds) per event, in ``(ts, order)`` order within the key."""
     window = window_seconds * 1_000_000
     timed = events.withColumn("event_us", micros(F.col(ts)))
-    scanned = sequential_scan(timed, keys, "event_us", ["event_us", order], SlidingWindow(limit, window),
+    scanned = sequential_scan(timed, keys, "event_us", ["event_us", order], rule(limit, window),
                               quiet_us=window, max_rows=max_rows)
     return scanned.drop("event_us")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
-from baraza.operators.guards import rate_limit, report_guard
+from baraza.operators.guards import MessageWindow, rate_limit, report_guard
 from baraza.plans.conversations import report_labels
 
 
@@ -23,10 +23,9 @@ def replay(messages: DataFrame, *, limit: int = fv.RATE_LIMIT, window_seconds: i
     User messages pass the limiter per user; the allowed ones and all answers run through the report
     dialogue; filed reports pass the report guard.
     """
-    limited = rate_limit(messages.where(F.col("role") == "user"), ["user_id"], "created_at", "id", limit=limit,
-                         window_seconds=window_seconds)
-    passed = limited.where("allowed").drop("allowed", "retry_after")
-    kept = passed.unionByName(messages.where(F.col("role") != "user").select(*passed.columns))
+    limited = rate_limit(messages, ["user_id"], "created_at", "id", limit=limit, window_seconds=window_seconds,
+                         rule=MessageWindow)
+    kept = limited.where("allowed").drop("allowed", "retry_after")
     labelled = report_labels(kept, is_report)
     verdicts = report_guard(filed_reports(labelled), messages.select("id", "role"), spacing_seconds=spacing_seconds,
                             flag_threshold=flag_threshold)

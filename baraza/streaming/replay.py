@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
+from baraza.operators.guards import MessageWindow
 from baraza.plans.replay import filed_reports
 from baraza.streaming.running import read_stream, run_latest, run_to_table
 from baraza.streaming.stateful import stream_rate_limit, stream_report_guard, stream_report_labels
@@ -26,13 +27,11 @@ def stream_replay(messages: DataFrame, answers: DataFrame, *, limit: int = fv.RA
 
     ``messages`` has ``id, session_id, user_id, role, text, created_at``; ``answers`` is the static table of messages.
     """
-    asked = stream_rate_limit(messages.where(F.col("role") == "user"), ["user_id"], "created_at", "id", limit=limit,
-                              window_seconds=window_seconds)
-    allowed = run_to_table(asked.where("allowed").drop("allowed", "retry_after"), "limited")
-    said = run_to_table(messages.where(F.col("role") != "user").withColumn("created_at", F.col("created_at").cast("timestamp"))
-                        .select(*allowed.columns), "said")
-    both = _again(allowed).unionByName(_again(said))
-    labelled = run_to_table(stream_report_labels(both, is_report), "labelled")
+    # Answers pass the limiter too, so one table keeps every session's messages in arrival order.
+    limited = stream_rate_limit(messages, ["user_id"], "created_at", "id", limit=limit, window_seconds=window_seconds,
+                                rule=MessageWindow)
+    allowed = run_to_table(limited.where("allowed").drop("allowed", "retry_after"), "limited")
+    labelled = run_to_table(stream_report_labels(_again(allowed), is_report), "labelled")
     verdicts = run_to_table(stream_report_guard(filed_reports(_again(labelled)), answers, spacing_seconds=spacing_seconds), "verdicts")
     accepted = _again(verdicts).where(F.col("verdict") == "created")
     return labelled, verdicts, run_latest(stream_reporter_counts(accepted, flag_threshold), "reporters")

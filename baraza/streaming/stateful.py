@@ -66,11 +66,15 @@ def stream_fold(stream: DataFrame, keys: list[str], order: list[str], fold: Fold
 
 
 def stream_rate_limit(events: DataFrame, keys: list[str], ts: str, order: str, *, limit: int = fv.RATE_LIMIT,
-                      window_seconds: int = fv.RATE_WINDOW_SECONDS, lateness: str = "1 hour") -> DataFrame:
-    """The sliding-window limiter on a stream; a key's state goes once the watermark passes its window."""
+                      window_seconds: int = fv.RATE_WINDOW_SECONDS, lateness: str = "1 hour",
+                      rule: type[SlidingWindow] = SlidingWindow) -> DataFrame:
+    """The sliding-window limiter on a stream; a key's state goes once the watermark passes its window.
+
+    Events behind the watermark (``lateness`` behind the newest event seen) are dropped.
+    """
     window = window_seconds * 1_000_000
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("event_us", micros(F.col(ts))).withWatermark(ts, lateness)
-    return stream_fold(timed, keys, ["event_us", order], SlidingWindow(limit, window), expire_us=window).drop("event_us")
+    return stream_fold(timed, keys, ["event_us", order], rule(limit, window), expire_us=window).drop("event_us")
 
 
 def stream_block_notices(decisions: DataFrame, keys: list[str], ts: str, order: str, *,

@@ -253,6 +253,14 @@ def word_windows(text: Column, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHU
     return F.flatten(F.transform(sections(text), windows))
 
 
+def window_count(text: Column, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> Column:
+    """``size(word_windows(text))`` without building a window."""
+    step = size - overlap
+    lengths = F.transform(sections(text), word_count)
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + F.when(n > 0, F.greatest(
+        F.floor((n - overlap + step - 1) / step), F.lit(1).cast("bigint"))).otherwise(F.lit(0).cast("bigint")))
+
+
 def chunk_id(source: Column, page: Column, ordinal: Column) -> Column:
     stem = F.regexp_replace(source, r"\.[^.]*\z", "")
     return F.concat(stem, F.lit("_p"), page.cast("string"), F.lit("_c"), ordinal.cast("string"))

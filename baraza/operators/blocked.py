@@ -4,7 +4,7 @@ A task streams its rows, scores them block-wise with NumPy and keeps at most ``k
 the pairs nor the scores of a hot term, query or source are ever written or shuffled.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,31 +12,8 @@ import pyarrow as pa
 
 SCALE = 10_000  # scores are kept to four decimals
 CELLS = 4 << 20  # scores held at once in a task
-
-
-def best_per_query(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int):
-    """Positions of the ``k`` best ids per row of ``scores``: rounded score descending, then id ascending."""
-    n = len(ids)
-    by_id = np.empty(n, dtype="int64")
-    by_id[np.argsort(ids, kind="stable")] = np.arange(n)
-    # One integer carries both criteria, so a partial selection honours the tie rule exactly.
-    key = by_id[None, :] - np.rint(scores * SCALE).astype("int64") * n
-    never = np.iinfo("int64").max
-    if allowed is not None:
-        key = np.where(allowed, key, never)
-    take = min(k, n)
-    if take < n:
-        chosen = np.argpartition(key, take - 1, axis=1)[:, :take]
-    else:
-        chosen = np.broadcast_to(np.arange(n)[None, :], key.shape)
-    return chosen, np.take_along_axis(key, chosen, axis=1) != never
-
-
-def candidates(scores, ids, query_ids, allowed, k, name) -> pd.DataFrame:
-    chosen, valid = best_per_query(scores, ids, allowed, k)
-    row = np.broadcast_to(np.arange(len(query_ids))[:, None], chosen.shape)
-    chosen, row = chosen[valid], row[valid]
-    return pd.DataFrame({"query_id": query_ids[row], "id": ids[chosen], name: np.rint(scores[row, chosen] * SCALE) / SCALE})
+# What leaves a scan is k rows per query and task, so the number of tasks is capped (a narrow coalesce).
+SCAN_TASKS = 16_384
 
 
 def same_scope(query_scopes: np.ndarray | None, scopes: np.ndarray | None) -> np.ndarray | None:
@@ -46,26 +23,6 @@ def same_scope(query_scopes: np.ndarray | None, scopes: np.ndarray | None) -> np
     return pd.isna(query_scopes)[:, None] | (query_scopes[:, None] == scopes[None, :])
 
 
-def prune(frame: pd.DataFrame, k: int, name: str) -> pd.DataFrame:
-    ordered = frame.sort_values(["query_id", name, "id"], ascending=[True, False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def keep_best(parts: Iterator[pd.DataFrame], k: int, name: str) -> Iterator[pa.RecordBatch]:
-    """Reduce a task's candidate frames to the best ``k`` per query and emit them once."""
-    held, waiting = [], 0
-    for part in parts:
-        held.append(part)
-        waiting += len(part)
-        if waiting > CELLS // 8:
-            held = [prune(pd.concat(held), k, name)]
-            waiting = 0
-    if held:
-        best = prune(pd.concat(held), k, name)
-        if len(best):
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-
 def slabs(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
     """Slices small enough that one slice times all queries stays within ``CELLS`` scores."""
     size = max(1, CELLS // max(1, queries))
@@ -74,4 +31,59 @@ def slabs(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.Record
             yield batch.slice(start, size)
 
 
-Kernel = Callable[[pa.RecordBatch], pd.DataFrame]
+class BestPerQuery:
+    """The ``k`` best rows per query so far: rounded score descending, then id ascending.
+
+    Once a query has ``k`` rows, its worst kept score becomes a floor that turns later rows away unseen.
+    """
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.held, self.waiting = [], 0
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Score block ``(queries, rows)`` of rows ``ids``."""
+        rounded = np.rint(scores * SCALE)
+        eligible = rounded >= self.floor[:, None]
+        if allowed is not None:
+            eligible &= allowed
+        asked = np.flatnonzero(eligible.any(axis=1))
+        if len(asked) == 0:
+            return
+        n = len(ids)
+        by_id = np.empty(n, dtype="int64")
+        by_id[np.argsort(ids, kind="stable")] = np.arange(n)
+        # One integer carries both criteria, so a partial selection honours the tie rule exactly.
+        never = np.iinfo("int64").max
+        key = np.where(eligible[asked], by_id[None, :] - rounded[asked].astype("int64") * n, never)
+        if self.k < n:
+            chosen = np.argpartition(key, self.k - 1, axis=1)[:, :self.k]
+        else:
+            chosen = np.broadcast_to(np.arange(n)[None, :], key.shape)
+        row, place = np.nonzero(np.take_along_axis(key, chosen, axis=1) != never)
+        column = chosen[row, place]
+        self.held.append(pd.DataFrame({"q": asked[row], "id": ids[column], "score": rounded[asked[row], column]}))
+        self.waiting += len(row)
+        if self.waiting > max(CELLS // 16, self.k * len(self.query_ids)):
+            self._settle()
+
+    def _settle(self) -> None:
+        ordered = pd.concat(self.held).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+        best = ordered.groupby("q", sort=False).head(self.k)
+        worst = best.groupby("q", sort=False)["score"].agg(["size", "last"])
+        full = worst[worst["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["last"].to_numpy()
+        self.held, self.waiting = [best], 0
+
+    def frame(self, name: str) -> pd.DataFrame:
+        if self.held:
+            self._settle()
+        best = self.held[0] if self.held else pd.DataFrame({"q": np.zeros(0, "int64"), "id": np.zeros(0, "int64"), "score": np.zeros(0)})
+        return pd.DataFrame({"query_id": self.query_ids[best["q"].to_numpy()], "id": best["id"].to_numpy(),
+                             name: best["score"].to_numpy() / SCALE})
+
+    def batches(self, name: str) -> Iterator[pa.RecordBatch]:
+        best = self.frame(name)
+        if len(best):
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, candidates, keep_best, prune, same_scope, slabs
+from baraza.operators.blocked import CELLS, SCAN_TASKS, BestPerQuery, same_scope, slabs
 from baraza.operators.topk import top_k
 
 BROADCAST_BYTES = 64 << 20
@@ -72,17 +72,15 @@ def _broadcast_scan(queries, vectors, k, scope, skip_same_id):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
+        best = BestPerQuery(asked["ids"], k)
+        for part in slabs(batches, len(asked["ids"])):
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            scopes = part.column(2).to_pandas().to_numpy() if scope else None
+            allowed = _allowed(asked["ids"], ids, asked["scopes"], scopes, skip_same_id)
+            best.offer(asked["matrix"] @ _matrix(part.column(1)).T, ids, allowed)
+        yield from best.batches("similarity")
 
-        def parts():
-            for part in slabs(batches, len(asked["ids"])):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scopes = part.column(2).to_pandas().to_numpy() if scope else None
-                allowed = _allowed(asked["ids"], ids, asked["scopes"], scopes, skip_same_id)
-                yield candidates(asked["matrix"] @ _matrix(part.column(1)).T, ids, asked["ids"], allowed, k, "similarity")
-
-        yield from keep_best(parts(), k, "similarity")
-
-    return vectors.mapInArrow(run, _OUT)
+    return vectors.coalesce(SCAN_TASKS).mapInArrow(run, _OUT)
 
 
 def _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, grid_vectors):
@@ -98,21 +96,19 @@ def _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, gr
              .withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
 
     def cell(query_part: pd.DataFrame, vector_part: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"),
-                              "similarity": pd.Series(dtype="float64")})
-        if query_part.empty or vector_part.empty:
-            return empty
+        query_ids, ids = query_part["query_id"].to_numpy(), vector_part["id"].to_numpy()
+        best = BestPerQuery(query_ids, k)
+        if len(query_ids) == 0 or len(ids) == 0:
+            return best.frame("similarity")
         asked = _unit(np.stack(query_part["vector"].to_numpy()).astype("float64"))
         held = _unit(np.stack(vector_part["vector"].to_numpy()).astype("float64"))
-        query_ids, ids = query_part["query_id"].to_numpy(), vector_part["id"].to_numpy()
         query_scopes = query_part["scope"].to_numpy() if scope else None
         scopes = vector_part["scope"].to_numpy() if scope else None
-        step, best = max(1, CELLS // len(query_ids)), empty
+        step = max(1, CELLS // len(query_ids))
         for start in range(0, len(ids), step):
             s = slice(start, start + step)
             allowed = _allowed(query_ids, ids[s], query_scopes, scopes[s] if scope else None, skip_same_id)
-            found = candidates(asked @ held[s].T, ids[s], query_ids, allowed, k, "similarity")
-            best = prune(found if best.empty else pd.concat([best, found]), k, "similarity")
-        return best
+            best.offer(asked @ held[s].T, ids[s], allowed)
+        return best.frame("similarity")
 
     return left.groupBy("_row", "_col").cogroup(right.groupBy("_row", "_col")).applyInPandas(cell, _OUT)

@@ -15,11 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, candidates, keep_best, same_scope, slabs
+from baraza.operators.blocked import CELLS, SCAN_TASKS, BestPerQuery, same_scope, slabs
 from baraza.operators.topk import top_k
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
 BROADCAST_TERMS = 2_000_000
+BROADCAST_QUERIES = 50_000
 _OUT = "query_id long, id long, lexical_rank double"
 
 
@@ -81,7 +82,7 @@ def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bo
     """
     if stems is None:
         size = queries.agg(F.sum(F.size(F.array_distinct("terms"))).alias("n"), F.count("*").alias("q")).first()
-        small = (size["n"] or 0) <= broadcast_terms and size["q"] <= broadcast_terms // 8
+        small = (size["n"] or 0) <= broadcast_terms and size["q"] <= BROADCAST_QUERIES
     else:
         small = False
     if small:
@@ -146,16 +147,13 @@ def _broadcast_matches(queries, documents, k, scope):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-
-        def parts():
-            for part in slabs(batches, len(index["ids"])):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scores = _scores(part.column(1), index)
-                allowed = scores > 0
-                if scope:
-                    allowed &= same_scope(index["scopes"], part.column(2).to_pandas().to_numpy())
-                yield candidates(scores, ids, index["ids"], allowed, k, "lexical_rank")
-
-        yield from keep_best(parts(), k, "lexical_rank")
-
-    return documents.select("id", "terms", *extra).mapInArrow(run, _OUT)
+        best = BestPerQuery(index["ids"], k)
+        for part in slabs(batches, len(index["ids"])):
+            scores = _scores(part.column(1), index)
+            allowed = scores > 0
+            if scope:
+                allowed &= same_scope(index["scopes"], part.column(2).to_pandas().to_numpy())
+            best.offer(scores, part.column(0).to_numpy(zero_copy_only=False), allowed)
+        yield from best.batches("lexical_rank")
+
+    return documents.select("id", "terms", *extra).coalesce(SCAN_TASKS).mapInArrow(run, _OUT)

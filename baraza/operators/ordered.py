@@ -17,7 +17,7 @@ BLOCK = 1 << 16
 
 
 def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    return df.withColumn("_block", F.expr(f"`{order}` div {block}"))
 
 
 def _within(keys: Sequence[str], order: str):

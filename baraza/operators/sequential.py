@@ -93,7 +93,7 @@ def sequential_scan(df: DataFrame, keys: list[str], time_us: str, order: list[st
     if largest is None or largest <= max_rows:
         return _one_pass(df, fold, keys, order)
 
-    slot = F.floor(F.col(time_us) / F.lit(quiet_us or segment_us))
+    slot = F.expr(f"`{time_us}` div {quiet_us or segment_us}")
     per_key = Window.partitionBy(*keys).orderBy("_slot")
     slots = df.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
     # A slot of the pause's length without rows separates what lies before it from what lies after it.

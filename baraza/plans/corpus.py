@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
-from baraza.functions.text import chunk_id, heading_county, word_windows
+from baraza.functions.text import chunk_id, heading_county, window_count, word_windows
 from baraza.operators.ordered import forward_fill, previous_row, running_sum
 from baraza.sources.documents import readable_pages, text_layer
 
@@ -50,16 +50,12 @@ def chunk_pages(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.
 def chunk_pages_numbered(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
     """``chunk_pages`` plus ``chunk_index``, the chunk's number within its source.
 
-    Pages are cut once into an array; the number of chunks before a page comes from a running sum over pages
-    (not chunks), so only one row per page takes part in the ordered step.
+    The number of chunks before a page is a running sum of page counts, for which no chunk has to be cut; the
+    page texts travel once and are cut behind the ordered step.
     """
-    cut = pages.withColumn("_windows", word_windows(F.col("text"), size, overlap)).drop("text")
-    counted = running_sum(cut, ["source"], "page", F.size("_windows").cast("long"), "_before", inclusive=False)
-    kept = [c for c in pages.columns if c != "text"]
-    exploded = counted.select(*kept, "_before", F.posexplode("_windows").alias("chunk_no", "text"))
-    return exploded.select(
-        chunk_id(F.col("source"), F.col("page"), F.col("chunk_no")).alias("chunk_id"), *kept, "chunk_no",
-        (F.col("_before") + F.col("chunk_no")).alias("chunk_index"), "text")
+    counted = running_sum(pages, ["source"], "page", window_count(F.col("text"), size, overlap), "_before", inclusive=False)
+    cut = chunk_pages(counted, size, overlap)
+    return cut.withColumn("chunk_index", F.col("_before") + F.col("chunk_no")).drop("_before")
 
 
 def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,

@@ -7,6 +7,7 @@ from baraza import fixed_values as fv
 from baraza.functions.text import literal_map
 from baraza.functions.urls import anchors, attribute, inner_text, resolve, visible_html
 from baraza.operators.topk import top_k
+from baraza.session import shared_folder
 
 _ONCLICK = r"location\.href\s*=\s*'([^']+)'"
 
@@ -118,7 +119,9 @@ def resolve_listings(sources: DataFrame, pages: DataFrame) -> DataFrame:
     classes = page_classes(pages).select("page_id", "page_class")
     listing = pages.select("page_id", F.col("url").alias("listing_url")).join(classes, "page_id")
     typed = sources.join(listing.select("listing_url", "page_class"), "listing_url", "left")
-    links = page_links(pages)
+    # Taking the markup apart is the costly part and four branches read its result: cut the lineage once.
+    shared_folder(pages.sparkSession)
+    links = page_links(pages).checkpoint()
     direct = best_link(typed.where(F.col("page_class") == "direct_pdf"), links.where("is_pdf"))
     onclick = best_link(typed.where(F.col("page_class") == "onclick_downloads"), onclick_links(pages))
     two_level = typed.where(F.col("page_class") == "two_level")

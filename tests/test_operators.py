@@ -249,3 +249,21 @@ def test_guard_reply(spark):
     df = spark.createDataFrame([(False, False, "rate_limited", 12.7), (True, True, "created", None)], "c boolean, f boolean, r string, w double")
     got = [r[0] for r in df.select(guards.guard_reply(F.col("c"), F.col("f"), F.col("r"), F.col("w"))).collect()]
     assert got[0].startswith("Please wait 12 seconds") and "several people" in got[1]
+
+
+@pytest.mark.parametrize("cells", [4 << 20, 64])
+def test_best_per_query_with_early_floors(monkeypatch, cells):
+    """Settling often (tiny ``cells``) must keep exactly what one final ranking keeps, ties included."""
+    from baraza.operators import blocked
+
+    monkeypatch.setattr(blocked, "CELLS", cells)
+    rng = np.random.default_rng(9)
+    scores, ids = rng.integers(0, 6, (5, 400)) / 10, rng.permutation(400)
+    best = blocked.BestPerQuery(np.arange(100, 105), 4)
+    for start in range(0, 400, 23):
+        part = slice(start, start + 23)
+        best.offer(scores[:, part], ids[part], scores[:, part] > 0)
+    got = {}
+    for r in best.frame("s").itertuples():
+        got.setdefault(r.query_id, []).append((-r.s, r.id))
+    assert {q: sorted(v) for q, v in got.items()} == {100 + q: sorted((-s, i) for s, i in zip(scores[q], ids) if s > 0)[:4] for q in range(5)}

@@ -120,7 +120,9 @@ def test_section_split(one):
 @given(st.lists(st.text(alphabet="ab \n\t  12. AaÉé", max_size=80), min_size=5, max_size=30),
        st.integers(2, 9), st.integers(0, 1))
 def test_windows_match_model(one, texts, size, overlap):
-    assert one(lambda c: tx.word_windows(c, size, overlap), texts) == [_model_windows(t, size, overlap) for t in texts]
+    model = [_model_windows(t, size, overlap) for t in texts]
+    assert one(lambda c: tx.word_windows(c, size, overlap), texts) == model
+    assert one(lambda c: tx.window_count(c, size, overlap), texts) == [len(m) for m in model]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -4,16 +4,62 @@ A task streams its rows, scores them block-wise with NumPy and keeps at most ``k
 the pairs nor the scores of a hot term, query or source are ever written or shuffled.
 """
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCALE = 10_000  # scores are kept to four decimals
 CELLS = 4 << 20  # scores held at once in a task
 # What leaves a scan is k rows per query and task, so the number of tasks is capped (a narrow coalesce).
 SCAN_TASKS = 16_384
+GRID_QUERIES = 4096
+GRID_ROWS = 65536
+
+
+def scan(rows: DataFrame, offer: Callable, query_ids, shared, k: int, name: str) -> DataFrame:
+    """Stream ``rows`` (``id`` first) past broadcast queries; ``offer(best, part, shared)`` scores one slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = BestPerQuery(query_ids.value, k)
+        for part in slabs(batches, len(query_ids.value)):
+            offer(best, part, shared.value)
+        yield from best.batches(name)
+
+    return rows.coalesce(SCAN_TASKS).mapInArrow(run, f"query_id long, id long, {name} double")
+
+
+def grid(queries: DataFrame, rows: DataFrame, query_count: int, prepare: Callable, offer: Callable, k: int, name: str,
+         grid_queries: int = GRID_QUERIES, grid_rows: int = GRID_ROWS) -> DataFrame:
+    """The same scores for a query table too large to broadcast.
+
+    Both sides are cut into equal blocks by hash; every pair of blocks meets once, in one bounded task.
+    """
+    down, across = math.ceil(query_count / grid_queries), max(1, math.ceil(rows.count() / grid_rows))
+
+    def block(key, blocks):
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+    def every(blocks):
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = queries.withColumns({"grid_row": block("query_id", down), "grid_col": F.lit(None)}).withColumn("grid_col", every(across))
+    right = rows.withColumns({"grid_col": block("id", across), "grid_row": F.lit(None)}).withColumn("grid_row", every(down))
+
+    def cell(asked: pa.Table, held: pa.Table) -> pa.Table:
+        best = BestPerQuery(asked.column("query_id").to_numpy(), k)
+        if asked.num_rows and held.num_rows:
+            shared = prepare(asked)
+            for part in slabs(held.combine_chunks().to_batches(), asked.num_rows):
+                offer(best, part, shared)
+        return pa.Table.from_pandas(best.frame(name), preserve_index=False)
+
+    return left.groupBy("grid_row", "grid_col").cogroup(right.groupBy("grid_row", "grid_col")).applyInArrow(
+        cell, f"query_id long, id long, {name} double")
 
 
 def same_scope(query_scopes: np.ndarray | None, scopes: np.ndarray | None) -> np.ndarray | None:

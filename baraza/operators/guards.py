@@ -139,6 +139,12 @@ def guard_reply(created: Column, flagged: Column, reason: Column, retry_after: C
             .when(reason == "rate_limited", both("rate_limited", wait)).otherwise(both("no_recent")))
 
 
+def already_reported(reports: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (``message_id, reported_by_user_id``) that have a report."""
+    known = reports.select("message_id", "reported_by_user_id").distinct()
+    return asked.join(known, ["message_id", "reported_by_user_id"], "left_semi")
+
+
 def distinct_reporters(reports: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct reporters per answer; the approximate form keeps one small sketch per answer."""
     count = F.approx_count_distinct if approximate else F.countDistinct

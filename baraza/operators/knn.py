@@ -4,46 +4,28 @@ A counted, small query table is broadcast as one matrix and the vectors stream p
 out with the vectors on a grid of equal blocks, one bounded matrix product per cell.
 """
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, SCAN_TASKS, BestPerQuery, same_scope, slabs
+from baraza.operators.blocked import GRID_QUERIES, GRID_ROWS, BestPerQuery, grid, same_scope, scan
 from baraza.operators.topk import top_k
 
 BROADCAST_BYTES = 64 << 20
-GRID_QUERIES = 4096
-GRID_VECTORS = 65536
-_OUT = "query_id long, id long, similarity double"
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix of unit rows."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = array.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
-    return _unit(values.reshape(len(array), -1))
-
-
-def _allowed(query_ids, ids, query_scopes, scopes, skip_same_id):
-    allowed = same_scope(query_scopes, scopes)
-    if skip_same_id:
-        other = query_ids[:, None] != ids[None, :]
-        allowed = other if allowed is None else allowed & other
-    return allowed
+    rows = values.reshape(len(array), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = False, skip_same_id: bool = False,
             broadcast_bytes: int = BROADCAST_BYTES, grid_queries: int = GRID_QUERIES,
-            grid_vectors: int = GRID_VECTORS) -> DataFrame:
+            grid_vectors: int = GRID_ROWS) -> DataFrame:
     """``(query_id, id, similarity, rank)``: the ``k`` most similar vectors per query.
 
     ``queries`` has ``query_id, vector[, scope]`` and ``vectors`` has ``id, vector[, scope]``. With
@@ -53,62 +35,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
     extra = ["scope"] if scope else []
     queries = queries.select("query_id", "vector", *extra)
     vectors = vectors.select("id", "vector", *extra)
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if size["n"] * (size["d"] or 1) * 8 <= broadcast_bytes:
-        found = _broadcast_scan(queries, vectors, k, scope, skip_same_id)
-    else:
-        found = _grid_scan(queries, vectors, size["n"], k, scope, skip_same_id, grid_queries, grid_vectors)
-    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
+    def prepare(asked: pa.Table) -> dict:
+        return {"ids": asked.column("query_id").to_numpy(), "matrix": _matrix(asked.column("vector")),
+                "scopes": asked.column("scope").to_pandas().to_numpy() if scope else None}
 
-def _broadcast_scan(queries, vectors, k, scope, skip_same_id):
-    context = vectors.sparkSession.sparkContext
-    table = queries.toArrow()  # the caller counted it: at most ``broadcast_bytes``
-    if table.num_rows == 0:
-        return vectors.sparkSession.createDataFrame([], _OUT)
-    shared = context.broadcast({
-        "ids": table.column("query_id").to_numpy(), "matrix": _matrix(table.column("vector")),
-        "scopes": table.column("scope").to_pandas().to_numpy() if scope else None})
+    def offer(best: BestPerQuery, part: pa.RecordBatch, asked: dict) -> None:
+        ids = part.column("id").to_numpy(zero_copy_only=False)
+        allowed = same_scope(asked["scopes"], part.column("scope").to_pandas().to_numpy() if scope else None)
+        if skip_same_id:
+            other = asked["ids"][:, None] != ids[None, :]
+            allowed = other if allowed is None else allowed & other
+        best.offer(asked["matrix"] @ _matrix(part.column("vector")).T, ids, allowed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        best = BestPerQuery(asked["ids"], k)
-        for part in slabs(batches, len(asked["ids"])):
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            scopes = part.column(2).to_pandas().to_numpy() if scope else None
-            allowed = _allowed(asked["ids"], ids, asked["scopes"], scopes, skip_same_id)
-            best.offer(asked["matrix"] @ _matrix(part.column(1)).T, ids, allowed)
-        yield from best.batches("similarity")
-
-    return vectors.coalesce(SCAN_TASKS).mapInArrow(run, _OUT)
-
-
-def _grid_scan(queries, vectors, count, k, scope, skip_same_id, grid_queries, grid_vectors):
-    rows = math.ceil(count / grid_queries)
-    columns = max(1, math.ceil(vectors.count() / grid_vectors))
-
-    def block(key, blocks):
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    left = (queries.withColumn("_row", block("query_id", rows))
-            .withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))))
-    right = (vectors.withColumn("_col", block("id", columns))
-             .withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
-
-    def cell(query_part: pd.DataFrame, vector_part: pd.DataFrame) -> pd.DataFrame:
-        query_ids, ids = query_part["query_id"].to_numpy(), vector_part["id"].to_numpy()
-        best = BestPerQuery(query_ids, k)
-        if len(query_ids) == 0 or len(ids) == 0:
-            return best.frame("similarity")
-        asked = _unit(np.stack(query_part["vector"].to_numpy()).astype("float64"))
-        held = _unit(np.stack(vector_part["vector"].to_numpy()).astype("float64"))
-        query_scopes = query_part["scope"].to_numpy() if scope else None
-        scopes = vector_part["scope"].to_numpy() if scope else None
-        step = max(1, CELLS // len(query_ids))
-        for start in range(0, len(ids), step):
-            s = slice(start, start + step)
-            allowed = _allowed(query_ids, ids[s], query_scopes, scopes[s] if scope else None, skip_same_id)
-            best.offer(asked @ held[s].T, ids[s], allowed)
-        return best.frame("similarity")
-
-    return left.groupBy("_row", "_col").cogroup(right.groupBy("_row", "_col")).applyInPandas(cell, _OUT)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if size["n"] == 0:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    elif size["n"] * (size["d"] or 1) * 8 <= broadcast_bytes:
+        table = queries.toArrow()  # counted: at most ``broadcast_bytes``
+        context = vectors.sparkSession.sparkContext
+        asked = prepare(table)
+        found = scan(vectors, offer, context.broadcast(asked["ids"]), context.broadcast(asked), k, "similarity")
+    else:
+        found = grid(queries, vectors, size["n"], prepare, offer, k, "similarity", grid_queries, grid_vectors)
+    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)

@@ -2,26 +2,23 @@
 
 The rank is the mean over the query's distinct terms of a saturating term frequency, scaled to at most 1.
 For a counted, bounded table of query terms, documents stream past the broadcast terms and only the best ``k`` per
-query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger table of query terms
-goes through joins on the term.
+query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger query table meets the
+documents on a grid of equal blocks. ``lexical_matches`` gives all matches, by joins on the term.
 """
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, SCAN_TASKS, BestPerQuery, same_scope, slabs
+from baraza.operators.blocked import CELLS, GRID_QUERIES, GRID_ROWS, BestPerQuery, grid, same_scope, scan
 from baraza.operators.topk import top_k
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
 BROADCAST_TERMS = 2_000_000
 BROADCAST_QUERIES = 50_000
-_OUT = "query_id long, id long, lexical_rank double"
 
 
 def saturated(count: Column) -> Column:
@@ -75,23 +72,42 @@ def _stemmed(terms: DataFrame, stems: DataFrame) -> DataFrame:
 
 
 def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bool = False,
-                  stems: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+                  stems: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS,
+                  grid_queries: int = GRID_QUERIES, grid_documents: int = GRID_ROWS) -> DataFrame:
     """The ``k`` best matches per query (ties to the smaller id), with ``rank``.
 
     Inputs as for ``lexical_matches``.
     """
-    if stems is None:
-        size = queries.agg(F.sum(F.size(F.array_distinct("terms"))).alias("n"), F.count("*").alias("q")).first()
-        small = (size["n"] or 0) <= broadcast_terms and size["q"] <= BROADCAST_QUERIES
-    else:
-        small = False
-    if small:
-        matches = _broadcast_matches(queries, documents, k, scope)
-    else:
+    extra = ["scope"] if scope else []
+    if stems is not None:
         matches = lexical_matches(queries, documents, scope=scope, stems=stems)
+    else:
+        matches = _best_matches(queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra),
+                                documents.select("id", "terms", *extra), k, scope, broadcast_terms, grid_queries, grid_documents)
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
 
 
+def _best_matches(queries, documents, k, scope, broadcast_terms, grid_queries, grid_documents):
+    def prepare(asked: pa.Table) -> dict:
+        return _query_index(asked, scope)
+
+    def offer(best: BestPerQuery, part: pa.RecordBatch, index: dict) -> None:
+        scores = _scores(part.column("terms"), index)
+        allowed = scores > 0
+        if scope:
+            allowed &= same_scope(index["scopes"], part.column("scope").to_pandas().to_numpy())
+        best.offer(scores, part.column("id").to_numpy(zero_copy_only=False), allowed)
+
+    size = queries.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
+    if size["q"] == 0:
+        return documents.sparkSession.createDataFrame([], "query_id long, id long, lexical_rank double")
+    if size["n"] <= broadcast_terms and size["q"] <= BROADCAST_QUERIES:
+        index = prepare(queries.toArrow())  # counted: at most ``broadcast_terms`` terms
+        context = documents.sparkSession.sparkContext
+        return scan(documents, offer, context.broadcast(index["ids"]), context.broadcast(index), k, "lexical_rank")
+    return grid(queries, documents, size["q"], prepare, offer, k, "lexical_rank", grid_queries, grid_documents)
+
+
 def _query_index(table: pa.Table, scope: bool) -> dict:
     """Query terms by term: for term ``t`` the query positions ``who[start[t]:start[t + 1]]``."""
     lists = table.column("terms").combine_chunks()
@@ -135,25 +151,3 @@ def _scores(lists: pa.Array, index: dict) -> np.ndarray:
         total += np.bincount(query * count + document[spread], weights=weight[spread], minlength=queries * count)
         start = stop
     return total.reshape(queries, count) * index["weight"][:, None]
-
-
-def _broadcast_matches(queries, documents, k, scope):
-    extra = ["scope"] if scope else []
-    context = documents.sparkSession.sparkContext
-    table = queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra).toArrow()  # counted by the caller
-    if table.num_rows == 0:
-        return documents.sparkSession.createDataFrame([], _OUT)
-    shared = context.broadcast(_query_index(table, scope))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        best = BestPerQuery(index["ids"], k)
-        for part in slabs(batches, len(index["ids"])):
-            scores = _scores(part.column(1), index)
-            allowed = scores > 0
-            if scope:
-                allowed &= same_scope(index["scopes"], part.column(2).to_pandas().to_numpy())
-            best.offer(scores, part.column(0).to_numpy(zero_copy_only=False), allowed)
-        yield from best.batches("lexical_rank")
-
-    return documents.select("id", "terms", *extra).coalesce(SCAN_TASKS).mapInArrow(run, _OUT)

@@ -94,39 +94,55 @@ def anchored_query(query: Column, history: Column, max_words: int = fv.FOLLOWUP_
     return F.when(terse, tx.strip(F.concat_ws(" ", latest, query))).otherwise(query)
 
 
+VALUE_HITS = 3
+
+
+def value_prompt(hits: Column, query: Column) -> Column:
+    """Numbered passages and the question, for a value-for-money comparison."""
+    blocks = F.transform(hits, lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h["chunk_text"]))
+    return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n\n"), query)
+
+
 def route(query: Column, weak: Column, hit_count: Column) -> Column:
-    return (F.when(tx.is_value_for_money(query), "value_for_money")
+    return (F.when(tx.is_value_for_money(query) & (hit_count > 0), "value_for_money")
             .when(weak & (tx.word_count(query) <= fv.CLARIFY_MAX_WORDS), "clarify")
             .when(hit_count == 0, "no_answer").otherwise("generate"))
 
 
 def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, embed: Embed,
                    k: int = fv.TOP_K) -> DataFrame:
-    """One row per question: route, retrieval query, hits and the grounded prompt.
+    """One row per question: route, retrieval query, hits and the prompt for its route.
 
     ``queries``: ``query_id, text, history`` and optionally ``translation`` (a supplied English text).
-    Equal retrieval queries are searched once and joined back.
+    Value-for-money questions are searched as asked, with fewer hits; all others anchored to the conversation
+    and in English. Equal searches are run once and joined back.
     """
-    anchored = anchored_query(F.col("text"), F.col("history"))
     supplied = F.col("translation") if "translation" in queries.columns else F.lit(None).cast("string")
-    asked = queries.withColumn("_anchored", anchored).withColumn(
-        "retrieval_query", tx.accepted_translation(F.col("_anchored"), supplied)).drop("_anchored")
+    asked = queries.withColumn("_anchored", anchored_query(F.col("text"), F.col("history")))
+    asked = asked.withColumn("_value", tx.is_value_for_money(F.col("text"))).withColumn(
+        "retrieval_query", F.when(F.col("_value"), F.col("text")).otherwise(
+            tx.accepted_translation(F.col("_anchored"), supplied))).drop("_anchored")
     keyed = asked.withColumn("_search", tx.dedup_key(F.col("retrieval_query")))
     # The searches are read several times (vectors, terms, counts): cut their lineage once.
     shared_folder(queries.sparkSession)
-    distinct = keyed.groupBy("_search").agg(F.min("query_id").alias("search_id"), F.min_by(
+    distinct = keyed.groupBy("_search", "_value").agg(F.min("query_id").alias("search_id"), F.min_by(
         "retrieval_query", "query_id").alias("text")).checkpoint()
-    searches = distinct.select(F.col("search_id").alias("query_id"), "text")
-    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k), chunks, sources)
+
+    def search(value: bool, count: int) -> DataFrame:
+        wanted = distinct.where(F.col("_value") == value).select(F.col("search_id").alias("query_id"), "text")
+        return hybrid_hits(wanted, chunks, embed, count)
+
+    hits = with_chunk_details(search(False, k).unionByName(search(True, VALUE_HITS)), chunks, sources)
     grouped = hits_per_query(hits).withColumnRenamed("query_id", "search_id")
-    found = distinct.select("_search", "search_id").join(grouped, "search_id", "left")
-    rows = keyed.join(found, "_search").fillna(0, ["hit_count"])
+    found = distinct.drop("text").join(grouped, "search_id", "left")
+    rows = keyed.join(found, ["_search", "_value"]).fillna(0, ["hit_count"])
     hit_list = F.coalesce("hits", F.array().cast(grouped.schema["hits"].dataType))
     rows = rows.withColumn("hits", hit_list).withColumn(
         "weak", is_weak(F.col("best_similarity"), F.col("best_lexical"), F.col("hit_count"))).withColumn(
         "route", route(F.col("text"), F.col("weak"), F.col("hit_count")))
+    prompt = (F.when(F.col("route") == "generate", grounded_prompt(F.col("history"), F.col("hits"), F.col("text")))
+              .when(F.col("route") == "value_for_money", value_prompt(F.col("hits"), F.col("text"))))
     return rows.select(
-        "query_id", "text", "retrieval_query", "route", "weak", "hits",
-        F.when(F.col("route") == "generate", grounded_prompt(F.col("history"), F.col("hits"), F.col("text"))).alias("prompt"),
+        "query_id", "text", "retrieval_query", "route", "weak", "hits", prompt.alias("prompt"),
         F.when(F.col("route") == "clarify", snippets(F.col("hits"))).alias("snippets"),
         F.when(F.col("route") == "no_answer", tx.no_answer_text(F.col("text"))).alias("canned"))

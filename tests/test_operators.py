@@ -89,8 +89,10 @@ def test_lexical_paths_agree(spark, scope):
     d = spark.createDataFrame(docs, "id long, terms array<string>, scope string")
     q = spark.createDataFrame(asked, "query_id long, terms array<string>, scope string")
     streamed = lexical.lexical_top_k(q, d, 4, scope=scope).collect()
-    joined = lexical.lexical_top_k(q, d, 4, scope=scope, broadcast_terms=-1).collect()
-    assert sorted(map(tuple, (r.asDict().items() for r in streamed))) == sorted(map(tuple, (r.asDict().items() for r in joined)))
+    gridded = lexical.lexical_top_k(q, d, 4, scope=scope, broadcast_terms=-1, grid_queries=4, grid_documents=30).collect()
+    matched = {(r["query_id"], r["id"]): r["lexical_rank"] for r in lexical.lexical_matches(q, d, scope=scope).collect()}
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, gridded))
+    assert all(matched[(r["query_id"], r["id"])] == r["lexical_rank"] for r in streamed)
     full = 6 / np.pi ** 2
     for query_id, terms, sc in asked:
         want = []
@@ -267,3 +269,26 @@ def test_best_per_query_with_early_floors(monkeypatch, cells):
     for r in best.frame("s").itertuples():
         got.setdefault(r.query_id, []).append((-r.s, r.id))
     assert {q: sorted(v) for q, v in got.items()} == {100 + q: sorted((-s, i) for s, i in zip(scores[q], ids) if s > 0)[:4] for q in range(5)}
+
+
+def test_embedding_hook(spark):
+    from baraza.functions.vectors import embed_in_batches, hashed_word_vectors
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "i long, text string")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        assert len(texts) <= 2
+        sizes.add(len(texts))
+        return [[3.0, 4.0] if t != "t0" else [0.0, 0.0] for t in texts]
+
+    got = {r["i"]: r["v"] for r in embed_in_batches(df.coalesce(1), "text", "v", embed, batch_size=2).collect()}
+    assert got[0] == [0.0, 0.0] and all(abs(got[i][0] - 0.6) < 1e-6 for i in range(1, 7)) and sizes.value == 7
+    hashed = hashed_word_vectors(df.select(F.split("text", " ").alias("terms")), "terms", "v", 16).select("v").first()[0]
+    assert len(hashed) == 16 and abs(sum(x * x for x in hashed) - 1) < 1e-6
+
+
+def test_already_reported(spark):
+    reports = _reports(spark, [(10, 1, 0)])
+    asked = spark.createDataFrame([(10, 1), (10, 2)], "message_id long, reported_by_user_id long")
+    assert [tuple(r) for r in guards.already_reported(reports, asked).collect()] == [(10, 1)]

@@ -245,6 +245,7 @@ def test_plan_responses(spark):
     got = {r["query_id"]: r for r in retrieval.plan_responses(asked, chunks, known, embed).collect()}
     assert got[1]["route"] == "generate" and got[1]["hits"][0]["id"] == 1 and "njoro" in got[1]["prompt"]
     assert [h["id"] for h in got[4]["hits"]] == [h["id"] for h in got[1]["hits"]]
+    assert got[2]["prompt"].startswith("[1] ") and len(got[2]["hits"]) == 3
     assert got[2]["route"] == "value_for_money" and got[3]["route"] == "clarify" and got[5]["route"] == "generate"
 
 

@@ -1084,7 +1084,7 @@ def _by_key(table_: dict, key: str) -> str:
 
 _SCORED = rf"""{_LINKS}, ls AS (SELECT page_id AS source_id, url AS listing_url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
     {_pick(fv.GOVERNMENT_ARMS, "page_id")} AS government_arm, {_pick(fv.REPORT_TYPES, "page_id")} AS report_type FROM pages),
-  cand AS (SELECT ls.*, l.pos, l.title AS link_title, l.url AS link_url, lower(l.title || ' ' || l.url) AS body,
+  cand AS (SELECT ls.*, l.pos, l.is_pdf, l.title AS link_title, l.url AS link_url, lower(l.title || ' ' || l.url) AS body,
     regexp_replace(lower(l.title || ' ' || l.url), '[-/]', ' ', 'g') AS spaced FROM ls JOIN links l ON l.page_url = ls.listing_url),
   scored AS (SELECT *, (2 * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')),
       list_distinct(regexp_extract_all(body, '[a-z0-9]+')))) + 15 * ({_by_key(fv.ARM_KEYWORDS, 'government_arm')})
@@ -1113,11 +1113,12 @@ def _(spark, sf):
     return found.select("source_id", "link_url", "score", "rank")
 
 
-_CLASS = rf"""{_LINKS}, n AS (SELECT page_id, count(*) AS links, count(*) FILTER (WHERE is_pdf) AS pdf_links FROM lnk GROUP BY 1),
+_CLASS_ONLY = rf"""n AS (SELECT page_id, count(*) AS links, count(*) FILTER (WHERE is_pdf) AS pdf_links FROM lnk GROUP BY 1),
   cls AS (SELECT p.page_id, coalesce(links, 0) AS links, coalesce(pdf_links, 0) AS pdf_links,
     CASE WHEN contains(html, '<ds-app') OR contains(left(html, 500), '<title>DSpace</title>') THEN 'repository_shell'
       WHEN pdf_links > 0 THEN 'direct_pdf' WHEN regexp_matches(html, 'location\.href\s*=\s*''[^'']+''') THEN 'onclick_downloads'
       WHEN links > 0 THEN 'two_level' ELSE 'nothing' END AS page_class FROM pages p LEFT JOIN n ON n.page_id = p.page_id)"""
+_CLASS = f"{_LINKS}, {_CLASS_ONLY}"
 
 
 @query("page_classes", f"WITH {_CLASS} SELECT page_id, page_class, links, pdf_links FROM cls")
@@ -1125,7 +1126,18 @@ def _(spark, sf):
     return links.page_classes(table(spark, sf, "pages"))
 
 
-@query("listing_resolution")
+@query("listing_resolution", f"""WITH {_SCORED}, {_CLASS_ONLY},
+  kind AS (SELECT ls.source_id, page_class FROM ls LEFT JOIN pages p ON p.url = ls.listing_url LEFT JOIN cls ON cls.page_id = p.page_id),
+  dir AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, pos) AS rn FROM scored WHERE is_pdf) WHERE rn = 1),
+  pdf AS (SELECT page_url, arg_min(url, pos) AS pdf_url FROM links WHERE is_pdf GROUP BY 1),
+  item AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, pos) AS rn FROM scored WHERE NOT is_pdf) WHERE rn <= 5),
+  sec AS (SELECT source_id, arg_min(pdf_url, rn) AS pdf_url, arg_min(score, rn) AS score FROM item JOIN pdf ON pdf.page_url = item.link_url GROUP BY 1)
+  SELECT k.source_id, CASE page_class WHEN 'direct_pdf' THEN CASE WHEN dir.score > 0 THEN dir.link_url END WHEN 'two_level' THEN sec.pdf_url END AS link_url,
+    CASE page_class WHEN 'direct_pdf' THEN dir.score WHEN 'two_level' THEN sec.score END AS score,
+    CASE page_class WHEN 'direct_pdf' THEN CASE WHEN dir.score IS NULL THEN 'no_links' WHEN dir.score <= 0 THEN 'no_match' END
+      WHEN 'two_level' THEN CASE WHEN sec.pdf_url IS NULL THEN 'no_item_page_with_document' END
+      ELSE coalesce(page_class, 'listing_not_found') END AS error
+  FROM kind k LEFT JOIN dir ON dir.source_id = k.source_id LEFT JOIN sec ON sec.source_id = k.source_id""")
 def _(spark, sf):
     return links.resolve_listings(b.listing_sources(spark, sf), table(spark, sf, "pages"))
 

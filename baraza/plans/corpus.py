@@ -11,6 +11,10 @@ from baraza.operators.ordered import forward_fill, previous_row, running_sum
 from baraza.sources.documents import readable_pages, text_layer
 
 
+# Page rows carry whole texts, so the blocks of ordered steps over pages are kept smaller than the default.
+PAGE_BLOCK = 4096
+
+
 def with_section(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) -> DataFrame:
     """Add ``heading`` (own heading or null) and ``section`` (the latest heading so far) to readable pages.
 
@@ -18,7 +22,7 @@ def with_section(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) ->
     """
     found = heading if heading is not None else heading_county(F.col("text"), counties)
     marked = readable_pages(pages).withColumn("heading", found)
-    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")})
+    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")}, block=PAGE_BLOCK)
 
 
 def county_pages(pages: DataFrame, county: str, heading=None) -> DataFrame:
@@ -34,7 +38,7 @@ def county_pages(pages: DataFrame, county: str, heading=None) -> DataFrame:
 def section_changes(pages: DataFrame, heading=None) -> DataFrame:
     """``(source, page, section, previous_section)`` where a source's section changes."""
     filled = with_section(pages, heading=heading)
-    lagged = previous_row(filled, ["source"], "page", F.col("section"), "previous_section")
+    lagged = previous_row(filled, ["source"], "page", F.col("section"), "previous_section", block=PAGE_BLOCK)
     changed = ~F.col("section").eqNullSafe(F.col("previous_section"))
     return lagged.where(changed).select("source", "page", "section", "previous_section")
 
@@ -53,7 +57,8 @@ def chunk_pages_numbered(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap:
     The number of chunks before a page is a running sum of page counts, for which no chunk has to be cut; the
     page texts travel once and are cut behind the ordered step.
     """
-    counted = running_sum(pages, ["source"], "page", window_count(F.col("text"), size, overlap), "_before", inclusive=False)
+    counted = running_sum(pages, ["source"], "page", window_count(F.col("text"), size, overlap), "_before",
+                          inclusive=False, block=PAGE_BLOCK)
     cut = chunk_pages(counted, size, overlap)
     return cut.withColumn("chunk_index", F.col("_before") + F.col("chunk_no")).drop("_before")
 

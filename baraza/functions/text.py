@@ -226,8 +226,11 @@ _SECTION = r"(?U)(?=\b\d{2,3}\.(?:\d+\.?)?" + SPACE + "+[A-Z][a-z])"
 
 
 def sections(text: Column) -> Column:
-    """Cut in front of numbered section headings such as ``839.4. Stalled``."""
-    return F.split(text, _SECTION)
+    """Cut in front of numbered section headings such as ``839.4. Stalled``.
+
+    Texts without two digits and a dot cannot hold one and skip the costlier look-ahead.
+    """
+    return F.when(text.rlike(r"\p{Nd}{2}\."), F.split(text, _SECTION)).otherwise(F.array(text))
 
 
 def check_window(size: int, overlap: int) -> None:

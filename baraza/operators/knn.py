@@ -48,14 +48,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
             allowed = other if allowed is None else allowed & other
         best.offer(asked["matrix"] @ _matrix(part.column("vector")).T, ids, allowed)
 
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if size["n"] == 0:
+    count, first = queries.count(), queries.select(F.size("vector")).first()
+    if count == 0:
         found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    elif size["n"] * (size["d"] or 1) * 8 <= broadcast_bytes:
+    elif count * first[0] * 8 <= broadcast_bytes:
         table = queries.toArrow()  # counted: at most ``broadcast_bytes``
         context = vectors.sparkSession.sparkContext
         asked = prepare(table)
         found = scan(vectors, offer, context.broadcast(asked["ids"]), context.broadcast(asked), k, "similarity")
     else:
-        found = grid(queries, vectors, size["n"], prepare, offer, k, "similarity", grid_queries, grid_vectors)
+        found = grid(queries, vectors, count, prepare, offer, k, "similarity", grid_queries, grid_vectors)
     return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)

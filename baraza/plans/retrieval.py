@@ -28,21 +28,31 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
 
     ``queries``: ``query_id, text[, scope]``; ``chunks``: ``id, chunk_text, embedding[, government_arm]``.
     ``embed`` adds ``vector`` to a table with ``text``. Without ``variants`` and ``lexical`` this is plain vector search.
+    A column ``hit_limit`` (at most ``k``) searches single queries less deeply: a shorter list is a prefix of the longer.
     """
     scoped = ["scope"] if scope else []
     asked = variant_rows(queries) if variants else queries.select("query_id", *scoped, F.lit(0).alias("variant"), "text")
-    keyed = embed(asked).select((F.col("query_id") * _VARIANTS + F.col("variant")).alias("query_id"), "vector", *scoped)
+    # A text model is costly and the query vectors are read more than once: keep them.
+    shared_folder(queries.sparkSession)
+    keyed = embed(asked).select((F.col("query_id") * _VARIANTS + F.col("variant")).alias("query_id"), "vector", *scoped).checkpoint()
     vectors = chunks.select("id", F.col("embedding").alias("vector"),
                             *([F.col("government_arm").alias("scope")] if scope else []))
     near = nearest(keyed, vectors, min(k, fv.VARIANT_TOP_K_CAP), scope=scope)
-    near = near.withColumn("query_id", F.floor(F.col("query_id") / _VARIANTS))
-    lists = [best_per_variant(near, k)]
+    near = near.withColumn("query_id", F.expr(f"query_id div {_VARIANTS}"))
+
+    def limited(ranked: DataFrame) -> DataFrame:
+        if "hit_limit" not in queries.columns:
+            return ranked
+        limits = queries.select("query_id", "hit_limit")
+        return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("hit_limit")).drop("hit_limit")
+
+    lists = [limited(best_per_variant(near, k))]
     if lexical:
         terms = queries.select("query_id", *scoped, tx.lexical_terms(tx.lexicon_translation(F.col("text"))).alias("terms"))
         corpus = chunks.select("id", tx.lexical_terms(F.col("chunk_text")).alias("terms"),
                                *([F.col("government_arm").alias("scope")] if scope else []))
-        lists.append(lexical_top_k(terms, corpus, k, scope=scope))
-    return reciprocal_rank_fusion(lists, k)
+        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope)))
+    return limited(reciprocal_rank_fusion(lists, k))
 
 
 def with_chunk_details(hits: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -128,11 +138,9 @@ def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, em
     distinct = keyed.groupBy("_search", "_value").agg(F.min("query_id").alias("search_id"), F.min_by(
         "retrieval_query", "query_id").alias("text")).checkpoint()
 
-    def search(value: bool, count: int) -> DataFrame:
-        wanted = distinct.where(F.col("_value") == value).select(F.col("search_id").alias("query_id"), "text")
-        return hybrid_hits(wanted, chunks, embed, count)
-
-    hits = with_chunk_details(search(False, k).unionByName(search(True, VALUE_HITS)), chunks, sources)
+    searches = distinct.select(F.col("search_id").alias("query_id"), "text",
+                               F.when(F.col("_value"), min(VALUE_HITS, k)).otherwise(k).alias("hit_limit"))
+    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k), chunks, sources)
     grouped = hits_per_query(hits).withColumnRenamed("query_id", "search_id")
     found = distinct.drop("text").join(grouped, "search_id", "left")
     rows = keyed.join(found, ["_search", "_value"]).fillna(0, ["hit_count"])

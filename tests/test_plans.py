@@ -249,6 +249,19 @@ def test_plan_responses(spark):
     assert got[2]["route"] == "value_for_money" and got[3]["route"] == "clarify" and got[5]["route"] == "generate"
 
 
+def test_hit_limit_equals_a_shallower_search(spark):
+    from baraza.catalog import hash_embed
+
+    texts = [f"{a} {b} {c}" for a in ("road", "water", "school") for b in ("budget", "audit") for c in ("nakuru", "njoro", "meru")]
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    chunks = hash_embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
+    asked = spark.createDataFrame([(1, "road budget ya njoro"), (2, "maji audit meru")], "query_id long, text string")
+    shallow = retrieval.hybrid_hits(asked, chunks, hash_embed, 3)
+    limited = retrieval.hybrid_hits(asked.withColumn("hit_limit", F.lit(3)), chunks, hash_embed, 8)
+    columns = ["query_id", "id", "rank", "score"]
+    assert sorted(map(tuple, shallow.select(*columns).collect())) == sorted(map(tuple, limited.select(*columns).collect()))
+
+
 # ---- conversations ----------------------------------------------------------------------------
 def _talk(spark, rows):
     return spark.createDataFrame([(i, s, r, t) for i, (s, r, t) in enumerate(rows)], "id long, session_id long, role string, text string")

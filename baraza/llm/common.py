@@ -96,3 +96,12 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last[:-1] &= ~inside[1:] | edge[1:n]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def slices(offsets: np.ndarray, most: int = 1 << 20):
+    """Ranges of rows of at most ``most`` bytes, or of one longer row: bounds the memory of vectorised work."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        yield first, last
+        first = last

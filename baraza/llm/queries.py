@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from baraza.llm import recipes
+from baraza.llm import recipes, relative_lz
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,19 @@ def query(sql: str | None = None):
 """)
 def op2_exact_dedup(spark, sf):
     return recipes.exact_groups(read(spark, sf, "documents"))
+
+
+@query(r"""
+    WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda w: w <> '') AS words FROM documents),
+    windows AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 19], ' ')) AS held
+                FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM split WHERE len(words) >= 20)),
+    later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, (SELECT unnest(range(0, 20)) AS d)),
+    listed AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM split)),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM listed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id)
+""")
+def op4_substring_dedup(spark, sf):
+    return relative_lz.without_repeats(read(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.session import shared_folder
+from baraza.session import run_folder, shared_folder
 
 SALTS = 16
 
@@ -20,6 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the cluster's shared folder."""
+    folder = run_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def salted(df: DataFrame, key) -> DataFrame:
     """``df`` with a column ``salt`` that deals out the rows of one hot key by ``key``."""
     return df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from baraza.llm.common import Rolling, byte_hashes, cut, runs, slices, utf8
+from baraza.llm.common import Rolling, byte_hashes, cut, runs, slices, stored, utf8
 
 _NO_ID = -(1 << 63)
 _SPACE = np.zeros(256, bool)
@@ -144,15 +144,15 @@ def _windows(window: int):
     return windows
 
 
-def _earlier(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows merged by task: the runs of windows that stand earlier (with the first place), and the first places."""
+def _earlier(found: DataFrame) -> DataFrame:
+    """Of rows merged by task: each run of windows that stands earlier, with its first place, and (``nth`` 1) the first places."""
     same = Window.partitionBy("seed", "print").orderBy("doc", "start", "variant")
     ranked = (found.withColumn("ref_doc", F.first("doc").over(same)).withColumn("ref_start", F.first("start").over(same))
               .withColumn("nth", F.row_number().over(same)))
-    places = ranked.select("ref_doc", "ref_start", "n", F.explode(F.concat(
-        F.array(F.struct("doc", "variant", "start")), "others")).alias("p")).select("p.*", "n", "ref_doc", "ref_start")
-    later = places.where((F.col("doc") > F.col("ref_doc")) | ((F.col("doc") == F.col("ref_doc")) & (F.col("start") > F.col("ref_start"))))
-    return later, ranked.where("nth = 1")
+    own = F.array(F.struct("doc", "variant", "start", "nth"))
+    others = F.transform("others", lambda p: F.struct(p["doc"].alias("doc"), p["variant"].alias("variant"), p["start"].alias("start"), F.lit(0).alias("nth")))
+    return ranked.select("seed", "partly", "ref_doc", "ref_start", "n", F.explode(F.concat(own, others)).alias("p")).select(
+        "p.*", "seed", "partly", "n", "ref_doc", "ref_start")
 
 
 def repeated_runs(keyed: DataFrame, window: int = 20, seed: int = 5) -> DataFrame:
@@ -161,12 +161,14 @@ def repeated_runs(keyed: DataFrame, window: int = 20, seed: int = 5) -> DataFram
     weight = 1 + F.size("others") + F.col("own").cast("int")
     seeds = cut(blocks.groupBy("seed").agg(F.min("print").alias("lo"), F.max("print").alias("hi"), F.sum(weight).alias("weight"), F.max("own").alias("twice"))
                 .where("weight > 1").select("seed", (F.col("twice") | (F.col("lo") < F.col("hi"))).alias("partly")))
-    again = blocks.join(seeds, "seed").repartition("seed", "print")
-    whole, heads = _earlier(again)
-    asked = heads.where("partly").groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "n", "seed")).alias("asked"))
+    later = (F.col("doc") > F.col("ref_doc")) | ((F.col("doc") == F.col("ref_doc")) & (F.col("start") > F.col("ref_start")))
+    whole = stored(_earlier(blocks.drop("own").join(seeds, "seed").repartition("seed", "print"))
+                   .where(later | ((F.col("nth") == 1) & F.col("partly"))), "blocks")
+    asked = (whole.where((F.col("nth") == 1) & F.col("partly")).groupBy("doc", "variant")
+             .agg(F.collect_list(F.struct("start", "n", "seed")).alias("asked")))
     windows = keyed.join(asked, ["doc", "variant"]).select("doc", "variant", "text", "asked").mapInArrow(_windows(window), _FOUND)
-    part, _ = _earlier(windows)
-    return whole.unionByName(part)
+    part = _earlier(windows.withColumn("partly", F.lit(False)))
+    return whole.unionByName(part).where(later).select("doc", "variant", "start", "n", "ref_doc", "ref_start")
 
 
 def factors(docs: DataFrame, window: int = 20, seed: int = 5) -> DataFrame:

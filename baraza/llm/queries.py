@@ -1,11 +1,12 @@
 """One query for each operator over its whole table, and SQL where it can express the result."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import recipes, relative_lz
+from baraza.llm import recipes, relative_lz, unigram
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,21 @@ def op2_exact_dedup(spark, sf):
 """)
 def op4_substring_dedup(spark, sf):
     return relative_lz.without_repeats(read(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; ``BARAZA_TOKENIZERS`` names the folder."""
+    return os.path.join(os.environ.get("BARAZA_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+@query()
+def op9_sentencepiece(spark, sf):
+    """Ids of every text and whether they decode to it; not expressible in SQL, tested against a plain Viterbi."""
+    pieces = unigram.Pieces.load(tokenizer_file(PIECES))
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    back = unigram.decode(unigram.encode(docs, pieces), pieces)
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), unigram.count_fallback(pieces).cast("long").alias("n_bytes"),
+                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "token_ids")

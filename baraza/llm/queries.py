@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import recipes, relative_lz, unigram
+from baraza.llm import language, recipes, relative_lz, unigram
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op9_sentencepiece(spark, sf):
     back = unigram.decode(unigram.encode(docs, pieces), pieces)
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), unigram.count_fallback(pieces).cast("long").alias("n_bytes"),
                        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "token_ids")
+
+
+@query()
+def op8_language_id(spark, sf):
+    """Not expressible in SQL; tested for held-out accuracy and against forward-backward over all paths."""
+    return language.identify(read(spark, sf, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import language, recipes, relative_lz, unigram
+from baraza.llm import bagminhash, language, recipes, relative_lz, unigram
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,21 @@ def op9_sentencepiece(spark, sf):
 def op8_language_id(spark, sf):
     """Not expressible in SQL; tested for held-out accuracy and against forward-backward over all paths."""
     return language.identify(read(spark, sf, "documents"))
+
+
+@query(r"""
+    WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda w: w <> '') AS words FROM documents),
+    shingled AS (SELECT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 4], ' ') END AS shingle
+                 FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM split)),
+    bag AS (SELECT doc_id, shingle, count(*) AS n FROM shingled GROUP BY ALL),
+    total AS (SELECT doc_id, sum(n) AS n FROM bag GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS n FROM bag x JOIN bag y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared s JOIN total t ON t.doc_id = a JOIN total u ON u.doc_id = b WHERE s.n >= 0.8 * (t.n + u.n - s.n)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+    classes AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM classes
+""")
+def op7_minhash_near_dedup(spark, sf):
+    return bagminhash.near_classes(read(spark, sf, "documents"))

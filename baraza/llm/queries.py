@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import bagminhash, language, recipes, relative_lz, unigram
+from baraza.llm import bagminhash, density, language, recipes, relative_lz, unigram
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8_language_id(spark, sf):
 """)
 def op7_minhash_near_dedup(spark, sf):
     return bagminhash.near_classes(read(spark, sf, "documents"))
+
+
+@query()
+def op10_html_extraction(spark, sf):
+    """Not expressible in SQL; tested on pages with known articles."""
+    return density.extract(read(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import bagminhash, density, language, recipes, relative_lz, unigram
+from baraza.llm import bagminhash, containment, density, language, licences, recipes, relative_lz, unigram
 from baraza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,23 @@ def op7_minhash_near_dedup(spark, sf):
 def op10_html_extraction(spark, sf):
     """Not expressible in SQL; tested on pages with known articles."""
     return density.extract(read(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(r"""
+    WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+    split AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM texts),
+    shingled AS (SELECT DISTINCT kind, id, array_to_string(words[i:i + 4], ' ') AS shingle
+                 FROM (SELECT kind, id, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5)),
+    sizes AS (SELECT id, count(*) AS n FROM shingled WHERE kind = 'i' GROUP BY id),
+    shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM shingled d JOIN shingled i USING (shingle)
+               WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+    SELECT doc_id, item_id, n_shared, n AS n_item, n_shared / n AS containment FROM shared JOIN sizes ON id = item_id WHERE n_shared >= 0.8 * n
+""")
+def op5_decontamination(spark, sf):
+    return containment.contained(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query()
+def op1_license_scan(spark, sf):
+    """Weights are natural logarithms summed in template order; tested against a plain scan of every text."""
+    return licences.licences(read(spark, sf, "documents"))

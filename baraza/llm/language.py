@@ -30,7 +30,8 @@ _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
-_GROUP = 1_000_000  # words whose messages are held at once
+_AT_ONCE = 4 << 20  # bytes of text whose words are scored at once, which bounds a worker's memory
+_GROUP = 500_000  # words whose messages are held at once
 
 
 @dataclass
@@ -219,7 +220,9 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = letters_by_language(batch.column("text"), field)
+            _, offsets = utf8(batch.column("text"))
+            parts = [letters_by_language(batch.column("text").slice(a, b - a), field) for a, b in slices(offsets, _AT_ONCE)]
+            total = np.concatenate([np.zeros((0, len(names))), *parts])
             all_ = total.sum(1)
             best = total.argmax(1)
             some = all_ > 0

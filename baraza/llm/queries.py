@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import bagminhash, containment, density, language, licences, recipes, relative_lz, unigram
-from baraza.llm.common import read
+from baraza.llm import bagminhash, containment, density, language, licences, private, recipes, relative_lz, rollup, unigram
+from baraza.llm.common import read, stored
+from baraza.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +114,34 @@ def op5_decontamination(spark, sf):
 def op1_license_scan(spark, sf):
     """Weights are natural logarithms summed in template order; tested against a plain scan of every text."""
     return licences.licences(read(spark, sf, "documents"))
+
+
+@query()
+def op3_personal_data(spark, sf):
+    """Reliabilities come from iterated estimates; tested against plain patterns and planted secrets."""
+    return private.spans(read(spark, sf, "documents"))
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+#: The pattern that belongs to the rank file, as its description gives it.
+RANKS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query()
+def op6_token_counts(spark, sf):
+    """All documents inserted, toxic ones deleted, accepted ones revised by an end mark; the deletes are delivered twice.
+
+    Not expressible in SQL; tested against the tokenizer on single texts.
+    """
+    with open(tokenizer_file(RANKS), "rb") as ranks:
+        counts = stored(rollup.counted(read(spark, sf, "documents"), "byte_bpe_50k", RANKS_PATTERN, ranks.read()), "counts")
+    labels = read(spark, sf, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    accepted = labels.where("quality = 1").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    totals = rollup.Rollup(spark, run_folder(spark, "totals"))
+    totals.commit("load", rollup.inserts(counts))
+    gone = rollup.deletes(counts.join(toxic, "doc_id", "left_semi"))
+    totals.commit("moderation", gone)
+    totals.commit("end marks", rollup.revisions(counts.join(accepted, "doc_id", "left_semi"), F.col("n_tokens") + 1))
+    totals.commit("moderation", gone)
+    return totals.totals()

@@ -122,6 +122,10 @@ def exact_groups(docs: DataFrame, **sizes: int) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame, **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, **sizes).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat an id and its text become one."""
+    groups = cut(exact_groups(docs, **sizes))
+    gone = groups.where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    d, g = docs.alias("d"), gone.alias("g")
+    kept = d.join(g, (F.sha2(F.coalesce("d.text", F.lit("")), 256) == F.col("g.text_sha256")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    again = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

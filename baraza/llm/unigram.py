@@ -249,7 +249,7 @@ def _with(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema if f.name.lower() not in columns] + [T.StructField(k, v) for k, v in columns.items()])
 
 
-def encode(docs: DataFrame, pieces: Pieces, column: str = "text", most: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, column: str = "text", most: int = 1 << 21) -> DataFrame:
     """``docs`` with ``token_ids array<int>``. ``most``: bytes that are solved side by side."""
     base = docs.drop("token_ids")
     schema = _with(base.schema, token_ids=T.ArrayType(T.IntegerType()))

@@ -43,7 +43,7 @@ _ENDS_P = _BLOCK - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr",
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
            "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
-_CONTAINERS = frozenset("div section table ul ol dl center td aside".split())
+_CONTAINERS = frozenset("div section center td aside".split())
 
 
 class _Page:
@@ -149,8 +149,8 @@ def _set_aside(page: _Page) -> list[bool]:
     return aside
 
 
-def _densities(page: _Page, aside: list[bool], lengths: list[int], body: int) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum of its children's; a node's own text counts as a child."""
+def _densities(page: _Page, aside: list[bool], lengths: list[int], body: int) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density of every node, the sum of its children's, and whether it is mostly links; own text counts as a child."""
     many = len(page.tag)
     chars, links, tags, link_tags, inside = lengths[:], [0] * many, [0] * many, [0] * many, [False] * many
     for i in range(1, many):
@@ -175,7 +175,7 @@ def _densities(page: _Page, aside: list[bool], lengths: list[int], body: int) ->
         base = math.log(c / plain * links[i] + share * c + math.e)
         density[i] = c / t * math.log(max(c / linked * t / linked_tags, 1)) / base if links[i] else c / t * math.log(max(c * t, 1) + 1) / base
         total[page.parent[i]] += density[i]
-    return density, total
+    return density, total, [2 * x > c for x, c in zip(links, chars)]
 
 
 def main_text(source: str) -> str:
@@ -187,12 +187,13 @@ def main_text(source: str) -> str:
         if text and not aside[node]:
             lengths[node] += len(" ".join(text.split()))
     body = next((i for i, tag in enumerate(page.tag) if tag == "body"), 0)
-    density, total = _densities(page, aside, lengths, body)
+    density, total, linked = _densities(page, aside, lengths, body)
     inner = [i for i in range(body + 1, page.last[body] + 1 if body else len(page.tag)) if not aside[i] and page.tag[i] in _BLOCK]
     best = max(inner, key=lambda i: total[i], default=body)
-    if lengths[body] and total[body] >= total[best]:
-        best = body
-    best = _grown(page, aside, density, total, best, body)
+    homes = [i for i in inner if page.tag[i] in _HOMES and density[i] > 0]
+    if total[body] >= total[best]:
+        best = homes[0] if len(homes) == 1 and not lengths[body] else body
+    best = _grown(page, aside, density, linked, best, body)
     last = page.last[best] if best else len(page.tag) - 1
     blocks, now = [], []
     for node, text in page.stream:
@@ -208,7 +209,7 @@ def main_text(source: str) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
-def _grown(page: _Page, aside: list[bool], density: list[float], total: list[float], best: int, body: int) -> int:
+def _grown(page: _Page, aside: list[bool], density: list[float], linked: list[bool], best: int, body: int) -> int:
     node = best
     while node > body:
         if page.tag[node] in _HOMES:
@@ -223,7 +224,7 @@ def _grown(page: _Page, aside: list[bool], density: list[float], total: list[flo
         up = page.parent[node]
         if up < body or up == 0 and body:
             break
-        plain = all(page.tag[i] not in _CONTAINERS for i in siblings.get(up, []) if i != node)
+        plain = all(page.tag[i] not in _CONTAINERS and not linked[i] for i in siblings.get(up, []) if i != node)
         if not (plain or up != body and density[up] > density[body]):
             break
         node = up

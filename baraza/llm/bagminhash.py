@@ -6,8 +6,9 @@ points fall on random registers, and a point counts where its level is within th
 earliest point, so two signatures agree in a register with the probability of the weighted Jaccard similarity. A process
 is followed only while it can still lower a register of its document.
 
-Texts that are equal are compared once. Each band links its documents to the band's first and last document, which
-are counted before the shuffle; links are verified on whole multisets, and classes grow from them. Bands that then still
+Texts that are equal are compared once. Each band links its documents to the band's first and last document, which are
+found before the shuffle, unless their sketches - a bit of each register - differ in more bits than any pair of the
+threshold's similarity would; links are verified on whole multisets, and classes grow from them. Bands that then still
 hold several classes are linked again, to the first document outside the first one's class, until that finds nothing
 new. No group's pairs are written, nothing is capped.
 
@@ -96,20 +97,35 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((mix(bits) * odd).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """One bit of each register, packed into whole numbers: unlike registers differ in it half of the time."""
+    bits = (mix(signature.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    padded = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(padded, axis=1).view(np.int64)
+
+
+def _apart(m: int, threshold: float) -> int:
+    """Bits in which two sketches of ``m`` registers differ at the threshold, and five standard deviations more."""
+    p = (1 - threshold) / 2
+    return int(m * p + 5 * (m * p * (1 - p)) ** 0.5) + 1
+
+
 def signed(texts: DataFrame, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc, text_sha256, keys array<long>`` of ``doc, text``; a text without shingles has no keys."""
+    """``doc, text_sha256, keys array<long>, sketch array<long>`` of ``doc, text``; a text without shingles has no keys."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, counts, packed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, row, shingle, weight in bags(batch.column("text"), words):
                 some = np.bincount(row, minlength=b - a) > 0
-                made = band_keys(signatures(b - a, row, shingle, weight, bands * rows), bands, rows)
-                keys.append(made[some].ravel())
+                signature = signatures(b - a, row, shingle, weight, bands * rows)
+                keys.append(band_keys(signature, bands, rows)[some].ravel())
+                packed.append(sketches(signature).ravel())
                 counts.append(np.where(some, bands, 0))
             at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_sha256"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))],
-                                             names=["doc", "text_sha256", "keys"])
-    return texts.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(sign, "doc long, text_sha256 string, keys array<long>")
+            each = pa.array(np.arange(0, len(batch) + 1) * -(-bands * rows // 64), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_sha256"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys))),
+                                              pa.ListArray.from_arrays(each, pa.array(np.concatenate(packed)))], names=["doc", "text_sha256", "keys", "sketch"])
+    return texts.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(sign, "doc long, text_sha256 string, keys array<long>, sketch array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, words: int = 5) -> np.ndarray:
@@ -129,62 +145,70 @@ def similarity(left: pa.Array, right: pa.Array, words: int = 5) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = 5) -> DataFrame:
-    """The pairs ``a, b`` of at least ``threshold``, with their ``similarity``, computed on whole texts."""
+    """The pairs ``a, b`` of at least ``threshold``, with their ``similarity``, computed on whole texts; ``pairs`` is a stored table."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = similarity(batch.column("text_a"), batch.column("text_b"), words)
             good = pa.array(np.flatnonzero(found >= threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good), pa.array(found).take(good)], names=["a", "b", "similarity"])
 
-    both = (pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
+    asked = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "asked")
+    own = texts.join(asked, "doc", "left_semi")
+    both = (pairs.join(own.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(own.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b"))
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, similarity double")
 
 
-def _links(keyed: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs of each band's documents and its hubs; ``hubs``: key, ends array<long>, stored so that a join can split a hot band."""
-    to = F.explode(F.array_distinct("ends"))
-    return (keyed.join(hubs, "key").select("doc", to.alias("hub")).where("doc <> hub")
-            .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct())
+def _links(shared: DataFrame, hubs: DataFrame, apart: int) -> DataFrame:
+    """Pairs of each band's documents and its hubs whose sketches are close enough.
+
+    ``hubs``: key, hub, hub_sketch. Both sides are stored tables, so a join can split a hot band.
+    """
+    pieces = [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("hub_sketch", F.lit(k)))) for k in range(-(-BANDS * ROWS // 64))]
+    differ = sum((F.coalesce(p, F.lit(0)) for p in pieces), F.lit(0))
+    near = (F.col("s.key") == F.col("h.key")) & (F.col("doc") != F.col("hub")) & (differ <= apart)
+    return shared.alias("s").join(hubs.alias("h"), near).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+
+
+def _ends(rows: DataFrame, label) -> DataFrame:
+    """The first and last document of each band, by ``label``, with their sketches, where the labels differ."""
+    entry = F.struct(label.alias("label"), "doc", "sketch")
+    ends = rows.groupBy("key").agg(F.min(entry).alias("lo"), F.max(entry).alias("hi")).where("lo.label < hi.label")
+    return ends.select("key", F.explode(F.array("lo", "hi")).alias("e")).select("key", F.col("e.doc").alias("hub"), F.col("e.sketch").alias("hub_sketch"))
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """``doc_id, class_id, class_size, kept``: the class of near-duplicates of every document, named by its smallest id, which stays.
 
-    With the defaults a pair of similarity 0.8 shares a band with probability 1 - 3e-6.
+    A pair of similarity 0.8 shares a band with probability 1 - 3e-6, and its sketches pass with 1 - 3e-7.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     named = texts.where("doc IS NOT NULL")
-    marked = stored(signed(named, words, bands, rows), "signatures")
-    copies = marked.groupBy("text_sha256").agg(F.min("doc").alias("first"))
-    firsts = copies.select(F.col("first").alias("doc"), "text_sha256")
-    single = stored(marked.join(firsts, ["doc", "text_sha256"], "left_semi").dropDuplicates(["doc", "text_sha256"])
-                    .select("doc", F.explode("keys").alias("key")), "bands")
-    hubs = stored(single.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi"), "hubs")
-    shared = stored(single.join(hubs.select("key"), "key"), "shared")
-    pairs = stored(_links(shared, hubs.select("key", F.array("lo", "hi").alias("ends"))), "pairs")
-    links = stored(verified(pairs, named.dropDuplicates(["doc", "text"]), threshold, words), "links")
-    tried = None
+    apart = _apart(BANDS * ROWS, threshold)
+    marked = stored(signed(named, words), "signatures")
+    # one document for each text; the id decides the minimum
+    firsts = marked.groupBy("text_sha256").agg(F.min(F.struct("doc", "keys", "sketch")).alias("f")).select("f.*")
+    bands = stored(firsts.select("doc", F.explode("keys").alias("key")), "bands")
+    alive = stored(bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"), "alive")
+    sketched = marked.select("doc", "sketch").dropDuplicates(["doc"])
+    shared = stored(bands.join(alive, "key").join(sketched, "doc"), "shared")
+    pairs = stored(_links(shared, stored(_ends(shared, F.col("doc")), "hubs"), apart), "pairs")
+    links, known = stored(verified(pairs, named, threshold, words), "links"), pairs
     while True:
         labels = components(links)
-        classed = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("class_id", "doc").alias("class_id"))
-        first = F.min(F.struct("class_id", "doc"))
-        last = F.max(F.struct("class_id", "doc"))
-        split = classed.groupBy("key").agg(first.alias("lo"), last.alias("hi")).where("lo.class_id < hi.class_id")
-        ends = stored(split.select("key", F.array("lo.doc", "hi.doc").alias("ends")), "hubs")
-        more = _links(classed.select("key", "doc"), ends)
-        known = pairs if tried is None else tried
-        fresh = stored(more.join(known, ["a", "b"], "left_anti"), "pairs")
+        classed = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("class_id", "doc"))
+        hubs = stored(_ends(classed, F.col("label")), "hubs")
+        fresh = stored(_links(shared, hubs, apart).join(known, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
-        found = stored(verified(fresh, named.dropDuplicates(["doc", "text"]), threshold, words), "links")
-        tried = stored(known.union(fresh), "tried")
+        found = stored(verified(fresh, named, threshold, words), "links")
+        known = stored(known.union(fresh), "known")
         if found.isEmpty():
             break
         links = links.union(found)
-    by_copy = marked.select("doc", "text_sha256").join(copies, "text_sha256").select("doc", "first").groupBy("doc").agg(F.min("first").alias("first"))
-    of = by_copy.join(labels.withColumnRenamed("id", "first"), "first", "left").select("doc", F.coalesce("class_id", "first").alias("class_id"))
-    of = stored(of, "classes")
+    copies = marked.groupBy("text_sha256").agg(F.min("doc").alias("first"))
+    by_copy = marked.select("doc", "text_sha256").join(copies, "text_sha256").groupBy("doc").agg(F.min("first").alias("first"))
+    of = stored(by_copy.join(labels.withColumnRenamed("id", "first"), "first", "left").select("doc", F.coalesce("class_id", "first").alias("class_id")), "classes")
     sizes = stored(of.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     joined = texts.select("doc").join(of.join(sizes, "class_id"), "doc", "left")
     return joined.select(F.col("doc").alias("doc_id"), "class_id", "class_size", F.col("doc").eqNullSafe(F.coalesce("class_id", "doc")).alias("kept"))

@@ -95,18 +95,21 @@ def _array(values, kind: str) -> Column:
     return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
 
 
-def _matches(words: Column, templates: list[Template], weights: dict[str, float], rare: int, least: float) -> Column:
-    """``label, share`` of the templates that stand in the file."""
+def _index(templates: list[Template], weights: dict[str, float], rare: int) -> list[tuple[str, int, int]]:
+    """``word, template, place`` of each template's rarest words."""
     index = []
     for number, t in enumerate(templates):
         chosen = sorted(set(t.words), key=lambda w: (-weights[w], w))[:rare]
         index += [(w, number, at) for at, w in enumerate(t.words) if w in chosen]
-    rare_words = sorted({w for w, _, _ in index})
+    return index
+
+
+def _matches(words: Column, found: Column, index: list[tuple[str, int, int]], templates: list[Template], weights: dict[str, float], least: float) -> Column:
+    """``label, share`` of the templates that stand in the file; ``found``: the index words that it holds."""
     postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(q).alias("q")) for w, k, q in index])
     held = F.array(*[F.struct(F.lit(t.label).alias("label"), _array(t.words, "string").alias("words"), _array([weights[w] for w in t.words], "double").alias("weights"),
                               F.lit(sum(weights[w] for w in t.words)).alias("whole"), F.lit(t.key_at).alias("key_at"), _array(t.key.split(), "string").alias("key"))
                      for t in templates])
-    found = F.array_intersect(words, _array(rare_words, "string"))
     at = F.filter(places(F.size(words)), lambda i: F.array_contains(found, F.get(words, i)))
     begins = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(
         F.filter(postings, lambda e: e["w"] == F.get(words, i)), lambda e: F.struct(e["k"].alias("k"), (i - e["q"]).alias("at"))))))
@@ -126,9 +129,12 @@ def _matches(words: Column, templates: list[Template], weights: dict[str, float]
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, rare: int = 3, least: float = 0.5) -> DataFrame:
     """``doc_id, n_words, base, matches``: places of base phrases and templates that stand in each file."""
     weights = inverse_frequencies(docs, templates)
+    index = _index(templates, weights, rare)
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    return words.select("doc_id", F.size("words").cast("long").alias("n_words"), _base_places(F.col("words")).alias("base"),
-                        _matches(F.col("words"), templates, weights, rare, least).alias("matches"))
+    # a column of its own: inside a function over words it would be found again for each word
+    found = words.withColumn("found", F.array_intersect("words", _array(sorted({w for w, _, _ in index}), "string")))
+    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), _base_places(F.col("words")).alias("base"),
+                        _matches(F.col("words"), F.col("found"), index, templates, weights, least).alias("matches"))
 
 
 def licences(docs: DataFrame, **options) -> DataFrame:

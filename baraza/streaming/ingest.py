@@ -1,27 +1,28 @@
-"""Continuous ingestion of arriving documents."""
+"""Continuous ingestion of arriving pages."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.plans.corpus import build_chunks
-from baraza.sources.documents import replace_chunks
-from baraza.streaming.running import run_batches
+from baraza.streaming.keyed import run_keyed
 
 
-def ingest_arrivals(pages: DataFrame, sources: DataFrame, county: str, chunk_path: str, outcome_path: str, checkpoint: str, *,
+def ingest_arrivals(pages: DataFrame, sources: DataFrame, county: str, folder: str, checkpoint: str, *,
                     embed: Callable[[DataFrame], DataFrame] | None = None, size: int = fv.CHUNK_WORDS,
-                    overlap: int = fv.CHUNK_OVERLAP, first_pages: int = fv.TEXT_LAYER_PAGES) -> None:
-    """Chunk every arriving document (whole documents per micro-batch) and replace its chunks in the sink.
+                    overlap: int = fv.CHUNK_OVERLAP, first_pages: int = fv.TEXT_LAYER_PAGES) -> DataFrame:
+    """The chunk table of everything that has arrived: ``pages`` has ``source, page, text``.
 
-    Replacing by source makes a repeated micro-batch harmless.
+    A page may come in any micro-batch; one that comes again replaces its earlier text. A source that touches a batch is
+    chunked anew from all its pages, and ends with no chunk if they yield none. Pages of unknown sources wait for nothing
+    and give nothing.
     """
+    known = sources.select(F.col("title").alias("source"), F.col("id").alias("source_id")).dropDuplicates(["source"])
 
-    def handle(batch: DataFrame, number: int) -> None:
-        chunks, outcomes = build_chunks(batch, sources, county, embed=embed, size=size, overlap=overlap,
-                                        first_pages=first_pages)
-        replace_chunks(chunks, chunk_path)
-        outcomes.write.mode("overwrite").parquet(f"{outcome_path}/batch={number}")
+    def decide(rows: DataFrame) -> DataFrame:
+        return build_chunks(rows.select("source", "page", "text"), sources, county, embed=embed, size=size, overlap=overlap,
+                            first_pages=first_pages)[0]
 
-    run_batches(pages, checkpoint, handle)
+    return run_keyed(pages.join(known, "source"), ["source_id"], decide, folder, checkpoint, identity=["source", "page"])

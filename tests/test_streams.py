@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from baraza.operators import guards
 from baraza.plans import conversations, replay
-from baraza.streaming import ingest, running, stateful, windows
+from baraza.streaming import ingest, keyed, running, stateful, windows
 from baraza.streaming.replay import stream_replay
 
 EVENT = T.StructType([T.StructField("user", T.LongType()), T.StructField("id", T.LongType()), T.StructField("t", T.LongType())])
@@ -128,13 +128,38 @@ def test_replay(log):
     assert rows(counts, "message_id", "reporters") == rows(want, "message_id", "reporters")
 
 
-def test_ingest_replaces_documents(spark, tmp_path):
-    pages = T.StructType([T.StructField("source", T.StringType()), T.StructField("page", T.LongType()), T.StructField("text", T.StringType())])
-    frame = pd.DataFrame({"source": ["a", "b", "a"], "page": [1, 1, 1], "text": ["old words " * 20, "other words " * 20, "new " * 12]})
+PAGES = T.StructType([T.StructField("source", T.StringType()), T.StructField("page", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def known_sources(spark):
+    return spark.createDataFrame([(1, "a", "executive", "nakuru"), (2, "b", "assembly", "nakuru"), (3, "c", "assembly", "nakuru")],
+                                 "id long, title string, government_arm string, county string")
+
+
+def test_ingest_takes_pages_in_any_batch(spark, tmp_path):
+    """Pages of one source over several micro-batches; a page that comes again replaces its text; a source that ends unreadable ends empty."""
+    frame = pd.DataFrame({"source": ["a", "b", "c", "a", "a", "c"], "page": [1, 1, 1, 2, 1, 1],
+                          "text": ["old words " * 20, "other words " * 20, "c words " * 10, "second page " * 15, "new " * 12, "short"]})
+    folder = write_parts(tmp_path / "in", frame, 6)
+    got = ingest.ingest_arrivals(running.read_stream(spark, folder, PAGES, 1), known_sources(spark), "nakuru", str(tmp_path / "table"), str(tmp_path / "cp"),
+                                 size=10, overlap=0)
+    assert {r["source_id"]: r["count"] for r in got.groupBy("source_id").count().collect()} == {1: 2 + 3, 2: 4}
+    assert sorted(r.chunk_index for r in got.where("source_id = 1").collect()) == list(range(5))
+
+
+def test_decisions_by_key_need_no_order(events, spark, tmp_path):
+    table, _ = events
+    plain = table.select("user", "id", (F.unix_timestamp("ts") - START).alias("t")).toPandas()
+    folder = write_parts(tmp_path / "in", plain.sample(frac=1, random_state=3), 4)
+    stream = timed(running.read_stream(spark, folder, EVENT, 1)).drop("t")
+    batch = guards.rate_limit(table, ["user"], "ts", "id", limit=2, window_seconds=120)
+    got = keyed.decided(stream, ["user"], lambda rows: guards.rate_limit(rows, ["user"], "ts", "id", limit=2, window_seconds=120), "any-order", buckets=4)
+    assert rows(got, "id", "allowed", "retry_after") == rows(batch, "id", "allowed", "retry_after")
+
+
+def test_a_run_that_would_lose_rows_fails(spark, tmp_path):
+    frame = pd.DataFrame({"user": [1, 1, 1], "id": [1, 2, 3], "t": [90_000, 100_000, 10]})
     folder = write_parts(tmp_path / "in", frame, 3)
-    known = spark.createDataFrame([(1, "a", "executive", "nakuru"), (2, "b", "assembly", "nakuru")], "id long, title string, government_arm string, county string")
-    ingest.ingest_arrivals(running.read_stream(spark, folder, pages, 1), known, "nakuru", str(tmp_path / "chunks"), str(tmp_path / "out"), str(tmp_path / "cp"),
-                           size=10, overlap=0)
-    got = spark.read.parquet(str(tmp_path / "chunks"))
-    assert {r["source_id"]: r["count"] for r in got.groupBy("source_id").count().collect()} == {1: 2, 2: 4}
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    stream = timed(running.read_stream(spark, folder, EVENT, 1)).drop("t")
+    with pytest.raises(RuntimeError, match="behind the watermark"):
+        running.run_to_table(stateful.stream_rate_limit(stream, ["user"], "ts", "id", limit=2, window_seconds=120), "late")

@@ -13,11 +13,11 @@ from baraza.functions import text as tx
 from baraza.functions.vectors import hashed_word_vectors
 from baraza.operators import fusion, geometry, grouped, guards, knn, lexical
 from baraza.operators.ordered import previous_row
-from baraza.operators.topk import page_of, top_k
+from baraza.operators.topk import page_of, page_total, top_k
 from baraza.plans import answers, conversations, corpus, links, maintenance, moderation, quality, replay, retrieval, stats
 from baraza.session import run_folder
 from baraza.sources import documents
-from baraza.streaming import ingest, running, stateful, windows
+from baraza.streaming import ingest, keyed, running, stateful, windows
 from baraza.streaming.replay import stream_replay
 
 QUERIES: dict = {}
@@ -416,6 +416,23 @@ def _(spark, sf):
     return lexical.lexical_top_k(asked, docs, 8, stems=stem_dictionary(terms))
 
 
+@query("lexical_topk_stem_table", f"""WITH qterm AS (SELECT DISTINCT item_id AS query_id, left(unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
+    lambda x: x NOT IN ({_STOP}))), 5) AS term FROM benchmark),
+  qsize AS (SELECT query_id, count(*) AS n FROM qterm GROUP BY 1),
+  post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, left(term, 5) AS term FROM (SELECT doc_id AS id,
+    unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) WHERE term NOT IN ({_STOP}))
+    WHERE term IN (SELECT term FROM qterm) GROUP BY 1, 2),
+  lex AS (SELECT query_id, id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j)))) * 6 / (pi() * pi())
+    / any_value(n), 4) AS lexical_rank FROM post JOIN qterm USING (term) JOIN qsize USING (query_id) GROUP BY 1, 2)
+  SELECT query_id, id, lexical_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, id) AS rank FROM lex)
+  WHERE rank <= 8""")
+def _(spark, sf):
+    """A supplied stem table: a word's stem is its first five letters."""
+    asked, docs = _lexical_inputs(spark, sf)
+    terms = docs.select(F.explode("terms").alias("term")).unionByName(asked.select(F.explode("terms").alias("term"))).distinct()
+    return lexical.lexical_top_k(asked, docs, 8, stems=terms.withColumn("stem", F.left("term", F.lit(5))))
+
+
 def _fused(spark, sf):
     asked, docs = _lexical_inputs(spark, sf)
     ask, own = _vectors(spark, sf)
@@ -576,6 +593,35 @@ def _(spark, sf):
     return conversations.session_page(_sessions(spark, sf), b.messages(spark, sf), 20, 5).select(*_browse_row())
 
 
+@query("session_page_total", f"{_BROWSE} SELECT count(*) AS total FROM brow")
+def _(spark, sf):
+    return page_total(conversations.session_browser(_sessions(spark, sf), b.messages(spark, sf)))
+
+
+@query("session_page_active", f"""{_BROWSE} SELECT id, user_id, is_active, message_count, first_message_at, last_message_at, created_at
+  FROM brow WHERE is_active ORDER BY l DESC NULLS LAST, id LIMIT 20""")
+def _(spark, sf):
+    return conversations.session_page(_sessions(spark, sf), b.messages(spark, sf), 20, 0, is_active=True).select(*_browse_row())
+
+
+@query("message_page_session", f"""WITH {MSG} SELECT id, session_id, role, text, citation, {_iso('created_at')} AS created_at FROM msg
+  WHERE session_id = 3 ORDER BY msg.created_at, id LIMIT 20""")
+def _(spark, sf):
+    page = conversations.message_page(b.messages(spark, sf), 20, 0, session_id=3)
+    return page.withColumn("created_at", serialise.iso(F.col("created_at")))
+
+
+@query("message_page_total", f"WITH {MSG} SELECT session_id, count(*) AS total FROM msg GROUP BY 1")
+def _(spark, sf):
+    """The total of every session's listing."""
+    return b.messages(spark, sf).groupBy("session_id").agg(F.count("*").alias("total"))
+
+
+@query("dispute_page_total", f"WITH {DISP}, {FLAGGED} SELECT count(DISTINCT message_id) AS total FROM flagged")
+def _(spark, sf):
+    return page_total(moderation.dispute_queue(guards.backfill_counts(b.disputes(spark, sf), 15)))
+
+
 @query("message_page", f"""WITH {MSG} SELECT id, session_id, role, text, citation, {_iso('created_at')} AS created_at FROM msg
   ORDER BY msg.created_at, id LIMIT 20 OFFSET 40""")
 def _(spark, sf):
@@ -726,9 +772,13 @@ def _(spark, sf):
     return guards.distinct_reporters(b.disputes(spark, sf))
 
 
-@query("distinct_reporters_approx")
+@query("distinct_reporters_approx", f"WITH {DISP} SELECT message_id, TRUE AS close FROM disp GROUP BY 1")
 def _(spark, sf):
-    return guards.distinct_reporters(b.disputes(spark, sf), approximate=True)
+    """The sketch against the exact count: within three of its standard errors of 5 %."""
+    reports = b.disputes(spark, sf)
+    guess = guards.distinct_reporters(reports, approximate=True).withColumnRenamed("reporters", "guess")
+    near = F.abs(F.col("guess") - F.col("reporters")) <= 0.15 * F.col("reporters") + 0.5
+    return guards.distinct_reporters(reports).join(guess, "message_id").select("message_id", near.alias("close"))
 
 
 def _flagged(spark, sf):
@@ -1292,15 +1342,32 @@ def _event_stream(spark, sf):
     return running.read_stream(spark, sf, schemas.EVENTS, pattern="events.parquet")
 
 
+def _in_files(spark, sf, name, schema, *by):
+    """The given table as a stream of six files, dealt by hash: every micro-batch holds rows of all times and sources."""
+    path = run_folder(spark, f"{name}-files")
+    spark.read.parquet(f"{sf}/{name}.parquet").repartition(6, *by).write.parquet(path)
+    return running.read_stream(spark, path, schema, 1)
+
+
 def _message_stream(spark, sf):
     return b.messages(spark, sf, running.read_stream(spark, sf, schemas.CONVERSATIONS, pattern="conversations.parquet"))
 
 
 @query("stream_rate_limit", SQL["rate_limit_decisions"])
 def _(spark, sf):
-    events = _event_stream(spark, sf).select("user_id", "event_id", "ts")
-    limited = stateful.stream_rate_limit(events, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS)
-    return running.run_to_table(limited, "stream-rate-limit").drop("ts")
+    events = _in_files(spark, sf, "events", schemas.EVENTS, "event_id").select("user_id", "event_id", "ts")
+    return keyed.decided(events, ["user_id"], lambda rows: guards.rate_limit(
+        rows, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS), "stream-rate-limit").drop("ts")
+
+
+@query("stream_block_notices", SQL["block_notices"])
+def _(spark, sf):
+    def notices(rows):
+        judged = guards.rate_limit(rows, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS)
+        return guards.block_notices(judged, ["user_id"], "ts", "event_id", window_seconds=_SIX_HOURS)
+
+    events = _in_files(spark, sf, "events", schemas.EVENTS, "event_id").select("user_id", "event_id", "ts")
+    return keyed.decided(events, ["user_id"], notices, "stream-block-notices").drop("ts", "wait_seconds")
 
 
 @query("stream_report_guard", f"{_GUARD} SELECT id, message_id, reported_by_user_id, reason AS verdict, retry_after FROM verd")
@@ -1337,14 +1404,16 @@ def _(spark, sf):
 
 @query("stream_unique_reports", f"WITH {DISP} SELECT DISTINCT message_id, reported_by_user_id FROM disp")
 def _(spark, sf):
-    reports = b.disputes(spark, sf, _event_stream(spark, sf)).select("message_id", "reported_by_user_id", "created_at")
-    return running.run_to_table(windows.stream_unique_reports(reports), "stream-unique").select("message_id", "reported_by_user_id")
+    reports = b.disputes(spark, sf, _in_files(spark, sf, "events", schemas.EVENTS, "event_id"))
+    reports = reports.select("id", "message_id", "reported_by_user_id", "created_at")
+    return keyed.decided(reports, ["message_id"], keyed.unique_reports, "stream-unique").select("message_id", "reported_by_user_id")
 
 
-@query("stream_reporter_counts", f"WITH {DISP} SELECT message_id, count(*) AS reporters, count(*) >= 15 AS flagged FROM disp GROUP BY 1")
+@query("stream_reporter_counts", f"""WITH {DISP} SELECT message_id, count(DISTINCT reported_by_user_id) AS reporters,
+  count(DISTINCT reported_by_user_id) >= 15 AS flagged FROM disp GROUP BY 1""")
 def _(spark, sf):
-    reports = b.disputes(spark, sf, _event_stream(spark, sf))
-    return running.run_latest(windows.stream_reporter_counts(reports, 15), "stream-counts")
+    reports = b.disputes(spark, sf, _in_files(spark, sf, "events", schemas.EVENTS, "event_id")).select("message_id", "reported_by_user_id")
+    return keyed.decided(reports, ["message_id"], lambda rows: keyed.reporter_counts(rows, 15), "stream-counts")
 
 
 @query("stream_ingest", f"""WITH {SRC}, {CHUNK}, hl AS (SELECT source FROM documents GROUP BY source
@@ -1352,12 +1421,12 @@ def _(spark, sf):
   SELECT src.id AS source_id, count(*) AS chunks, sum(length(text))::BIGINT AS n_chars FROM chunk JOIN src ON src.title = chunk.source
   WHERE source IN (SELECT source FROM hl) AND page IN (SELECT doc_id FROM ok) GROUP BY 1""")
 def _(spark, sf):
-    docs = running.read_stream(spark, sf, schemas.DOCUMENTS, pattern="documents.parquet")
+    docs = _in_files(spark, sf, "documents", schemas.DOCUMENTS, "doc_id")
     arriving = docs.select("source", F.col("doc_id").alias("page"), "text")
     folder = run_folder(spark, "stream-ingest")
-    ingest.ingest_arrivals(arriving, b.sources(spark, sf), "nakuru", f"{folder}/chunks", f"{folder}/outcomes", f"{folder}/checkpoint",
-                           first_pages=1 << 30)  # page numbers run over all sources here
-    return spark.read.parquet(f"{folder}/chunks").groupBy(F.col("source_id").cast("long").alias("source_id")).agg(
+    chunks = ingest.ingest_arrivals(arriving, b.sources(spark, sf), "nakuru", f"{folder}/table", f"{folder}/checkpoint",
+                                    first_pages=1 << 30)  # page numbers run over all sources here
+    return chunks.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(
         F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
 
 

@@ -10,13 +10,14 @@ def iso(ts: Column) -> Column:
 
 
 def source_rows(sources: DataFrame, chunk_counts: DataFrame | None = None) -> DataFrame:
-    """Sources in their listing form, with chunk counts (missing = 0)."""
+    """Sources in their listing form, newest first, with chunk counts (missing = 0)."""
     rows = sources
     if chunk_counts is not None:
         rows = rows.join(chunk_counts.select(F.col("source_id").alias("id"), "chunk_count"), "id", "left")
     else:
         rows = rows.withColumn("chunk_count", F.lit(0).cast("long"))
-    return rows.select(
+    # sorted behind the join, which would lose an earlier order
+    return rows.orderBy(F.desc("created_at"), F.asc("id")).select(
         "id", "url", "title", "publisher", "government_arm", "county", "report_type", "fiscal_year",
         iso(F.col("published_at")).alias("published_at"), iso(F.col("last_scraped_at")).alias("last_scraped_at"),
         "ingestion_status", "ingestion_error", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 SCALE = 10_000  # scores are kept to four decimals
 CELLS = 4 << 20  # scores held at once in a task
-# What leaves a scan is k rows per query and task, so the number of tasks is capped (a narrow coalesce).
-SCAN_TASKS = 16_384
 GRID_QUERIES = 4096
 GRID_ROWS = 65536
 
@@ -30,7 +28,7 @@ def scan(rows: DataFrame, offer: Callable, query_ids, shared, k: int, name: str)
             offer(best, part, shared.value)
         yield from best.batches(name)
 
-    return rows.coalesce(SCAN_TASKS).mapInArrow(run, f"query_id long, id long, {name} double")
+    return rows.mapInArrow(run, f"query_id long, id long, {name} double")
 
 
 def grid(queries: DataFrame, rows: DataFrame, query_count: int, prepare: Callable, offer: Callable, k: int, name: str,

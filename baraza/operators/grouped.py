@@ -36,3 +36,10 @@ def with_group_counts(df: DataFrame, keys: Sequence[str], counts: dict[str, Colu
     """
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])
     return df.join(totals, list(keys))
+
+
+def last_per_key(changes: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
+    """One change per key: the one with the largest ``sequence``, without a sequence the largest row."""
+    row = F.struct(*changes.columns)
+    order = F.struct(F.col(sequence), row) if sequence else row
+    return changes.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max_by(row, order).alias("_row")).select("_row.*")

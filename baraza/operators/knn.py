@@ -6,6 +6,7 @@ out with the vectors on a grid of equal blocks, one bounded matrix product per c
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix of unit rows."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = array.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+    lengths = {n for n in pc.list_value_length(array).unique().to_pylist()}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of unlike lengths: {sorted(lengths)[:5]}")
     rows = values.reshape(len(array), -1)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -30,11 +34,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
 
     ``queries`` has ``query_id, vector[, scope]`` and ``vectors`` has ``id, vector[, scope]``. With
     ``scope`` a query sees only vectors of its own scope (a null query scope sees all).
-    Similarity is cosine, rounded to 4 decimals; ties go to the smaller id.
+    Similarity is cosine, rounded to 4 decimals; ties go to the smaller id. A null vector is never found and finds
+    nothing; vectors of unlike lengths are an error that names them.
     """
     extra = ["scope"] if scope else []
-    queries = queries.select("query_id", "vector", *extra)
-    vectors = vectors.select("id", "vector", *extra)
+    queries = queries.where(F.col("vector").isNotNull()).select("query_id", "vector", *extra)
+    vectors = vectors.where(F.col("vector").isNotNull()).select("id", "vector", *extra)
 
     def prepare(asked: pa.Table) -> dict:
         return {"ids": asked.column("query_id").to_numpy(), "matrix": _matrix(asked.column("vector")),
@@ -48,10 +53,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
             allowed = other if allowed is None else allowed & other
         best.offer(asked["matrix"] @ _matrix(part.column("vector")).T, ids, allowed)
 
-    count, first = queries.count(), queries.select(F.size("vector")).first()
+    size = queries.agg(F.count("*").alias("n"), F.sum(16 + 8 * F.size("vector")).alias("bytes"),
+                       *([F.sum(F.length(F.coalesce(F.col("scope").cast("string"), F.lit("")))).alias("scopes")] if scope else [])).first()
+    count = size["n"]
     if count == 0:
         found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    elif count * first[0] * 8 <= broadcast_bytes:
+    elif size["bytes"] + (size["scopes"] if scope else 0) <= broadcast_bytes:
         table = queries.toArrow()  # counted: at most ``broadcast_bytes``
         context = vectors.sparkSession.sparkContext
         asked = prepare(table)

@@ -1,7 +1,7 @@
 """Full-text matching: documents that hold any of a query's content terms, ranked, best ``k`` kept.
 
 The rank is the mean over the query's distinct terms of a saturating term frequency, scaled to at most 1.
-For a counted, bounded table of query terms, documents stream past the broadcast terms and only the best ``k`` per
+Stems are matched by spelling out the query's stems. For a counted, bounded table of query terms, documents stream past the broadcast terms and only the best ``k`` per
 query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger query table meets the
 documents on a grid of equal blocks. ``lexical_matches`` gives all matches, by joins on the term.
 """
@@ -80,24 +80,50 @@ def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bo
     """
     extra = ["scope"] if scope else []
     if stems is not None:
-        matches = lexical_matches(queries, documents, scope=scope, stems=stems)
+        matches = _best_stem_matches(queries.select("query_id", "terms", *extra), documents.select("id", "terms", *extra), k, scope, stems, broadcast_terms)
     else:
         matches = _best_matches(queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra),
                                 documents.select("id", "terms", *extra), k, scope, broadcast_terms, grid_queries, grid_documents)
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
 
 
-def _best_matches(queries, documents, k, scope, broadcast_terms, grid_queries, grid_documents):
-    def prepare(asked: pa.Table) -> dict:
-        return _query_index(asked, scope)
+def _best_stem_matches(queries, documents, k, scope, stems, broadcast_terms):
+    """Query stems are spelt out as the surface terms that share them; documents are scanned as they are."""
+    extra = ["scope"] if scope else []
+    asked = (_stemmed(queries.select("query_id", *extra, F.explode("terms").alias("term")), stems)
+             .groupBy("query_id", *extra).agg(F.collect_set("term").alias("terms")))
+    wanted = asked.select(F.explode("terms").alias("stem")).distinct()
+    spelt = stems.join(wanted, "stem", "left_semi").select("term", "stem")
+    # a word the dictionary doesn't know is its own stem
+    alone = wanted.join(stems.select(F.col("term").alias("stem")), "stem", "left_anti").select(F.col("stem").alias("term"), "stem")
+    surface = spelt.union(alone).distinct()
+    size = asked.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
+    if size["q"] == 0:
+        return documents.sparkSession.createDataFrame([], "query_id long, id long, lexical_rank double")
+    if size["n"] + surface.count() > broadcast_terms or size["q"] > BROADCAST_QUERIES:
+        return lexical_matches(queries, documents, scope=scope, stems=stems)
+    index, spelling = _query_index(asked.toArrow(), scope), surface.toArrow()  # both counted
+    index["group"] = pc.index_in(spelling.column("stem"), value_set=index["vocabulary"]).to_numpy()
+    index["vocabulary"] = spelling.column("term").combine_chunks().cast(pa.string())
+    context = documents.sparkSession.sparkContext
+    return scan(documents, _offer_scores(scope), context.broadcast(index["ids"]), context.broadcast(index), k, "lexical_rank")
 
+
+def _offer_scores(scope: bool):
     def offer(best: BestPerQuery, part: pa.RecordBatch, index: dict) -> None:
         scores = _scores(part.column("terms"), index)
         allowed = scores > 0
         if scope:
             allowed &= same_scope(index["scopes"], part.column("scope").to_pandas().to_numpy())
         best.offer(scores, part.column("id").to_numpy(zero_copy_only=False), allowed)
+    return offer
+
+
+def _best_matches(queries, documents, k, scope, broadcast_terms, grid_queries, grid_documents):
+    def prepare(asked: pa.Table) -> dict:
+        return _query_index(asked, scope)
 
+    offer = _offer_scores(scope)
     size = queries.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
     if size["q"] == 0:
         return documents.sparkSession.createDataFrame([], "query_id long, id long, lexical_rank double")
@@ -128,8 +154,10 @@ def _scores(lists: pa.Array, index: dict) -> np.ndarray:
     owner = np.repeat(np.arange(count), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
     code = pc.index_in(lists.flatten(), value_set=index["vocabulary"]).to_numpy(zero_copy_only=False)
     known = ~np.isnan(code)
-    terms = len(index["vocabulary"])
-    pair, tf = np.unique(owner[known] * terms + code[known].astype("int64"), return_counts=True)
+    held = code[known].astype("int64")
+    held = index["group"][held] if "group" in index else held  # surface terms of one stem count together
+    terms = len(index["start"]) - 1
+    pair, tf = np.unique(owner[known] * terms + held, return_counts=True)
     if len(pair) == 0:
         return np.zeros((queries, count))
     weight = np.cumsum(1.0 / np.arange(1, tf.max() + 1) ** 2)[tf - 1]

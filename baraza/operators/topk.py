@@ -16,6 +16,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def page_total(df: DataFrame) -> DataFrame:
+    """The number of rows an ordered listing has in all, whatever page is shown."""
+    return df.agg(F.count("*").alias("total"))
+
+
 def page_of(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of an ordered listing."""
     ordered = df.orderBy(*order)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
+from baraza.operators.grouped import last_per_key
 from baraza.plans.quality import one_row
 
 EDITABLE = ["url", "title", "publisher", "government_arm", "county", "report_type", "fiscal_year"]
@@ -11,24 +12,26 @@ IDENTITY = ["url", "government_arm", "report_type"]
 
 
 def filter_sources(sources: DataFrame, **wanted) -> DataFrame:
-    """Sources matching every given value, newest first."""
+    """Sources matching every given value; ``serialise.source_rows`` puts the newest first."""
     for column, value in wanted.items():
         if value is not None:
             sources = sources.where(F.col(column) == value)
-    return sources.orderBy(F.desc("created_at"), F.asc("id"))
+    return sources
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_id").agg(F.count("*").alias("chunk_count"))
 
 
-def edit_sources(sources: DataFrame, chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edit_sources(sources: DataFrame, chunks: DataFrame, edits: DataFrame, sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply edits (``id`` plus any editable column, null = keep): ``(sources, chunks)`` after.
 
+    Of several edits of a source the last by ``sequence`` counts, as a whole.
+
     A new url, arm or report type invalidates the source's chunks and sends it back to ``pending``.
     """
     given = [c for c in EDITABLE if c in edits.columns]
-    renamed = edits.select("id", *[F.col(c).alias(f"_{c}") for c in given])
+    renamed = last_per_key(edits, ["id"], sequence).select("id", *[F.col(c).alias(f"_{c}") for c in given])
     joined = sources.join(renamed, "id", "left")
     changed = F.lit(False)
     for c in IDENTITY:
@@ -58,13 +61,13 @@ def delete_sources(sources: DataFrame, chunks: DataFrame, ids: DataFrame) -> tup
             chunks.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti"), outcome)
 
 
-def upsert_sources(sources: DataFrame, incoming: DataFrame, now: Column, keys=("url", "title")) -> DataFrame:
+def upsert_sources(sources: DataFrame, incoming: DataFrame, now: Column, keys=("url", "title"), sequence: str | None = None) -> DataFrame:
     """Register documents: known ``keys`` get the new details, unknown ones arrive as ``pending`` without id.
 
-    ``incoming`` holds one row per key.
+    Of several rows of a key the last by ``sequence`` counts.
     """
     details = [c for c in EDITABLE if c in incoming.columns and c not in keys]
-    fresh = incoming.select(*keys, *[F.col(c).alias(f"_{c}") for c in details], F.lit(True).alias("_new"))
+    fresh = last_per_key(incoming, keys, sequence).select(*keys, *[F.col(c).alias(f"_{c}") for c in details], F.lit(True).alias("_new"))
     joined = sources.join(fresh, list(keys), "full")
     missing = F.col("ingestion_status").isNull()
     merged = joined.withColumns({c: F.coalesce(f"_{c}", c) for c in details}).withColumns({
@@ -73,9 +76,9 @@ def upsert_sources(sources: DataFrame, incoming: DataFrame, now: Column, keys=("
     return merged.select(*sources.columns)
 
 
-def roll_up_outcomes(sources: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Write ingestion outcomes (``source_id, status, error, content_hash``) back to the sources."""
-    result = outcomes.select(F.col("source_id").alias("id"), F.col("status").alias("_status"),
+def roll_up_outcomes(sources: DataFrame, outcomes: DataFrame, now: Column, sequence: str | None = None) -> DataFrame:
+    """Write ingestion outcomes (``source_id, status, error, content_hash``) back to the sources; of several the last counts."""
+    result = last_per_key(outcomes, ["source_id"], sequence).select(F.col("source_id").alias("id"), F.col("status").alias("_status"),
                              F.left("error", F.lit(fv.MAX_ERROR_CHARS)).alias("_error"), F.col("content_hash").alias("_hash"))
     done = F.col("_status").isNotNull()
     joined = sources.join(result, "id", "left").withColumns({

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.functions.serialise import iso
-from baraza.operators.grouped import counts_by_value, earliest_per_group
+from baraza.operators.grouped import counts_by_value, earliest_per_group, last_per_key
 from baraza.operators.topk import page_of
 from baraza.plans.conversations import with_preceding
 
@@ -27,7 +27,8 @@ def dispute_page(disputes: DataFrame, limit: int = 50, offset: int = 0, status:
 
 def dispute_context(queue: DataFrame, messages: DataFrame) -> DataFrame:
     """Add the disputed answer, the question before it and the stored passages."""
-    questions = with_preceding(messages)
+    asked = messages.join(queue.select(F.col("message_id").alias("id")).distinct(), "id", "left_semi").select("session_id").distinct()
+    questions = with_preceding(messages.join(asked, "session_id", "left_semi"))
     answers = questions.select(F.col("id").alias("message_id"), F.col("role").alias("answer_role"),
                                F.col("text").alias("answer_text"), "citation", "retrieved_chunks", "question")
     return queue.join(answers, "message_id", "left")
@@ -64,16 +65,17 @@ def escalation_record(dispute_id: Column, generated_at: Column, recipient: Colum
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
-def apply_decisions(disputes: DataFrame, decisions: DataFrame, messages: DataFrame,
-                    now: Column) -> tuple[DataFrame, DataFrame]:
+def apply_decisions(disputes: DataFrame, decisions: DataFrame, messages: DataFrame, now: Column,
+                    sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply moderator decisions: ``(disputes after, outcome per decision)``.
 
-    ``decisions`` has ``dispute_id, new_status, resolution_note, correction_message, recipient``, at most one per
-    answer. A legal decision is written to every report row of its answer.
+    ``decisions`` has ``dispute_id, new_status, resolution_note, correction_message, recipient``; of several decisions of one
+    dispute the last by ``sequence`` counts, and of several legal ones of one answer that of the largest dispute id.
+    A legal decision is written to every report row of its answer.
     """
     target = disputes.select(F.col("id").alias("dispute_id"), "message_id", F.col("status").alias("old_status"),
                              "reason", F.col("resolution_note").alias("old_note"))
-    judged = decisions.join(target, "dispute_id", "left")
+    judged = last_per_key(decisions, ["dispute_id"], sequence).join(target, "dispute_id", "left")
     error = F.when(F.col("message_id").isNull(), "not_found").otherwise(
         transition_error(F.col("old_status"), F.col("new_status"), F.col("correction_message")))
     answers = messages.select(F.col("id").alias("message_id"), F.col("text").alias("_answer"),
@@ -86,7 +88,7 @@ def apply_decisions(disputes: DataFrame, decisions: DataFrame, messages: DataFra
         F.col("reason"), note))
     outcomes = judged.select("dispute_id", "message_id", "old_status", "new_status", F.col("error").isNull().alias("ok"),
                              "error", F.nullif("resolution_note", F.lit("")).alias("note"), record.alias("record"))
-    accepted = outcomes.where("ok").select("message_id", F.col("new_status").alias("_status"),
+    accepted = last_per_key(outcomes.where("ok"), ["message_id"], "dispute_id").select("message_id", F.col("new_status").alias("_status"),
                                            F.col("note").alias("_note"), F.col("record").alias("_record"))
     changed = F.col("_status").isNotNull()
     updated = disputes.join(accepted, "message_id", "left").withColumns({

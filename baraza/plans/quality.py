@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from baraza import fixed_values as fv
 from baraza.operators.grouped import counts_by_value
 from baraza.operators.topk import page_of
+from baraza.session import shared_folder
 from baraza.plans.conversations import with_preceding
 
 
@@ -27,9 +28,13 @@ def unrated_answers(messages: DataFrame, validations: DataFrame) -> DataFrame:
 
 def review_queue(messages: DataFrame, validations: DataFrame, limit: int = 10, seed: str | None = None) -> DataFrame:
     """A random sample of unrated answers with their questions; ``seed`` makes the draw repeatable."""
-    answers = unrated_answers(with_preceding(messages), validations)
     draw = F.rand() if seed is None else F.md5(F.concat(F.lit(seed), F.lit("-"), F.col("id").cast("string")))
-    return page_of(answers, [draw, F.asc("id")], limit).select(
+    drawn = page_of(unrated_answers(messages, validations).withColumn("_draw", draw), [F.asc("_draw"), F.asc("id")], limit)
+    # a random draw must be made once; questions are then looked up in the drawn sessions only
+    shared_folder(messages.sparkSession)
+    drawn = drawn.select("id", "session_id", "_draw").checkpoint()
+    asked = with_preceding(messages.join(drawn.select("session_id").distinct(), "session_id", "left_semi"))
+    return asked.join(drawn.select("id", "_draw"), "id").orderBy("_draw", "id").select(
         F.col("id").alias("message_id"), "question", F.col("text").alias("answer"), "citation")
 
 

@@ -13,7 +13,6 @@ from baraza.operators.lexical import lexical_top_k
 from baraza.session import shared_folder
 
 Embed = Callable[[DataFrame], DataFrame]
-_VARIANTS = 4  # at most three variants exist; leaves room for a compact key
 
 
 def variant_rows(queries: DataFrame) -> DataFrame:
@@ -23,22 +22,27 @@ def variant_rows(queries: DataFrame) -> DataFrame:
 
 
 def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv.TOP_K, *, scope: bool = False,
-                variants: bool = True, lexical: bool = True) -> DataFrame:
+                variants: bool = True, lexical: bool = True, variant_k: int | None = fv.VARIANT_TOP_K_CAP,
+                stems: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, rank, score, similarity, lexical_rank)``: the fused ``k`` best chunks per query.
 
     ``queries``: ``query_id, text[, scope]``; ``chunks``: ``id, chunk_text, embedding[, government_arm]``.
     ``embed`` adds ``vector`` to a table with ``text``. Without ``variants`` and ``lexical`` this is plain vector search.
+    ``variant_k`` bounds what one variant finds by vector, however large ``k`` is; null leaves it at ``k``. ``stems``
+    (``term, stem``) lets the lexical list meet on stems.
     A column ``hit_limit`` (at most ``k``) searches single queries less deeply: a shorter list is a prefix of the longer.
     """
     scoped = ["scope"] if scope else []
     asked = variant_rows(queries) if variants else queries.select("query_id", *scoped, F.lit(0).alias("variant"), "text")
     # A text model is costly and the query vectors are read more than once: keep them.
     shared_folder(queries.sparkSession)
-    keyed = embed(asked).select((F.col("query_id") * _VARIANTS + F.col("variant")).alias("query_id"), "vector", *scoped).checkpoint()
+    # The number given to each (query, variant) is fixed by the checkpoint, whatever the ids are.
+    keyed = embed(asked).select(F.monotonically_increasing_id().alias("search"), "query_id", "variant", "vector", *scoped).checkpoint()
     vectors = chunks.select("id", F.col("embedding").alias("vector"),
                             *([F.col("government_arm").alias("scope")] if scope else []))
-    near = nearest(keyed, vectors, min(k, fv.VARIANT_TOP_K_CAP), scope=scope)
-    near = near.withColumn("query_id", F.expr(f"query_id div {_VARIANTS}"))
+    searches = keyed.select(F.col("search").alias("query_id"), "vector", *scoped)
+    near = nearest(searches, vectors, k if variant_k is None else min(k, variant_k), scope=scope).withColumnRenamed("query_id", "search")
+    near = near.join(keyed.select("search", "query_id"), "search").drop("search")
 
     def limited(ranked: DataFrame) -> DataFrame:
         if "hit_limit" not in queries.columns:
@@ -51,7 +55,7 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
         terms = queries.select("query_id", *scoped, tx.lexical_terms(tx.lexicon_translation(F.col("text"))).alias("terms"))
         corpus = chunks.select("id", tx.lexical_terms(F.col("chunk_text")).alias("terms"),
                                *([F.col("government_arm").alias("scope")] if scope else []))
-        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope)))
+        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope, stems=stems)))
     return limited(reciprocal_rank_fusion(lists, k))
 
 
@@ -120,7 +124,7 @@ def route(query: Column, weak: Column, hit_count: Column) -> Column:
 
 
 def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, embed: Embed,
-                   k: int = fv.TOP_K) -> DataFrame:
+                   k: int = fv.TOP_K, stems: DataFrame | None = None) -> DataFrame:
     """One row per question: route, retrieval query, hits and the prompt for its route.
 
     ``queries``: ``query_id, text, history`` and optionally ``translation`` (a supplied English text).
@@ -140,7 +144,7 @@ def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, em
 
     searches = distinct.select(F.col("search_id").alias("query_id"), "text",
                                F.when(F.col("_value"), min(VALUE_HITS, k)).otherwise(k).alias("hit_limit"))
-    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k), chunks, sources)
+    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k, stems=stems), chunks, sources)
     grouped = hits_per_query(hits).withColumnRenamed("query_id", "search_id")
     found = distinct.drop("text").join(grouped, "search_id", "left")
     rows = keyed.join(found, ["_search", "_value"]).fillna(0, ["hit_count"])

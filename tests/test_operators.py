@@ -292,3 +292,10 @@ def test_already_reported(spark):
     reports = _reports(spark, [(10, 1, 0)])
     asked = spark.createDataFrame([(10, 1), (10, 2)], "message_id long, reported_by_user_id long")
     assert [tuple(r) for r in guards.already_reported(reports, asked).collect()] == [(10, 1)]
+
+
+def test_vectors_of_unlike_lengths_are_named(spark):
+    own = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    with pytest.raises(Exception, match="unlike lengths"):
+        knn.nearest(asked, own, 1).collect()

@@ -373,3 +373,39 @@ def test_empty_overview(spark):
     none = spark.createDataFrame([], "id long, role string, created_at timestamp")
     row = stats.overview(e, none, none, none, spark.createDataFrame([], DISPUTE), F.lit(NOW)).first()
     assert row["total_sources"] == 0 and row["sources_failed"] == 0 and row["disputes_escalated"] == 0 and row["queries_today"] == 0
+
+
+def test_repeated_changes_change_rows_once(spark):
+    chunks = spark.createDataFrame([(0,), (1,), (2,)], "source_id long")
+    edits = spark.createDataFrame([(0, "first", 1), (0, "last", 2), (2, "only", 1)], "id long, title string, seq int")
+    after, _ = maintenance.edit_sources(_registry(spark), chunks, edits, "seq")
+    assert sorted((r["id"], r["title"]) for r in after.collect()) == [(0, "last"), (1, "t1"), (2, "only")]
+    incoming = spark.createDataFrame([("u", "t0", "q", 1), ("u", "t0", "r", 2), ("u", "n", "q", 1), ("u", "n", "z", 0)], "url string, title string, publisher string, seq int")
+    merged = sorted((r["title"], r["publisher"]) for r in maintenance.upsert_sources(_registry(spark), incoming, F.lit(NOW), sequence="seq").collect())
+    assert merged == [("n", "q"), ("t0", "r"), ("t1", "p"), ("t2", "p")]
+    hashed = _registry(spark).withColumn("content_hash", F.lit(None).cast("string"))
+    outcomes = spark.createDataFrame([(0, "failed", "x", "h", 1), (0, "completed", None, "i", 2)], "source_id long, status string, error string, content_hash string, seq int")
+    rolled = maintenance.roll_up_outcomes(hashed, outcomes, F.lit(NOW), "seq").collect()
+    assert len(rolled) == 3 and {r["id"]: r["content_hash"] for r in rolled}[0] == "i"
+
+
+def test_any_query_id_and_null_vectors(spark):
+    from baraza.catalog import hash_embed
+
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(["road budget", "water audit", "school budget"])], "id long, text string")
+    chunks = hash_embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
+    chunks = chunks.withColumn("embedding", F.when(F.col("id") != 1, F.col("embedding")))
+    asked = spark.createDataFrame([(-5, "road budget"), (-6, "school budget"), (2 ** 62, "road budget")], "query_id long, text string")
+    got = retrieval.hybrid_hits(asked, chunks, hash_embed, 2, lexical=False).collect()
+    assert {r["query_id"] for r in got} == {-5, -6, 2 ** 62} and all(r["id"] != 1 for r in got)
+
+
+def test_stems_widen_the_lexical_list(spark):
+    from baraza.catalog import hash_embed
+
+    base = spark.createDataFrame([(0, "the project stalls"), (1, "hospital stall"), (2, "other words")], "id long, text string")
+    chunks = hash_embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
+    stems = spark.createDataFrame([(w, "stall") for w in ("stalled", "stalls", "stall")], "term string, stem string")
+    asked = spark.createDataFrame([(1, "stalled project")], "query_id long, text string")
+    found = {s: {r["id"] for r in retrieval.hybrid_hits(asked, chunks, hash_embed, 3, stems=t).where("lexical_rank > 0").collect()} for s, t in (("plain", None), ("stems", stems))}
+    assert found == {"plain": {0}, "stems": {0, 1}}

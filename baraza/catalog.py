@@ -10,7 +10,6 @@ from baraza import schemas
 from baraza.bindings import table
 from baraza.functions import identity, serialise, urls
 from baraza.functions import text as tx
-from baraza.functions.vectors import hashed_word_vectors
 from baraza.operators import fusion, geometry, grouped, guards, knn, lexical
 from baraza.operators.ordered import previous_row
 from baraza.operators.topk import page_of, page_total, top_k
@@ -466,9 +465,61 @@ def _(spark, sf):
     return fusion.weak_retrieval(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id")), _fused(spark, sf))
 
 
+_BUCKETS = [f"{n:02x}" for n in range(256)]
+
+
 def hash_embed(df: DataFrame) -> DataFrame:
-    terms = df.withColumn("_terms", tx.lexical_terms(F.col("text")))
-    return hashed_word_vectors(terms, "_terms", "vector", 256).drop("_terms")
+    """A stand-in for a text model that both engines can compute: how often each first byte of a term's MD5 comes.
+
+    Counts are whole numbers, so similarities differ in the last bit at most; only directions matter.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
+
+    buckets = F.transform(tx.lexical_terms(F.col("text")), lambda t: F.substring(F.md5(t), 1, 2))
+    model = CountVectorizerModel.from_vocabulary(_BUCKETS, inputCol="_buckets", outputCol="_counts")
+    counted = model.transform(df.withColumn("_buckets", buckets))
+    return counted.withColumn("vector", vector_to_array("_counts").cast("array<float>")).drop("_buckets", "_counts")
+
+
+_EXPANDED = _replace_words("text", fv.SLANG_TO_SWAHILI)
+
+
+def _hybrid_sql(variants: bool = True, lexical: bool = True, scope: bool = False) -> str:
+    """Retrieval over ``benchmark`` in SQL up to ``ranked (query_id, id, score, similarity, lexical_rank, rank)``."""
+    english = _collapse(_replace_words("expanded", fv.SWAHILI_TO_ENGLISH))
+    terms = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP}))"
+    arm = _pick(fv.GOVERNMENT_ARMS, "regexp_extract(source, '([0-9]+)$', 1)::BIGINT")
+    asked_arm = _pick(fv.GOVERNMENT_ARMS, "item_id")
+    seen = "c.arm = v.arm" if scope else "TRUE"
+    wanted = "unnest([text, expanded] || CASE WHEN english <> '' THEN [english] ELSE [] END)" if variants else "text"
+    return f"""{CHUNK}, ch AS (SELECT page * 1000 + chunk_no AS id, text, page, source, {arm} AS arm FROM chunk),
+  ask AS (SELECT item_id AS query_id, text, {asked_arm} AS arm, {_EXPANDED} AS expanded FROM benchmark),
+  eng AS (SELECT *, {english} AS english FROM ask),
+  vrow AS (SELECT DISTINCT query_id, arm, text FROM (SELECT query_id, arm, {wanted} AS text FROM eng)),
+  vnum AS (SELECT *, row_number() OVER (ORDER BY query_id, text) AS v FROM vrow),
+  vbag AS (SELECT v, substr(md5(term), 1, 2) AS b, count(*) AS n FROM (SELECT v, unnest({terms}) AS term FROM vnum) GROUP BY 1, 2),
+  cbag AS (SELECT id, substr(md5(term), 1, 2) AS b, count(*) AS n FROM (SELECT id, unnest({terms}) AS term FROM ch) GROUP BY 1, 2),
+  vlen AS (SELECT v, sqrt(sum(n * n)) AS z FROM vbag GROUP BY 1), clen AS (SELECT id, sqrt(sum(n * n)) AS z FROM cbag GROUP BY 1),
+  dots AS (SELECT v, id, sum(vbag.n * cbag.n) AS d FROM vbag JOIN cbag USING (b) GROUP BY 1, 2),
+  near AS (SELECT v.query_id, v.v, c.id, round(coalesce(d / (vlen.z * clen.z), 0.0), 4) AS similarity FROM vnum v JOIN ch c ON {seen}
+    LEFT JOIN dots ON dots.v = v.v AND dots.id = c.id LEFT JOIN vlen ON vlen.v = v.v LEFT JOIN clen ON clen.id = c.id),
+  topv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 8),
+  best AS (SELECT query_id, id, max(similarity) AS similarity FROM topv GROUP BY 1, 2),
+  vlist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM best) WHERE rank <= 8),
+  qterm AS (SELECT DISTINCT query_id, arm, unnest({terms.replace("text", "coalesce(nullif(english, ''), text)")}) AS term FROM eng),
+  qsize AS (SELECT query_id, count(*) AS n FROM qterm GROUP BY 1),
+  post AS (SELECT id, arm, term, count(*) AS tf FROM (SELECT id, arm, unnest({terms}) AS term FROM ch) GROUP BY 1, 2, 3),
+  lex AS (SELECT query_id, id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j)))) * 6 / (pi() * pi())
+    / any_value(n), 4) AS lexical_rank FROM post c JOIN qterm v ON c.term = v.term AND {seen} JOIN qsize USING (query_id) GROUP BY 1, 2),
+  llist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, id) AS rank FROM lex)
+    WHERE rank <= 8 AND {"TRUE" if lexical else "FALSE"}),
+  lists AS (SELECT query_id, id, rank, 0 AS list_no, similarity, NULL::DOUBLE AS lexical_rank FROM vlist
+    UNION ALL SELECT query_id, id, rank, 1, NULL, lexical_rank FROM llist),
+  fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list_no * 1000 + rank) AS first_place,
+    max(similarity) AS similarity, max(lexical_rank) AS lexical_rank FROM lists GROUP BY 1, 2),
+  ranked AS (SELECT query_id, id, score, similarity, lexical_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, first_place, id) AS rank FROM fused) WHERE rank <= 8)"""
 
 
 def _corpus_chunks(spark, sf):
@@ -487,7 +538,8 @@ def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("hybrid_retrieval")
+@query("hybrid_retrieval", f"""WITH {_hybrid_sql()} SELECT query_id, rank, ranked.id, source AS source_title, page AS page_number,
+  arm AS government_arm, score, similarity, lexical_rank FROM ranked JOIN ch ON ch.id = ranked.id""")
 def hybrid_retrieval(spark, sf):
     chunks = _corpus_chunks(spark, sf)
     hits = retrieval.hybrid_hits(_questions(spark, sf), chunks, hash_embed)
@@ -495,13 +547,13 @@ def hybrid_retrieval(spark, sf):
         "query_id", "rank", "id", "source_title", "page_number", "government_arm", "score", "similarity", "lexical_rank")
 
 
-@query("hybrid_retrieval_scoped")
+@query("hybrid_retrieval_scoped", f"WITH {_hybrid_sql(scope=True)} SELECT * FROM ranked")
 def _(spark, sf):
     asked = _questions(spark, sf).withColumn("scope", b.pick(fv.GOVERNMENT_ARMS, F.col("query_id")))
     return retrieval.hybrid_hits(asked, _corpus_chunks(spark, sf), hash_embed, scope=True)
 
 
-@query("vector_only_retrieval")
+@query("vector_only_retrieval", f"WITH {_hybrid_sql(variants=False, lexical=False)} SELECT * FROM ranked")
 def _(spark, sf):
     return retrieval.hybrid_hits(_questions(spark, sf), _corpus_chunks(spark, sf), hash_embed, variants=False, lexical=False)
 

@@ -1357,6 +1357,79 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.no_answer_text(F.col("text")).alias("no_answer"))
 
 
+# ---- operators that other queries only use inside -----------------------------------------------
+@query("already_reported", f"""WITH {DISP} SELECT e.user_id AS reported_by_user_id, count(*) AS again FROM events e
+  WHERE e.event_type <> 'error' AND EXISTS (SELECT 1 FROM disp d WHERE d.reported_by_user_id = e.user_id
+    AND d.message_id = (CAST(json_extract_string(e.props, '$.k') AS BIGINT) + 5) * 1000 + 1) GROUP BY 1""")
+def _(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    asked = table(spark, sf, "events").where("event_type <> 'error'").select(
+        ((k + 5) * 1000 + 1).alias("message_id"), F.col("user_id").alias("reported_by_user_id"))
+    known = guards.already_reported(b.disputes(spark, sf), asked)
+    return known.groupBy("reported_by_user_id").agg(F.count("*").alias("again"))
+
+
+_UNQUOTED = "regexp_replace(" + _strip("reply") + ", '^[\"''`]+|[\"''`]+$', '', 'g')"
+_REPLY = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"Translation: ' || text || '"' WHEN 1 THEN ' ''NOT_VAGUE'' '
+  WHEN 2 THEN '  ' || text ELSE 'Sure: ' || text END AS reply FROM documents"""
+
+
+def _replies(spark, sf):
+    text, n = F.col("text"), F.col("doc_id") % 4
+    reply = (F.when(n == 0, F.concat(F.lit('"Translation: '), text, F.lit('"'))).when(n == 1, " 'NOT_VAGUE' ")
+             .when(n == 2, F.concat(F.lit("  "), text)).otherwise(F.concat(F.lit("Sure: "), text)))
+    return table(spark, sf, "documents").select("doc_id", reply.alias("reply"))
+
+
+@query("clean_translation", f"""WITH r AS ({_REPLY}) SELECT doc_id, md5({_strip(f"regexp_replace({_UNQUOTED}, '(?i)^(?:sure|translation):[ ]*', '')")}) AS cleaned FROM r""")
+def _(spark, sf):
+    return _replies(spark, sf).select("doc_id", F.md5(tx.clean_translation(F.col("reply"))).alias("cleaned"))
+
+
+@query("clarifying_question", f"""WITH r AS ({_REPLY}), c AS (SELECT doc_id, {_UNQUOTED} AS t FROM r)
+  SELECT doc_id, CASE WHEN t <> '' AND upper(t) <> 'NOT_VAGUE' THEN md5(t) END AS question FROM c""")
+def _(spark, sf):
+    return _replies(spark, sf).select("doc_id", F.md5(tx.clarifying_question(F.col("reply"))).alias("question"))
+
+
+@query("binary_documents", """SELECT count(*) AS files, 0::BIGINT AS accepted, count(*) AS not_pdf
+  FROM (VALUES ('documents'), ('pages'), ('conversations'), ('labels')) t(name)""")
+def _(spark, sf):
+    """The given Parquet files as binary files, one folder level or file each: none is a PDF."""
+    from baraza.sources.documents import read_binary_documents
+
+    names = ["documents", "pages", "conversations", "labels"]
+    checked = [read_binary_documents(spark, f"{sf}/{name}.parquet").withColumn("name", F.lit(name)) for name in names]
+    rows = checked[0]
+    for other in checked[1:]:
+        rows = rows.unionByName(other)
+    each = rows.groupBy("name").agg(F.bool_or("ok").alias("ok"), F.bool_and(F.col("error") == "not a PDF").alias("refused"))
+    return each.agg(F.count("*").alias("files"), F.count_if("ok").alias("accepted"), F.count_if("refused").alias("not_pdf"))
+
+
+@query("model_tables", f"WITH {SRC} SELECT id, url, title, ingestion_status FROM src")
+def _(spark, sf):
+    """A model table written once, left alone by a second seeding, and read with its schema."""
+    from baraza.sources.tables import read_table, seed_if_empty
+
+    root = run_folder(spark, "model-tables")
+    rows = b.sources(spark, sf)
+    seed_if_empty(spark, rows, root, "sources")
+    seed_if_empty(spark, rows, root, "sources")
+    return read_table(spark, root, "sources").select("id", "url", "title", "ingestion_status")
+
+
+@query("embedded_in_batches", """SELECT item_id AS id, 4::BIGINT AS dimensions, round(list_sum(list_transform(v, lambda x: x * x)), 3) AS length
+  FROM (SELECT item_id, [0.6::DOUBLE, 0.8::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS v FROM benchmark)""")
+def _(spark, sf):
+    """A caller's batch function; unit length whatever it returns."""
+    from baraza.functions.vectors import embed_in_batches
+
+    made = embed_in_batches(_questions(spark, sf), "text", "v", lambda texts: [[len(t), 1.0, t.count("a"), t.count("e")] for t in texts])
+    squares = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
+    return made.select(F.col("query_id").alias("id"), F.size("v").cast("long").alias("dimensions"), F.round(squares, 3).alias("length"))
+
+
 # ---- log replay -------------------------------------------------------------------------------
 def _log(spark, sf, raw=None):
     return b.messages(spark, sf, raw).withColumn("user_id", F.col("session_id") % 25).drop("citation")

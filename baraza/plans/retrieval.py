@@ -108,6 +108,11 @@ def anchored_query(query: Column, history: Column, max_words: int = fv.FOLLOWUP_
     return F.when(terse, tx.strip(F.concat_ws(" ", latest, query))).otherwise(query)
 
 
+def clarify_prompt(history: Column, hits: Column, query: Column) -> Column:
+    """The conversation, the question and the first snippets, for a model that asks back once."""
+    return F.concat(conversation_text(history), F.lit("<QUESTION>\n"), query, F.lit("\n</QUESTION>\n\n<SNIPPETS>\n"), snippets(hits), F.lit("\n</SNIPPETS>"))
+
+
 VALUE_HITS = 3
 
 
@@ -153,8 +158,11 @@ def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, em
         "weak", is_weak(F.col("best_similarity"), F.col("best_lexical"), F.col("hit_count"))).withColumn(
         "route", route(F.col("text"), F.col("weak"), F.col("hit_count")))
     prompt = (F.when(F.col("route") == "generate", grounded_prompt(F.col("history"), F.col("hits"), F.col("text")))
-              .when(F.col("route") == "value_for_money", value_prompt(F.col("hits"), F.col("text"))))
+              .when(F.col("route") == "value_for_money", value_prompt(F.col("hits"), F.col("text")))
+              .when(F.col("route") == "clarify", clarify_prompt(F.col("history"), F.col("hits"), F.col("text"))))
+    # where the model has nothing to ask back, the question is answered like any other
+    fallback = F.when(F.col("route") == "clarify", grounded_prompt(F.col("history"), F.col("hits"), F.col("text")))
     return rows.select(
-        "query_id", "text", "retrieval_query", "route", "weak", "hits", prompt.alias("prompt"),
+        "query_id", "text", "retrieval_query", "route", "weak", "hits", prompt.alias("prompt"), fallback.alias("fallback_prompt"),
         F.when(F.col("route") == "clarify", snippets(F.col("hits"))).alias("snippets"),
         F.when(F.col("route") == "no_answer", tx.no_answer_text(F.col("text"))).alias("canned"))

@@ -247,6 +247,7 @@ def test_plan_responses(spark):
     assert [h["id"] for h in got[4]["hits"]] == [h["id"] for h in got[1]["hits"]]
     assert got[2]["prompt"].startswith("[1] ") and len(got[2]["hits"]) == 3
     assert got[2]["route"] == "value_for_money" and got[3]["route"] == "clarify" and got[5]["route"] == "generate"
+    assert "<QUESTION>\n" in got[3]["prompt"] and got[3]["prompt"].endswith("\n</SNIPPETS>") and "CONTEXT:\n" in got[3]["fallback_prompt"]
 
 
 def test_hit_limit_equals_a_shallower_search(spark):

@@ -522,16 +522,26 @@ def _hybrid_sql(variants: bool = True, lexical: bool = True, scope: bool = False
     ORDER BY score DESC, first_place, id) AS rank FROM fused) WHERE rank <= 8)"""
 
 
+_CHUNK_TABLES: dict[tuple[str, str], str] = {}
+
+
 def _corpus_chunks(spark, sf):
+    """The chunk table is what ingestion leaves behind: written once for a session, read column by column."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CHUNK_TABLES:
+        _CHUNK_TABLES[key] = _write_chunks(spark, sf)
+    return spark.read.parquet(_CHUNK_TABLES[key])
+
+
+def _write_chunks(spark, sf):
     chunks = b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf)))
     shaped = chunks.select((F.col("page") * 1000 + F.col("chunk_no")).alias("id"), "source_id", F.col("page").alias("page_number"),
                            b.pick(fv.GOVERNMENT_ARMS, F.col("source_id")).alias("government_arm"), "text")
     embedded = hash_embed(shaped).select("id", "source_id", "page_number", "government_arm", F.col("text").alias("chunk_text"),
                                          F.col("vector").alias("embedding"))
-    # The chunk table is what ingestion leaves behind; retrieval reads it column by column.
     path = run_folder(spark, "chunk-table")
     embedded.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 def _questions(spark, sf):

@@ -10,7 +10,7 @@ from baraza.functions import text as tx
 from baraza.operators.fusion import best_per_variant, is_weak, reciprocal_rank_fusion
 from baraza.operators.knn import nearest
 from baraza.operators.lexical import lexical_top_k
-from baraza.session import shared_folder
+from baraza.session import run_folder, shared_folder
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -60,7 +60,14 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
 
 
 def with_chunk_details(hits: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add source, title, page, text and arm to hits; only the few hit chunks take part in the joins."""
+    """Add source, title, page, text and arm to hits.
+
+    Hits - at most ``k`` a query - are written first, so their true size is known when the join is planned: below Spark's
+    threshold they are broadcast and no chunk text is shuffled.
+    """
+    path = run_folder(hits.sparkSession, "hits")
+    hits.write.parquet(path)
+    hits = hits.sparkSession.read.schema(hits.schema).parquet(path)
     details = chunks.select("id", "source_id", "page_number", "chunk_text", "government_arm")
     titles = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
     return hits.join(details, "id").join(titles, "source_id", "left")

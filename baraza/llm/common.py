@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from baraza.session import run_folder, shared_folder
 
 SALTS = 16
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,6 +29,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` over batches of about ``BATCH_BYTES`` (one longer row makes its own), so long texts do not fill a worker.
+
+    The bound is the session's setting, lowered unless it is lower already.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def salted(df: DataFrame, key) -> DataFrame:
     """``df`` with a column ``salt`` that deals out the rows of one hot key by ``key``."""
     return df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))

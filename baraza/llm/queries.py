@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baraza.llm import bagminhash, collocations, containment, density, language, licences, private, recipes, relative_lz, rollup, unigram
+from baraza.llm import bagminhash, chat, collocations, containment, density, language, licences, negatives, private, recipes, relative_lz, rollup, unigram
 from baraza.llm.common import read, stored
 from baraza.session import run_folder
 
@@ -169,3 +169,32 @@ def op6_token_counts(spark, sf):
 """)
 def op11_phrase_collocations(spark, sf):
     return collocations.collocations(read(spark, sf, "documents")).drop("first_doc")
+
+
+@query("""
+    WITH taken AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+              FROM taken a JOIN taken b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER best <= 3
+""")
+def op12_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op13_chat_formatting(spark, sf):
+    """Window lengths depend on the tokenizer; tested against windows built turn by turn and digests of the turns themselves."""
+    with open(tokenizer_file(RANKS), "rb") as ranks:
+        ranks = ranks.read()
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return chat.read_back(chat.format_windows(turns, "byte_bpe_50k", RANKS_PATTERN, ranks))

@@ -1,6 +1,8 @@
 """Grouped aggregates shared by the reports."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,13 @@ def with_group_counts(df: DataFrame, keys: Sequence[str], counts: dict[str, Colu
     return df.join(totals, list(keys))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, null being equal to null; the keys come once."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    equal = reduce(and_, [left[k].eqNullSafe(renamed[f"_same_{k}"]) for k in keys])
+    return left.join(renamed, equal, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def last_per_key(changes: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
     """One change per key: the one with the largest ``sequence``, without a sequence the largest row."""
     row = F.struct(*changes.columns)

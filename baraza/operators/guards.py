@@ -2,14 +2,15 @@
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baraza import fixed_values as fv
+from baraza.operators.chain import paced
 from baraza.operators.grouped import with_group_counts
 from baraza.operators.ordered import running_sum
-from baraza.operators.sequential import MAX_ROWS, Fold, sequential_scan
+from baraza.operators.sequential import MAX_ROWS, Fold, largest_key, one_pass, sequential_scan
 
 
 def micros(ts: Column) -> Column:
@@ -52,15 +53,52 @@ class MessageWindow(SlidingWindow):
         return super().step(state, t) if role == "user" else (True, 0.0)
 
 
+def crowded(timed: DataFrame, keys: list[str], order: str, limit: int, window: int) -> DataFrame:
+    """Add ``crowded``: may the limiter block a row of this island?
+
+    A pause of a window ends an island and empties the limiter. In an island where every row lies at least a window behind its
+    ``limit``-th predecessor nothing is blocked, so nothing in it depends on earlier decisions.
+    """
+    by_key = Window.partitionBy(*keys).orderBy("event_us", order)
+    pause = F.col("event_us") - F.lag("event_us").over(by_key)
+    close = F.col("event_us") - F.lag("event_us", limit).over(by_key) < window
+    marked = timed.withColumns({"_opens": F.coalesce(pause >= window, F.lit(True)).cast("int"), "_close": F.coalesce(close, F.lit(False))})
+    marked = marked.withColumn("_island", F.sum("_opens").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("crowded", F.max("_close").over(Window.partitionBy(*keys, "_island"))).drop("_opens", "_close", "_island")
+
+
 def rate_limit(events: DataFrame, keys: list[str], ts: str, order: str, *, limit: int = fv.RATE_LIMIT,
                window_seconds: int = fv.RATE_WINDOW_SECONDS, rule: type[SlidingWindow] = SlidingWindow,
                max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add ``allowed`` and ``retry_after`` (seconds) per event, in ``(ts, order)`` order within the key."""
+    """Add ``allowed`` and ``retry_after`` (seconds) per event, in ``(ts, order)`` order within the key.
+
+    Where one key may outgrow a task (``max_rows``) a limit of one per window is decided by pointers instead of a scan
+    (``operators.chain``), and other limits in bounded segments. Below that the rows of islands that cannot be blocked are decided by
+    built-in windows, and only crowded islands reach the fold.
+    """
     window = window_seconds * 1_000_000
     timed = events.withColumn("event_us", micros(F.col(ts)))
-    scanned = sequential_scan(timed, keys, "event_us", ["event_us", order], rule(limit, window),
-                              quiet_us=window, max_rows=max_rows)
-    return scanned.drop("event_us")
+    largest = largest_key(timed, keys)
+    if largest > max_rows and limit == 1 and rule is SlidingWindow:
+        decided = paced(timed, keys, "event_us", [order], window)
+        wait = F.when(F.col("in_chain"), 0.0).otherwise((F.col("last_time") + window - F.col("event_us")) / 1e6)
+        return decided.select(*events.columns, F.col("in_chain").alias("allowed"), wait.alias("retry_after"))
+    fold = rule(limit, window)
+    if largest > max_rows or rule is not SlidingWindow:
+        return sequential_scan(timed, keys, "event_us", ["event_us", order], fold, quiet_us=window, max_rows=max_rows,
+                               largest=largest).drop("event_us")
+    marked = crowded(timed, keys, order, limit, window)
+    free = marked.where(~F.col("crowded")).withColumns({"allowed": F.lit(True), "retry_after": F.lit(0.0)})
+    scanned = one_pass(marked.where("crowded"), fold, keys, ["event_us", order])
+    return free.unionByName(scanned).drop("event_us", "crowded")
+
+
+def folded_share(events: DataFrame, keys: list[str], ts: str, order: str, *, limit: int = fv.RATE_LIMIT,
+                 window_seconds: int = fv.RATE_WINDOW_SECONDS) -> DataFrame:
+    """``(events, folded)``: how many rows there are, and how many of them only the fold can decide."""
+    window = window_seconds * 1_000_000
+    marked = crowded(events.withColumn("event_us", micros(F.col(ts))), keys, order, limit, window)
+    return marked.agg(F.count("*").alias("events"), F.count_if("crowded").alias("folded"))
 
 
 def block_notices(decisions: DataFrame, keys: list[str], ts: str, order: str, *,
@@ -100,6 +138,26 @@ class ReportSpacing(Fold):
         return [] if state["last"] is None else [state["last"], *state["seen"]]
 
 
+def _spaced(answers: DataFrame, spacing_us: int, max_rows: int) -> DataFrame:
+    """``verdict`` and ``retry_after`` of reports on answers.
+
+    A reporter who may outgrow a task and never names an answer twice can have no duplicates; then only the pause counts, and
+    the accepted reports are a chain of pointers. Every other reporter is scanned.
+    """
+    key, fold = "reported_by_user_id", ReportSpacing(spacing_us)
+    largest = largest_key(answers, [key])
+    if largest <= max_rows:
+        return sequential_scan(answers, [key], "event_us", ["event_us", "id"], fold, max_rows=max_rows, largest=largest)
+    flooding = answers.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("message_id").alias("named"))
+    flooding = flooding.where((F.col("n") > max_rows) & (F.col("n") == F.col("named"))).select(key)
+    paced_rows = paced(answers.join(flooding, key, "left_semi"), [key], "event_us", ["id"], spacing_us)
+    wait = F.round((F.lit(spacing_us) - (F.col("event_us") - F.col("last_time"))) / 1e6, 1)
+    chained = paced_rows.select(*answers.columns, F.when(F.col("in_chain"), "created").otherwise("rate_limited").alias("verdict"),
+                                F.when(~F.col("in_chain"), wait).alias("retry_after"))
+    scanned = sequential_scan(answers.join(flooding, key, "left_anti"), [key], "event_us", ["event_us", "id"], fold, max_rows=max_rows)
+    return chained.unionByName(scanned)
+
+
 def report_guard(reports: DataFrame, messages: DataFrame, *, spacing_seconds: int = fv.REPORT_SPACING_SECONDS,
                  flag_threshold: int = fv.FLAG_THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """Verdict per report: ``created, reason, report_count, flagged_for_review, retry_after``.
@@ -111,8 +169,7 @@ def report_guard(reports: DataFrame, messages: DataFrame, *, spacing_seconds: in
     target = reports.join(roles, "message_id", "left").select(*reports.columns, "_role")
     target = target.withColumn("event_us", micros(F.col("created_at")))
     answers = target.where(F.col("_role") == "assistant")
-    judged = sequential_scan(answers, ["reported_by_user_id"], "event_us", ["event_us", "id"],
-                             ReportSpacing(spacing_seconds * 1_000_000), max_rows=max_rows)
+    judged = _spaced(answers, spacing_seconds * 1_000_000, max_rows)
     rejected = target.where(F.col("_role").isNull() | (F.col("_role") != "assistant")).withColumns({
         "verdict": F.when(F.col("_role").isNull(), "message_not_found").otherwise("not_an_answer"),
         "retry_after": F.lit(None).cast("double")})

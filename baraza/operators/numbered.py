@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from baraza.operators.grouped import join_same
 from baraza.session import run_folder
 
 RANGE = "_range"
@@ -26,10 +27,12 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges:
     return df.sparkSession.read.parquet(folder)
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], *, ranges: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], *, ranges: int | None = None,
+                keep_range: bool = False) -> DataFrame:
     """Add, per entry of ``sums``, the sum over the key's rows before this one in ``order`` (0 for the first).
 
-    ``keys`` are never null; a null order value comes first. Rows equal in ``order`` come in some fixed sequence.
+    A null key is a key of its own; a null order value comes first. Rows equal in ``order`` come in some fixed sequence. Ranges are cut
+    from a sample of ``df``, so one that is costly to make is better stored before.
     """
     placed = in_ranges(df.withColumns({f"_of_{n}": c for n, c in sums.items()}), keys, order, ranges)
     totals = placed.groupBy(RANGE, *keys).agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums])
@@ -37,9 +40,10 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     carried = totals.select(RANGE, *keys, *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in sums])
     within = Window.partitionBy(RANGE, *keys).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(within), F.lit(0)) for n in sums})
-    return local.join(carried, [RANGE, *keys]).select(*df.columns, *[(F.col(n) + F.col(f"_from_{n}")).alias(n) for n in sums])
+    summed = [(F.col(n) + F.col(f"_from_{n}")).alias(n) for n in sums]
+    return join_same(local, carried, [RANGE, *keys]).select(*df.columns, *([RANGE] if keep_range else []), *summed)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, ranges: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, ranges: int | None = None, keep_range: bool = False) -> DataFrame:
     """Add the row's number inside its key, from 0."""
-    return prefix_sums(df, keys, order, {out: F.lit(1).cast("long")}, ranges=ranges)
+    return prefix_sums(df, keys, order, {out: F.lit(1).cast("long")}, ranges=ranges, keep_range=keep_range)

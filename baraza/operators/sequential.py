@@ -54,8 +54,8 @@ def _stream(fold: Fold, columns: list[str], group: list[str], carry_column: str
                     state = fold.start(carried[i] if carried else None)
                 for column, value in zip(results, fold.step(state, *row)):
                     column.append(value)
-                if keep_state:
-                    results[width].append(fold.carry(state))
+                if keep_state:  # on a group's last row of the batch; a later batch's comes after it in order
+                    results[width].append(fold.carry(state) if i + 1 == len(groups) or groups[i + 1] != current else None)
             arrays = [batch.column(j) for j, c in enumerate(columns) if c != carry_column]
             names = [c for c in columns if c != carry_column]
             new = schema.fields[len(names):]
@@ -70,7 +70,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind.simpleString()]
 
 
-def _one_pass(df, fold, group, order, carry_column=None, keep_state=False):
+def one_pass(df, fold, group, order, carry_column=None, keep_state=False):
+    """``fold`` over each group's rows in ``order``; a group is one task's work."""
     columns = df.columns
     fields = [f for f in df.schema.fields if f.name != carry_column]
     fields += [T.StructField(n, t) for n, t in fold.outputs]
@@ -81,17 +82,21 @@ def _one_pass(df, fold, group, order, carry_column=None, keep_state=False):
     return placed.mapInArrow(_stream(fold, columns, group, carry_column, keep_state, schema), schema)
 
 
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def sequential_scan(df: DataFrame, keys: list[str], time_us: str, order: list[str], fold: Fold, *,
                     quiet_us: int | None = None, segment_us: int = 3_600_000_000,
-                    max_rows: int = MAX_ROWS) -> DataFrame:
+                    max_rows: int = MAX_ROWS, largest: int | None = None) -> DataFrame:
     """Run ``fold`` over each key's rows in ``order`` and add its output columns.
 
     ``time_us`` is the event time in microseconds and leads ``order``. ``quiet_us``, if given, is a pause after
-    which the fold's state is empty.
+    which the fold's state is empty. ``largest``: the rows of the largest key, counted here if not given.
     """
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if largest is None or largest <= max_rows:
-        return _one_pass(df, fold, keys, order)
+    largest = largest_key(df, keys) if largest is None else largest
+    if largest <= max_rows:
+        return one_pass(df, fold, keys, order)
 
     slot = F.expr(f"`{time_us}` div {quiet_us or segment_us}")
     per_key = Window.partitionBy(*keys).orderBy("_slot")
@@ -109,7 +114,7 @@ def sequential_scan(df: DataFrame, keys: list[str], time_us: str, order: list[st
     rounds = placed.agg(F.max("_segment")).first()[0] + 1
     group = [*keys, "_part"]
     if rounds == 1:
-        return _one_pass(placed.drop("_segment"), fold, group, order).drop("_part")
+        return one_pass(placed.drop("_segment"), fold, group, order).drop("_part")
 
     done, states = None, None
     for number in range(rounds):
@@ -118,8 +123,9 @@ def sequential_scan(df: DataFrame, keys: list[str], time_us: str, order: list[st
             rows = rows.withColumn("_carried", F.lit(None).cast(fold.state_type))
         else:
             rows = rows.join(states.withColumnRenamed("_state", "_carried"), group, "left")
-        result = _one_pass(rows, fold, group, order, "_carried", keep_state=True).checkpoint()
-        states = result.groupBy(*group).agg(F.max_by("_state", F.struct(*order)).alias("_state"))
+        result = one_pass(rows, fold, group, order, "_carried", keep_state=True).checkpoint()
+        ends = result.where(F.col("_state").isNotNull())
+        states = ends.groupBy(*group).agg(F.max_by("_state", F.struct(*order)).alias("_state"))
         result = result.drop("_state", "_part")
         done = result if done is None else done.unionByName(result)
     return done

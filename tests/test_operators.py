@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from baraza.operators import fusion, geometry, grouped, guards, knn, lexical, ordered
+from baraza.operators import chain, fusion, geometry, grouped, guards, knn, lexical, ordered
 
 
 @pytest.fixture(scope="module")
@@ -197,6 +197,47 @@ def test_limiter_matches_model_when_cut(spark, max_rows):
     assert got == {k: _limiter_model(ts, 3, 30) for k, ts in times.items()}
 
 
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_paced_chains_match_the_scan(spark, ranges):
+    """One event per pause by doubled pointers: ties, a flooding key, single rows, a null key."""
+    rnd = random.Random(6)
+    times = {"flood": sorted(rnd.randint(0, 300) for _ in range(300)), "same": [5] * 20, "one": [3], None: [0, 1, 10, 30], "rare": list(range(0, 3000, 70))}
+    rows = spark.createDataFrame([(k, i, t) for k, ts in times.items() for i, t in enumerate(ts)], "k string, i long, t long")
+    got = {}
+    for r in chain.paced(rows, ["k"], "t", ["i"], 7, ranges=ranges).orderBy("k", "i").collect():
+        got.setdefault(r.k, []).append((r.in_chain, None if r.last_time is None else r.last_time + 7 - r.t))
+    want = {k: [(a, None if a else int(w)) for a, w in _limiter_model(ts, 1, 7)] for k, ts in times.items()}
+    assert got == want
+
+
+@pytest.mark.parametrize("max_rows", [5_000_000, 30])
+def test_one_per_window_for_a_flooding_key(spark, max_rows):
+    rnd = random.Random(9)
+    times = {f"k{n}": sorted(rnd.randint(0, span) for _ in range(60)) for n, span in enumerate([50, 3000])} | {"few": [0, 1, 40]}
+    got = _limited(guards.rate_limit(_events(spark, times), ["k"], "ts", "i", limit=1, window_seconds=30, max_rows=max_rows))
+    assert got == {k: _limiter_model(ts, 1, 30) for k, ts in times.items()}
+
+
+def test_free_islands_need_no_fold(spark):
+    """Rows that cannot be blocked are told apart: an island with one crowded place goes to the fold as a whole."""
+    times = {"free": [0, 10, 40, 50, 80, 90], "crowd": [0, 1, 2, 20, 200, 230], "edge": [0, 10, 30, 40]}
+    got = guards.folded_share(_events(spark, times), ["k"], "ts", "i", limit=2, window_seconds=30).first()
+    assert (got.events, got.folded) == (16, 4)
+
+
+def test_guard_of_a_flooding_reporter(spark):
+    """A reporter beyond a task who names every answer once is decided by pointers, others by the scan; the verdicts are the same."""
+    rnd = random.Random(12)
+    rows = [(100 + i, 1, t) for i, t in enumerate(sorted(rnd.randint(0, 5000) for _ in range(80)))]
+    rows += [(rnd.choice([100, 101, 102]), u, rnd.randint(0, 5000)) for u in (2, 3) for _ in range(40)]
+    rows.sort(key=lambda r: r[2])
+    answers = spark.createDataFrame([(i, "assistant") for i in range(100, 200)], "id long, role string")
+    reports = _reports(spark, rows)
+    want = guards.report_guard(reports, answers, spacing_seconds=60).orderBy("id").collect()
+    got = guards.report_guard(reports, answers, spacing_seconds=60, max_rows=30).orderBy("id").collect()
+    assert got == want and [r["reason"] for r in got] == _guard_model(rows, 60)
+
+
 def test_block_notices(spark):
     decided = guards.rate_limit(_events(spark, {"a": [0, 1, 2, 30, 65, 66]}), ["k"], "ts", "i", limit=1, window_seconds=60)
     got = [r["notify"] for r in guards.block_notices(decided, ["k"], "ts", "i", window_seconds=60).orderBy("i").collect()]

@@ -11,12 +11,13 @@ from baraza.bindings import table
 from baraza.functions import identity, serialise, urls
 from baraza.functions import text as tx
 from baraza.operators import fusion, geometry, grouped, guards, knn, lexical
+from baraza.operators.numbered import numbered
 from baraza.operators.ordered import previous_row
 from baraza.operators.topk import page_of, page_total, top_k
 from baraza.plans import answers, conversations, corpus, links, maintenance, moderation, quality, replay, retrieval, stats
 from baraza.session import run_folder
 from baraza.sources import documents
-from baraza.streaming import ingest, keyed, running, stateful, windows
+from baraza.streaming import ingest, keyed, running, stateful, versioned, windows
 from baraza.streaming.replay import stream_replay
 
 QUERIES: dict = {}
@@ -137,11 +138,8 @@ def _(spark, sf):
 @query("text_layer_screen", f"""SELECT source, bool_or(length({_strip('text')}) >= 1500) AS has_text FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) WHERE page <= 5 GROUP BY source""")
 def _(spark, sf):
-    from baraza.operators.ordered import running_sum
-
-    numbered = running_sum(table(spark, sf, "documents").select("source", "doc_id", "text"), ["source"], "doc_id",
-                           F.lit(1), "page")
-    return documents.text_layer(numbered, 5, 1500)
+    lengths = table(spark, sf, "documents").select("source", "doc_id", documents.trimmed_length(F.col("text")).alias("n_chars"))
+    return documents.text_layer(numbered(lengths, ["source"], ["doc_id"], "number"), 5, 1500)
 
 
 @query("chunk_documents", f"""WITH {CHUNK} SELECT source || '_p' || page || '_c' || chunk_no AS chunk_id, source, page, chunk_no, text
@@ -250,14 +248,40 @@ def _(spark, sf):
     return geometry.page_text(b.blocks(spark, sf), b.ruled_tables(spark, sf))
 
 
-@query("corpus_build", f"""WITH {SRC}, {CHUNK}, {_HEADED} SELECT src.id AS source_id, page::BIGINT AS page_number,
+_SCREEN = f"""screened AS (SELECT source, bool_or(n >= 1500) AS has_text FROM (SELECT source, length({_strip('text')}) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents) WHERE number <= 5 GROUP BY source)"""
+_CHOSEN = f"""{_SCREEN}, chosen AS (SELECT source, page FROM filled WHERE source IN (SELECT source FROM screened WHERE has_text)
+    AND (NOT any_heading OR lower(section) = 'en'))"""
+_SCREENED = dict(first_pages=5, layer_chars=1500)
+
+
+def _stand_in_heading(lang: str = "lang"):
+    """A heading on long documents; the given texts hold no county headings."""
+    return F.when(F.length("text") >= 9500, F.upper(lang))
+
+
+def _built(spark, sf):
+    pages = table(spark, sf, "documents").select("source", F.col("doc_id").alias("page"), "text", "lang")
+    return corpus.build_chunks(pages, b.sources(spark, sf), "en", heading=_stand_in_heading(), **_SCREENED)
+
+
+@query("corpus_build", f"""WITH {SRC}, {CHUNK}, {_HEADED}, {_CHOSEN} SELECT src.id AS source_id, page::BIGINT AS page_number,
   row_number() OVER (PARTITION BY source ORDER BY page, chunk_no) - 1 AS chunk_index, text AS chunk_text, src.government_arm
-  FROM chunk JOIN src ON src.title = chunk.source WHERE page IN (SELECT page FROM headed)""")
+  FROM chunk JOIN src ON src.title = chunk.source WHERE page IN (SELECT page FROM chosen)""")
 def _(spark, sf):
-    chunks, _outcomes = corpus.build_chunks(b.pages(spark, sf), b.sources(spark, sf), "nakuru", first_pages=1 << 30)
+    chunks, _outcomes = _built(spark, sf)
     return chunks.select("source_id", "page_number", "chunk_index", "chunk_text", "government_arm")
 
 
+@query("corpus_outcomes", f"""WITH {SRC}, {_HEADED}, {_CHOSEN}, n AS (SELECT source, count(*) AS c FROM chosen GROUP BY source)
+  SELECT src.id AS source_id, CASE WHEN has_text AND c > 0 THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN NOT has_text THEN 'no text layer: scanned pages need OCR' WHEN c IS NULL THEN 'no pages found for county en' END AS error,
+  coalesce(c, 0) AS page_count FROM src JOIN screened ON screened.source = src.title LEFT JOIN n ON n.source = src.title""")
+def _(spark, sf):
+    _chunks, outcomes = _built(spark, sf)
+    return outcomes
+
+
 # ---- text -------------------------------------------------------------------------------------
 _MARK = _list(MARKERS)
 _REAL = _list(fv.SWAHILI_MARKERS)
@@ -1473,10 +1497,6 @@ def _(spark, sf):
 
 
 # ---- streams ----------------------------------------------------------------------------------
-def _event_stream(spark, sf):
-    return running.read_stream(spark, sf, schemas.EVENTS, pattern="events.parquet")
-
-
 def _in_files(spark, sf, name, schema, *by):
     """The given table as a stream of six files, dealt by hash: every micro-batch holds rows of all times and sources."""
     path = run_folder(spark, f"{name}-files")
@@ -1484,8 +1504,23 @@ def _in_files(spark, sf, name, schema, *by):
     return running.read_stream(spark, path, schema, 1)
 
 
-def _message_stream(spark, sf):
-    return b.messages(spark, sf, running.read_stream(spark, sf, schemas.CONVERSATIONS, pattern="conversations.parquet"))
+def _in_slices(spark, sf, name, schema, order):
+    """The given table as a stream of six files in the order of a whole number: for rules that carry state from batch to batch."""
+    path = run_folder(spark, f"{name}-slices")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet").withColumn("_order", order)
+    edges = sorted(set(rows.approxQuantile("_order", [i / 6 for i in range(1, 6)], 0.001)))
+    slice_ = sum((F.col("_order") >= e).cast("int") for e in edges)
+    for i in range(len(edges) + 1):  # one after the other: a stream takes files by their time
+        rows.where(slice_ == i).drop("_order").coalesce(1).write.mode("append").parquet(path)
+    return running.read_stream(spark, path, schema, 1)
+
+
+def _event_slices(spark, sf):
+    return _in_slices(spark, sf, "events", schemas.EVENTS, guards.micros(F.col("ts")))
+
+
+def _message_slices(spark, sf, order):
+    return b.messages(spark, sf, _in_slices(spark, sf, "conversations", schemas.CONVERSATIONS, order))
 
 
 @query("stream_rate_limit", SQL["rate_limit_decisions"])
@@ -1507,23 +1542,24 @@ def _(spark, sf):
 
 @query("stream_report_guard", f"{_GUARD} SELECT id, message_id, reported_by_user_id, reason AS verdict, retry_after FROM verd")
 def _(spark, sf):
-    reports = b.disputes(spark, sf, _event_stream(spark, sf)).select("id", "message_id", "reported_by_user_id", "created_at")
+    reports = b.disputes(spark, sf, _event_slices(spark, sf)).select("id", "message_id", "reported_by_user_id", "created_at")
     judged = stateful.stream_report_guard(reports, b.messages(spark, sf), spacing_seconds=_SIX_HOURS)
     return running.run_to_table(judged, "stream-report-guard").drop("created_at")
 
 
 @query("stream_report_labels", SQL["report_state_labels"])
 def _(spark, sf):
-    labelled = stateful.stream_report_labels(_message_stream(spark, sf).drop("citation", "created_at"), F.length("text") % 3 == 0)
+    messages = _message_slices(spark, sf, F.col("turn"))  # every session runs through several files
+    labelled = stateful.stream_report_labels(messages.drop("citation", "created_at"), F.length("text") % 3 == 0)
     return running.run_to_table(labelled, "stream-report-labels").select("id", "session_id", "action", "target_message_id")
 
 
 @query("stream_query_volume", SQL["query_volume_weekly"])
 def _(spark, sf):
-    e = _event_stream(spark, sf)
+    e = _in_files(spark, sf, "events", schemas.EVENTS, "event_id")
     role = F.when(F.col("event_type").isin("view", "click"), "user").otherwise("assistant")
-    weekly = windows.stream_query_volume(e.select(role.alias("role"), F.col("ts").alias("created_at")), "week")
-    return running.run_latest(weekly, "stream-volume").select(F.date_format("start", "yyyy-MM-dd").alias("week"), "queries")
+    weekly = windows.stream_query_volume(e.select(role.alias("role"), F.col("ts").alias("created_at")), "week", lateness="400 days")
+    return versioned.run_versioned(weekly, ["start"], "stream-volume").select(F.date_format("start", "yyyy-MM-dd").alias("week"), "queries")
 
 
 @query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events
@@ -1532,41 +1568,42 @@ def _(spark, sf):
   SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S') AS ended,
   count(*) AS messages FROM s GROUP BY user_id, n""")
 def _(spark, sf):
-    sessions = windows.stream_sessions(_event_stream(spark, sf).select("user_id", F.col("ts").alias("created_at")), "user_id", "6 hours")
+    sessions = windows.stream_sessions(_event_slices(spark, sf).select("user_id", F.col("ts").alias("created_at")), "user_id", "6 hours")
     return running.run_latest(sessions, "stream-sessions").select(
         "user_id", serialise.iso(F.col("start")).alias("started"), serialise.iso(F.col("end")).alias("ended"), "messages")
 
 
-@query("stream_unique_reports", f"WITH {DISP} SELECT DISTINCT message_id, reported_by_user_id FROM disp")
+@query("stream_unique_reports", f"""WITH {DISP} SELECT message_id, reported_by_user_id, id FROM disp
+  QUALIFY row_number() OVER (PARTITION BY message_id, reported_by_user_id ORDER BY created_at, id) = 1""")
 def _(spark, sf):
     reports = b.disputes(spark, sf, _in_files(spark, sf, "events", schemas.EVENTS, "event_id"))
     reports = reports.select("id", "message_id", "reported_by_user_id", "created_at")
-    return keyed.decided(reports, ["message_id"], keyed.unique_reports, "stream-unique").select("message_id", "reported_by_user_id")
+    first = windows.stream_first_reports(reports)
+    return versioned.run_versioned(first, ["message_id", "reported_by_user_id"], "stream-unique").select("message_id", "reported_by_user_id", "id")
 
 
 @query("stream_reporter_counts", f"""WITH {DISP} SELECT message_id, count(DISTINCT reported_by_user_id) AS reporters,
   count(DISTINCT reported_by_user_id) >= 15 AS flagged FROM disp GROUP BY 1""")
 def _(spark, sf):
     reports = b.disputes(spark, sf, _in_files(spark, sf, "events", schemas.EVENTS, "event_id")).select("message_id", "reported_by_user_id")
-    return keyed.decided(reports, ["message_id"], lambda rows: keyed.reporter_counts(rows, 15), "stream-counts")
+    return versioned.run_versioned(windows.stream_distinct_reporters(reports, 15), ["message_id"], "stream-counts")
 
 
-@query("stream_ingest", f"""WITH {SRC}, {CHUNK}, hl AS (SELECT source FROM documents GROUP BY source
-    HAVING bool_or(length({_strip('text')}) >= 20)), ok AS (SELECT doc_id FROM documents WHERE length({_strip('text')}) >= 20)
-  SELECT src.id AS source_id, count(*) AS chunks, sum(length(text))::BIGINT AS n_chars FROM chunk JOIN src ON src.title = chunk.source
-  WHERE source IN (SELECT source FROM hl) AND page IN (SELECT doc_id FROM ok) GROUP BY 1""")
+@query("stream_ingest", f"""WITH {SRC}, {CHUNK}, {_HEADED}, {_CHOSEN} SELECT src.id AS source_id, page AS page_number,
+  row_number() OVER (PARTITION BY source ORDER BY page, chunk_no) - 1 AS chunk_index, md5(text) AS text_key
+  FROM chunk JOIN src ON src.title = chunk.source WHERE page IN (SELECT page FROM chosen)""")
 def _(spark, sf):
+    """Pages arrive in any order over six batches; the screen, the county's section and the numbers are those of the batch job."""
     docs = _in_files(spark, sf, "documents", schemas.DOCUMENTS, "doc_id")
-    arriving = docs.select("source", F.col("doc_id").alias("page"), "text")
+    arriving = docs.select("source", F.col("doc_id").alias("page"), "text", "lang")
     folder = run_folder(spark, "stream-ingest")
-    chunks = ingest.ingest_arrivals(arriving, b.sources(spark, sf), "nakuru", f"{folder}/table", f"{folder}/checkpoint",
-                                    first_pages=1 << 30)  # page numbers run over all sources here
-    return chunks.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(
-        F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
+    chunks, _outcomes = ingest.ingest_arrivals(arriving, b.sources(spark, sf), "en", f"{folder}/table", f"{folder}/checkpoint",
+                                               heading=_stand_in_heading(), **_SCREENED)
+    return chunks.select("source_id", "page_number", "chunk_index", F.md5("chunk_text").alias("text_key"))
 
 
 @query("stream_replay", f"{_REPLAY_SQL} SELECT id, message_id, reported_by_user_id, reason AS verdict FROM verd")
 def _(spark, sf):
-    raw = running.read_stream(spark, sf, schemas.CONVERSATIONS, pattern="conversations.parquet")
+    raw = _in_slices(spark, sf, "conversations", schemas.CONVERSATIONS, F.col("conv_id") * 1000 + F.col("turn"))
     _labelled, verdicts, _counts = stream_replay(_log(spark, sf, raw), b.messages(spark, sf), is_report=F.length("text") % 3 == 0, **_REPLAY)
     return verdicts.select("id", "message_id", "reported_by_user_id", "verdict")

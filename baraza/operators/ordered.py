@@ -5,7 +5,8 @@ are cut into blocks of consecutive values of an integer order column that is uni
 block holds at most ``block`` rows. Window functions run per (key, block); one summary row per block
 carries what later blocks need, and a second window over those few summary rows joins it back. The
 summary is smaller than the input by up to the block size. The block is a plain function of the row, so
-a recomputed task yields the same blocks.
+a recomputed task yields the same blocks. Where order values are sparse such blocks hold few rows each; rows that were dealt
+into ranges (``operators.numbered``) use the range as their block instead.
 """
 
 from collections.abc import Sequence
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.expr(f"`{order}` div {block}"))
+def _blocked(df: DataFrame, order: str, block: int | str) -> DataFrame:
+    """``block`` is a number of consecutive order values, or a column that grows with them (``numbered.RANGE``)."""
+    return df.withColumn("_block", F.col(block) if isinstance(block, str) else F.expr(f"`{order}` div {block}"))
 
 
 def _within(keys: Sequence[str], order: str):
@@ -32,7 +34,7 @@ _BEFORE = (Window.unboundedPreceding, -1)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fills: dict[str, Column], *,
-                 inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+                 inclusive: bool = True, block: int | str = BLOCK) -> DataFrame:
     """Add, per entry of ``fills``, the latest non-null value at or before (``inclusive``) the row.
 
     With ``inclusive=False`` this is a backward as-of lookup inside the key.
@@ -53,7 +55,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fills: dict[str
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, *,
-                inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+                inclusive: bool = True, block: int | str = BLOCK) -> DataFrame:
     """Add the sum of ``value`` over the key's rows up to (``inclusive``) this row."""
     rows = _blocked(df, order, block).withColumn("_value", value)
     totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
@@ -66,7 +68,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, *,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int | str = BLOCK) -> DataFrame:
     """Add ``value`` of the key's directly preceding row (null for the first)."""
     rows = _blocked(df, order, block).withColumn("_value", F.struct(value.alias("v")))
     last_row = rows.groupBy(*keys, "_block").agg(F.max_by("_value", order).alias("_last"))
@@ -77,7 +79,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str, value: Column,
 
 
 def previous_rows(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, count: int, *,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int | str = BLOCK) -> DataFrame:
     """Add up to ``count`` values of the key's preceding rows, oldest first."""
     rows = _blocked(df, order, block).withColumn("_value", value)
     newest_first = Window.partitionBy(*keys, "_block").orderBy(F.desc(order))

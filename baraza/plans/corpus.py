@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
-from baraza.functions.text import chunk_id, heading_county, window_count, word_windows
+from baraza.functions.text import chunk_id, heading_county, strip, window_count, word_windows
+from baraza.operators.numbered import RANGE, in_ranges
 from baraza.operators.ordered import forward_fill, previous_row, running_sum
-from baraza.session import shared_folder
+from baraza.session import run_folder, shared_folder
 from baraza.sources.documents import readable_pages, text_layer
 
 
@@ -79,31 +80,70 @@ def chunk_pages_numbered(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap:
     return cut.withColumn("chunk_index", F.col("_before") + F.col("chunk_no")).drop("_before")
 
 
-def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,
-                 embed: Callable[[DataFrame], DataFrame] | None = None,
-                 size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP,
-                 first_pages: int = fv.TEXT_LAYER_PAGES) -> tuple[DataFrame, DataFrame]:
-    """The whole ingestion: ``(chunks, outcomes)`` for every source that has pages.
+def page_facts(pages: DataFrame, heading=None, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
+    """``(source, page, n_chars, heading, n_chunks)``: all that choosing and numbering needs of a page, from one look at its text."""
+    found = heading if heading is not None else heading_county(F.col("text"))
+    trimmed = pages.withColumn("text", strip(F.col("text")))
+    readable = F.length("text") >= fv.MIN_PAGE_CHARS
+    return trimmed.select("source", "page", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.when(readable, found).alias("heading"),
+                          F.when(readable, window_count(F.col("text"), size, overlap)).otherwise(0).cast("long").alias("n_chunks"))
 
-    ``pages`` has ``source, page, text``; ``sources`` has ``id, title, government_arm, county`` and pages refer to
-    ``title``. Outcomes name the sources without a text layer or without pages for the county.
+
+def chosen_pages(facts: DataFrame, county: str, *, first_pages: int = fv.TEXT_LAYER_PAGES,
+                 layer_chars: int = fv.MIN_PAGE_CHARS) -> tuple[DataFrame, DataFrame]:
+    """``(chosen, layers)``: the pages of one county's section with the number of chunks before each (``source, page, before``), and
+    for each source whether one of its first pages holds text (``source, has_text``).
+
+    ``facts`` is a stored table of ``page_facts``. The first pages are told by their number in the source, not by what they are
+    called; a source of any size is spread over ranges.
     """
-    layers = text_layer(pages, first_pages)
-    usable = pages.join(layers.where("has_text").select("source"), "source", "left_semi")
-    numbers = county_page_numbers(usable, county)
-    chosen = readable_pages(usable).join(numbers, ["source", "page"], "left_semi").select("source", "page", "text")
-    numbered = chunk_pages_numbered(chosen, size, overlap)
+    placed = in_ranges(facts, ["source"], ["page"])
+    layers = text_layer(running_sum(placed, ["source"], "page", F.lit(1), "number", inclusive=False, block=RANGE), first_pages, layer_chars)
+    readable = placed.where(F.col("n_chars") >= fv.MIN_PAGE_CHARS)
+    filled = forward_fill(readable, ["source"], "page", {"section": F.col("heading")}, block=RANGE)
+    about = layers.join(readable.groupBy("source").agg(F.max("heading").isNotNull().alias("headed")), "source")
+    kept = (filled.join(about.where("has_text"), "source")
+            .where(~F.col("headed") | (F.lower("section") == county.lower())).select(*placed.columns))
+    chosen = running_sum(kept, ["source"], "page", F.col("n_chunks"), "before", inclusive=False, block=RANGE)
+    return chosen.select("source", "page", "before"), layers
+
+
+def described_chunks(cut: DataFrame, sources: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``cut`` (``chunk_id, source, page, chunk_index, text``) with what its source says about it, as rows of the chunk table."""
     known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source"), "government_arm", "county")
-    chunks = numbered.join(known, "source").select(
+    chunks = cut.join(known, "source").select(
         "source_id", "government_arm", "county", F.col("text").alias("chunk_text"),
         F.col("page").cast("int").alias("page_number"), F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_id")
-    if embed is not None:
-        chunks = embed(chunks)
-    counts = numbers.groupBy("source").agg(F.count("*").alias("page_count"))
+    return embed(chunks) if embed is not None else chunks
+
+
+def ingest_outcomes(chosen: DataFrame, layers: DataFrame, sources: DataFrame, county: str) -> DataFrame:
+    """``(source_id, status, error, page_count)`` for every source that has pages."""
+    counts = chosen.groupBy("source").agg(F.count("*").alias("page_count"))
+    known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source"))
     found = known.join(layers, "source").join(counts, "source", "left")
     error = (F.when(~F.col("has_text"), "no text layer: scanned pages need OCR")
              .when(F.col("page_count").isNull(), F.concat(F.lit("no pages found for county "), F.lit(county))))
-    outcomes = found.select("source_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"),
-                            F.left(error, F.lit(fv.MAX_ERROR_CHARS)).alias("error"),
-                            F.coalesce("page_count", F.lit(0)).alias("page_count"))
-    return chunks, outcomes
+    return found.select("source_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"),
+                        F.left(error, F.lit(fv.MAX_ERROR_CHARS)).alias("error"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
+
+
+def build_chunks(pages: DataFrame, sources: DataFrame, county: str, *,
+                 embed: Callable[[DataFrame], DataFrame] | None = None,
+                 size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP,
+                 first_pages: int = fv.TEXT_LAYER_PAGES, layer_chars: int = fv.MIN_PAGE_CHARS, heading=None) -> tuple[DataFrame, DataFrame]:
+    """The whole ingestion: ``(chunks, outcomes)`` for every source that has pages.
+
+    ``pages`` has ``source, page, text``; ``sources`` has ``id, title, government_arm, county`` and pages refer to
+    ``title``. Outcomes name the sources without a text layer or without pages for the county. Texts are read twice: once for the
+    narrow table that decides, and once to cut the chosen pages, behind a semi-join with their numbers.
+    """
+    spark = pages.sparkSession
+    folder = run_folder(spark, "corpus")
+    page_facts(pages, heading, size, overlap).write.parquet(f"{folder}/facts")
+    chosen, layers = chosen_pages(spark.read.parquet(f"{folder}/facts"), county, first_pages=first_pages, layer_chars=layer_chars)
+    chosen.write.parquet(f"{folder}/chosen")
+    chosen = spark.read.parquet(f"{folder}/chosen")
+    cut = chunk_pages(readable_pages(pages).select("source", "page", "text").join(chosen, ["source", "page"]), size, overlap)
+    cut = cut.withColumn("chunk_index", F.col("before") + F.col("chunk_no"))
+    return described_chunks(cut, sources, embed), ingest_outcomes(chosen, layers, sources, county)

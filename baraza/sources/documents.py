@@ -19,9 +19,12 @@ def readable_pages(pages: DataFrame, min_chars: int = fv.MIN_PAGE_CHARS) -> Data
 
 def text_layer(pages: DataFrame, first_pages: int = fv.TEXT_LAYER_PAGES,
                min_chars: int = fv.MIN_PAGE_CHARS) -> DataFrame:
-    """``(source, has_text)``: does one of the first pages hold readable text (else it is a scan)?"""
-    first = pages.where(F.col("page") <= first_pages)
-    return first.groupBy("source").agg(F.bool_or(trimmed_length(F.col("text")) >= min_chars).alias("has_text"))
+    """``(source, has_text)``: does one of the first pages hold readable text (else it is a scan)?
+
+    ``pages`` has ``source``, the page's ``number`` in its source from 0 (``operators.numbered``) and its trimmed length ``n_chars``.
+    """
+    first = pages.where(F.col("number") < first_pages)
+    return first.groupBy("source").agg(F.bool_or(F.col("n_chars") >= min_chars).alias("has_text"))
 
 
 def read_binary_documents(spark: SparkSession, path: str, max_bytes: int = fv.MAX_DOCUMENT_BYTES) -> DataFrame:

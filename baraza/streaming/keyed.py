@@ -2,8 +2,12 @@
 
 Arrived rows are kept in a table, dealt into buckets by key. Each micro-batch decides the buckets it touches anew, with the
 batch operator, from everything that has arrived. So no row is ever too late, none is lost or counted twice, and the
-result after the last batch is the batch result. The price is reading a touched bucket's history again; where rows arrive
-in order and late ones may go, the stateful streams keep less.
+result after the last batch is the batch result. The price is reading a touched bucket's history again, for rules whose
+every decision hangs on the one before; where rows arrive in order and late ones may go, the stateful streams keep less, and
+what can be kept up by running values is (``streaming.windows``, ``streaming.versioned``).
+
+A batch writes its buckets beside the older ones and is then entered in the manifest with their numbers; a reader takes each bucket
+from the last batch entered that decided it, so it never sees one missing or half written.
 """
 
 from collections.abc import Callable
@@ -14,19 +18,15 @@ from pyspark.sql import types as T
 
 from baraza.session import run_folder
 from baraza.streaming.running import run_batches
+from baraza.streaming.versioned import Manifest
 
 BUCKET, ARRIVAL = "run_bucket", "run_arrival"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _latest(rows: DataFrame, identity: list[str]) -> DataFrame:
-    """Of the rows of one identity the one that arrived last."""
+    """Of the rows of one identity the one that arrived last, of those of one batch the largest."""
     row = F.struct(*[c for c in rows.columns if c != ARRIVAL])
-    return rows.groupBy(*[F.col(c).alias(f"_{c}") for c in identity]).agg(F.max_by(row, ARRIVAL).alias("row")).select("row.*")
+    return rows.groupBy(*[F.col(c).alias(f"_{c}") for c in identity]).agg(F.max_by(row, F.struct(F.col(ARRIVAL), row)).alias("row")).select("row.*")
 
 
 def run_keyed(stream: DataFrame, keys: list[str], decide: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, *,
@@ -39,6 +39,7 @@ def run_keyed(stream: DataFrame, keys: list[str], decide: Callable[[DataFrame],
     """
     spark = stream.sparkSession
     result = decide(spark.createDataFrame([], stream.schema)).schema
+    manifest = Manifest(spark, folder)
 
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -50,30 +51,23 @@ def run_keyed(stream: DataFrame, keys: list[str], decide: Callable[[DataFrame],
         touched = [r[0] for r in written.where(F.col(ARRIVAL) == number).select(BUCKET).distinct().collect()]  # at most ``buckets``
         rows = written.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
         rows = _latest(rows, identity) if identity else rows.drop(ARRIVAL)
-        for b in touched:
-            _remove(session, f"{folder}/decided/{BUCKET}={b}")
-        decide(rows).withColumn(BUCKET, bucket).write.mode("append").partitionBy(BUCKET).parquet(f"{folder}/decided")
+        if str(number) not in manifest.entries():
+            decide(rows).withColumn(BUCKET, bucket).write.mode("overwrite").parquet(f"{folder}/decided-{number}")
+            manifest.enter(str(number), {"buckets": touched})
 
     run_batches(stream, checkpoint, handle)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/decided")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], result)
-    return spark.read.schema(result).parquet(f"{folder}/decided").drop(BUCKET)
+    current: dict[int, int] = {}
+    for number, entry in sorted(manifest.entries().items(), key=lambda x: int(x[0])):
+        current |= dict.fromkeys(entry["buckets"], int(number))
+    stored = T.StructType([*[T.StructField(f.name, f.dataType) for f in result], T.StructField(BUCKET, T.IntegerType())])
+    found = spark.createDataFrame([], stored)
+    for number in sorted(set(current.values())):
+        own = [b for b, n in current.items() if n == number]
+        found = found.unionByName(spark.read.schema(stored).parquet(f"{folder}/decided-{number}").where(F.col(BUCKET).isin(own)))
+    return found.drop(BUCKET)
 
 
 def decided(stream: DataFrame, keys: list[str], decide: Callable[[DataFrame], DataFrame], label: str, **options) -> DataFrame:
     """``run_keyed`` in a fresh folder."""
     folder = run_folder(stream.sparkSession, label)
     return run_keyed(stream, keys, decide, folder, f"{folder}/checkpoint", **options)
-
-
-def unique_reports(reports: DataFrame) -> DataFrame:
-    """One report per (answer, reporter): the earliest, for ever."""
-    row = F.struct(*reports.columns)
-    return reports.groupBy("message_id", "reported_by_user_id").agg(F.min_by(row, F.struct("created_at", "id")).alias("row")).select("row.*")
-
-
-def reporter_counts(reports: DataFrame, flag_threshold: int) -> DataFrame:
-    """Distinct reporters per answer, and whether they reach the review threshold."""
-    counted = reports.groupBy("message_id").agg(F.countDistinct("reported_by_user_id").alias("reporters"))
-    return counted.withColumn("flagged", F.col("reporters") >= flag_threshold)

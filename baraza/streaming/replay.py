@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 from baraza import fixed_values as fv
 from baraza.operators.guards import MessageWindow
 from baraza.plans.replay import filed_reports
-from baraza.streaming.running import read_stream, run_latest, run_to_table
+from baraza.streaming.running import run_to_folder, stream_again
 from baraza.streaming.stateful import stream_rate_limit, stream_report_guard, stream_report_labels
+from baraza.streaming.versioned import run_versioned
 from baraza.streaming.windows import stream_reporter_counts
 
 
-def _again(table: DataFrame) -> DataFrame:
-    """A finished stage's table as the next stage's stream."""
-    return read_stream(table.sparkSession, _folder(table), table.schema)
-
-
-def _folder(table: DataFrame) -> str:
-    return table.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def stream_replay(messages: DataFrame, answers: DataFrame, *, limit: int = fv.RATE_LIMIT,
                   window_seconds: int = fv.RATE_WINDOW_SECONDS, spacing_seconds: int = fv.REPORT_SPACING_SECONDS,
                   flag_threshold: int = fv.FLAG_THRESHOLD, is_report: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,8 +22,12 @@ def stream_replay(messages: DataFrame, answers: DataFrame, *, limit: int = fv.RA
     # Answers pass the limiter too, so one table keeps every session's messages in arrival order.
     limited = stream_rate_limit(messages, ["user_id"], "created_at", "id", limit=limit, window_seconds=window_seconds,
                                 rule=MessageWindow)
-    allowed = run_to_table(limited.where("allowed").drop("allowed", "retry_after"), "limited")
-    labelled = run_to_table(stream_report_labels(_again(allowed), is_report), "labelled")
-    verdicts = run_to_table(stream_report_guard(filed_reports(_again(labelled)), answers, spacing_seconds=spacing_seconds), "verdicts")
-    accepted = _again(verdicts).where(F.col("verdict") == "created")
-    return labelled, verdicts, run_latest(stream_reporter_counts(accepted, flag_threshold), "reporters")
+    passed = limited.where("allowed").drop("allowed", "retry_after")
+    labels = stream_report_labels(stream_again(passed, run_to_folder(passed, "limited")), is_report)
+    labelled = run_to_folder(labels, "labelled")
+    judged = stream_report_guard(filed_reports(stream_again(labels, labelled)), answers, spacing_seconds=spacing_seconds)
+    verdicts = run_to_folder(judged, "verdicts")
+    accepted = stream_again(judged, verdicts).where(F.col("verdict") == "created")
+    counts = run_versioned(stream_reporter_counts(accepted, flag_threshold), ["message_id"], "reporters")
+    read = messages.sparkSession.read
+    return read.schema(labels.schema).parquet(f"{labelled}/table"), read.schema(judged.schema).parquet(f"{verdicts}/table"), counts

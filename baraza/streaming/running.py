@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 
 from baraza.session import run_folder
 
+_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+ALL_BATCHES = 1_000_000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,20 +26,31 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode stream over everything available now into a Parquet table and return the table.
+def run_to_folder(stream: DataFrame, label: str) -> str:
+    """Run an append-mode stream over everything available now; the folder with its ``table`` and its ``checkpoint``.
 
     A bounded run that would lose rows behind its watermark is an error, not a shorter result.
     """
     spark = stream.sparkSession
     folder = run_folder(spark, label)
+    spark.conf.set(_PROGRESS, str(ALL_BATCHES))  # what is summed below must not forget the first batches
     started = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
                .option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/table"))
     started.awaitTermination()
     lost = sum(int(s["numRowsDroppedByWatermark"]) for p in started.recentProgress for s in p["stateOperators"])
     if lost:
         raise RuntimeError(f"{label}: {lost} rows came behind the watermark; allow more lateness or decide by key (streaming.keyed)")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    return folder
+
+
+def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+    """``run_to_folder`` as the table it wrote."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{run_to_folder(stream, label)}/table")
+
+
+def stream_again(stream: DataFrame, folder: str, files_per_trigger: int = 64) -> DataFrame:
+    """What ``stream`` has written to ``folder`` as the stream of a next stage."""
+    return read_stream(stream.sparkSession, f"{folder}/table", stream.schema, files_per_trigger)
 
 
 def run_latest(stream: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Windowed and de-duplicating streams on built-in operators."""
+"""Windowed and de-duplicating streams on built-in operators: state per key, changed keys only in what a batch emits."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
+from baraza.streaming.running import use_rocksdb
 
 
 def _event_time(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -11,7 +12,7 @@ def _event_time(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
 
 
 def stream_query_volume(messages: DataFrame, unit: str = "day", ts: str = "created_at", lateness: str = "1 day") -> DataFrame:
-    """User questions per day or Monday-based week; rows older than the watermark are dropped."""
+    """User questions per day or Monday-based week; the state of a window goes once the watermark has passed it."""
     # The epoch's fifth day is a Monday, hence the offset of the weekly window.
     window = F.window(ts, "1 day") if unit == "day" else F.window(ts, "7 days", "7 days", "4 days")
     asked = _event_time(messages, ts, lateness).where(F.col("role") == "user")
@@ -24,9 +25,27 @@ def stream_sessions(messages: DataFrame, key: str, gap: str, ts: str = "created_
         F.count("*").alias("messages")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages")
 
 
-def stream_unique_reports(reports: DataFrame, ts: str = "created_at", lateness: str = "1 day") -> DataFrame:
-    """One report per (answer, reporter) within the watermark, however often it is delivered."""
-    return _event_time(reports, ts, lateness).dropDuplicatesWithinWatermark(["message_id", "reported_by_user_id"])
+def stream_first_reports(reports: DataFrame) -> DataFrame:
+    """The earliest report for each (answer, reporter), for ever and in any order of arrival: for update mode.
+
+    One small state per pair; a batch emits the pairs that are new or got an earlier report.
+    """
+    use_rocksdb(reports.sparkSession)
+    row = F.struct(*reports.columns)
+    first = reports.groupBy(F.col("message_id").alias("_m"), F.col("reported_by_user_id").alias("_r")).agg(
+        F.min_by(row, F.struct("created_at", "id")).alias("row"))
+    return first.select("row.*")
+
+
+def stream_distinct_reporters(reports: DataFrame, flag_threshold: int = fv.FLAG_THRESHOLD) -> DataFrame:
+    """Distinct reporters for each answer, and whether they reach the review threshold: for update mode.
+
+    Pairs seen before go out in the first state, counts grow in the second; a batch emits the answers that gained a reporter.
+    """
+    use_rocksdb(reports.sparkSession)
+    pairs = reports.select("message_id", "reported_by_user_id").dropDuplicates(["message_id", "reported_by_user_id"])
+    counted = pairs.groupBy("message_id").agg(F.count("reported_by_user_id").alias("reporters"))
+    return counted.withColumn("flagged", F.col("reporters") >= flag_threshold)
 
 
 def stream_reporter_counts(accepted: DataFrame, flag_threshold: int = fv.FLAG_THRESHOLD, approximate: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from baraza.functions import identity, urls
+from baraza.operators.numbered import numbered
 from baraza.plans import answers, conversations, corpus, links, maintenance, moderation, quality, retrieval, stats
 from baraza.sources import documents, tables
 
@@ -57,8 +58,19 @@ def test_build_chunks_outcomes(spark):
 
 
 def test_text_layer(spark):
-    got = {r["source"]: r["has_text"] for r in documents.text_layer(_pages(spark, [("a", 1, " "), ("a", 6, "x" * 50), ("b", 2, "y" * 20)])).collect()}
-    assert got == {"a": False, "b": True}
+    """The first pages are told by their place in the source, whatever they are called."""
+    rows = [("a", 10 * i, " ") for i in range(5)] + [("a", 60, "x" * 50), ("b", 2, "y" * 20), ("c", 900, " "), ("c", 901, "z" * 20)]
+    pages = _pages(spark, rows).select("source", "page", documents.trimmed_length(F.col("text")).alias("n_chars"))
+    got = {r["source"]: r["has_text"] for r in documents.text_layer(numbered(pages, ["source"], ["page"], "number", ranges=3)).collect()}
+    assert got == {"a": False, "b": True, "c": True}
+
+
+def test_the_screen_holds_back_scans_with_late_text(spark):
+    rows = [("scan", i, " ") for i in range(1, 6)] + [("scan", 6, "word " * 30), ("ok", 7, " "), ("ok", 9, "word " * 30)]
+    known = spark.createDataFrame([(1, "ok", "executive", "nakuru"), (2, "scan", "executive", "nakuru")], "id long, title string, government_arm string, county string")
+    chunks, outcomes = corpus.build_chunks(_pages(spark, rows), known, "nakuru", size=10, overlap=0)
+    assert sorted((r.source_id, r.page_number, r.chunk_index) for r in chunks.collect()) == [(1, 9, 0), (1, 9, 1), (1, 9, 2)]
+    assert {r.source_id: (r.error or "")[:13] for r in outcomes.collect()} == {1: "", 2: "no text layer"}
 
 
 def test_binary_documents(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from baraza.operators import guards
 from baraza.plans import conversations, replay
-from baraza.streaming import ingest, keyed, running, stateful, windows
+from baraza.streaming import ingest, keyed, running, stateful, versioned, windows
 from baraza.streaming.replay import stream_replay
 
 EVENT = T.StructType([T.StructField("user", T.LongType()), T.StructField("id", T.LongType()), T.StructField("t", T.LongType())])
@@ -85,19 +85,72 @@ def test_report_guard(spark, events):
 def test_windows_and_counts(spark, events):
     table, stream = events
     asked = lambda df: df.select(F.lit("user").alias("role"), (F.col("ts") + F.expr("make_dt_interval(int(id))")).alias("created_at"), "user")
-    weekly = running.run_latest(windows.stream_query_volume(asked(stream()), "week", lateness="400 days"), "weekly")
+    weekly = versioned.run_versioned(windows.stream_query_volume(asked(stream()), "week", lateness="400 days"), ["start"], "weekly")
     assert rows(weekly, "start", "queries") == rows(asked(table).groupBy(F.date_trunc("week", "created_at").alias("start")).agg(
         F.count("*").alias("queries")), "start", "queries")
     sessions = running.run_latest(windows.stream_sessions(stream().withColumnRenamed("ts", "created_at"), "user", "60 seconds"), "sessions")
     assert sessions.agg(F.sum("messages")).first()[0] == 120
     reports = lambda df: df.select((F.col("id") % 5).alias("message_id"), F.col("user").alias("reported_by_user_id"), F.col("ts").alias("created_at"))
-    unique = running.run_to_table(windows.stream_unique_reports(reports(stream())), "unique")
-    pairs = rows(reports(table).distinct().dropDuplicates(["message_id", "reported_by_user_id"]), "message_id", "reported_by_user_id")
-    assert rows(unique, "message_id", "reported_by_user_id") == pairs
     counts = running.run_latest(windows.stream_reporter_counts(reports(stream()), 3, approximate=True), "approx")
     assert all(r["reporters"] == 3 and r["flagged"] for r in counts.collect())
 
 
+REPORT = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "message_id", "reported_by_user_id", "t")])
+
+
+def test_running_decisions_take_reports_in_any_order(spark, tmp_path):
+    """First reports and reporter counts after every batch, read from whole versions only; a batch that comes again changes nothing."""
+    rnd = random.Random(4)
+    made = [(i, rnd.randint(1, 6), rnd.choice([1, 2, 3, 4, None]), rnd.randint(0, 500)) for i in range(200)]
+    frame = pd.DataFrame(made, columns=["id", "message_id", "reported_by_user_id", "t"]).astype("Int64")
+    folder = write_parts(tmp_path / "in", frame, 5)
+
+    def stream():
+        return running.read_stream(spark, folder, REPORT, 1).withColumn("created_at", F.timestamp_seconds(F.col("t") + START)).drop("t")
+
+    first = versioned.run_versioned(windows.stream_first_reports(stream()), ["message_id", "reported_by_user_id"], "first")
+    want = {}
+    for i, m, r, t in made:
+        want[m, r] = min(want.get((m, r), (t, i)), (t, i))
+    assert {(x.message_id, x.reported_by_user_id): x.id for x in first.collect()} == {k: v[1] for k, v in want.items()}
+    counts = versioned.run_versioned(windows.stream_distinct_reporters(stream(), 4), ["message_id"], "counts")
+    assert {x.message_id: (x.reporters, x.flagged) for x in counts.collect()} == {
+        m: (len({r for n, r in want if n == m and r}), len({r for n, r in want if n == m and r}) >= 4) for m in {m for m, _ in want}}
+
+
+def test_versions(spark, tmp_path):
+    """Readers see entered versions only; compaction and repeated batches change nothing; removed keys are gone."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    table = versioned.Versioned(spark, str(tmp_path / "t"), schema, ["k"], compact_every=3)
+
+    def change(*made):
+        return spark.createDataFrame([(k, v, v is None) for k, v in made], "k long, v string, _gone boolean")
+
+    now = lambda: {r.k: r.v for r in table.read().collect()}
+    assert now() == {}
+    table.commit(0, change((1, "a"), (2, "b"), (None, "n")))
+    spark.createDataFrame([(9, "x", False, 5)], table.stored).write.parquet(f"{table.folder}/changes-5")  # written, not entered
+    assert now() == {1: "a", 2: "b", None: "n"}
+    table.commit(1, change((2, None), (3, "c")))
+    table.commit(1, change((1, "again")))
+    assert now() == {1: "a", 3: "c", None: "n"}
+    table.commit(2, change((3, "d"), (None, "m")))
+    assert "base-2" in table.manifest.entries() and now() == {1: "a", 3: "d", None: "m"}
+    table.commit(2, change((1, "again")))
+    table.commit(3, change((2, "e")))
+    assert now() == {1: "a", 2: "e", 3: "d", None: "m"}
+
+
+def test_a_batch_reads_what_it_brings(spark, tmp_path):
+    """Rows read by the ingestion do not grow with what has arrived before."""
+    frame = pd.DataFrame({"source": ["a"] * 60, "page": range(60), "text": [f"some words of page {i} " * 5 for i in range(60)]})
+    folder = write_parts(tmp_path / "in", frame, 6)
+    chunks, outcomes = ingest.ingest_arrivals(running.read_stream(spark, folder, PAGES, 1), known_sources(spark), "nakuru", str(tmp_path / "t"), str(tmp_path / "c2"), size=10, overlap=0)
+    assert sorted(r.chunk_index for r in chunks.collect()) == list(range(60 * 3)) and [r.page_count for r in outcomes.collect()] == [60]
+    # every version holds the pages of its own batch only
+    assert [spark.read.parquet(f"{tmp_path}/t/changes-{i}").count() for i in range(6)] == [10] * 6
+
+
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
     rnd = random.Random(8)
@@ -141,8 +194,9 @@ def test_ingest_takes_pages_in_any_batch(spark, tmp_path):
     frame = pd.DataFrame({"source": ["a", "b", "c", "a", "a", "c"], "page": [1, 1, 1, 2, 1, 1],
                           "text": ["old words " * 20, "other words " * 20, "c words " * 10, "second page " * 15, "new " * 12, "short"]})
     folder = write_parts(tmp_path / "in", frame, 6)
-    got = ingest.ingest_arrivals(running.read_stream(spark, folder, PAGES, 1), known_sources(spark), "nakuru", str(tmp_path / "table"), str(tmp_path / "cp"),
-                                 size=10, overlap=0)
+    got, outcomes = ingest.ingest_arrivals(running.read_stream(spark, folder, PAGES, 1), known_sources(spark), "nakuru", str(tmp_path / "table"), str(tmp_path / "cp"),
+                                           size=10, overlap=0)
+    assert {r.source_id: r.status for r in outcomes.collect()} == {1: "completed", 2: "completed", 3: "failed"}
     assert {r["source_id"]: r["count"] for r in got.groupBy("source_id").count().collect()} == {1: 2 + 3, 2: 4}
     assert sorted(r.chunk_index for r in got.where("source_id = 1").collect()) == list(range(5))
 

@@ -160,6 +160,18 @@ def _(spark, sf):
     return maintenance.chunk_counts(b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf))))
 
 
+@query("chunk_sink_clear", f"""WITH {CHUNK} SELECT regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS source_id, count(*) AS chunks FROM chunk
+  WHERE regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 3 <> 0 GROUP BY 1""")
+def _(spark, sf):
+    """A third of the sources yields nothing on the second run: they are cleared, and stay so when the sink is compacted."""
+    path = run_folder(spark, "cleared")
+    chunks = b.chunk_sources(corpus.chunk_pages(b.pages(spark, sf))).select("source_id", "page", "chunk_no", "text")
+    documents.replace_chunks(chunks, path)
+    documents.replace_chunks(chunks.where("source_id % 3 = 1"), path, b.sources(spark, sf).select(F.col("id").alias("source_id")).where("source_id % 3 <> 2"))
+    documents.compact_chunks(spark, path)
+    return documents.read_chunks(spark, path).groupBy("source_id").agg(F.count("*").alias("chunks"))
+
+
 @query("corpus_json_round_trip", f"""WITH {CHUNK} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS n_chars,
   min(source || '_p' || page || '_c' || chunk_no) AS first_id FROM chunk GROUP BY source""")
 def _(spark, sf):
@@ -177,7 +189,7 @@ def _(spark, sf):
     kept = chunks.select("source_id", "page_number", "chunk_index", "text")
     documents.replace_chunks(kept.withColumn("text", F.lit("stale")), path)
     documents.replace_chunks(kept, path)
-    return spark.read.parquet(path).groupBy(F.col("source_id").cast("long").alias("source_id")).agg(
+    return documents.read_chunks(spark, path).groupBy("source_id").agg(
         F.count("*").alias("chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -858,13 +870,14 @@ def _(spark, sf):
     return guards.distinct_reporters(b.disputes(spark, sf))
 
 
-@query("distinct_reporters_approx", f"WITH {DISP} SELECT message_id, TRUE AS close FROM disp GROUP BY 1")
+@query("distinct_reporters_approx", f"""WITH {DISP} SELECT message_id, count(DISTINCT reported_by_user_id) AS reporters,
+  count(DISTINCT reported_by_user_id) AS approximate FROM disp GROUP BY 1""")
 def _(spark, sf):
-    """The sketch against the exact count: within three of its standard errors of 5 %."""
-    reports = b.disputes(spark, sf)
-    guess = guards.distinct_reporters(reports, approximate=True).withColumnRenamed("reporters", "guess")
-    near = F.abs(F.col("guess") - F.col("reporters")) <= 0.15 * F.col("reporters") + 0.5
-    return guards.distinct_reporters(reports).join(guess, "message_id").select("message_id", near.alias("close"))
+    """Daily sketches stored and merged, beside the exact counts; at these sizes a sketch still counts exactly."""
+    path = run_folder(spark, "sketches")
+    guards.reporter_sketches(b.disputes(spark, sf)).write.parquet(path)
+    merged = guards.reporters_from_sketches(spark.read.parquet(path)).withColumnRenamed("reporters", "approximate")
+    return guards.distinct_reporters(b.disputes(spark, sf)).join(merged, "message_id")
 
 
 def _flagged(spark, sf):
@@ -899,12 +912,19 @@ def _(spark, sf):
 
 
 @query("dispute_context", f"""{_PRECEDING}, {_QUEUE} SELECT q.id, q.message_id, p.role AS answer_role, p.text AS answer_text, p.citation,
-  p.question FROM q LEFT JOIN prec p ON p.id = q.message_id""")
-def _(spark, sf):
-    messages = b.messages(spark, sf).withColumn("retrieved_chunks", F.lit(None).cast("string"))
+  p.question, coalesce(p.id % 3, 0) AS n_passages, CASE WHEN p.id % 3 > 0 THEN left(p.text, 60) END AS first_passage,
+  CASE WHEN p.id % 3 > 0 THEN p.session_id % 90 END AS first_page FROM q LEFT JOIN prec p ON p.id = q.message_id""")
+def _(spark, sf):
+    """Answers are stored with snapshots of none, one or two passages, cut from their own texts."""
+    passage = F.struct(F.lit("report").alias("source_title"), (F.col("session_id") % 90).cast("int").alias("page_number"),
+                       F.lit("executive").alias("government_arm"), F.left("text", F.lit(60)).alias("chunk_text"))
+    stored = answers.snapshot(F.slice(F.array(passage, passage), 1, (F.col("id") % 3).cast("int")))
+    messages = b.messages(spark, sf).withColumn("retrieved_chunks", stored)
     queue = moderation.dispute_queue(_flagged(spark, sf))
+    first = F.try_element_at("passages", F.lit(1))
     return moderation.dispute_context(queue, messages).select(
-        "id", "message_id", "answer_role", "answer_text", "citation", "question")
+        "id", "message_id", "answer_role", "answer_text", "citation", "question", F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"),
+        first["chunk_text"].alias("first_passage"), first["page_number"].alias("first_page"))
 
 
 @query("dispute_rows", f"""WITH {DISP}, {FLAGGED} SELECT id, message_id, status, reason, reported_by_user_id, report_count, flagged_for_review,
@@ -1053,6 +1073,18 @@ def _(spark, sf):
     return serialise.source_rows(chosen, counts)
 
 
+@query("source_page", f"""WITH {SRC} SELECT id, url, government_arm, {_iso('created_at')} AS created_at FROM src WHERE county = 'nakuru'
+  ORDER BY src.created_at DESC, id LIMIT 5 OFFSET 1""")
+def _(spark, sf):
+    kept = maintenance.filter_sources(b.sources(spark, sf), county="nakuru")
+    return serialise.source_rows(maintenance.source_page(kept, 5, 1)).select("id", "url", "government_arm", "created_at")
+
+
+@query("source_page_total", f"WITH {SRC} SELECT count(*) AS total FROM src WHERE county = 'nakuru'")
+def _(spark, sf):
+    return page_total(maintenance.filter_sources(b.sources(spark, sf), county="nakuru"))
+
+
 @query("pending_sources", f"WITH {SRC} SELECT id, url FROM src WHERE ingestion_status = 'pending'")
 def _(spark, sf):
     return documents.pending_sources(b.sources(spark, sf)).select("id", "url")
@@ -1426,19 +1458,24 @@ def _(spark, sf):
     return _replies(spark, sf).select("doc_id", F.md5(tx.clarifying_question(F.col("reply"))).alias("question"))
 
 
-@query("binary_documents", """SELECT count(*) AS files, 0::BIGINT AS accepted, count(*) AS not_pdf
-  FROM (VALUES ('documents'), ('pages'), ('conversations'), ('labels')) t(name)""")
-def _(spark, sf):
-    """The given Parquet files as binary files, one folder level or file each: none is a PDF."""
-    from baraza.sources.documents import read_binary_documents
+_FILES = "part % 3 <> 1"
+
 
-    names = ["documents", "pages", "conversations", "labels"]
-    checked = [read_binary_documents(spark, f"{sf}/{name}.parquet").withColumn("name", F.lit(name)) for name in names]
-    rows = checked[0]
-    for other in checked[1:]:
-        rows = rows.unionByName(other)
-    each = rows.groupBy("name").agg(F.bool_or("ok").alias("ok"), F.bool_and(F.col("error") == "not a PDF").alias("refused"))
-    return each.agg(F.count("*").alias("files"), F.count_if("ok").alias("accepted"), F.count_if("refused").alias("not_pdf"))
+@query("binary_documents", """WITH f AS (SELECT doc_id // 64 AS part, CASE WHEN (doc_id // 64) % 3 <> 1 THEN '%PDF-1.7' ELSE '<html>' END || chr(10) ||
+    string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY doc_id // 64),
+  s AS (SELECT part, octet_length(encode(body)) AS bytes, sha256(body) AS h FROM f)
+  SELECT part, bytes, CASE WHEN bytes <= 150000 AND part % 3 <> 1 THEN h END AS content_hash, bytes <= 150000 AND part % 3 <> 1 AS ok,
+  CASE WHEN bytes > 150000 THEN 'exceeds maximum size' WHEN part % 3 = 1 THEN 'not a PDF' END AS error FROM s""")
+def _(spark, sf):
+    """Blocks of 64 documents as files, two thirds of them with the signature; large ones are above the cap."""
+    path = run_folder(spark, "files")
+    part = F.expr("doc_id div 64")
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    bodies = table(spark, sf, "documents").groupBy(part.alias("part")).agg(listed.alias("docs")).select(
+        "part", F.concat_ws("\n", F.when(F.expr(_FILES), "%PDF-1.7").otherwise("<html>"), F.transform("docs", lambda d: d["text"])).alias("value"))
+    bodies.repartition("part").write.partitionBy("part").text(path)
+    found = documents.read_binary_documents(spark, path, 150_000)
+    return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "bytes", "content_hash", "ok", "error")
 
 
 @query("model_tables", f"WITH {SRC} SELECT id, url, title, ingestion_status FROM src")
@@ -1453,15 +1490,17 @@ def _(spark, sf):
     return read_table(spark, root, "sources").select("id", "url", "title", "ingestion_status")
 
 
-@query("embedded_in_batches", """SELECT item_id AS id, 4::BIGINT AS dimensions, round(list_sum(list_transform(v, lambda x: x * x)), 3) AS length
-  FROM (SELECT item_id, [0.6::DOUBLE, 0.8::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS v FROM benchmark)""")
+@query("embedded_in_batches", """WITH v AS (SELECT item_id AS id, length(text)::DOUBLE AS n, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS a,
+    (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e FROM benchmark)
+  SELECT id, 4::BIGINT AS dimensions, round(n / z, 3) AS n, round(1 / z, 3) AS one, round(a / z, 3) AS a, round(e / z, 3) AS e
+  FROM (SELECT *, sqrt(n * n + 1 + a * a + e * e) AS z FROM v)""")
 def _(spark, sf):
     """A caller's batch function; unit length whatever it returns."""
     from baraza.functions.vectors import embed_in_batches
 
     made = embed_in_batches(_questions(spark, sf), "text", "v", lambda texts: [[len(t), 1.0, t.count("a"), t.count("e")] for t in texts])
-    squares = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
-    return made.select(F.col("query_id").alias("id"), F.size("v").cast("long").alias("dimensions"), F.round(squares, 3).alias("length"))
+    return made.select(F.col("query_id").alias("id"), F.size("v").cast("long").alias("dimensions"), *[
+        F.round(F.get("v", F.lit(i)).cast("double"), 3).alias(n) for i, n in enumerate(("n", "one", "a", "e"))])
 
 
 # ---- log replay -------------------------------------------------------------------------------
@@ -1530,6 +1569,20 @@ def _(spark, sf):
         rows, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS), "stream-rate-limit").drop("ts")
 
 
+@query("stream_limiter_state", f"""WITH RECURSIVE {_EV}, {_limiter_sql('ev', 3, _SIX_HOURS * 1_000_000)},
+  held AS (SELECT user_id, max(t) AS last_allowed FROM lim WHERE allowed GROUP BY user_id)
+  SELECT user_id, list_sort((SELECT list(t) FROM lim l WHERE l.user_id = held.user_id AND l.allowed
+      AND t > (SELECT max(t) FROM lim x WHERE x.user_id = held.user_id) - {_SIX_HOURS * 1_000_000}))[1] AS oldest_kept, last_allowed FROM held
+  WHERE (last_allowed + {_SIX_HOURS * 1_000_000}) // 1000 + 1 > ((SELECT max(t) FROM ev) - 3600000000) // 1000""")
+def _(spark, sf):
+    """The limiter's state as a run leaves it: keys whose window the watermark has passed are gone, the others hold their last window."""
+    events = _event_slices(spark, sf).select("user_id", "event_id", "ts")
+    folder = running.run_to_folder(stateful.stream_rate_limit(events, ["user_id"], "ts", "event_id", limit=3, window_seconds=_SIX_HOURS), "limiter")
+    kept = running.read_state(spark, f"{folder}/checkpoint", "kept")
+    return kept.select(F.col("key.user_id").alias("user_id"), F.col("list_element.v").alias("v")).groupBy("user_id").agg(
+        F.min("v").alias("oldest_kept"), F.max("v").alias("last_allowed"))
+
+
 @query("stream_block_notices", SQL["block_notices"])
 def _(spark, sf):
     def notices(rows):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.operators.grouped import last_per_key
+from baraza.operators.topk import page_of
 from baraza.plans.quality import one_row
 
 EDITABLE = ["url", "title", "publisher", "government_arm", "county", "report_type", "fiscal_year"]
@@ -19,6 +20,11 @@ def filter_sources(sources: DataFrame, **wanted) -> DataFrame:
     return sources
 
 
+def source_page(sources: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the source list, newest first; its total is ``topk.page_total`` of ``sources``."""
+    return page_of(sources, [F.desc("created_at"), F.asc("id")], limit, offset)
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_id").agg(F.count("*").alias("chunk_count"))
 

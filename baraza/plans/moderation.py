@@ -7,6 +7,7 @@ from baraza import fixed_values as fv
 from baraza.functions.serialise import iso
 from baraza.operators.grouped import counts_by_value, earliest_per_group, last_per_key
 from baraza.operators.topk import page_of
+from baraza.plans.answers import read_snapshot
 from baraza.plans.conversations import with_preceding
 
 
@@ -26,11 +27,12 @@ def dispute_page(disputes: DataFrame, limit: int = 50, offset: int = 0, status:
 
 
 def dispute_context(queue: DataFrame, messages: DataFrame) -> DataFrame:
-    """Add the disputed answer, the question before it and the stored passages."""
+    """Add the disputed answer, the question before it and the passages stored with it (``passages``, none without a snapshot)."""
     asked = messages.join(queue.select(F.col("message_id").alias("id")).distinct(), "id", "left_semi").select("session_id").distinct()
     questions = with_preceding(messages.join(asked, "session_id", "left_semi"))
     answers = questions.select(F.col("id").alias("message_id"), F.col("role").alias("answer_role"),
-                               F.col("text").alias("answer_text"), "citation", "retrieved_chunks", "question")
+                               F.col("text").alias("answer_text"), "citation", read_snapshot(F.col("retrieved_chunks")).alias("passages"),
+                               "question")
     return queue.join(answers, "message_id", "left")
 
 

@@ -1,11 +1,14 @@
 """Documents, pages and chunks: scans, screens and sinks."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza import schemas
 from baraza.functions.text import strip
+from baraza.sources.manifest import Manifest
 
 
 def trimmed_length(text):
@@ -53,14 +56,45 @@ def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CORPUS).json(path)
 
 
-def replace_chunks(chunks: DataFrame, path: str, per_source_files: int = 16) -> None:
-    """Write chunks partitioned by source, replacing only the sources present in ``chunks``.
+def replace_chunks(chunks: DataFrame, path: str, sources: DataFrame | None = None) -> None:
+    """Make ``chunks`` the chunks of their sources in the sink ``path``; other sources keep theirs.
 
-    Rows are spread over several files per source, so one very large source is not a single task's work.
+    ``sources`` (``source_id``) are cleared as well, so one that yields no chunk ends empty. A replacement is two tables - rows, and the
+    sources it speaks for - written under a new number and entered in the manifest at the end: readers see the old chunks of a source
+    until they see all of its new ones. Rows are dealt by size, many small sources to a file and a large one over several.
     """
-    spread = F.pmod(F.xxhash64("page_number", "chunk_index"), F.lit(per_source_files))
-    (chunks.repartition("source_id", spread).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path))
+    manifest = Manifest(chunks.sparkSession, path)
+    number = max((int(n) for n in manifest.entries()), default=-1) + 1
+    folder = f"{path}/part-{number}"
+    chunks.hint("rebalance", "source_id").sortWithinPartitions("source_id").write.mode("overwrite").parquet(f"{folder}/chunks")
+    spoken = chunks.sparkSession.read.parquet(f"{folder}/chunks").select("source_id").distinct()
+    if sources is not None:
+        spoken = spoken.union(sources.select("source_id")).distinct()
+    spoken.write.mode("overwrite").parquet(f"{folder}/sources")
+    manifest.enter(str(number), {"part": number})
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The sink's chunks: of every source those of the last replacement that spoke for it."""
+    numbers = sorted(int(n) for n in Manifest(spark, path).entries())
+
+    def parts(table: str) -> DataFrame:
+        found = [spark.read.parquet(f"{path}/part-{n}/{table}").withColumn("_part", F.lit(n)) for n in numbers]
+        return reduce(DataFrame.unionByName, found)
+
+    if not numbers:
+        raise ValueError(f"{path}: nothing has been stored yet")
+    if len(numbers) == 1:
+        return parts("chunks").drop("_part")
+    last = parts("sources").groupBy("source_id").agg(F.max("_part").alias("_part"))
+    return parts("chunks").join(last, ["source_id", "_part"], "left_semi").drop("_part")
+
+
+def compact_chunks(spark: SparkSession, path: str) -> None:
+    """Write what the sink holds as one replacement of every source it has ever spoken for."""
+    numbers = sorted(int(n) for n in Manifest(spark, path).entries())
+    spoken = reduce(DataFrame.union, [spark.read.parquet(f"{path}/part-{n}/sources") for n in numbers]).distinct()
+    replace_chunks(read_chunks(spark, path), path, spoken)
 
 
 def pending_sources(sources: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baraza.session import run_folder
+from baraza.sources.manifest import Manifest
 from baraza.streaming.running import run_batches
-from baraza.streaming.versioned import Manifest
 
 BUCKET, ARRIVAL = "run_bucket", "run_arrival"
 

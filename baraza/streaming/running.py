@@ -48,6 +48,11 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{run_to_folder(stream, label)}/table")
 
 
+def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """What a stateful run has left in the state variable ``variable``: ``key`` and value of every key that still has one."""
+    return spark.read.format("statestore").option("stateVarName", variable).option("path", checkpoint).load()
+
+
 def stream_again(stream: DataFrame, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """What ``stream`` has written to ``folder`` as the stream of a next stage."""
     return read_stream(stream.sparkSession, f"{folder}/table", stream.schema, files_per_trigger)

@@ -329,6 +329,18 @@ def test_embedding_hook(spark):
     assert len(hashed) == 16 and abs(sum(x * x for x in hashed) - 1) < 1e-6
 
 
+def test_sketches_of_days_merge(spark):
+    """A union over days equals one pass, counts small sets exactly and stays within 5 % of large ones."""
+    made = spark.range(60_000).select((F.col("id") % 3).alias("message_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 21).otherwise(
+        F.col("id") % 17_011).alias("reported_by_user_id"), F.timestamp_seconds(F.col("id") * 60).alias("created_at"))
+    exact = {r.message_id: r.reporters for r in guards.distinct_reporters(made).collect()}
+    daily = {r.message_id: r.reporters for r in guards.reporters_from_sketches(guards.reporter_sketches(made)).collect()}
+    at_once = made.withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    once = {r.message_id: r.reporters for r in guards.reporters_from_sketches(guards.reporter_sketches(at_once)).collect()}
+    assert daily == once and daily[0] == exact[0] == 7
+    assert all(abs(daily[m] - n) <= 0.05 * n for m, n in exact.items()) and exact[1] > 10_000
+
+
 def test_already_reported(spark):
     reports = _reports(spark, [(10, 1, 0)])
     asked = spark.createDataFrame([(10, 1), (10, 2)], "message_id long, reported_by_user_id long")

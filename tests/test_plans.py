@@ -84,14 +84,53 @@ def test_binary_documents(spark, tmp_path):
     assert got["b.pdf"]["error"] == "not a PDF" and got["c.pdf"]["error"] == "exceeds maximum size"
 
 
+def _chunk_rows(spark, source, n):
+    return spark.createDataFrame([(source, 1, i, f"t{i}") for i in range(n)], "source_id long, page_number int, chunk_index int, chunk_text string")
+
+
+def _stored_counts(spark, path):
+    return {r["source_id"]: r["count"] for r in documents.read_chunks(spark, path).groupBy("source_id").count().collect()}
+
+
 def test_chunk_sink_replaces_only_given_sources(spark, tmp_path):
-    def rows(source, n):
-        return spark.createDataFrame([(source, 1, i, f"t{i}") for i in range(n)], "source_id long, page_number int, chunk_index int, chunk_text string")
+    path = str(tmp_path / "chunks")
+    with pytest.raises(ValueError, match="nothing has been stored"):
+        documents.read_chunks(spark, path)
+    documents.replace_chunks(_chunk_rows(spark, 1, 5).union(_chunk_rows(spark, 2, 4)), path)
+    documents.replace_chunks(_chunk_rows(spark, 1, 2), path)
+    assert _stored_counts(spark, path) == {1: 2, 2: 4}
+    documents.replace_chunks(_chunk_rows(spark, 3, 1), path, spark.createDataFrame([(2,), (9,)], "source_id long"))
+    assert _stored_counts(spark, path) == {1: 2, 3: 1}
+    documents.compact_chunks(spark, path)
+    assert _stored_counts(spark, path) == {1: 2, 3: 1}
+    documents.replace_chunks(_chunk_rows(spark, 2, 7), path)
+    assert _stored_counts(spark, path) == {1: 2, 2: 7, 3: 1}
+
+
+def test_a_replacement_is_seen_when_it_is_entered(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    documents.replace_chunks(_chunk_rows(spark, 1, 5), path)
+    _chunk_rows(spark, 1, 1).write.parquet(f"{path}/part-1/chunks")  # a run that broke off
+    assert _stored_counts(spark, path) == {1: 5}
+    documents.replace_chunks(_chunk_rows(spark, 1, 3), path)
+    assert _stored_counts(spark, path) == {1: 3}
+
 
+def test_sink_files_follow_the_rows_not_the_sources(spark, tmp_path):
+    """Many small sources and one large one: few files, and the large source in more than one."""
     path = str(tmp_path / "chunks")
-    documents.replace_chunks(rows(1, 5).union(rows(2, 4)), path)
-    documents.replace_chunks(rows(1, 2), path)
-    assert {r["source_id"]: r["count"] for r in spark.read.parquet(path).groupBy("source_id").count().collect()} == {1: 2, 2: 4}
+    rows = spark.range(120_000).select(F.when(F.col("id") < 100_000, F.col("id")).otherwise(-1).alias("source_id"), F.lit(1).alias("page_number"),
+                                       F.col("id").alias("chunk_index"), F.sha2(F.col("id").cast("string"), 512).alias("chunk_text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        documents.replace_chunks(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    stored = documents.read_chunks(spark, path)
+    files = stored.select("source_id", F.input_file_name().alias("f")).distinct()
+    assert stored.count() == 120_000 and files.select("f").distinct().count() < 60
+    assert files.where("source_id = -1").count() > 1
 
 
 def test_seed_if_empty(spark, tmp_path):

@@ -4,7 +4,6 @@ A task streams its rows, scores them block-wise with NumPy and keeps at most ``k
 the pairs nor the scores of a hot term, query or source are ever written or shuffled.
 """
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from baraza.session import run_folder
 
 SCALE = 10_000  # scores are kept to four decimals
 CELLS = 4 << 20  # scores held at once in a task
-GRID_QUERIES = 4096
-GRID_ROWS = 65536
 
 
 def scan(rows: DataFrame, offer: Callable, query_ids, shared, k: int, name: str) -> DataFrame:
@@ -31,33 +31,20 @@ def scan(rows: DataFrame, offer: Callable, query_ids, shared, k: int, name: str)
     return rows.mapInArrow(run, f"query_id long, id long, {name} double")
 
 
-def grid(queries: DataFrame, rows: DataFrame, query_count: int, prepare: Callable, offer: Callable, k: int, name: str,
-         grid_queries: int = GRID_QUERIES, grid_rows: int = GRID_ROWS) -> DataFrame:
-    """The same scores for a query table too large to broadcast.
+def in_passes(queries: DataFrame, count: int, run: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """The results of a query table too large to broadcast: it is cut into ``count`` parts, and ``run`` takes them one after the other.
 
-    Both sides are cut into equal blocks by hash; every pair of blocks meets once, in one bounded task.
+    The rows searched are streamed once a pass and never copied or shuffled; a part's broadcast is all that is held at a time. Each
+    pass is written before the next one starts.
     """
-    down, across = math.ceil(query_count / grid_queries), max(1, math.ceil(rows.count() / grid_rows))
-
-    def block(key, blocks):
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    def every(blocks):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = queries.withColumns({"grid_row": block("query_id", down), "grid_col": F.lit(None)}).withColumn("grid_col", every(across))
-    right = rows.withColumns({"grid_col": block("id", across), "grid_row": F.lit(None)}).withColumn("grid_row", every(down))
-
-    def cell(asked: pa.Table, held: pa.Table) -> pa.Table:
-        best = BestPerQuery(asked.column("query_id").to_numpy(), k)
-        if asked.num_rows and held.num_rows:
-            shared = prepare(asked)
-            for part in slabs(held.combine_chunks().to_batches(), asked.num_rows):
-                offer(best, part, shared)
-        return pa.Table.from_pandas(best.frame(name), preserve_index=False)
-
-    return left.groupBy("grid_row", "grid_col").cogroup(right.groupBy("grid_row", "grid_col")).applyInArrow(
-        cell, f"query_id long, id long, {name} double")
+    spark = queries.sparkSession
+    folder = run_folder(spark, label)
+    queries.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")).write.partitionBy("_pass").parquet(f"{folder}/queries")
+    stored = spark.read.schema(T.StructType([*queries.schema.fields, T.StructField("_pass", T.IntegerType())])).parquet(f"{folder}/queries")
+    for number in range(count):
+        found = run(stored.where(F.col("_pass") == number).drop("_pass"))
+        found.write.parquet(f"{folder}/found-{number}")
+    return spark.read.schema(found.schema).parquet(*[f"{folder}/found-{n}" for n in range(count)])
 
 
 def same_scope(query_scopes: np.ndarray | None, scopes: np.ndarray | None) -> np.ndarray | None:
@@ -86,10 +73,11 @@ class BestPerQuery:
         self.floor = np.full(len(query_ids), -np.inf)
         self.held, self.waiting = [], 0
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        """Score block ``(queries, rows)`` of rows ``ids``."""
+    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None, who: np.ndarray | None = None) -> None:
+        """Score block ``(queries, rows)`` of rows ``ids``; its queries are those at the places ``who``, by default all."""
         rounded = np.rint(scores * SCALE)
-        eligible = rounded >= self.floor[:, None]
+        who = np.arange(len(self.query_ids)) if who is None else who
+        eligible = rounded >= self.floor[who][:, None]
         if allowed is not None:
             eligible &= allowed
         asked = np.flatnonzero(eligible.any(axis=1))
@@ -107,7 +95,7 @@ class BestPerQuery:
             chosen = np.broadcast_to(np.arange(n)[None, :], key.shape)
         row, place = np.nonzero(np.take_along_axis(key, chosen, axis=1) != never)
         column = chosen[row, place]
-        self.held.append(pd.DataFrame({"q": asked[row], "id": ids[column], "score": rounded[asked[row], column]}))
+        self.held.append(pd.DataFrame({"q": who[asked[row]], "id": ids[column], "score": rounded[asked[row], column]}))
         self.waiting += len(row)
         if self.waiting > max(CELLS // 16, self.k * len(self.query_ids)):
             self._settle()

@@ -1,19 +1,21 @@
 """Exact nearest vectors: every query against every vector, keeping only the best ``k``.
 
-A counted, small query table is broadcast as one matrix and the vectors stream past it. A larger one is laid
-out with the vectors on a grid of equal blocks, one bounded matrix product per cell.
+A counted, small query table is broadcast as one matrix and the vectors stream past it. A larger one is taken in parts of that size,
+one pass over the vectors for each.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import GRID_QUERIES, GRID_ROWS, BestPerQuery, grid, same_scope, scan
+from baraza.operators.blocked import BestPerQuery, in_passes, scan
 from baraza.operators.topk import top_k
 
 BROADCAST_BYTES = 64 << 20
+SCOPE_FILTER = 1000  # scopes named in a scan's filter
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -27,13 +29,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
+def _by_scope(scopes: np.ndarray | None) -> dict | None:
+    """For each scope the places of the queries that see it; under null those that see every scope."""
+    if scopes is None:
+        return None
+    open_ = np.flatnonzero(pd.isna(scopes))
+    own = {s: np.sort(np.concatenate([np.flatnonzero(scopes == s), open_])) for s in set(scopes[~pd.isna(scopes)])}
+    return own | {None: open_}
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = False, skip_same_id: bool = False,
-            broadcast_bytes: int = BROADCAST_BYTES, grid_queries: int = GRID_QUERIES,
-            grid_vectors: int = GRID_ROWS) -> DataFrame:
+            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(query_id, id, similarity, rank)``: the ``k`` most similar vectors per query.
 
     ``queries`` has ``query_id, vector[, scope]`` and ``vectors`` has ``id, vector[, scope]``. With
-    ``scope`` a query sees only vectors of its own scope (a null query scope sees all).
+    ``scope`` a query sees only vectors of its own scope (a null query scope sees all): scopes that no query sees are left to the scan's
+    filter, and a task multiplies only queries and vectors that share one.
     Similarity is cosine, rounded to 4 decimals; ties go to the smaller id. A null vector is never found and finds
     nothing; vectors of unlike lengths are an error that names them.
     """
@@ -41,28 +52,35 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, scope: bool = Fal
     queries = queries.where(F.col("vector").isNotNull()).select("query_id", "vector", *extra)
     vectors = vectors.where(F.col("vector").isNotNull()).select("id", "vector", *extra)
 
-    def prepare(asked: pa.Table) -> dict:
-        return {"ids": asked.column("query_id").to_numpy(), "matrix": _matrix(asked.column("vector")),
-                "scopes": asked.column("scope").to_pandas().to_numpy() if scope else None}
-
     def offer(best: BestPerQuery, part: pa.RecordBatch, asked: dict) -> None:
         ids = part.column("id").to_numpy(zero_copy_only=False)
-        allowed = same_scope(asked["scopes"], part.column("scope").to_pandas().to_numpy() if scope else None)
-        if skip_same_id:
-            other = asked["ids"][:, None] != ids[None, :]
-            allowed = other if allowed is None else allowed & other
-        best.offer(asked["matrix"] @ _matrix(part.column("vector")).T, ids, allowed)
+        held = _matrix(part.column("vector"))
+        places = {None: np.arange(len(ids))}
+        if scope:
+            coded = pc.dictionary_encode(part.column("scope"))
+            names, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            places = {name: np.flatnonzero(codes == c) for c, name in enumerate([*names, None])}
+        for name, rows in places.items():
+            who = asked["by_scope"].get(name, asked["by_scope"][None]) if scope else np.arange(len(asked["ids"]))
+            if len(who) and len(rows):
+                other = asked["ids"][who][:, None] != ids[rows][None, :] if skip_same_id else None
+                best.offer(asked["matrix"][who] @ held[rows].T, ids[rows], other, who)
 
-    size = queries.agg(F.count("*").alias("n"), F.sum(16 + 8 * F.size("vector")).alias("bytes"),
-                       *([F.sum(F.length(F.coalesce(F.col("scope").cast("string"), F.lit("")))).alias("scopes")] if scope else [])).first()
-    count = size["n"]
-    if count == 0:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    elif size["bytes"] + (size["scopes"] if scope else 0) <= broadcast_bytes:
-        table = queries.toArrow()  # counted: at most ``broadcast_bytes``
+    def run(part: DataFrame) -> DataFrame:
+        table = part.toArrow()  # counted: about ``broadcast_bytes`` at most
+        if not table.num_rows:
+            return vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+        scopes = table.column("scope").to_pandas().to_numpy() if scope else None
+        asked = {"ids": table.column("query_id").to_numpy(), "matrix": _matrix(table.column("vector")), "by_scope": _by_scope(scopes)}
+        seen = vectors
+        if scope and not pd.isna(scopes).any():
+            wanted = sorted(set(scopes))
+            seen = vectors.where(F.col("scope").isin(wanted)) if len(wanted) <= SCOPE_FILTER else vectors
         context = vectors.sparkSession.sparkContext
-        asked = prepare(table)
-        found = scan(vectors, offer, context.broadcast(asked["ids"]), context.broadcast(asked), k, "similarity")
-    else:
-        found = grid(queries, vectors, count, prepare, offer, k, "similarity", grid_queries, grid_vectors)
+        return scan(seen, offer, context.broadcast(asked["ids"]), context.broadcast(asked), k, "similarity")
+
+    size = queries.agg(F.sum(16 + 8 * F.size("vector")).alias("bytes"),
+                       *([F.sum(F.length(F.coalesce(F.col("scope").cast("string"), F.lit("")))).alias("scopes")] if scope else [])).first()
+    total = (size["bytes"] or 0) + ((size["scopes"] or 0) if scope else 0)
+    found = run(queries) if total <= broadcast_bytes else in_passes(queries, -(-total // max(broadcast_bytes, 1)), run, "nearest")
     return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)

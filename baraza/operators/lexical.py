@@ -1,9 +1,10 @@
 """Full-text matching: documents that hold any of a query's content terms, ranked, best ``k`` kept.
 
 The rank is the mean over the query's distinct terms of a saturating term frequency, scaled to at most 1.
-Stems are matched by spelling out the query's stems. For a counted, bounded table of query terms, documents stream past the broadcast terms and only the best ``k`` per
-query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger query table meets the
-documents on a grid of equal blocks. ``lexical_matches`` gives all matches, by joins on the term.
+Stems are matched by spelling out the query's stems. For a counted, bounded table of query terms, documents stream past the broadcast
+terms and only the best ``k`` per query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger
+query table is taken in parts of that size, one pass over the documents for each. ``lexical_matches`` gives all matches, by joins on the
+term, for those who want all of them.
 """
 
 import math
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, GRID_QUERIES, GRID_ROWS, BestPerQuery, grid, same_scope, scan
+from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, same_scope, scan
 from baraza.operators.topk import top_k
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
@@ -73,38 +74,44 @@ def _stemmed(terms: DataFrame, stems: DataFrame) -> DataFrame:
 
 def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bool = False,
                   stems: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS,
-                  grid_queries: int = GRID_QUERIES, grid_documents: int = GRID_ROWS) -> DataFrame:
+                  broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """The ``k`` best matches per query (ties to the smaller id), with ``rank``.
 
-    Inputs as for ``lexical_matches``.
+    Inputs as for ``lexical_matches``. ``broadcast_terms`` and ``broadcast_queries`` bound what is broadcast at a time.
     """
     extra = ["scope"] if scope else []
+    documents = documents.select("id", "terms", *extra)
     if stems is not None:
-        matches = _best_stem_matches(queries.select("query_id", "terms", *extra), documents.select("id", "terms", *extra), k, scope, stems, broadcast_terms)
+        stemmed = _stemmed(queries.select("query_id", *extra, F.explode("terms").alias("term")), stems)
+        asked = stemmed.groupBy("query_id", *extra).agg(F.collect_set("term").alias("terms"))
+        run = lambda part: _stem_matches(part, documents, k, scope, stems)
     else:
-        matches = _best_matches(queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra),
-                                documents.select("id", "terms", *extra), k, scope, broadcast_terms, grid_queries, grid_documents)
+        asked = queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra)
+        run = lambda part: _matches(part, documents, k, scope)
+    size = asked.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
+    passes = max(-(-(size["n"] or 0) // max(broadcast_terms, 1)), -(-size["q"] // broadcast_queries), 1)
+    matches = run(asked) if passes == 1 else in_passes(asked, passes, run, "lexical")
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
 
 
-def _best_stem_matches(queries, documents, k, scope, stems, broadcast_terms):
+def _stem_matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, stems: DataFrame) -> DataFrame:
     """Query stems are spelt out as the surface terms that share them; documents are scanned as they are."""
-    extra = ["scope"] if scope else []
-    asked = (_stemmed(queries.select("query_id", *extra, F.explode("terms").alias("term")), stems)
-             .groupBy("query_id", *extra).agg(F.collect_set("term").alias("terms")))
     wanted = asked.select(F.explode("terms").alias("stem")).distinct()
     spelt = stems.join(wanted, "stem", "left_semi").select("term", "stem")
     # a word the dictionary doesn't know is its own stem
     alone = wanted.join(stems.select(F.col("term").alias("stem")), "stem", "left_anti").select(F.col("stem").alias("term"), "stem")
-    surface = spelt.union(alone).distinct()
-    size = asked.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
-    if size["q"] == 0:
+    return _matches(asked, documents, k, scope, spelt.union(alone).distinct())
+
+
+def _matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, spelling: DataFrame | None = None) -> DataFrame:
+    table = asked.toArrow()  # counted: a bounded part of the queries
+    if not table.num_rows:
         return documents.sparkSession.createDataFrame([], "query_id long, id long, lexical_rank double")
-    if size["n"] + surface.count() > broadcast_terms or size["q"] > BROADCAST_QUERIES:
-        return lexical_matches(queries, documents, scope=scope, stems=stems)
-    index, spelling = _query_index(asked.toArrow(), scope), surface.toArrow()  # both counted
-    index["group"] = pc.index_in(spelling.column("stem"), value_set=index["vocabulary"]).to_numpy()
-    index["vocabulary"] = spelling.column("term").combine_chunks().cast(pa.string())
+    index = _query_index(table, scope)
+    if spelling is not None:
+        spelt = spelling.toArrow()
+        index["group"] = pc.index_in(spelt.column("stem"), value_set=index["vocabulary"]).to_numpy()
+        index["vocabulary"] = spelt.column("term").combine_chunks().cast(pa.string())
     context = documents.sparkSession.sparkContext
     return scan(documents, _offer_scores(scope), context.broadcast(index["ids"]), context.broadcast(index), k, "lexical_rank")
 
@@ -119,21 +126,6 @@ def _offer_scores(scope: bool):
     return offer
 
 
-def _best_matches(queries, documents, k, scope, broadcast_terms, grid_queries, grid_documents):
-    def prepare(asked: pa.Table) -> dict:
-        return _query_index(asked, scope)
-
-    offer = _offer_scores(scope)
-    size = queries.agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("q")).first()
-    if size["q"] == 0:
-        return documents.sparkSession.createDataFrame([], "query_id long, id long, lexical_rank double")
-    if size["n"] <= broadcast_terms and size["q"] <= BROADCAST_QUERIES:
-        index = prepare(queries.toArrow())  # counted: at most ``broadcast_terms`` terms
-        context = documents.sparkSession.sparkContext
-        return scan(documents, offer, context.broadcast(index["ids"]), context.broadcast(index), k, "lexical_rank")
-    return grid(queries, documents, size["q"], prepare, offer, k, "lexical_rank", grid_queries, grid_documents)
-
-
 def _query_index(table: pa.Table, scope: bool) -> dict:
     """Query terms by term: for term ``t`` the query positions ``who[start[t]:start[t + 1]]``."""
     lists = table.column("terms").combine_chunks()

@@ -53,16 +53,16 @@ def _knn_model(q, qs, v, vs, k, same=False):
     return out
 
 
-@pytest.mark.parametrize("force_grid", [False, True])
+@pytest.mark.parametrize("passes", [False, True])
 @pytest.mark.parametrize("scope", [False, True])
-def test_nearest(spark, force_grid, scope):
+def test_nearest(spark, passes, scope):
     rng = np.random.default_rng(3)
     q, v = rng.integers(-2, 3, (7, 4)) + 0.25, rng.integers(-2, 3, (60, 4)) + 0.5
     qs = ["x", "y", None, "x", "z", "y", "x"] if scope else None
     vs = [("x", "y")[i % 2] for i in range(60)] if scope else None
     queries = spark.createDataFrame([(i, q[i].tolist(), qs[i] if scope else None) for i in range(7)], "query_id long, vector array<double>, scope string")
     vectors = spark.createDataFrame([(i, v[i].tolist(), vs[i] if scope else None) for i in range(60)], "id long, vector array<double>, scope string")
-    small = dict(broadcast_bytes=0, grid_queries=3, grid_vectors=17) if force_grid else {}
+    small = dict(broadcast_bytes=100) if passes else {}
     found = knn.nearest(queries, vectors, 5, scope=scope, **small).orderBy("query_id", "rank").collect()
     got = {i: [] for i in range(7)}
     for r in found:
@@ -70,6 +70,19 @@ def test_nearest(spark, force_grid, scope):
     assert got == _knn_model(q, qs, v, vs, 5)
 
 
+def test_scopes_reach_the_scan(spark, tmp_path):
+    """Only scopes that a query sees are read; an unknown scope finds nothing, a null one on the vectors' side only open queries."""
+    spark.createDataFrame([(i, [1.0, float(i)], s) for i, s in enumerate(["x", "y", None, "z", "x"])], "id long, vector array<double>, scope string").write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    asked = spark.createDataFrame([(1, [1.0, 4.0], "x"), (2, [1.0, 0.0], "none"), (3, [1.0, 1.0], "z")], "query_id long, vector array<double>, scope string")
+    found = knn.nearest(asked, vectors, 5, scope=True)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(1, 0), (1, 4), (3, 3)]
+    assert "PushedFilters: [IsNotNull(vector), In(scope, [none,x,z])]" in found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    open_ = spark.createDataFrame([(9, [1.0, 4.0], None)], "query_id long, vector array<double>, scope string")
+    assert sorted(r.id for r in knn.nearest(open_, vectors, 9, scope=True).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_nearest_edges(spark):
     one_hot = [(i, [1.0 if j == i else 0.0 for j in range(3)]) for i in range(3)]
     vectors = spark.createDataFrame(one_hot, "id long, vector array<double>")
@@ -89,7 +102,8 @@ def test_lexical_paths_agree(spark, scope):
     d = spark.createDataFrame(docs, "id long, terms array<string>, scope string")
     q = spark.createDataFrame(asked, "query_id long, terms array<string>, scope string")
     streamed = lexical.lexical_top_k(q, d, 4, scope=scope).collect()
-    gridded = lexical.lexical_top_k(q, d, 4, scope=scope, broadcast_terms=-1, grid_queries=4, grid_documents=30).collect()
+    gridded = lexical.lexical_top_k(q, d, 4, scope=scope, broadcast_terms=9).collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, lexical.lexical_top_k(q, d, 4, scope=scope, broadcast_queries=4).collect()))
     matched = {(r["query_id"], r["id"]): r["lexical_rank"] for r in lexical.lexical_matches(q, d, scope=scope).collect()}
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, gridded))
     assert all(matched[(r["query_id"], r["id"])] == r["lexical_rank"] for r in streamed)
@@ -118,6 +132,21 @@ def test_stemmed_matches(spark):
     assert lexical.lexical_top_k(q, d, 5).count() == 0
 
 
+def test_stems_in_passes(spark):
+    """Stems found in several passes, against all matches by joins."""
+    rnd = random.Random(2)
+    words = [f"{w}{e}" for w in ("road", "stall", "work", "fund") for e in ("", "s", "ed", "ing")]
+    d = spark.createDataFrame([(i, [rnd.choice(words) for _ in range(rnd.randint(0, 9))]) for i in range(60)], "id long, terms array<string>")
+    q = spark.createDataFrame([(i, [rnd.choice(words + ["unknown"]) for _ in range(rnd.randint(1, 3))]) for i in range(12)], "query_id long, terms array<string>")
+    stems = spark.createDataFrame([(w, w.removesuffix("s").removesuffix("ed").removesuffix("ing")) for w in words], "term string, stem string")
+    every = {}
+    for r in lexical.lexical_matches(q, d, stems=stems).collect():
+        every.setdefault(r.query_id, []).append((-r.lexical_rank, r.id))
+    want = sorted((i, b, -a) for i, hits in every.items() for a, b in sorted(hits)[:4])
+    for options in ({}, {"broadcast_terms": 5}):
+        assert sorted((r.query_id, r.id, r.lexical_rank) for r in lexical.lexical_top_k(q, d, 4, stems=stems, **options).collect()) == want
+
+
 def test_fusion(spark):
     near = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 2, 0.8)], "query_id long, id long, rank int, similarity double")
     words = spark.createDataFrame([(1, 2, 1, 0.5), (1, 3, 2, 0.4)], "query_id long, id long, rank int, lexical_rank double")

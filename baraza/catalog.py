@@ -521,16 +521,27 @@ def hash_embed(df: DataFrame) -> DataFrame:
 _EXPANDED = _replace_words("text", fv.SLANG_TO_SWAHILI)
 
 
-def _hybrid_sql(variants: bool = True, lexical: bool = True, scope: bool = False) -> str:
-    """Retrieval over ``benchmark`` in SQL up to ``ranked (query_id, id, score, similarity, lexical_rank, rank)``."""
+#: A stand-in stem both engines can compute.
+_STEM = 5
+
+
+def stand_in_stems(terms: DataFrame) -> DataFrame:
+    return terms.select("term", F.left("term", F.lit(_STEM)).alias("stem")).distinct()
+
+
+_QUESTIONS = "SELECT item_id AS query_id, text, 8 AS hit_limit FROM benchmark"
+
+
+def _hybrid_sql(variants: bool = True, lexical: bool = True, scope: bool = False, questions: str = _QUESTIONS) -> str:
+    """Retrieval of ``questions (query_id, text, hit_limit)`` in SQL up to ``ranked (query_id, id, score, similarity, lexical_rank, rank)``."""
     english = _collapse(_replace_words("expanded", fv.SWAHILI_TO_ENGLISH))
     terms = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({_STOP}))"
     arm = _pick(fv.GOVERNMENT_ARMS, "regexp_extract(source, '([0-9]+)$', 1)::BIGINT")
-    asked_arm = _pick(fv.GOVERNMENT_ARMS, "item_id")
+    asked_arm = _pick(fv.GOVERNMENT_ARMS, "query_id")
     seen = "c.arm = v.arm" if scope else "TRUE"
     wanted = "unnest([text, expanded] || CASE WHEN english <> '' THEN [english] ELSE [] END)" if variants else "text"
     return f"""{CHUNK}, ch AS (SELECT page * 1000 + chunk_no AS id, text, page, source, {arm} AS arm FROM chunk),
-  ask AS (SELECT item_id AS query_id, text, {asked_arm} AS arm, {_EXPANDED} AS expanded FROM benchmark),
+  ask AS (SELECT query_id, text, hit_limit, {asked_arm} AS arm, {_EXPANDED} AS expanded FROM ({questions})),
   eng AS (SELECT *, {english} AS english FROM ask),
   vrow AS (SELECT DISTINCT query_id, arm, text FROM (SELECT query_id, arm, {wanted} AS text FROM eng)),
   vnum AS (SELECT *, row_number() OVER (ORDER BY query_id, text) AS v FROM vrow),
@@ -542,20 +553,22 @@ def _hybrid_sql(variants: bool = True, lexical: bool = True, scope: bool = False
     LEFT JOIN dots ON dots.v = v.v AND dots.id = c.id LEFT JOIN vlen ON vlen.v = v.v LEFT JOIN clen ON clen.id = c.id),
   topv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 8),
   best AS (SELECT query_id, id, max(similarity) AS similarity FROM topv GROUP BY 1, 2),
-  vlist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM best) WHERE rank <= 8),
-  qterm AS (SELECT DISTINCT query_id, arm, unnest({terms.replace("text", "coalesce(nullif(english, ''), text)")}) AS term FROM eng),
+  vlist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM best) b
+    WHERE rank <= (SELECT hit_limit FROM ask WHERE ask.query_id = b.query_id)),
+  qterm AS (SELECT DISTINCT query_id, arm, left(unnest({terms.replace("text", "coalesce(nullif(english, ''), text)")}), {_STEM}) AS term FROM eng),
   qsize AS (SELECT query_id, count(*) AS n FROM qterm GROUP BY 1),
-  post AS (SELECT id, arm, term, count(*) AS tf FROM (SELECT id, arm, unnest({terms}) AS term FROM ch) GROUP BY 1, 2, 3),
+  post AS (SELECT id, arm, term, count(*) AS tf FROM (SELECT id, arm, left(unnest({terms}), {_STEM}) AS term FROM ch) GROUP BY 1, 2, 3),
   lex AS (SELECT query_id, id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j)))) * 6 / (pi() * pi())
     / any_value(n), 4) AS lexical_rank FROM post c JOIN qterm v ON c.term = v.term AND {seen} JOIN qsize USING (query_id) GROUP BY 1, 2),
-  llist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, id) AS rank FROM lex)
-    WHERE rank <= 8 AND {"TRUE" if lexical else "FALSE"}),
+  llist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank DESC, id) AS rank FROM lex) x
+    WHERE rank <= (SELECT hit_limit FROM ask WHERE ask.query_id = x.query_id) AND {"TRUE" if lexical else "FALSE"}),
   lists AS (SELECT query_id, id, rank, 0 AS list_no, similarity, NULL::DOUBLE AS lexical_rank FROM vlist
     UNION ALL SELECT query_id, id, rank, 1, NULL, lexical_rank FROM llist),
   fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list_no * 1000 + rank) AS first_place,
     max(similarity) AS similarity, max(lexical_rank) AS lexical_rank FROM lists GROUP BY 1, 2),
   ranked AS (SELECT query_id, id, score, similarity, lexical_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-    ORDER BY score DESC, first_place, id) AS rank FROM fused) WHERE rank <= 8)"""
+    ORDER BY score DESC, first_place, id) AS rank FROM fused) f
+    WHERE rank <= (SELECT hit_limit FROM ask WHERE ask.query_id = f.query_id))"""
 
 
 _CHUNK_TABLES: dict[tuple[str, str], str] = {}
@@ -566,7 +579,13 @@ def _corpus_chunks(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _CHUNK_TABLES:
         _CHUNK_TABLES[key] = _write_chunks(spark, sf)
-    return spark.read.parquet(_CHUNK_TABLES[key])
+    return spark.read.parquet(f"{_CHUNK_TABLES[key]}/chunks")
+
+
+def _stems(spark, sf):
+    """The dictionary that lies beside the chunk table, and how terms outside it are stemmed."""
+    _corpus_chunks(spark, sf)
+    return dict(stems=spark.read.parquet(f"{_CHUNK_TABLES[spark.sparkContext.applicationId, sf]}/stems"), stem=stand_in_stems)
 
 
 def _write_chunks(spark, sf):
@@ -574,9 +593,10 @@ def _write_chunks(spark, sf):
     shaped = chunks.select((F.col("page") * 1000 + F.col("chunk_no")).alias("id"), "source_id", F.col("page").alias("page_number"),
                            b.pick(fv.GOVERNMENT_ARMS, F.col("source_id")).alias("government_arm"), "text")
     embedded = hash_embed(shaped).select("id", "source_id", "page_number", "government_arm", F.col("text").alias("chunk_text"),
-                                         F.col("vector").alias("embedding"))
+                                         F.col("vector").alias("embedding"), tx.lexical_terms(F.col("text")).alias("terms"))
     path = run_folder(spark, "chunk-table")
-    embedded.write.parquet(path)
+    embedded.write.parquet(f"{path}/chunks")
+    stand_in_stems(spark.read.parquet(f"{path}/chunks").select(F.explode("terms").alias("term"))).write.parquet(f"{path}/stems")
     return path
 
 
@@ -588,7 +608,7 @@ def _questions(spark, sf):
   arm AS government_arm, score, similarity, lexical_rank FROM ranked JOIN ch ON ch.id = ranked.id""")
 def hybrid_retrieval(spark, sf):
     chunks = _corpus_chunks(spark, sf)
-    hits = retrieval.hybrid_hits(_questions(spark, sf), chunks, hash_embed)
+    hits = retrieval.hybrid_hits(_questions(spark, sf), chunks, hash_embed, **_stems(spark, sf))
     return retrieval.with_chunk_details(hits, chunks, b.sources(spark, sf)).select(
         "query_id", "rank", "id", "source_title", "page_number", "government_arm", "score", "similarity", "lexical_rank")
 
@@ -596,7 +616,7 @@ def hybrid_retrieval(spark, sf):
 @query("hybrid_retrieval_scoped", f"WITH {_hybrid_sql(scope=True)} SELECT * FROM ranked")
 def _(spark, sf):
     asked = _questions(spark, sf).withColumn("scope", b.pick(fv.GOVERNMENT_ARMS, F.col("query_id")))
-    return retrieval.hybrid_hits(asked, _corpus_chunks(spark, sf), hash_embed, scope=True)
+    return retrieval.hybrid_hits(asked, _corpus_chunks(spark, sf), hash_embed, scope=True, **_stems(spark, sf))
 
 
 @query("vector_only_retrieval", f"WITH {_hybrid_sql(variants=False, lexical=False)} SELECT * FROM ranked")
@@ -604,12 +624,47 @@ def _(spark, sf):
     return retrieval.hybrid_hits(_questions(spark, sf), _corpus_chunks(spark, sf), hash_embed, variants=False, lexical=False)
 
 
-@query("query_routing")
+_NEEDS = f"""(len(list_filter(regexp_extract_all(lower(anchored), '[a-z]+'), lambda w: w IN ({_CLEAR}))) > 0
+    OR len(list_filter(regexp_extract_all(anchored, {_TOKENS}), lambda t: lower(t) IN ({_list([s for s in fv.SLANG_TO_SWAHILI if s != 'county'])}))) > 0)"""
+_ANCHORED = _collapse(_replace_words(_replace_words("anchored", fv.SLANG_TO_SWAHILI), fv.SWAHILI_TO_ENGLISH))
+_ROUTED = f"""WITH {MSG}, hist AS (SELECT id AS query_id, role, text, list(role || ': ' || text) OVER w AS turns,
+    list(CASE WHEN role = 'user' THEN text END) OVER w AS prior FROM msg WHERE role IN ('user', 'assistant')
+    WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS BETWEEN {fv.HISTORY_LIMIT} PRECEDING AND 1 PRECEDING)),
+  usr AS (SELECT query_id, text, coalesce(turns, []) AS turns, list_filter(prior, lambda x: x IS NOT NULL) AS earlier,
+    len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words,
+    regexp_matches(lower(text), '{"|".join(fv.VALUE_FOR_MONEY_TRIGGERS)}') AS value FROM hist WHERE role = 'user'),
+  anch AS (SELECT *, CASE WHEN n_words <= {fv.FOLLOWUP_MAX_WORDS} AND len(earlier) > 0 THEN {_strip("earlier[-1] || ' ' || text")} ELSE text END AS anchored FROM usr),
+  rq AS (SELECT *, CASE WHEN value THEN text WHEN {_strip('anchored')} = '' OR NOT {_NEEDS} THEN anchored
+    ELSE coalesce(nullif({_ANCHORED}, ''), anchored) END AS retrieval_query FROM anch),
+  sk AS (SELECT *, {_collapse('lower(retrieval_query)')} AS search FROM rq),
+  srch AS (SELECT min(query_id) AS search_id, arg_min(retrieval_query, query_id) AS text, search, value FROM sk GROUP BY search, value),
+  {_hybrid_sql(questions="SELECT search_id AS query_id, text, CASE WHEN value THEN 3 ELSE 8 END AS hit_limit FROM srch")},
+  got AS (SELECT r.query_id AS search_id, count(*) AS hit_count, max(similarity) AS best_similarity, max(lexical_rank) AS best_lexical,
+    string_agg('[' || rank || '] Source chunk (page ' || page || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+    string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS passages,
+    string_agg('- ' || left(text, 300), chr(10) ORDER BY rank) FILTER (WHERE rank <= 4) AS snips
+    FROM ranked r JOIN ch ON ch.id = r.id GROUP BY 1),
+  judged AS (SELECT sk.*, coalesce(hit_count, 0) AS hit_count, context, passages, coalesce(snips, '(none)') AS snips,
+    NOT (coalesce(best_similarity, 0) >= {fv.WEAK_SIMILARITY} OR coalesce(best_lexical, 0) > 0) OR coalesce(hit_count, 0) = 0 AS weak
+    FROM sk JOIN srch USING (search, value) LEFT JOIN got USING (search_id)),
+  routed AS (SELECT *, CASE WHEN value AND hit_count > 0 THEN 'value_for_money' WHEN weak AND n_words <= {fv.CLARIFY_MAX_WORDS} THEN 'clarify'
+    WHEN hit_count = 0 THEN 'no_answer' ELSE 'generate' END AS route,
+    CASE WHEN len(turns) > 0 THEN 'CONVERSATION SO FAR:' || chr(10) || array_to_string(turns, chr(10)) || chr(10) || chr(10) ELSE '' END AS talk,
+    '<QUESTION>' || chr(10) || text || chr(10) || '</QUESTION>' AS asked FROM judged)"""
+
+
+@query("query_routing", f"""{_ROUTED} SELECT query_id, route, weak, retrieval_query, hit_count,
+  md5(CASE route WHEN 'generate' THEN talk || 'CONTEXT:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || asked
+    WHEN 'value_for_money' THEN passages || chr(10) || chr(10) || text
+    WHEN 'clarify' THEN talk || asked || chr(10) || chr(10) || '<SNIPPETS>' || chr(10) || snips || chr(10) || '</SNIPPETS>' END) AS prompt_key,
+  CASE WHEN route = 'clarify' THEN snips END AS snippets,
+  CASE WHEN route = 'no_answer' THEN CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({_CLEAR}))) > 0
+    THEN '{fv.NO_ANSWER_TEXT["sw"]}' ELSE '{fv.NO_ANSWER_TEXT["en"].replace("'", "''")}' END END AS canned FROM routed""")
 def _(spark, sf):
     asked = conversations.with_history(b.messages(spark, sf)).where(F.col("role") == "user").select(
         F.col("id").alias("query_id"), "text", "history")
-    planned = retrieval.plan_responses(asked, _corpus_chunks(spark, sf), b.sources(spark, sf), hash_embed)
-    return planned.select("query_id", "route", "weak", "retrieval_query", F.size("hits").alias("hit_count"), "prompt",
+    planned = retrieval.plan_responses(asked, _corpus_chunks(spark, sf), b.sources(spark, sf), hash_embed, **_stems(spark, sf))
+    return planned.select("query_id", "route", "weak", "retrieval_query", F.size("hits").alias("hit_count"), F.md5("prompt").alias("prompt_key"),
                           "snippets", "canned")
 
 

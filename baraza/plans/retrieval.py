@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.functions import text as tx
+from baraza.functions.stemming import stem_dictionary
 from baraza.operators.fusion import best_per_variant, is_weak, reciprocal_rank_fusion
 from baraza.operators.knn import nearest
 from baraza.operators.lexical import lexical_top_k
 from baraza.session import run_folder, shared_folder
 
 Embed = Callable[[DataFrame], DataFrame]
+Stem = Callable[[DataFrame], DataFrame]
 
 
 def variant_rows(queries: DataFrame) -> DataFrame:
@@ -23,13 +25,14 @@ def variant_rows(queries: DataFrame) -> DataFrame:
 
 def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv.TOP_K, *, scope: bool = False,
                 variants: bool = True, lexical: bool = True, variant_k: int | None = fv.VARIANT_TOP_K_CAP,
-                stems: DataFrame | None = None) -> DataFrame:
+                stems: DataFrame | None = None, stem: Stem | None = stem_dictionary) -> DataFrame:
     """``(query_id, id, rank, score, similarity, lexical_rank)``: the fused ``k`` best chunks per query.
 
     ``queries``: ``query_id, text[, scope]``; ``chunks``: ``id, chunk_text, embedding[, government_arm]``.
     ``embed`` adds ``vector`` to a table with ``text``. Without ``variants`` and ``lexical`` this is plain vector search.
-    ``variant_k`` bounds what one variant finds by vector, however large ``k`` is; null leaves it at ``k``. ``stems``
-    (``term, stem``) lets the lexical list meet on stems.
+    ``variant_k`` bounds what one variant finds by vector, however large ``k`` is; null leaves it at ``k``.
+    The lexical list meets on stems: ``stem`` makes the dictionary of a table of terms, ``stems`` (``term, stem``) is that of the chunks' terms
+    where it is stored with them; without ``stem`` terms meet as they are. Chunks may bring their ``terms`` along.
     A column ``hit_limit`` (at most ``k``) searches single queries less deeply: a shorter list is a prefix of the longer.
     """
     scoped = ["scope"] if scope else []
@@ -53,9 +56,12 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
     lists = [limited(best_per_variant(near, k))]
     if lexical:
         terms = queries.select("query_id", *scoped, tx.lexical_terms(tx.lexicon_translation(F.col("text"))).alias("terms"))
-        corpus = chunks.select("id", tx.lexical_terms(F.col("chunk_text")).alias("terms"),
-                               *([F.col("government_arm").alias("scope")] if scope else []))
-        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope, stems=stems)))
+        held = F.col("terms") if "terms" in chunks.columns else tx.lexical_terms(F.col("chunk_text"))
+        corpus = chunks.select("id", held.alias("terms"), *([F.col("government_arm").alias("scope")] if scope else []))
+        if stem is not None:
+            known = stems if stems is not None else stem(corpus.select(F.explode("terms").alias("term")))
+            stems = known.select("term", "stem").union(stem(terms.select(F.explode("terms").alias("term"))).select("term", "stem")).distinct()
+        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope, stems=stems if stem is not None else None)))
     return limited(reciprocal_rank_fusion(lists, k))
 
 
@@ -136,7 +142,7 @@ def route(query: Column, weak: Column, hit_count: Column) -> Column:
 
 
 def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, embed: Embed,
-                   k: int = fv.TOP_K, stems: DataFrame | None = None) -> DataFrame:
+                   k: int = fv.TOP_K, stems: DataFrame | None = None, stem: Stem | None = stem_dictionary) -> DataFrame:
     """One row per question: route, retrieval query, hits and the prompt for its route.
 
     ``queries``: ``query_id, text, history`` and optionally ``translation`` (a supplied English text).
@@ -156,7 +162,7 @@ def plan_responses(queries: DataFrame, chunks: DataFrame, sources: DataFrame, em
 
     searches = distinct.select(F.col("search_id").alias("query_id"), "text",
                                F.when(F.col("_value"), min(VALUE_HITS, k)).otherwise(k).alias("hit_limit"))
-    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k, stems=stems), chunks, sources)
+    hits = with_chunk_details(hybrid_hits(searches, chunks, embed, k, stems=stems, stem=stem), chunks, sources)
     grouped = hits_per_query(hits).withColumnRenamed("query_id", "search_id")
     found = distinct.drop("text").join(grouped, "search_id", "left")
     rows = keyed.join(found, ["_search", "_value"]).fillna(0, ["hit_count"])

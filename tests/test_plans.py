@@ -459,5 +459,6 @@ def test_stems_widen_the_lexical_list(spark):
     chunks = hash_embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
     stems = spark.createDataFrame([(w, "stall") for w in ("stalled", "stalls", "stall")], "term string, stem string")
     asked = spark.createDataFrame([(1, "stalled project")], "query_id long, text string")
-    found = {s: {r["id"] for r in retrieval.hybrid_hits(asked, chunks, hash_embed, 3, stems=t).where("lexical_rank > 0").collect()} for s, t in (("plain", None), ("stems", stems))}
-    assert found == {"plain": {0}, "stems": {0, 1}}
+    given = {"plain": {"stem": None}, "stored": {"stems": stems}, "default": {}}
+    found = {s: {r["id"] for r in retrieval.hybrid_hits(asked, chunks, hash_embed, 3, **o).where("lexical_rank > 0").collect()} for s, o in given.items()}
+    assert found == {"plain": {0}, "stored": {0, 1}, "default": {0, 1}}

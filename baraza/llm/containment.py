@@ -9,13 +9,15 @@ to contain. Documents that meet a sketch are verified on the shingles themselves
 All work is DataFrame expressions. Items are joined as a table; they are broadcast only where Spark finds their written
 table below its own threshold, and otherwise shuffled by shingle, where a hot shingle may be split.
 
-* Words are lower-cased runs of letters and digits. A document or item with fewer words than a shingle has no shingles; such
-  an item, a null or an empty one is never found.
+* Words are lower-cased runs of letters and digits. An item with fewer words than a shingle is one shingle of its own length, looked up
+  among the documents' runs of that length (only lengths that occur among the items are made). A null or wordless item is never found.
 * Rows with a null ``doc_id`` or ``item_id`` can't be named in a pair and give none. Of rows that repeat an id each text is
   compared on its own, and the best is reported.
 * Columns besides the id and ``text`` are ignored; empty tables give an empty result.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,23 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words:
     shared = whole.distinct().join(index, "shingle").groupBy("doc_id", "row", "item_id", "item_row", "n").agg(F.count("*").alias("n_shared"))
     found = shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
     best = F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", F.col("n").cast("long").alias("n_item")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_shared", "b.n_item", "b.containment")
+    full = found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_shared", "b.n_item", "b.containment")
+    short = _short(texts, items, words)
+    # an id that stands for a short and a longer text is found once, by the share of the longer one if that is as good
+    return full.union(short).groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("b")).select(
+        "doc_id", "item_id", "b.n_shared", "b.n_item", "b.containment")
+
+
+def _short(texts: DataFrame, items: DataFrame, words: int) -> DataFrame:
+    """Pairs of documents and items of fewer words than a shingle: the item's words stand together in the document."""
+    own = items.where(F.col("item_id").isNotNull()).select("item_id", _words(F.col("text")).alias("w")).where(F.size("w").between(1, words - 1))
+    own = stored(own.select("item_id", F.size("w").alias("length"), F.concat_ws(" ", "w").alias("shingle")).distinct(), "short-items")
+    lengths = [r.length for r in own.select("length").distinct().collect()]  # fewer than ``words``
+    seen = texts.select("doc_id", _words(F.col("text")).alias("w"))
+    runs = [seen.select("doc_id", F.explode(_shingles(F.col("w"), n)).alias("shingle")) for n in lengths]
+    none = seen.select("doc_id", F.lit("").alias("shingle")).limit(0)
+    found = reduce(DataFrame.union, runs, none).join(own.select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
+    return found.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_shared"), F.lit(1).cast("long").alias("n_item"), F.lit(1.0).alias("containment"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -104,7 +104,11 @@ def op10_html_extraction(spark, sf):
     sizes AS (SELECT id, count(*) AS n FROM shingled WHERE kind = 'i' GROUP BY id),
     shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM shingled d JOIN shingled i USING (shingle)
                WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+    short AS (SELECT id AS item_id, len(words) AS m, array_to_string(words, ' ') AS phrase FROM split WHERE kind = 'i' AND len(words) BETWEEN 1 AND 4),
+    grams AS (SELECT DISTINCT id AS doc_id, array_to_string(words[i:i + m - 1], ' ') AS phrase
+              FROM (SELECT id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM split, (SELECT DISTINCT m FROM short) WHERE kind = 'd' AND len(words) >= m))
     SELECT doc_id, item_id, n_shared, n AS n_item, n_shared / n AS containment FROM shared JOIN sizes ON id = item_id WHERE n_shared >= 0.8 * n
+    UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0 FROM grams JOIN short USING (phrase)
 """)
 def op5_decontamination(spark, sf):
     return containment.contained(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -134,7 +138,9 @@ def op6_token_counts(spark, sf):
     Not expressible in SQL; tested against the tokenizer on single texts.
     """
     with open(tokenizer_file(RANKS), "rb") as ranks:
-        counts = stored(rollup.counted(read(spark, sf, "documents"), "byte_bpe_50k", RANKS_PATTERN, ranks.read()), "counts")
+        ranks = ranks.read()
+    version = f"byte_bpe_50k-{rollup.tokenizer_version(RANKS_PATTERN, ranks)}"
+    counts = stored(rollup.counted(read(spark, sf, "documents"), version, RANKS_PATTERN, ranks), "counts")
     labels = read(spark, sf, "labels")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     accepted = labels.where("quality = 1").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")

@@ -10,6 +10,7 @@ committed. ``compact`` folds committed batches into a new base, which remembers
 """
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +21,20 @@ KEYS = ["source", "lang", "tokenizer"]
 _ENCODINGS: dict = {}
 
 
+def tokenizer_version(pattern: str, ranks: bytes) -> str:
+    """What tells two tokenizers of one name apart: a digest of pattern and ranks."""
+    return hashlib.sha256(pattern.encode() + b"\0" + ranks).hexdigest()[:12]
+
+
 def _encoding(name: str, pattern: str, ranks: bytes):
-    """One encoding for each worker process."""
-    if name not in _ENCODINGS:
+    """One encoding for each worker process and content, whatever the name."""
+    key = hash((pattern, ranks))
+    if key not in _ENCODINGS:
         import tiktoken
 
         parsed = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=parsed, special_tokens={})
-    return _ENCODINGS[name]
+        _ENCODINGS[key] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=parsed, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def counted(docs: DataFrame, tokenizer: str, pattern: str, ranks: bytes) -> DataFrame:
@@ -92,19 +99,25 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``."""
-        base = self._base()
-        parts = [f"{self.folder}/base-{base}"] if base is not None else []
         folded = self._folded()
-        parts += [f"{self.folder}/batch-{b}" for b in self._children("batch") if b not in folded]
+        return self._sum(self._base(), [b for b in self._children("batch") if b not in folded])
+
+    def _sum(self, base: str | None, batches: list[str]) -> DataFrame:
+        parts = [f"{self.folder}/base-{base}"] if base is not None else []
+        parts += [f"{self.folder}/batch-{b}" for b in batches]
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
         rows = self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
         summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base. The list of ids is written first; the base counts once it is complete."""
-        folded = sorted(self._folded() | set(self._children("batch")))
-        number = str(int(self._base() or 0) + 1)
-        totals = self.totals()
-        self.spark.createDataFrame([(b,) for b in folded], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/folded-{number}")
+        """Fold the batches committed by now into a new base; it holds exactly those whose ids are listed.
+
+        The list of ids is written first; the base counts once it is complete. A batch committed meanwhile is in neither.
+        """
+        base, before = self._base(), self._folded()
+        added = [b for b in self._children("batch") if b not in before]
+        number = str(int(base or 0) + 1)
+        totals = self._sum(base, added)
+        self.spark.createDataFrame([(b,) for b in sorted(before | set(added))], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/folded-{number}")
         totals.write.mode("overwrite").parquet(f"{self.folder}/base-{number}")

@@ -193,6 +193,38 @@ def test_rollup_batches(spark, tmp_path):
     assert now() == {("s", "en", "t1"): (2, 9)}
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path):
+    """A batch that comes between the listing of ids and the writing of the base is in neither, and still counted."""
+    rows = spark.createDataFrame([(1, "s", "en", "t1", 10)], "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+
+    class Interrupted(rollup.Rollup):
+        def _sum(self, base, batches):
+            if not self.spark.conf.get("test.late", ""):
+                self.spark.conf.set("test.late", "done")
+                rollup.Rollup(self.spark, self.folder).commit("late", rollup.inserts(rows))
+            return super()._sum(base, batches)
+
+    plain, late = rollup.Rollup(spark, str(tmp_path)), Interrupted(spark, str(tmp_path))
+    plain.commit("early", rollup.inserts(rows))
+    late.compact()
+    assert [(r.n_docs, r.n_tokens) for r in plain.totals().collect()] == [(2, 20)]
+    plain.compact()
+    assert [(r.n_docs, r.n_tokens) for r in plain.totals().collect()] == [(2, 20)] and not plain.commit("late", rollup.inserts(rows))
+
+
+def test_encodings_are_told_apart_by_content(spark):
+    """Other ranks under one name are another tokenizer, also in a worker that has used the first."""
+    import base64
+
+    def ranks(*words):
+        return b"\n".join(base64.b64encode(w) + b" " + str(i).encode() for i, w in enumerate([*(bytes([b]) for b in range(256)), *words]))
+
+    rows = documents(spark, [(1, "aaaa")])
+    counts = [rollup.counted(rows, "one name", r"\w+", r).first().n_tokens for r in (ranks(), ranks(b"aa"), ranks(b"aa", b"aaaa"), ranks())]
+    assert counts == [4, 2, 1, 4]
+    assert rollup.tokenizer_version("a", ranks()) != rollup.tokenizer_version("b", ranks()) != rollup.tokenizer_version("b", ranks(b"aa"))
+
+
 def test_token_counts(spark):
     import tiktoken
     path = queries.tokenizer_file(queries.RANKS)

@@ -1439,11 +1439,11 @@ def _raw_answers(spark, sf):
     return b.messages(spark, sf).where(F.col("role") == "assistant").select("id", F.concat("text", line, mark).alias("raw_text"))
 
 
-_MARK_RE = r"(?im)^\s*USED_CHUNK:\s*(\d+(?:\s*,\s*\d+)*|none)\s*$"
+_MARK_RE, _CITED_RE = f"(?im){fv.MARKER_LINE}", f"(?im){fv.CITATION_LINE}"
 
 
 @query("answer_parse", rf"""WITH {MSG}, {_RAW_SQL} SELECT id, CASE WHEN regexp_matches(raw_text, '{_MARK_RE}') THEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) END AS marker,
-  regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '(?im)^\s*(?:chanzo|source|rejea)\s*:.*$', '', 'g'),
+  regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '{_CITED_RE}', '', 'g'),
     '^\s+|\s+$', '', 'g') AS text,
   CASE WHEN NOT regexp_matches(raw_text, '{_MARK_RE}') THEN 1 WHEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) = 'none' THEN NULL
     ELSE regexp_extract(regexp_extract(raw_text, '{_MARK_RE}', 1), '\d+')::BIGINT END AS cited_rank FROM raw""")
@@ -1454,7 +1454,7 @@ def _(spark, sf):
 
 
 @query("finished_answers", rf"""WITH {_HITS.removeprefix('WITH ')}, {MSG}, {_RAW_SQL}, a AS (SELECT id, id % 97 AS query_id,
-    regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '(?im)^\s*(?:chanzo|source|rejea)\s*:.*$', '', 'g'),
+    regexp_replace(regexp_replace(regexp_replace(raw_text, '{_MARK_RE}', '', 'g'), '{_CITED_RE}', '', 'g'),
       '^\s+|\s+$', '', 'g') AS text,
     CASE WHEN NOT regexp_matches(raw_text, '{_MARK_RE}') THEN 1 WHEN lower(regexp_extract(raw_text, '{_MARK_RE}', 1)) = 'none' THEN NULL
       ELSE regexp_extract(regexp_extract(raw_text, '{_MARK_RE}', 1), '\d+')::BIGINT END AS cited FROM raw),

@@ -164,3 +164,14 @@ REPLY_SUFFIX = " \U0001F64F"
 CITATION_ICON = "\U0001F4C4"
 NOT_VAGUE = "NOT_VAGUE"
 NOT_AVAILABLE = "N/A"
+
+# What a link's score adds up, and by what a page that only scripts fill in is told.
+LINK_WEIGHTS = {"title_word": 2, "arm": 15, "report_type": 4, "edition": 3}
+REPOSITORY_SHELL_TAG = "<ds-app"
+REPOSITORY_SHELL_TITLE = "<title>DSpace</title>"
+# Phrases that stand before a translation and are no part of it.
+TRANSLATION_FILLERS = ["sure", "here is the translation", "the translation", "translation", "in english"]
+# The words of a county heading, and the line formats an answer text carries.
+HEADING_WORDS = ["COUNTY", "(?:EXECUTIVE|ASSEMBLY|GOVERNMENT)", "OF"]
+MARKER_LINE = r"^\s*USED_CHUNK:\s*(\d+(?:\s*,\s*\d+)*|none)\s*$"
+CITATION_LINE = r"^\s*(?:chanzo|source|rejea)\s*:.*$"

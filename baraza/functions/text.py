@@ -156,8 +156,7 @@ def is_value_for_money(text: Column, triggers=tuple(fv.VALUE_FOR_MONEY_TRIGGERS)
 def clean_translation(text: Column) -> Column:
     """Strip quotes and a leading filler phrase from a supplied translation."""
     unquoted = F.regexp_replace(strip(text), "^[\"'`]+|[\"'`]+\\z", "")
-    filler = (r"(?iU)^(?:sure|here is the translation|the translation|translation|in english)"
-              + SPACE + r"*[:：\-]" + SPACE + "*")
+    filler = f"(?iU)^(?:{'|'.join(fv.TRANSLATION_FILLERS)}){SPACE}*[:：\\-]{SPACE}*"
     return strip(F.regexp_replace(unquoted, filler, ""))
 
 
@@ -200,7 +199,7 @@ def county_of(text: Column, counties=tuple(fv.COUNTIES)) -> Column:
 
 def heading_county(text: Column, counties=tuple(fv.COUNTIES), max_words: int = fv.MAX_HEADING_WORDS) -> Column:
     """County named by the first standalone heading line (alone or joined with the next line)."""
-    phrase = f"COUNTY{SPACE}+(?:EXECUTIVE|ASSEMBLY|GOVERNMENT){SPACE}+OF{SPACE}+"
+    phrase = "".join(f"{word}{SPACE}+" for word in fv.HEADING_WORDS)
     number = f"(?U)^{SPACE}*\\d+(?:\\.\\d+)*{SPACE}*[.)]?{SPACE}+"
 
     def named(line):

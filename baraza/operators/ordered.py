@@ -33,14 +33,22 @@ def _across(keys: Sequence[str]):
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
+def _shuffled_once(rows: DataFrame, keys: Sequence[str], once: bool) -> DataFrame:
+    """With ``once`` both uses of ``rows`` read one shuffle, so values that are costly to make are made once.
+
+    Meant for narrow rows: the summary then reads whole rows instead of the columns it needs.
+    """
+    return rows.repartition(*keys, "_block") if once else rows
+
+
 def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fills: dict[str, Column], *,
-                 inclusive: bool = True, block: int | str = BLOCK) -> DataFrame:
+                 inclusive: bool = True, block: int | str = BLOCK, once: bool = False) -> DataFrame:
     """Add, per entry of ``fills``, the latest non-null value at or before (``inclusive``) the row.
 
     With ``inclusive=False`` this is a backward as-of lookup inside the key.
     """
     raw = {name: f"_raw_{i}" for i, name in enumerate(fills)}
-    rows = _blocked(df, order, block).withColumns({raw[n]: c for n, c in fills.items()})
+    rows = _shuffled_once(_blocked(df, order, block).withColumns({raw[n]: c for n, c in fills.items()}), keys, once)
     last_in_block = rows.groupBy(*keys, "_block").agg(*[
         F.max_by(F.struct(F.col(r).alias("v")), F.when(F.col(r).isNotNull(), F.col(order))).alias(r)
         for r in raw.values()])
@@ -55,9 +63,9 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: str, fills: dict[str
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, *,
-                inclusive: bool = True, block: int | str = BLOCK) -> DataFrame:
+                inclusive: bool = True, block: int | str = BLOCK, once: bool = False) -> DataFrame:
     """Add the sum of ``value`` over the key's rows up to (``inclusive``) this row."""
-    rows = _blocked(df, order, block).withColumn("_value", value)
+    rows = _shuffled_once(_blocked(df, order, block).withColumn("_value", value), keys, once)
     totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     carried = totals.select(*keys, "_block",
                             F.sum("_total").over(_across(keys).rowsBetween(*_BEFORE)).alias("_carry"))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from baraza import fixed_values as fv
 from baraza.functions import text as tx
 
-# The line formats an answer text carries.
-MARKER = r"(?dim)^\s*USED_CHUNK:\s*(\d+(?:\s*,\s*\d+)*|none)\s*$"
-CITATION_LINE = r"(?dim)^\s*(?:chanzo|source|rejea)\s*:.*$"
+MARKER = f"(?dim){fv.MARKER_LINE}"
+CITATION_LINE = f"(?dim){fv.CITATION_LINE}"
 
 
 def marker(raw: Column) -> Column:

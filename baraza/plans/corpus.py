@@ -9,23 +9,18 @@ from baraza import fixed_values as fv
 from baraza.functions.text import chunk_id, heading_county, strip, window_count, word_windows
 from baraza.operators.numbered import RANGE, in_ranges
 from baraza.operators.ordered import forward_fill, previous_row, running_sum
-from baraza.session import run_folder, shared_folder
+from baraza.session import run_folder
 from baraza.sources.documents import readable_pages, text_layer
 
 
-# Page rows carry whole texts, so the blocks of ordered steps over pages are kept smaller than the default.
-PAGE_BLOCK = 4096
-
-
 def page_sections(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) -> DataFrame:
     """``(source, page, heading, section)`` of readable pages: own heading or null, and the latest heading so far.
 
-    The texts are read once, for their headings; what is ordered and filled is this narrow table.
+    The texts are read once, for their headings; what is shuffled, ordered and filled is this narrow table.
     """
     found = heading if heading is not None else heading_county(F.col("text"), counties)
-    shared_folder(pages.sparkSession)
-    marked = readable_pages(pages).select("source", "page", found.alias("heading")).checkpoint()
-    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")})
+    marked = readable_pages(pages).select("source", "page", found.alias("heading"))
+    return forward_fill(marked, ["source"], "page", {"section": F.col("heading")}, once=True)
 
 
 def with_section(pages: DataFrame, counties=tuple(fv.COUNTIES), heading=None) -> DataFrame:
@@ -43,7 +38,7 @@ def county_page_numbers(pages: DataFrame, county: str, heading=None) -> DataFram
     # ``section`` is null only before the first heading, so most pages are decided without the source flag.
     flagged = filled.join(headed, "source", "left")
     keep = F.col("_headed").isNull() | (F.lower("section") == county.lower())
-    return flagged.where(keep).select("source", "page").checkpoint()
+    return flagged.where(keep).select("source", "page")
 
 
 def county_pages(pages: DataFrame, county: str, heading=None) -> DataFrame:
@@ -71,12 +66,12 @@ def chunk_pages(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.
 def chunk_pages_numbered(pages: DataFrame, size: int = fv.CHUNK_WORDS, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
     """``chunk_pages`` plus ``chunk_index``, the chunk's number within its source.
 
-    The number of chunks before a page is a running sum of page counts, for which no chunk has to be cut; the
-    page texts travel once and are cut behind the ordered step.
+    The number of chunks before a page is a running sum of page counts, for which no chunk has to be cut. It runs over narrow
+    rows and is joined to the pages, whose texts stay where they are if Spark can broadcast it.
     """
-    counted = running_sum(pages, ["source"], "page", window_count(F.col("text"), size, overlap), "_before",
-                          inclusive=False, block=PAGE_BLOCK)
-    cut = chunk_pages(counted, size, overlap)
+    counts = pages.select("source", "page", window_count(F.col("text"), size, overlap).alias("_n"))
+    before = running_sum(counts, ["source"], "page", F.col("_n"), "_before", inclusive=False, once=True).drop("_n")
+    cut = chunk_pages(pages.join(before, ["source", "page"]), size, overlap)
     return cut.withColumn("chunk_index", F.col("_before") + F.col("chunk_no")).drop("_before")
 
 

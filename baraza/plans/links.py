@@ -44,7 +44,7 @@ def onclick_links(pages: DataFrame) -> DataFrame:
 
 
 def is_repository_shell(html: Column) -> Column:
-    return html.contains("<ds-app") | F.substring(html, 1, 500).contains("<title>DSpace</title>")
+    return html.contains(fv.REPOSITORY_SHELL_TAG) | F.substring(html, 1, 500).contains(fv.REPOSITORY_SHELL_TITLE)
 
 
 def page_classes(pages: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _keyword_hits(text: Column, keywords: Column) -> Column:
 
 
 def link_score(link_title: Column, link_url: Column, title: Column, arm: Column, report_type: Column) -> Column:
-    """Title-token overlap, arm, report-type and edition keywords, weighted 2, 15, 4 and 3."""
+    """Title-token overlap, arm, report-type and edition keywords, weighted (``LINK_WEIGHTS``)."""
     def arrays(table):
         return literal_map({k: F.array(*[F.lit(v) for v in vs]) for k, vs in table.items()})
 
@@ -77,18 +77,25 @@ def link_score(link_title: Column, link_url: Column, title: Column, arm: Column,
     arm_hits = _keyword_hits(spaced, F.try_element_at(arrays(fv.ARM_KEYWORDS), arm))
     type_hits = _keyword_hits(spaced, F.try_element_at(arrays(fv.REPORT_TYPE_KEYWORDS), report_type))
     edition_hits = _keyword_hits(spaced, F.array(*[F.lit(k) for k in fv.EDITION_KEYWORDS]))
-    return 2 * overlap + 15 * arm_hits + 4 * type_hits + 3 * edition_hits
+    weight = fv.LINK_WEIGHTS
+    return weight["title_word"] * overlap + weight["arm"] * arm_hits + weight["report_type"] * type_hits + weight["edition"] * edition_hits
 
 
-def scored_links(sources: DataFrame, links: DataFrame) -> DataFrame:
+def scored_links(sources: DataFrame, links: DataFrame, fan: int = 1024) -> DataFrame:
     """Each source with the links of its own listing page, scored.
 
-    ``sources``: ``source_id, listing_url, title, government_arm, report_type``.
+    ``sources``: ``source_id, listing_url, title, government_arm, report_type``. A listing named by more than ``fan`` sources is split: its
+    sources are dealt into parts of about that many, each of which meets a copy of the listing's links.
     """
+    named = sources.groupBy("listing_url").agg(F.count("*").alias("_n")).where(F.col("_n") > fan)
+    parts = named.select("listing_url", F.ceil(F.col("_n") / fan).cast("int").alias("_parts"))
+    many = F.coalesce("_parts", F.lit(1))
     candidates = links.select(F.col("page_url").alias("listing_url"), "pos", F.col("title").alias("link_title"),
                               F.col("url").alias("link_url"), "is_pdf")
     score = link_score(F.col("link_title"), F.col("link_url"), F.col("title"), F.col("government_arm"), F.col("report_type"))
-    return sources.join(candidates, "listing_url").withColumn("score", score)
+    dealt = sources.join(parts, "listing_url", "left").withColumn("_part", F.pmod(F.xxhash64("source_id"), many).cast("int")).drop("_parts")
+    copies = candidates.join(parts, "listing_url", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts")
+    return dealt.join(copies, ["listing_url", "_part"]).drop("_part").withColumn("score", score)
 
 
 def best_link(sources: DataFrame, links: DataFrame) -> DataFrame:

@@ -238,6 +238,14 @@ def test_best_link(spark):
     assert links.best_link(wanted, found.limit(0)).where("error = 'no_links'").count() == 5
 
 
+def test_a_listing_of_many_sources_is_split(spark):
+    """Parts of a hot listing meet all its links; nothing is lost or doubled."""
+    found = _links(spark, *[(f"report {i}", f"https://x/{i}.pdf") for i in range(7)])
+    wanted = _sources(spark, *[(f"report {i % 9}", "executive", "audit_report") for i in range(40)])
+    whole, split = (sorted((r.source_id, r.link_url, r.score) for r in links.scored_links(wanted, found, fan).collect()) for fan in (1024, 3))
+    assert whole == split and len(whole) == 280
+
+
 def test_two_level_listing(spark):
     pages = spark.createDataFrame([(1, "https://r.org/list", "<a href='/i/1'>Budget Review 2023</a><a href='/i/2'>Budget Review 2024</a>"),
                                    (2, "https://r.org/i/2", "<a href='/f/2024.pdf'>file</a>"), (3, "https://r.org/i/1", "<a href='/f/2023.pdf'>file</a>")],
@@ -270,31 +278,31 @@ def test_finish_answers(spark):
 
 def test_prompt_and_anchor(spark):
     shape = f"q string, h array<struct<role:string,text:string>>, hits {HIT}"
-    df = spark.createDataFrame([("how much did it cost?", [("user", "Njoro hospital?"), ("assistant", "a")], [_hit(1)]),
+    df = spark.createDataFrame([("how much did it cost?", [("user", "Molo bridge?"), ("assistant", "a")], [_hit(1)]),
                                 ("a long question with well over five words", [("user", "x")], []), ("short one", [], []),
                                 ("short one", [("assistant", "a")], [])], shape)
     got = [r[0] for r in df.select(retrieval.anchored_query(F.col("q"), F.col("h"))).collect()]
-    assert got == ["Njoro hospital? how much did it cost?", "a long question with well over five words", "short one", "short one"]
+    assert got == ["Molo bridge? how much did it cost?", "a long question with well over five words", "short one", "short one"]
     prompt = df.select(retrieval.grounded_prompt(F.col("h"), F.col("hits"), F.col("q"))).first()[0]
-    assert prompt == ("CONVERSATION SO FAR:\nuser: Njoro hospital?\nassistant: a\n\nCONTEXT:\n[1] Source chunk (page 11):\npassage\n\n"
+    assert prompt == ("CONVERSATION SO FAR:\nuser: Molo bridge?\nassistant: a\n\nCONTEXT:\n[1] Source chunk (page 11):\npassage\n\n"
                       "<QUESTION>\nhow much did it cost?\n</QUESTION>")
 
 
 def test_plan_responses(spark):
-    vocabulary = ["stalled", "hospital", "construction", "njoro", "county", "road", "budget", "water", "payments"]
+    vocabulary = ["stalled", "bridge", "construction", "molo", "county", "road", "budget", "water", "payments"]
 
     def embed(df):
         return df.withColumn("vector", F.array(*[F.lower("text").contains(w).cast("double") for w in vocabulary]))
 
-    base = spark.createDataFrame([(1, 1, 3, "executive", "stalled hospital construction in njoro"), (2, 1, 4, "executive", "county road budget allocation"),
+    base = spark.createDataFrame([(1, 1, 3, "executive", "stalled bridge construction in molo"), (2, 1, 4, "executive", "county road budget allocation"),
                                   (3, 1, 5, "assembly", "water project payments")], "id long, source_id long, page_number int, government_arm string, text string")
     chunks = embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
     known = spark.createDataFrame([(1, "Audit")], "id long, title string")
-    asked = spark.createDataFrame([(1, "njoro hospital construction", []), (2, "is it worth the price", []), (3, "zzz qqq", []),
-                                   (4, "NJORO  hospital construction", []), (5, "zzz yyy xxx www vvv uuu ttt sss rrr qqq ppp", [])],
+    asked = spark.createDataFrame([(1, "molo bridge construction", []), (2, "is it worth the price", []), (3, "zzz qqq", []),
+                                   (4, "MOLO  bridge construction", []), (5, "zzz yyy xxx www vvv uuu ttt sss rrr qqq ppp", [])],
                                   "query_id long, text string, history array<struct<role:string,text:string>>")
     got = {r["query_id"]: r for r in retrieval.plan_responses(asked, chunks, known, embed).collect()}
-    assert got[1]["route"] == "generate" and got[1]["hits"][0]["id"] == 1 and "njoro" in got[1]["prompt"]
+    assert got[1]["route"] == "generate" and got[1]["hits"][0]["id"] == 1 and "molo" in got[1]["prompt"]
     assert [h["id"] for h in got[4]["hits"]] == [h["id"] for h in got[1]["hits"]]
     assert got[2]["prompt"].startswith("[1] ") and len(got[2]["hits"]) == 3
     assert got[2]["route"] == "value_for_money" and got[3]["route"] == "clarify" and got[5]["route"] == "generate"

@@ -82,8 +82,8 @@ def test_clarifying_question(one):
     ("cover\nCOUNTY EXECUTIVE OF\nNAKURU – NO.32\nbody", "Nakuru"), ("COUNTY ASSEMBLY OF THARAKA-NITHI", "Tharaka Nithi"),
     ("COUNTY EXECUTIVE OF MURANG'A", "Murang'a"), ("COUNTY EXECUTIVE OF TAITA/TAVETA", "Taita Taveta"),
     ("COUNTY EXECUTIVE OF NAIROBI CITY", "Nairobi City"),
-    ("The County Executive of Nakuru and War Memorial Hospital Management reported the following", None),
-    ("County Executive of Nakuru and War Memorial Hospital Management Board", None),
+    ("In its plan the County Executive of Nakuru sets aside money for two new dams in the west", None),
+    ("County Executive of Nakuru in its plan for eight new roads and dams", None),
     ("COUNTY EXECUTIVE OF ATLANTIS – NO.99", None), ("", None),
 ])
 def test_heading(one, text, county):

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from baraza.llm.common import Rolling, byte_hashes, mix, runs, slices, stored, utf8
+from baraza.llm.common import Rolling, byte_hashes, in_batches, mix, runs, slices, stored, utf8
 
 ENDS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
 FILTER_BITS = 1 << 28  # 32 MB, however large the corpus
 PROBES = 4
+BLOCK_BYTES = 1 << 20  # of text hashed at once
+HELD_PRINTS = 1 << 20  # summed inside the task at once
 NONE = np.iinfo(np.int64).max
 
 _END = np.zeros(256, bool)
@@ -60,31 +62,37 @@ class Block:
         return at, mix(self.rolling.spans(at, at + size) ^ self.tags[self.rows[at]]) & self.mask
 
 
-def _positions(prints: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    step = mix(prints) | np.uint64(1)
-    for i in range(PROBES):
-        yield (mix(prints + np.uint64(i) * step)) & np.uint64(bits - 1)
+def _position(prints: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return mix(prints + np.uint64(probe * Rolling.BASE % (1 << 64))) & np.uint64(bits - 1)
 
 
 def _passes(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Which fingerprints may be in the filter ``words``."""
-    found = np.ones(len(prints), bool)
-    for p in _positions(prints, len(words) * 64):
-        found &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    left = np.arange(len(prints))
+    for i in range(PROBES):
+        p = _position(prints[left], i, len(words) * 64)
+        left = left[(words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    found = np.zeros(len(prints), bool)
+    found[left] = True
     return found
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], mask: np.uint64):
-    """Blocks of at most a few megabytes of text with their rows' languages and ids."""
+    """Blocks of at most ``BLOCK_BYTES`` of text, or one longer text, with their rows' languages and ids."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         tags = byte_hashes(utf8(batch.column("lang"))[0]).spans(*(lambda o: (o[:-1], o[1:]))(utf8(batch.column("lang"))[1]))
-        for a, b in slices(offsets, 8 << 20):
+        for a, b in slices(offsets, BLOCK_BYTES):
             yield Block(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], tags[a:b], mask), batch.slice(a, b - a)
 
 
 def _counted(sizes: list[int], mask: np.uint64, known=None):
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["print", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for block, _ in _blocks(batches, mask):
             pairs = None
             if known is not None:
@@ -98,8 +106,13 @@ def _counted(sizes: list[int], mask: np.uint64, known=None):
                     for i in range(size - 1):
                         fit &= pairs[at + i]
                     prints = prints[fit]
-                values, counts = np.unique(prints, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["print", "n"])
+                held.append(prints)
+                n += len(prints)
+            if n > HELD_PRINTS:
+                yield summed(held)
+                held, n = [], 0
+        if n:
+            yield summed(held)
     return count
 
 
@@ -107,11 +120,12 @@ def _filter(frequent: DataFrame, bits: int) -> np.ndarray:
     """The bit filter of a table of fingerprints: made by tasks, at most ``bits / 64`` rows come to the driver."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in _positions(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+            for i in range(PROBES):
+                p = _position(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), i, bits)
                 yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)),
                                                   pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    found = frequent.mapInArrow(spread, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = in_batches(frequent, spread, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return words
@@ -149,12 +163,17 @@ def _materialised(longest: int, mask: np.uint64, known):
             codes, names = np.array([code[x] for x in langs], np.int64), list(code)
             docs = rows.column("doc_id").fill_null(NONE).to_numpy()
             words = np.bincount(codes[block.rows], minlength=len(names)) if len(names) else np.zeros(0, np.int64)
-            yield _rows(names, [b""] * len(names), [0] * len(names), words, np.full(len(names), NONE))
+            yield _rows(names, [b""] * len(names), words, np.full(len(names), NONE))
             ids, cut = _word_ids(block)
+            before = np.ones(len(block.starts) + 1, bool)  # where a run of one word less passed
             for size in range(1, longest + 1):
                 at, prints = block.fingerprints(size)
+                fit = before[at] & before[at + 1] if size > 1 else before[at]
+                at, prints = at[fit], prints[fit]
                 keep = _passes(known.value, prints)
                 at, prints = at[keep], prints[keep]
+                before = np.zeros_like(before)
+                before[at] = True
                 if not len(at):
                     continue
                 order = np.argsort(prints, kind="stable")
@@ -168,15 +187,15 @@ def _materialised(longest: int, mask: np.uint64, known):
                     lead = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in parts], axis=0)]))
                 counts = np.diff(np.append(lead, len(at)))
                 texts = [b" ".join([cut[w] for w in row]) for row in zip(*(p[lead].tolist() for p in parts[1:]))]
-                yield _rows([names[c] for c in parts[0][lead].tolist()], texts, [size] * len(lead), counts,
-                            np.minimum.reduceat(docs[block.rows[at]], lead))
+                yield _rows([names[c] for c in parts[0][lead].tolist()], texts, counts, np.minimum.reduceat(docs[block.rows[at]], lead))
     return follow
 
 
-def _rows(langs, texts, sizes, counts, docs) -> pa.RecordBatch:
+def _rows(langs, texts, counts, docs) -> pa.RecordBatch:
+    """The empty phrase stands for all words of a language."""
     return pa.RecordBatch.from_arrays([
-        pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()),
-        pa.array(np.asarray(counts, np.int64)), pa.array(np.asarray(docs, np.int64))], names=["lang", "phrase", "size", "a", "first_doc"])
+        pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
+        pa.array(np.asarray(counts, np.int64)), pa.array(np.asarray(docs, np.int64))], names=["lang", "phrase", "a", "first_doc"])
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, filter_bits: int = FILTER_BITS, print_bits: int = 64) -> DataFrame:
@@ -190,16 +209,17 @@ def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, filt
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
     def frequent(sizes: list[int], known=None) -> np.ndarray:
-        counts = texts.select("lang", "text").mapInArrow(_counted(sizes, mask, known), "print long, n long")
+        counts = in_batches(texts.select("lang", "text"), _counted(sizes, mask, known), "print long, n long")
         return _filter(counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("print"), filter_bits)
 
     words = frequent([1, 2])
     if longest > 2:
         words |= frequent(list(range(3, longest + 1)), spark.sparkContext.broadcast(words))
     known = spark.sparkContext.broadcast(words)
-    found = texts.mapInArrow(_materialised(longest, mask, known), "lang string, phrase string, size int, a long, first_doc long")
-    counts = found.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a"), F.min(F.when(F.col("first_doc") < NONE, F.col("first_doc"))).alias("first_doc"))
-    return stored(counts.where((F.col("a") >= least) | (F.col("size") == 0)), "phrases")
+    found = in_batches(texts, _materialised(longest, mask, known), "lang string, phrase string, a long, first_doc long")
+    counts = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.min(F.when(F.col("first_doc") < NONE, F.col("first_doc"))).alias("first_doc"))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return stored(counts.where((F.col("a") >= least) | (F.col("phrase") == "")).withColumn("size", size), "phrases")
 
 
 def _part(words: Column, start, length) -> Column:
@@ -214,19 +234,17 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, best: in
     """
     found = frequent_phrases(docs, least=least, longest=longest, **options)
     totals = found.where("size = 0").select("lang", F.col("a").alias("n"))
-    words = F.split("phrase", " ")
-    phrases = found.where("size >= 2").select("lang", "phrase", "size", "a", "first_doc", words.alias("words"))
+    phrases = found.where("size >= 2").select("lang", "phrase", "size", "a", F.split("phrase", " ").alias("words"))
     parts = found.where(F.col("size").between(1, longest - 1)).select("lang", "phrase", "a")
 
-    cuts = phrases.select("lang", "phrase", "size", "a", "first_doc", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "first_doc", "k", _part(F.col("words"), F.lit(1), F.col("k")).alias("head"),
-                       _part(F.col("words"), F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
-    # a part is at least as frequent as the whole, so every part is found
+    # a cut is told by its two parts alone; a part is at least as frequent as the whole, so every part is found
+    cuts = phrases.select("lang", "a", "size", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
+        "lang", "a", _part(F.col("words"), F.lit(1), F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
     cuts = (cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
             .join(parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"]))
     exact = "CAST(2000000 AS decimal(7,0)) * CAST(a AS decimal(19,0)) div (CAST(l AS decimal(19,0)) + CAST(r AS decimal(19,0)))"
-    scored = (cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "a", "first_doc")
-              .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
+    cut = F.struct(F.expr(exact).alias("score"), F.size(F.split("head", " ")).alias("k"), "l", "r")
+    scored = cuts.groupBy("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "a").agg(F.min(cut).alias("cut"))
 
     inside = phrases.where("size >= 3").select("lang", F.col("a").alias("longer"), "words", F.explode(F.expr(
         "flatten(transform(sequence(2, size - 1), m -> transform(sequence(1, size - m + 1), i -> array_join(slice(words, i, m), ' '))))")).alias("phrase"))
@@ -235,5 +253,5 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, best: in
         "longer IS NULL OR CAST(longer AS decimal(19,0)) * 100 < CAST(a AS decimal(19,0)) * 80")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
+    return ranked.join(totals, "lang").join(found.select("lang", "phrase", "first_doc"), ["lang", "phrase"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
                                               F.col("cut.score").cast("long").alias("score"), "first_doc")

@@ -11,7 +11,7 @@ teaches the transitions. Its size is fixed: ``2 ** bits`` rows of one weight per
 * A null text, or one without a letter, is ``und`` with score 0; so is every text if no row has a label.
 * A null ``doc_id`` is predicted like any other row, is never learned from and not held out. Repeated rows are predicted alike.
 * ``lang`` and ``doc_id`` choose what is learned and never enter a prediction. Ties go to the first language by name.
-* Other columns are ignored by ``identify``, kept by ``keep_known``; an empty table gives an empty result.
+* Other columns are ignored by ``identify``, kept as they are by ``keep_known``, also those named like its own; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baraza.llm.common import byte_hashes, runs, slices, utf8
+from baraza.llm.common import byte_hashes, in_batches, runs, slices, utf8
 
 NONE = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,8 +30,8 @@ _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
-_AT_ONCE = 4 << 20  # bytes of text whose words are scored at once, which bounds a worker's memory
-_GROUP = 500_000  # words whose messages are held at once
+_AT_ONCE = 1 << 20  # bytes of text whose words are scored at once, which bounds a worker's memory
+_GROUP = 200_000  # words whose messages are held at once
 
 
 @dataclass
@@ -210,12 +210,12 @@ def letters_by_language(texts: pa.Array, field: Field) -> np.ndarray:
     return total
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, field: Field | None, lang: str = "lang_pred", share: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its share of the letters; columns of these names are replaced."""
+    docs = docs.drop(lang, share)
     if field is None:
-        return docs.withColumn("lang_pred", F.lit(NONE)).withColumn("score", F.lit(0.0))
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["`lang_pred` string", "`score` double"])
+        return docs.withColumn(lang, F.lit(NONE)).withColumn(share, F.lit(0.0))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{lang}` string", f"`{share}` double"])
     names = np.array(field.languages, object)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +228,11 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
             some = all_ > 0
             score = np.where(some, np.minimum(total[np.arange(len(best)), best] / np.where(some, all_, 1), 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(some, names[best], NONE), pa.string()), pa.array(score)],
-                                             names=[*batch.schema.names, "lang_pred", "score"])
+                                             names=[*batch.schema.names, lang, share])
 
-    found = docs.mapInArrow(label, schema)
+    found = in_batches(docs, label, schema)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.withColumn("score", F.when(known, F.col("score")).otherwise(0.0)).withColumn("lang_pred", F.when(known, F.col("lang_pred")).otherwise(NONE))
+    return found.withColumn(share, F.when(known, F.col(share)).otherwise(0.0)).withColumn(lang, F.when(known, F.col(lang)).otherwise(NONE))
 
 
 def identify(docs: DataFrame, **sample: int) -> DataFrame:
@@ -242,8 +242,10 @@ def identify(docs: DataFrame, **sample: int) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, **sample: int) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language at all: those not ``und``. If nothing is labelled, none is rejected."""
+    """The rows of ``docs`` whose text is in a language at all: those not ``und``; where ``lang`` is null it becomes the predicted
+    one. Other columns stay as they are. If nothing is labelled, none is rejected or filled in."""
     field = fit(docs.select("doc_id", "text", "lang"), **sample)
     if field is None:
         return docs
-    return predict(docs, field).where(F.col("lang_pred") != NONE).select(*docs.columns)
+    told = predict(docs, field, "_lang_pred", "_share").where(F.col("_lang_pred") != NONE)
+    return told.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from baraza.llm.common import byte_hashes, slices, utf8
+from baraza.llm.common import byte_hashes, in_batches, slices, utf8
 
 MARKER = "▁"
 _LONG = 200
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, pieces: Pieces, column: str = "text", most: int = 1
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(found)), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=[*batch.schema.names, "token_ids"])
 
-    return base.mapInArrow(ids, schema)
+    return in_batches(base, ids, schema)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, column: str = "token_ids") -> DataFrame:
@@ -283,7 +283,7 @@ def decode(encoded: DataFrame, pieces: Pieces, column: str = "token_ids") -> Dat
             own = [pieces.decode_row(flat[a:b]) if k else None for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(texts, schema)
+    return in_batches(base, texts, schema)
 
 
 def count_fallback(pieces: Pieces, column: str = "token_ids") -> F.Column:

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from baraza.llm import density, language, licences, private, queries, rollup, unigram
 
@@ -106,6 +107,13 @@ def test_languages_of_odd_rows(spark):
     assert kept.columns == docs.columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
     assert {r.lang_pred for r in language.identify(documents(spark, ODD)).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+    # columns named like the prediction's stay as they are; a missing language is filled in
+    own = docs.withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit(7.5)).withColumn(
+        "lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    kept = language.keep_known(own, bits=10, rounds=10)
+    assert kept.columns == own.columns
+    for r in kept.where("doc_id >= 20").collect():
+        assert (r.lang_pred, r.score, r.lang) == ("mine", 7.5, "en" if r.doc_id % 2 else "fr")
 
 
 def test_messages_equal_the_sum_over_all_paths():

@@ -90,11 +90,13 @@ def format_windows(turns: DataFrame, name: str, pattern: str, ranks: bytes, *, b
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     plain = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), F.col("conv_id").cast("long").alias("conv_id"),
                          F.col("turn").cast("long").alias("turn"), role.alias("role"), F.xxhash64(text).alias("tie"), render(role, text).alias("rendered"))
-    counted = with_tokens(plain, name, pattern, ranks)
-    placed = stored(prefix_sums(counted, ["key"], ["turn", "role", "tie"], {"number": F.lit(1).cast("long"), "before": F.col("n_tokens")},
+    # written once, with a number for each row: what follows decides on narrow rows and fetches the texts at the end
+    counted = stored(with_tokens(plain, name, pattern, ranks).withColumn("row", F.monotonically_increasing_id()), "counted")
+    narrow = counted.drop("rendered")
+    placed = stored(prefix_sums(narrow, ["key"], ["turn", "role", "tie"], {"number": F.lit(1).cast("long"), "before": F.col("n_tokens")},
                                 ranges=ranges), "turns")
     leads = (F.col("number") == 0) & (F.col("role") == "system")
-    system = placed.where(leads).select("key", "conv_id", "number", "role", "rendered", "n_tokens")
+    system = placed.where(leads).select("key", "conv_id", "row", "number", "n_tokens")
 
     rest = placed.where(~leads).join(system.select("key", F.col("n_tokens").alias("lead")), "key", "left").withColumn("lead", F.coalesce("lead", F.lit(0)))
     half = F.greatest((F.lit(budget - history) - F.col("lead")) / 2, F.lit(budget) / 4, F.lit(1)).cast("long")
@@ -103,7 +105,7 @@ def format_windows(turns: DataFrame, name: str, pattern: str, ranks: bytes, *, b
     rest = rest.withColumn("window", 2 * F.floor(F.col("before") / F.col("half")).cast("long") + long.cast("long"))
     firsts = rest.groupBy("key", "window").agg(F.min("before").alias("first"))
 
-    columns = ["key", "conv_id", "window", "number", "repeated", "role", "rendered", "n_tokens"]
+    columns = ["key", "conv_id", "window", "row", "number", "repeated", "n_tokens"]
     own = rest.withColumn("repeated", F.lit(False)).select(*columns)
     # the history is at most a bin long, so a turn is repeated in the windows of its own and the next bin only
     allowed = F.least(F.lit(history), F.col("half"))
@@ -116,8 +118,9 @@ def format_windows(turns: DataFrame, name: str, pattern: str, ranks: bytes, *, b
     again = lead.join(firsts, "key").where(F.col("window") > F.col("opening")).withColumn("repeated", F.lit(True)).select(*columns)
 
     # a window's turns are bounded by the budget, save for one longer turn
+    members = own.unionByName(copies).unionByName(led).unionByName(again).join(counted.select("row", "role", "rendered"), "row")
     listed = F.array_sort(F.collect_list(F.struct("number", "repeated", "role", "rendered", "n_tokens"))).alias("turns")
-    windows = own.unionByName(copies).unionByName(led).unionByName(again).groupBy("key", "conv_id", "window").agg(listed)
+    windows = members.groupBy("key", "conv_id", "window").agg(listed)
     lengths = F.transform("turns", lambda t: F.length(t["rendered"]))
     starts = F.transform("turns", lambda t, i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda s, x: s + x))
     spans = F.transform("turns", lambda t, i: F.struct(

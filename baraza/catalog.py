@@ -1677,7 +1677,7 @@ def _(spark, sf):
   count(*) AS messages FROM s GROUP BY user_id, n""")
 def _(spark, sf):
     sessions = windows.stream_sessions(_event_slices(spark, sf).select("user_id", F.col("ts").alias("created_at")), "user_id", "6 hours")
-    return running.run_latest(sessions, "stream-sessions").select(
+    return windows.sessions_so_far(sessions, "user_id", "stream-sessions").select(
         "user_id", serialise.iso(F.col("start")).alias("started"), serialise.iso(F.col("end")).alias("ended"), "messages")
 
 

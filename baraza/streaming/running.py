@@ -48,9 +48,10 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{run_to_folder(stream, label)}/table")
 
 
-def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
-    """What a stateful run has left in the state variable ``variable``: ``key`` and value of every key that still has one."""
-    return spark.read.format("statestore").option("stateVarName", variable).option("path", checkpoint).load()
+def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+    """What a stateful run has left in its state (or in the state variable ``variable``): ``key`` and value of every key it still holds."""
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    return (reader.option("stateVarName", variable) if variable else reader).load()
 
 
 def stream_again(stream: DataFrame, folder: str, files_per_trigger: int = 64) -> DataFrame:

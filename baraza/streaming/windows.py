@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
-from baraza.streaming.running import use_rocksdb
+from baraza.streaming.running import read_state, run_to_folder, use_rocksdb
 
 
 def _event_time(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -25,6 +25,20 @@ def stream_sessions(messages: DataFrame, key: str, gap: str, ts: str = "created_
         F.count("*").alias("messages")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages")
 
 
+def sessions_so_far(sessions: DataFrame, key: str, label: str) -> DataFrame:
+    """Run ``stream_sessions`` over everything available now: the sessions that have ended, each written once when the watermark passes
+    it, and those still open, read back from the state (``is_open``). Nothing is written again, and the state holds open sessions only.
+    """
+    spark = sessions.sparkSession
+    folder = run_to_folder(sessions, label)
+    ended = spark.read.schema(sessions.schema).parquet(f"{folder}/table").withColumn("is_open", F.lit(False))
+    state = F.col("value")
+    open_ = read_state(spark, f"{folder}/checkpoint").select(
+        state[key].alias(key), state["session_window"]["start"].alias("start"), state["session_window"]["end"].alias("end"),
+        state["count"].alias("messages"), F.lit(True).alias("is_open"))
+    return ended.unionByName(open_)
+
+
 def stream_first_reports(reports: DataFrame) -> DataFrame:
     """The earliest report for each (answer, reporter), for ever and in any order of arrival: for update mode.
 

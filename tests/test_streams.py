@@ -88,8 +88,11 @@ def test_windows_and_counts(spark, events):
     weekly = versioned.run_versioned(windows.stream_query_volume(asked(stream()), "week", lateness="400 days"), ["start"], "weekly")
     assert rows(weekly, "start", "queries") == rows(asked(table).groupBy(F.date_trunc("week", "created_at").alias("start")).agg(
         F.count("*").alias("queries")), "start", "queries")
-    sessions = running.run_latest(windows.stream_sessions(stream().withColumnRenamed("ts", "created_at"), "user", "60 seconds"), "sessions")
-    assert sessions.agg(F.sum("messages")).first()[0] == 120
+    made = windows.stream_sessions(stream().withColumnRenamed("ts", "created_at"), "user", "60 seconds", lateness="10 minutes")
+    sessions = windows.sessions_so_far(made, "user", "sessions")
+    whole = table.groupBy("user", F.session_window("ts", "60 seconds").alias("w")).agg(F.count("*").alias("messages")).select("user", "w.start", "w.end", "messages")
+    assert rows(sessions, "user", "start", "end", "messages") == rows(whole, "user", "start", "end", "messages")
+    assert {r.is_open: r["count"] > 0 for r in sessions.groupBy("is_open").count().collect()} == {True: True, False: True}
     reports = lambda df: df.select((F.col("id") % 5).alias("message_id"), F.col("user").alias("reported_by_user_id"), F.col("ts").alias("created_at"))
     counts = running.run_latest(windows.stream_reporter_counts(reports(stream()), 3, approximate=True), "approx")
     assert all(r["reporters"] == 3 and r["flagged"] for r in counts.collect())

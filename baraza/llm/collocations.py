@@ -6,16 +6,16 @@ language is part of a fingerprint. Three scans of the texts, none of which moves
 1. fingerprints of one and two words, summed inside the task and then by a shuffle; what is frequent goes into a bit filter of
    fixed size. A longer phrase is at most as frequent as the pairs in it, so
 2. fingerprints of longer runs are made only where every pair in them passes the filter, and summed likewise;
-3. where a fingerprint passes the filter, its occurrence pointer (place in the block of texts, and the document's id) is
-   followed: occurrences with one fingerprint are compared word by word, byte by byte, and only these phrases are materialised.
-   They are summed by their text, so neither a collision nor a false hit of the filter can change a count.
+3. where a fingerprint passes the filter, its occurrence pointers (places in the block of texts) are followed: occurrences with
+   one fingerprint are compared word by word, byte by byte, and only these phrases are materialised. They are summed by their
+   text, so neither a collision nor a false hit of the filter can change a count.
 
 A count behind a collision is only too large, so nothing frequent is ever lost; when a corpus is so large that the filter
 fills up, more phrases are materialised and then fall below the bound, and the result stays the same.
 
 * ``A-Z`` become lower case; pieces end at ``[.,;:!?\\n\\v\\f\\r]`` and at the end of a text, words at blanks and tabs.
-* A null text has no words; a null language counts as ``und``. Repeated rows count as often as they come, a null ``doc_id`` too.
-* An empty table gives no rows; further columns are ignored. Texts and words of any length are taken whole.
+* A null text has no words; a null language counts as ``und``. Repeated rows count as often as they come.
+* An empty table gives no rows; columns other than ``lang`` and ``text`` are ignored. Texts and words of any length are taken whole.
 * Ties: of cuts with the lowest score the shortest first part; of phrases with equal score and count the smaller in UTF-8.
 """
 
@@ -33,7 +33,6 @@ FILTER_BITS = 1 << 28  # 32 MB, however large the corpus
 PROBES = 4
 BLOCK_BYTES = 1 << 20  # of text hashed at once
 HELD_PRINTS = 1 << 20  # summed inside the task at once
-NONE = np.iinfo(np.int64).max
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ENDS]] = True
@@ -78,7 +77,7 @@ def _passes(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], mask: np.uint64):
-    """Blocks of at most ``BLOCK_BYTES`` of text, or one longer text, with their rows' languages and ids."""
+    """Blocks of at most ``BLOCK_BYTES`` of text, or one longer text, with their rows' languages."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         tags = byte_hashes(utf8(batch.column("lang"))[0]).spans(*(lambda o: (o[:-1], o[1:]))(utf8(batch.column("lang"))[1]))
@@ -161,9 +160,8 @@ def _materialised(longest: int, mask: np.uint64, known):
             langs = rows.column("lang").to_pylist()
             code = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
             codes, names = np.array([code[x] for x in langs], np.int64), list(code)
-            docs = rows.column("doc_id").fill_null(NONE).to_numpy()
             words = np.bincount(codes[block.rows], minlength=len(names)) if len(names) else np.zeros(0, np.int64)
-            yield _rows(names, [b""] * len(names), words, np.full(len(names), NONE))
+            yield _rows(names, [b""] * len(names), words)
             ids, cut = _word_ids(block)
             before = np.ones(len(block.starts) + 1, bool)  # where a run of one word less passed
             for size in range(1, longest + 1):
@@ -187,37 +185,36 @@ def _materialised(longest: int, mask: np.uint64, known):
                     lead = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in parts], axis=0)]))
                 counts = np.diff(np.append(lead, len(at)))
                 texts = [b" ".join([cut[w] for w in row]) for row in zip(*(p[lead].tolist() for p in parts[1:]))]
-                yield _rows([names[c] for c in parts[0][lead].tolist()], texts, counts, np.minimum.reduceat(docs[block.rows[at]], lead))
+                yield _rows([names[c] for c in parts[0][lead].tolist()], texts, counts)
     return follow
 
 
-def _rows(langs, texts, counts, docs) -> pa.RecordBatch:
+def _rows(langs, texts, counts) -> pa.RecordBatch:
     """The empty phrase stands for all words of a language."""
     return pa.RecordBatch.from_arrays([
-        pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
-        pa.array(np.asarray(counts, np.int64)), pa.array(np.asarray(docs, np.int64))], names=["lang", "phrase", "a", "first_doc"])
+        pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.asarray(counts, np.int64))], names=["lang", "phrase", "a"])
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, filter_bits: int = FILTER_BITS, print_bits: int = 64) -> DataFrame:
-    """``lang, phrase, size, a, first_doc``: every run of 1 to ``longest`` words that occurs at least ``least`` times, its
-    exact count and the smallest id of a document that holds it; and per language one row of size 0 with all its words.
+    """``lang, phrase, size, a``: every run of 1 to ``longest`` words that occurs at least ``least`` times and its exact count, and per
+    language one row of size 0 with all its words.
 
     ``filter_bits``, a power of two, bounds what is broadcast. ``print_bits`` is smaller only in tests.
     """
     spark = docs.sparkSession
     mask = np.uint64((1 << print_bits) - 1)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
     def frequent(sizes: list[int], known=None) -> np.ndarray:
-        counts = in_batches(texts.select("lang", "text"), _counted(sizes, mask, known), "print long, n long")
+        counts = in_batches(texts, _counted(sizes, mask, known), "print long, n long")
         return _filter(counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("print"), filter_bits)
 
     words = frequent([1, 2])
     if longest > 2:
         words |= frequent(list(range(3, longest + 1)), spark.sparkContext.broadcast(words))
     known = spark.sparkContext.broadcast(words)
-    found = in_batches(texts, _materialised(longest, mask, known), "lang string, phrase string, a long, first_doc long")
-    counts = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.min(F.when(F.col("first_doc") < NONE, F.col("first_doc"))).alias("first_doc"))
+    found = in_batches(texts, _materialised(longest, mask, known), "lang string, phrase string, a long")
+    counts = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return stored(counts.where((F.col("a") >= least) | (F.col("phrase") == "")).withColumn("size", size), "phrases")
 
@@ -227,7 +224,7 @@ def _part(words: Column, start, length) -> Column:
 
 
 def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, best: int = 2000, **options) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score, first_doc``: each language's ``best`` phrases of 2 words or more.
+    """``lang, rank, phrase, a, l, r, n, score``: each language's ``best`` phrases of 2 words or more.
 
     ``a`` counts the phrase, ``l`` and ``r`` the parts of its weakest cut, ``n`` the language's words; the score is
     ``floor(2000000 * a / (l + r))`` there. A phrase inside a longer one that is at least 0.8 times as frequent is left out.
@@ -253,5 +250,5 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, best: in
         "longer IS NULL OR CAST(longer AS decimal(19,0)) * 100 < CAST(a AS decimal(19,0)) * 80")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").join(found.select("lang", "phrase", "first_doc"), ["lang", "phrase"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
-                                              F.col("cut.score").cast("long").alias("score"), "first_doc")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
+                                              F.col("cut.score").cast("long").alias("score"))

@@ -174,7 +174,7 @@ def op6_token_counts(spark, sf):
     FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000
 """)
 def op11_phrase_collocations(spark, sf):
-    return collocations.collocations(read(spark, sf, "documents")).drop("first_doc")
+    return collocations.collocations(read(spark, sf, "documents"))
 
 
 @query("""

@@ -72,12 +72,6 @@ def test_collocations_survive_collisions_and_a_full_filter(spark):
     assert mined(collocations.collocations(documents(spark, rows), least=5, print_bits=64, filter_bits=64)) == want
 
 
-def test_first_document_of_a_phrase(spark):
-    rows = [(9, "red fox, red fox", "en"), (4, "a red fox", "en"), (None, "red fox", "en")]
-    found = {r.phrase: (r.a, r.first_doc) for r in collocations.collocations(documents(spark, rows), least=4, filter_bits=1 << 16).collect()}
-    assert found == {"red fox": (4, 4)}
-
-
 @pytest.mark.parametrize("m, k, n", [(1, 1, 1), (3, 5, 7), (64, 64, 64), (65, 33, 129), (0, 4, 5), (130, 64, 40)])
 def test_strassen(m, k, n):
     draw = np.random.default_rng(m + k + n)

@@ -234,21 +234,24 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, best: in
     phrases = found.where("size >= 2").select("lang", "phrase", "size", "a", F.split("phrase", " ").alias("words"))
     parts = found.where(F.col("size").between(1, longest - 1)).select("lang", "phrase", "a")
 
+    # what a longer phrase stands for goes first, so it is neither cut nor joined
+    inside = phrases.where("size >= 3").select("lang", F.col("a").alias("longer"), "words", "size", F.explode(F.expr(
+        "flatten(transform(sequence(2, size - 1), m -> transform(sequence(1, size - m + 1), i -> array_join(slice(words, i, m), ' '))))")).alias("phrase"))
+    inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    kept = phrases.select("lang", "phrase", "a").join(inside, ["lang", "phrase"], "left").where(
+        "longer IS NULL OR CAST(longer AS decimal(19,0)) * 100 < CAST(a AS decimal(19,0)) * 80")
+
     # a cut is told by its two parts alone; a part is at least as frequent as the whole, so every part is found
-    cuts = phrases.select("lang", "a", "size", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
-        "lang", "a", _part(F.col("words"), F.lit(1), F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
+    words = kept.select("lang", "a", F.split("phrase", " ").alias("words"))
+    cuts = words.select("lang", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")).select(
+        "lang", "a", _part(F.col("words"), F.lit(1), F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.size("words") - F.col("k")).alias("tail"))
     cuts = (cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
             .join(parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"]))
     exact = "CAST(2000000 AS decimal(7,0)) * CAST(a AS decimal(19,0)) div (CAST(l AS decimal(19,0)) + CAST(r AS decimal(19,0)))"
     cut = F.struct(F.expr(exact).alias("score"), F.size(F.split("head", " ")).alias("k"), "l", "r")
     scored = cuts.groupBy("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "a").agg(F.min(cut).alias("cut"))
 
-    inside = phrases.where("size >= 3").select("lang", F.col("a").alias("longer"), "words", F.explode(F.expr(
-        "flatten(transform(sequence(2, size - 1), m -> transform(sequence(1, size - m + 1), i -> array_join(slice(words, i, m), ' '))))")).alias("phrase"))
-    inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = scored.join(inside, ["lang", "phrase"], "left").where(
-        "longer IS NULL OR CAST(longer AS decimal(19,0)) * 100 < CAST(a AS decimal(19,0)) * 80")
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n",
                                               F.col("cut.score").cast("long").alias("score"))

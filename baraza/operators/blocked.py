@@ -16,17 +16,28 @@ from pyspark.sql import types as T
 from baraza.session import run_folder
 
 SCALE = 10_000  # scores are kept to four decimals
-CELLS = 4 << 20  # scores held at once in a task
+CELLS = 1 << 18  # scores held at once in a task
+RESCORED = 8192  # pairs scored in double precision at once
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def scan(rows: DataFrame, offer: Callable, query_ids, shared, k: int, name: str) -> DataFrame:
-    """Stream ``rows`` (``id`` first) past broadcast queries; ``offer(best, part, shared)`` scores one slice."""
+def scan(rows: DataFrame, start: Callable, shared, k: int, name: str) -> DataFrame:
+    """Stream ``rows`` (``id`` first) past broadcast queries.
+
+    ``start(shared, k)`` gives the ``BestPerQuery`` of each block of queries and a function that offers a batch of rows to them. Batches
+    are of about ``BATCH_BYTES``, so what a worker holds depends on the queries alone.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestPerQuery(query_ids.value, k)
-        for part in slabs(batches, len(query_ids.value)):
-            offer(best, part, shared.value)
-        yield from best.batches(name)
+        blocks, offer = start(shared.value, k)
+        for batch in batches:
+            offer(batch)
+        for best in blocks:
+            yield from best.batches(name)
 
     return rows.mapInArrow(run, f"query_id long, id long, {name} double")
 
@@ -47,73 +58,85 @@ def in_passes(queries: DataFrame, count: int, run: Callable[[DataFrame], DataFra
     return spark.read.schema(found.schema).parquet(*[f"{folder}/found-{n}" for n in range(count)])
 
 
-def same_scope(query_scopes: np.ndarray | None, scopes: np.ndarray | None) -> np.ndarray | None:
-    """Which (query, row) pairs share a scope; a null query scope sees every row."""
-    if query_scopes is None:
-        return None
-    return pd.isna(query_scopes)[:, None] | (query_scopes[:, None] == scopes[None, :])
-
-
-def slabs(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
-    """Slices small enough that one slice times all queries stays within ``CELLS`` scores."""
-    size = max(1, CELLS // max(1, queries))
-    for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
-
-
 class BestPerQuery:
     """The ``k`` best rows per query so far: rounded score descending, then id ascending.
 
-    Once a query has ``k`` rows, its worst kept score becomes a floor that turns later rows away unseen.
+    Once a query has ``k`` rows, the worst of them becomes a floor that turns later rows away: of a block of scores only the few pairs
+    that reach their query's floor are looked at one by one.
     """
 
-    def __init__(self, query_ids: np.ndarray, k: int):
-        self.query_ids, self.k = query_ids, k
+    def __init__(self, query_ids: np.ndarray, k: int, lowest: float = -np.inf):
+        self.query_ids, self.k, self.lowest = query_ids, k, lowest
         self.floor = np.full(len(query_ids), -np.inf)
+        self.last = np.full(len(query_ids), np.iinfo("int64").max)
         self.held, self.waiting = [], 0
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None, who: np.ndarray | None = None) -> None:
-        """Score block ``(queries, rows)`` of rows ``ids``; its queries are those at the places ``who``, by default all."""
-        rounded = np.rint(scores * SCALE)
-        who = np.arange(len(self.query_ids)) if who is None else who
-        eligible = rounded >= self.floor[who][:, None]
+    def near(self, scores: np.ndarray, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a score block ``(queries, rows)`` whose score, ``slack`` added, may enter; NaN never does."""
+        least = np.maximum((self.floor - 0.5) / SCALE - slack, self.lowest).astype(scores.dtype)
+        enough = scores >= least[:, None]
+        if enough.flags.c_contiguous:
+            return np.divmod(np.flatnonzero(enough), scores.shape[1])
+        return np.divmod(np.flatnonzero(enough.T), len(scores))[::-1]
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Score block ``(queries, rows)`` of rows ``ids``."""
         if allowed is not None:
-            eligible &= allowed
-        asked = np.flatnonzero(eligible.any(axis=1))
-        if len(asked) == 0:
-            return
-        n = len(ids)
+            scores = np.where(allowed, scores, np.nan)
+        row, column = self.near(scores)
+        if len(row) > 2 * self.k * len(scores) and self.k < len(ids):
+            row, column = self._thinned(scores, ids)
+        self.take(row, ids[column], scores[row, column])
+
+    def screen(self, rough: np.ndarray, slack: float, ids: np.ndarray, pairs: Callable, whole: Callable) -> None:
+        """A score block known up to ``slack``: ``pairs(who, columns)`` scores exactly what may enter, ``whole()`` all if that is much."""
+        row, column = self.near(rough, slack)
+        if len(row) * 64 > rough.size:
+            return self.offer(whole(), ids)
+        for start in range(0, len(row), RESCORED):
+            r, c = row[start:start + RESCORED], column[start:start + RESCORED]
+            self.take(r, ids[c], pairs(r, c))
+
+    def _thinned(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` pairs of each query in a block."""
+        n, never = len(ids), np.iinfo("int64").max
         by_id = np.empty(n, dtype="int64")
         by_id[np.argsort(ids, kind="stable")] = np.arange(n)
         # One integer carries both criteria, so a partial selection honours the tie rule exactly.
-        never = np.iinfo("int64").max
-        key = np.where(eligible[asked], by_id[None, :] - rounded[asked].astype("int64") * n, never)
-        if self.k < n:
-            chosen = np.argpartition(key, self.k - 1, axis=1)[:, :self.k]
-        else:
-            chosen = np.broadcast_to(np.arange(n)[None, :], key.shape)
+        eligible = scores >= self.lowest
+        key = np.where(eligible, by_id[None, :] - np.rint(np.where(eligible, scores, 0.0) * SCALE).astype("int64") * n, never)
+        chosen = np.argpartition(key, self.k - 1, axis=1)[:, :self.k]
         row, place = np.nonzero(np.take_along_axis(key, chosen, axis=1) != never)
-        column = chosen[row, place]
-        self.held.append(pd.DataFrame({"q": who[asked[row]], "id": ids[column], "score": rounded[asked[row], column]}))
-        self.waiting += len(row)
-        if self.waiting > max(CELLS // 16, self.k * len(self.query_ids)):
+        return row, chosen[row, place]
+
+    def take(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Single pairs: the query at place ``who``, a row's id and their score."""
+        rounded = np.rint(scores * SCALE)
+        floor = self.floor[who]
+        enters = (scores >= self.lowest) & ((rounded > floor) | ((rounded == floor) & (ids < self.last[who])))
+        if not enters.any():
+            return
+        self.held.append((who[enters], ids[enters], rounded[enters]))
+        self.waiting += int(enters.sum())
+        if self.waiting > self.k * len(self.query_ids):
             self._settle()
 
     def _settle(self) -> None:
-        ordered = pd.concat(self.held).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-        best = ordered.groupby("q", sort=False).head(self.k)
-        worst = best.groupby("q", sort=False)["score"].agg(["size", "last"])
-        full = worst[worst["size"] == self.k]
-        self.floor[full.index.to_numpy()] = full["last"].to_numpy()
-        self.held, self.waiting = [best], 0
+        who, ids, score = (np.concatenate(parts) for parts in zip(*self.held))
+        order = np.lexsort((ids, -score, who))
+        who, ids, score = who[order], ids[order], score[order]
+        starts = np.searchsorted(who, np.arange(len(self.query_ids) + 1))
+        best = np.arange(len(who)) - starts[who] < self.k
+        full = np.flatnonzero(np.diff(starts) >= self.k)
+        worst = starts[full] + self.k - 1
+        self.floor[full], self.last[full] = score[worst], ids[worst]
+        self.held, self.waiting = [(who[best], ids[best], score[best])], 0
 
     def frame(self, name: str) -> pd.DataFrame:
         if self.held:
             self._settle()
-        best = self.held[0] if self.held else pd.DataFrame({"q": np.zeros(0, "int64"), "id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        return pd.DataFrame({"query_id": self.query_ids[best["q"].to_numpy()], "id": best["id"].to_numpy(),
-                             name: best["score"].to_numpy() / SCALE})
+        who, ids, score = self.held[0] if self.held else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+        return pd.DataFrame({"query_id": self.query_ids[who], "id": ids, name: score / SCALE})
 
     def batches(self, name: str) -> Iterator[pa.RecordBatch]:
         best = self.frame(name)

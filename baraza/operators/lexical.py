@@ -14,12 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, same_scope, scan
+from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, scan
 from baraza.operators.topk import top_k
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
 BROADCAST_TERMS = 2_000_000
 BROADCAST_QUERIES = 50_000
+LEAST = 1e-9  # less than the rank of one term in any query
+SLAB_TERMS = 1 << 19  # terms of documents coded at once
+ASKED = 2048  # queries scored at once
+COMMON, COMMON_SHARE = 256, 32  # at most so many terms, each of at least one query in so many, are taken by a matrix product
 
 
 def saturated(count: Column) -> Column:
@@ -112,62 +116,130 @@ def _matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, spelli
         spelt = spelling.toArrow()
         index["group"] = pc.index_in(spelt.column("stem"), value_set=index["vocabulary"]).to_numpy()
         index["vocabulary"] = spelt.column("term").combine_chunks().cast(pa.string())
-    context = documents.sparkSession.sparkContext
-    return scan(documents, _offer_scores(scope), context.broadcast(index["ids"]), context.broadcast(index), k, "lexical_rank")
+    return scan(documents, _start, documents.sparkSession.sparkContext.broadcast(index), k, "lexical_rank")
 
 
-def _offer_scores(scope: bool):
-    def offer(best: BestPerQuery, part: pa.RecordBatch, index: dict) -> None:
-        scores = _scores(part.column("terms"), index)
-        allowed = scores > 0
-        if scope:
-            allowed &= same_scope(index["scopes"], part.column("scope").to_pandas().to_numpy())
-        best.offer(scores, part.column("id").to_numpy(zero_copy_only=False), allowed)
-    return offer
+def _start(index: dict, k: int):
+    blocks = [_Block(index, first, k) for first in range(0, len(index["ids"]), ASKED)]
+
+    def offer(batch: pa.RecordBatch) -> None:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(batch.column("terms")).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(ids):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + SLAB_TERMS, side="right")))
+            document, term, weight = _weights(batch.column("terms").slice(start, stop - start), index)
+            scopes = _scope_codes(batch.column("scope").slice(start, stop - start), index) if index["scopes"] is not None else None
+            for block in blocks if len(term) else ():
+                block.offer(document, term, weight, ids[start:stop], scopes)
+            start = stop
+
+    return [block.best for block in blocks], offer
 
 
 def _query_index(table: pa.Table, scope: bool) -> dict:
-    """Query terms by term: for term ``t`` the query positions ``who[start[t]:start[t + 1]]``."""
+    """The queries' terms as numbers: term ``term[i]`` stands in the query at place ``owner[i]``."""
     lists = table.column("terms").combine_chunks()
-    owner = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    owner = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(lists.flatten())
-    order = np.argsort(coded.indices.to_numpy(zero_copy_only=False), kind="stable")
-    term = coded.indices.to_numpy(zero_copy_only=False)[order]
+    term = coded.indices.to_numpy(zero_copy_only=False)
+    held = np.bincount(term, minlength=len(coded.dictionary))
+    common = np.argsort(-held, kind="stable")[:COMMON]
+    scopes = pc.dictionary_encode(table.column("scope").combine_chunks()) if scope else None
     return {
-        "ids": table.column("query_id").to_numpy(), "vocabulary": coded.dictionary.cast(pa.string()), "who": owner[order],
-        "start": np.searchsorted(term, np.arange(len(coded.dictionary) + 1)),
+        "ids": table.column("query_id").to_numpy(), "vocabulary": coded.dictionary.cast(pa.string()), "term": term, "owner": owner,
+        "common": common[held[common] * COMMON_SHARE >= table.num_rows], "terms": len(coded.dictionary),
         "weight": _FULL / np.maximum(np.bincount(owner, minlength=table.num_rows), 1),
-        "scopes": table.column("scope").to_pandas().to_numpy() if scope else None}
+        "scopes": scopes.indices.fill_null(-1).to_numpy(zero_copy_only=False) if scope else None,
+        "scope_names": scopes.dictionary if scope else None}
+
 
+def _scope_codes(column: pa.Array, index: dict) -> np.ndarray:
+    """The scopes' numbers among the queries', -2 for others."""
+    return pc.index_in(column, value_set=index["scope_names"], skip_nulls=True).fill_null(-2).to_numpy(zero_copy_only=False)
 
-def _scores(lists: pa.Array, index: dict) -> np.ndarray:
-    """Ranks of a block of documents for all queries, ``(queries, documents)``."""
-    count, queries = len(lists), len(index["ids"])
-    owner = np.repeat(np.arange(count), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-    code = pc.index_in(lists.flatten(), value_set=index["vocabulary"]).to_numpy(zero_copy_only=False)
-    known = ~np.isnan(code)
+
+def _weights(lists: pa.Array, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, term, weight)`` of the queries' terms in some documents, by document."""
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    code = pc.index_in(lists.flatten(), value_set=index["vocabulary"]).fill_null(-1).to_numpy(zero_copy_only=False)
+    known = code >= 0
     held = code[known].astype("int64")
     held = index["group"][held] if "group" in index else held  # surface terms of one stem count together
-    terms = len(index["start"]) - 1
-    pair, tf = np.unique(owner[known] * terms + held, return_counts=True)
-    if len(pair) == 0:
-        return np.zeros((queries, count))
-    weight = np.cumsum(1.0 / np.arange(1, tf.max() + 1) ** 2)[tf - 1]
-    document, term = pair // terms, pair % terms
-    first = index["start"][term]
-    fan = index["start"][term + 1] - first
-    # One entry per (document, term, query holding the term), summed into a dense block piece by piece so that
-    # a common term cannot blow up the intermediate arrays.
-    total = np.zeros(queries * count)
-    ends = np.cumsum(fan)
-    start = 0
-    while start < len(pair):
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
-        here = slice(start, stop)
-        spread = np.repeat(np.arange(start, stop), fan[here])
-        inside = np.arange(len(spread)) + base - np.repeat(ends[here] - fan[here], fan[here])
-        query = index["who"][first[spread] + inside]
-        total += np.bincount(query * count + document[spread], weights=weight[spread], minlength=queries * count)
-        start = stop
-    return total.reshape(queries, count) * index["weight"][:, None]
+    pair, tf = np.unique(owner[known] * index["terms"] + held, return_counts=True)
+    weight = np.cumsum(1.0 / np.arange(1, (tf.max() if len(tf) else 0) + 1) ** 2)[tf - 1]
+    return *np.divmod(pair, index["terms"]), weight
+
+
+class _Block:
+    """Up to ``ASKED`` queries from place ``first`` on and what they have found.
+
+    Terms that many queries hold are a dense matrix, the others name their queries: for term ``t`` the places
+    ``who[start[t]:start[t + 1]]``.
+    """
+
+    def __init__(self, index: dict, first: int, k: int):
+        here = slice(*np.searchsorted(index["owner"], [first, first + ASKED]))
+        term, owner = index["term"][here], index["owner"][here] - first
+        self.best = BestPerQuery(index["ids"][first:first + ASKED], k, LEAST)
+        self.weight = index["weight"][first:first + ASKED, None]
+        self.scopes = index["scopes"][first:first + ASKED, None] if index["scopes"] is not None else None
+        self.place = np.full(index["terms"], -1)
+        self.place[index["common"]] = np.arange(len(index["common"]))
+        dense = self.place[term] >= 0
+        self.dense = np.zeros((len(self.weight), len(index["common"])))
+        self.dense[owner[dense], self.place[term[dense]]] = 1.0
+        self.single = self.dense.astype("float32")
+        self.slack = 2e-7 * (self.dense.shape[1] + 4)  # rounding of single precision; a rank is at most 1
+        order = np.argsort(term[~dense], kind="stable")
+        self.who = owner[~dense][order]
+        self.start = np.searchsorted(term[~dense][order], np.arange(index["terms"] + 1))
+
+    def offer(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, scopes: np.ndarray | None) -> None:
+        step = max(1, CELLS // len(self.weight))
+        for start in range(0, len(ids), step):
+            here = slice(*np.searchsorted(document, [start, start + step]))
+            allowed = None if scopes is None else ((self.scopes == -1) | (self.scopes == scopes[None, start:start + step])).T
+            self._offer(document[here] - start, term[here], weight[here], ids[start:start + step], allowed)
+
+    def _offer(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None) -> None:
+        """Ranks of some documents; a document's lie together, as its entries do."""
+        place, share = self.place[term], self.weight[:, 0]
+        common = place >= 0
+        held = np.zeros((len(ids), self.dense.shape[1]))
+        held[document[common], place[common]] = weight[common]
+        rest = self._rest(document[~common], term[~common], weight[~common], len(ids))
+        rough = held.astype("float32") @ self.single.T
+        rough += rest
+        rough *= share.astype("float32")
+        if allowed is not None:
+            rough[~allowed] = np.nan
+
+        def whole() -> np.ndarray:
+            ranks = (held @ self.dense.T + rest) * share
+            return (ranks if allowed is None else np.where(allowed, ranks, np.nan)).T
+
+        self.best.screen(rough.T, self.slack, ids,
+                         lambda r, c: (np.einsum("ij,ij->i", held[c], self.dense[r]) + rest[c, r]) * share[r], whole)
+
+    def _rest(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+        """The less common terms' part of the ranks, ``(documents, queries)``."""
+        queries = len(self.weight)
+        total = None
+        first = self.start[term]
+        fan = self.start[term + 1] - first
+        # One entry per (document, term, query holding the term), summed piece by piece so that
+        # a common term cannot blow up the intermediate arrays.
+        ends = np.cumsum(fan)
+        start = 0
+        while start < len(fan):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
+            here = slice(start, stop)
+            own = fan[here]
+            entry = np.arange(own.sum()) + np.repeat(first[here] + base - (ends[here] - own), own)
+            part = np.bincount(self.who[entry] + np.repeat(document[here] * queries, own), weights=np.repeat(weight[here], own), minlength=queries * count)
+            total = part if total is None else total + part
+            start = stop
+        return (np.zeros(count * queries) if total is None else total).reshape(count, queries)

@@ -43,9 +43,13 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
     keyed = embed(asked).select(F.monotonically_increasing_id().alias("search"), "query_id", "variant", "vector", *scoped).checkpoint()
     vectors = chunks.select("id", F.col("embedding").alias("vector"),
                             *([F.col("government_arm").alias("scope")] if scope else []))
-    searches = keyed.select(F.col("search").alias("query_id"), "vector", *scoped)
+    # Variants and questions with the same vector are one search.
+    same = [keyed["vector"].eqNullSafe(F.col("_vector")), *([keyed["scope"].eqNullSafe(F.col("_scope"))] if scope else [])]
+    distinct = keyed.groupBy(F.col("vector").alias("_vector"), *[F.col(c).alias(f"_{c}") for c in scoped]).agg(F.min("search").alias("_search"))
+    searches = distinct.select(F.col("_search").alias("query_id"), F.col("_vector").alias("vector"), *[F.col(f"_{c}").alias(c) for c in scoped])
     near = nearest(searches, vectors, k if variant_k is None else min(k, variant_k), scope=scope).withColumnRenamed("query_id", "search")
-    near = near.join(keyed.select("search", "query_id"), "search").drop("search")
+    asking = keyed.join(distinct, same).select(F.col("_search").alias("search"), "query_id")
+    near = near.join(asking, "search").drop("search")
 
     def limited(ranked: DataFrame) -> DataFrame:
         if "hit_limit" not in queries.columns:

@@ -381,3 +381,66 @@ def test_vectors_of_unlike_lengths_are_named(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
     with pytest.raises(Exception, match="unlike lengths"):
         knn.nearest(asked, own, 1).collect()
+
+
+def test_rough_scores_are_rescored():
+    """Only pairs that a rough score lets near their query's floor are scored exactly, and the exact score decides."""
+    from baraza.operators import blocked
+
+    rng = np.random.default_rng(4)
+    exact = np.round(rng.random((3, 2000)), 4)
+    ids, best, asked = rng.permutation(2000), blocked.BestPerQuery(np.arange(3), 5), []
+    for start in range(0, 2000, 250):
+        here = slice(start, start + 250)
+        rough = (exact[:, here] + rng.uniform(-1e-4, 1e-4, (3, 250))).astype("float32")
+
+        def pairs(r, c, part=exact[:, here]):
+            asked.append(len(r))
+            return part[r, c]
+        best.screen(rough, 2e-4, ids[here], pairs, lambda part=exact[:, here]: part)
+    found = best.frame("s")
+    assert sum(asked) < 200
+    for q in range(3):
+        own = found[found.query_id == q]
+        assert sorted(zip(-own.s, own.id)) == sorted(zip(-exact[q], ids))[:5]
+
+
+def test_search_batches_are_bounded(spark):
+    """A worker is handed long rows in small batches, however many rows a partition holds."""
+    from baraza.operators import blocked
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.array_repeat(F.repeat(F.lit("x"), 100), 100).alias("terms"))
+    shared = spark.sparkContext.broadcast(None)
+
+    def start(_, k):
+        sizes = blocked.BestPerQuery(np.arange(1), k)
+
+        def offer(part):
+            sizes.take(np.zeros(1, "int64"), np.array([part.column("id")[0].as_py()]), np.array([float(part.nbytes)]))
+        return [sizes], offer
+
+    assert max(r.s for r in blocked.scan(rows, start, shared, 1, "s").collect()) <= 2 * blocked.BATCH_BYTES
+
+
+def test_passes_count_what_is_found(spark, monkeypatch):
+    """Queries go in more passes where many rows are kept for each, so what a task holds stays bounded."""
+    taken = []
+    real = knn.in_passes
+    monkeypatch.setattr(knn, "in_passes", lambda q, count, run, label: (taken.append(count), real(q, count, run, label))[1])
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "id long, vector array<double>")
+    asked = rows.withColumnRenamed("id", "query_id")
+    few, many = (knn.nearest(asked, rows, k, broadcast_bytes=20_000) for k in (2, 20))
+    assert few.count() == 80 and many.count() == 800 and taken == [4]
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    from baraza.plans import retrieval
+
+    searched = []
+    real = retrieval.nearest
+    monkeypatch.setattr(retrieval, "nearest", lambda q, *a, **k: (searched.append(q.count()), real(q, *a, **k))[1])
+    chunks = spark.createDataFrame([(1, "road works", [1.0, 0.0]), (2, "water", [0.0, 1.0])], "id long, chunk_text string, embedding array<double>")
+    asked = spark.createDataFrame([(7, "road"), (8, "ROAD"), (9, "tap")], "query_id long, text string")
+    embed = lambda df: df.withColumn("vector", F.when(F.lower("text") == "road", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    hits = retrieval.hybrid_hits(asked, chunks, embed, 1, variants=False, lexical=False)
+    assert sorted((r.query_id, r.id, r.similarity) for r in hits.collect()) == [(7, 1, 1.0), (8, 1, 1.0), (9, 2, 1.0)] and searched == [2]

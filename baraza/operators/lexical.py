@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, scan
 from baraza.operators.topk import top_k
+from baraza.session import run_folder
 
 _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without end scores 1
 BROADCAST_TERMS = 2_000_000
@@ -86,6 +87,7 @@ def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bo
     extra = ["scope"] if scope else []
     documents = documents.select("id", "terms", *extra)
     if stems is not None:
+        stems = _written(stems)  # read several times below: made once
         stemmed = _stemmed(queries.select("query_id", *extra, F.explode("terms").alias("term")), stems)
         asked = stemmed.groupBy("query_id", *extra).agg(F.collect_set("term").alias("terms"))
         run = lambda part: _stem_matches(part, documents, k, scope, stems)
@@ -98,6 +100,12 @@ def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bo
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
 
 
+def _written(table: DataFrame) -> DataFrame:
+    path = run_folder(table.sparkSession, "stems")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def _stem_matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, stems: DataFrame) -> DataFrame:
     """Query stems are spelt out as the surface terms that share them; documents are scanned as they are."""
     wanted = asked.select(F.explode("terms").alias("stem")).distinct()

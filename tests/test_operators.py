@@ -444,3 +444,20 @@ def test_equal_vectors_are_searched_once(spark, monkeypatch):
     embed = lambda df: df.withColumn("vector", F.when(F.lower("text") == "road", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
     hits = retrieval.hybrid_hits(asked, chunks, embed, 1, variants=False, lexical=False)
     assert sorted((r.query_id, r.id, r.similarity) for r in hits.collect()) == [(7, 1, 1.0), (8, 1, 1.0), (9, 2, 1.0)] and searched == [2]
+
+
+def test_stem_dictionary_is_made_once(spark):
+    """However often the dictionary is read, its terms are stemmed once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def stem(term):
+        made.add(1)
+        return term[:3]
+
+    documents = spark.createDataFrame([(1, ["walking", "road"]), (2, ["walks", "school"])], "id long, terms array<string>")
+    queries = spark.createDataFrame([(7, ["walked"])], "query_id long, terms array<string>")
+    terms = spark.createDataFrame([(t,) for t in ("walking", "road", "walks", "school", "walked")], "term string")
+    found = lexical.lexical_top_k(queries, documents, 2, stems=terms.withColumn("stem", stem("term")))
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(7, 1), (7, 2)]
+    assert made.value == 5

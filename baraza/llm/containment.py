@@ -31,8 +31,10 @@ def _words(text: Column) -> Column:
     return split_words(F.lower(text), BETWEEN)
 
 
-def _hashes(words: Column, n: int) -> Column:
-    return F.transform(places(F.size(words) - n + 1), lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(n)]))
+def _split(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the words ``w`` of ``text``, split once: what a generator makes is not computed again in a later filter or function."""
+    parts = F.split(F.coalesce(F.lower("text"), F.lit("")), BETWEEN)
+    return texts.select(*keep, F.explode(F.array(F.filter(parts, lambda word: word != ""))).alias("w"))
 
 
 def _shingles(words: Column, n: int) -> Column:
@@ -53,15 +55,16 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words:
     bounds = sketch.groupBy("partition").agg(F.min("n").alias("least"), F.max("hash").alias("bound")).orderBy("partition").collect()  # one row per doubling of n
 
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("row"))
-    seen = texts.select("doc_id", "row", _words(F.col("text")).alias("w")).withColumn("size", F.size("w") - words + 1)
+    seen = _split(texts, "doc_id", "row").withColumn("size", F.size("w") - words + 1)
     bound = F.lit(None).cast("long")
     for b in bounds:
         bound = F.greatest(bound, F.when(F.col("size") >= threshold * b["least"] - 1e-9, F.lit(b["bound"])))
     looked = (seen.withColumn("bound", bound).where("bound IS NOT NULL")
-              .select("doc_id", "row", F.explode(F.filter(_hashes(F.col("w"), words), lambda h: h <= F.col("bound"))).alias("hash")))
+              .select("doc_id", "row", "w", "bound", F.explode(places(F.col("size"))).alias("i"))
+              .select("doc_id", "row", "bound", F.xxhash64(*[F.get("w", F.col("i") + d) for d in range(words)]).alias("hash"))
+              .where("hash <= bound").drop("bound"))
     met = stored(looked.join(sketch.select("hash").distinct(), "hash", "left_semi").select("doc_id", "row").distinct(), "met")
-    # words are a column of their own before a function walks over them: inlined, they would be split again for each shingle
-    whole = (texts.join(met, ["doc_id", "row"], "left_semi").select("doc_id", "row", _words(F.col("text")).alias("w"))
+    whole = (_split(texts.join(met, ["doc_id", "row"], "left_semi"), "doc_id", "row")
              .select("doc_id", "row", F.explode(_shingles(F.col("w"), words)).alias("shingle")))
     shared = whole.distinct().join(index, "shingle").groupBy("doc_id", "row", "item_id", "item_row", "n").agg(F.count("*").alias("n_shared"))
     found = shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
@@ -78,7 +81,7 @@ def _short(texts: DataFrame, items: DataFrame, words: int) -> DataFrame:
     own = items.where(F.col("item_id").isNotNull()).select("item_id", _words(F.col("text")).alias("w")).where(F.size("w").between(1, words - 1))
     own = stored(own.select("item_id", F.size("w").alias("length"), F.concat_ws(" ", "w").alias("shingle")).distinct(), "short-items")
     lengths = [r.length for r in own.select("length").distinct().collect()]  # fewer than ``words``
-    seen = texts.select("doc_id", _words(F.col("text")).alias("w"))
+    seen = _split(texts, "doc_id")
     runs = [seen.select("doc_id", F.explode(_shingles(F.col("w"), n)).alias("shingle")) for n in lengths]
     none = seen.select("doc_id", F.lit("").alias("shingle")).limit(0)
     found = reduce(DataFrame.union, runs, none).join(own.select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()

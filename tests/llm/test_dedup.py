@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from baraza.llm import bagminhash, containment, recipes, relative_lz
 from baraza.llm.components import components
@@ -257,3 +258,11 @@ def test_contained_in_empty_tables(spark):
     assert containment.contained(docs, items).count() == 0
     assert containment.contained(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert containment.without_items(docs, items).count() == len(ODD)
+
+
+def test_documents_are_split_once(spark):
+    """A filter on the number of words, and functions over them, do not split a text again."""
+    docs = containment._split(documents(spark, [(1, "a b c"), (2, None), (3, " ,, ")]), "doc_id").where("size(w) > 2 OR size(w) = 0")
+    plan = docs.withColumn("n", F.size("w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    assert sorted((r.doc_id, r.w) for r in docs.collect()) == [(1, ["a", "b", "c"]), (2, []), (3, [])]

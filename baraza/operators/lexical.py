@@ -24,6 +24,7 @@ BROADCAST_QUERIES = 50_000
 LEAST = 1e-9  # less than the rank of one term in any query
 SLAB_TERMS = 1 << 19  # terms of documents coded at once
 ASKED = 2048  # queries scored at once
+SPELT_TERMS = 100_000  # surface terms looked up in a task; of more, documents are stemmed by a join
 COMMON, COMMON_SHARE = 256, 32  # at most so many terms, each of at least one query in so many, are taken by a matrix product
 
 
@@ -77,20 +78,28 @@ def _stemmed(terms: DataFrame, stems: DataFrame) -> DataFrame:
     return terms.join(stems, "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem")
 
 
+def stemmed_queries(queries: DataFrame, stems: DataFrame) -> DataFrame:
+    """``queries`` (``query_id, terms[, scope]``) with the distinct stems of their terms. Of ``stems`` only their own terms are joined."""
+    terms = queries.select(*[c for c in queries.columns if c != "terms"], F.explode("terms").alias("term"))
+    known = stems.join(written_stems(terms.select("term").distinct()), "term", "left_semi")
+    kept = [c for c in terms.columns if c != "term"]
+    return _stemmed(terms, known).groupBy(*kept).agg(F.collect_set("term").alias("terms"))
+
+
 def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bool = False,
-                  stems: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS,
-                  broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+                  stems: DataFrame | None = None, stored: bool = False, broadcast_terms: int = BROADCAST_TERMS,
+                  broadcast_queries: int = BROADCAST_QUERIES, spelt_terms: int = SPELT_TERMS) -> DataFrame:
     """The ``k`` best matches per query (ties to the smaller id), with ``rank``.
 
-    Inputs as for ``lexical_matches``. ``broadcast_terms`` and ``broadcast_queries`` bound what is broadcast at a time.
+    Inputs as for ``lexical_matches``; ``stems`` may repeat rows, and is written first unless it is ``stored`` already. ``broadcast_terms`` and
+    ``broadcast_queries`` bound what is broadcast at a time, ``spelt_terms`` how many surface terms a task looks up.
     """
     extra = ["scope"] if scope else []
     documents = documents.select("id", "terms", *extra)
     if stems is not None:
-        stems = _written(stems)  # read several times below: made once
-        stemmed = _stemmed(queries.select("query_id", *extra, F.explode("terms").alias("term")), stems)
-        asked = stemmed.groupBy("query_id", *extra).agg(F.collect_set("term").alias("terms"))
-        run = lambda part: _stem_matches(part, documents, k, scope, stems)
+        stems = stems if stored else written_stems(stems)  # read several times below: made once
+        asked = stemmed_queries(queries.select("query_id", "terms", *extra), stems)
+        run = lambda part: _stem_matches(part, documents, k, scope, stems, spelt_terms)
     else:
         asked = queries.select("query_id", F.array_distinct("terms").alias("terms"), *extra)
         run = lambda part: _matches(part, documents, k, scope)
@@ -100,19 +109,33 @@ def lexical_top_k(queries: DataFrame, documents: DataFrame, k: int, *, scope: bo
     return top_k(matches, ["query_id"], [F.desc("lexical_rank"), F.asc("id")], k)
 
 
-def _written(table: DataFrame) -> DataFrame:
+def written_stems(table: DataFrame) -> DataFrame:
     path = run_folder(table.sparkSession, "stems")
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def _stem_matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, stems: DataFrame) -> DataFrame:
-    """Query stems are spelt out as the surface terms that share them; documents are scanned as they are."""
-    wanted = asked.select(F.explode("terms").alias("stem")).distinct()
+def _stem_matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, stems: DataFrame, spelt_terms: int) -> DataFrame:
+    """Query stems are spelt out as the surface terms that share them; documents are scanned as they are.
+
+    The spelling grows with the vocabulary, and a task would look up every batch in all of it. Above ``spelt_terms`` it is joined to the
+    documents' terms instead, and what is scanned are their stems.
+    """
+    # written, so that its size is known and the dictionary is only scanned past it, never shuffled
+    wanted = written_stems(asked.select(F.explode("terms").alias("stem")).distinct())
     spelt = stems.join(wanted, "stem", "left_semi").select("term", "stem")
     # a word the dictionary doesn't know is its own stem
-    alone = wanted.join(stems.select(F.col("term").alias("stem")), "stem", "left_anti").select(F.col("stem").alias("term"), "stem")
-    return _matches(asked, documents, k, scope, spelt.union(alone).distinct())
+    held = stems.select(F.col("term").alias("stem")).join(wanted, "stem", "left_semi")
+    alone = wanted.join(held, "stem", "left_anti").select(F.col("stem").alias("term"), "stem")
+    spelling = written_stems(spelt.union(alone).distinct())
+    if spelling.count() <= spelt_terms:
+        return _matches(asked, documents, k, scope, spelling)
+    extra = ["scope"] if scope else []
+    # ids may repeat: rows are numbered, and the numbers written, before they are taken apart
+    rows = written_stems(documents.withColumn("row", F.monotonically_increasing_id()))
+    found = rows.select("row", "id", *extra, F.explode("terms").alias("term")).join(spelling, "term")
+    stemmed = found.groupBy("row", "id", *extra).agg(F.collect_list("stem").alias("terms"))
+    return _matches(asked, stemmed.select("id", "terms", *extra), k, scope)
 
 
 def _matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, spelling: DataFrame | None = None) -> DataFrame:

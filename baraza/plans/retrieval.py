@@ -10,7 +10,7 @@ from baraza.functions import text as tx
 from baraza.functions.stemming import stem_dictionary
 from baraza.operators.fusion import best_per_variant, is_weak, reciprocal_rank_fusion
 from baraza.operators.knn import nearest
-from baraza.operators.lexical import lexical_top_k
+from baraza.operators.lexical import lexical_top_k, stemmed_queries, written_stems
 from baraza.session import run_folder, shared_folder
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -32,7 +32,7 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
     ``embed`` adds ``vector`` to a table with ``text``. Without ``variants`` and ``lexical`` this is plain vector search.
     ``variant_k`` bounds what one variant finds by vector, however large ``k`` is; null leaves it at ``k``.
     The lexical list meets on stems: ``stem`` makes the dictionary of a table of terms, ``stems`` (``term, stem``) is that of the chunks' terms
-    where it is stored with them; without ``stem`` terms meet as they are. Chunks may bring their ``terms`` along.
+    where it is stored with them; without ``stem`` terms meet as they are. Chunks may bring their ``terms`` along, and ``stemmed``, the stems of those by the same dictionary.
     A column ``hit_limit`` (at most ``k``) searches single queries less deeply: a shorter list is a prefix of the longer.
     """
     scoped = ["scope"] if scope else []
@@ -60,12 +60,20 @@ def hybrid_hits(queries: DataFrame, chunks: DataFrame, embed: Embed, k: int = fv
     lists = [limited(best_per_variant(near, k))]
     if lexical:
         terms = queries.select("query_id", *scoped, tx.lexical_terms(tx.lexicon_translation(F.col("text"))).alias("terms"))
-        held = F.col("terms") if "terms" in chunks.columns else tx.lexical_terms(F.col("chunk_text"))
-        corpus = chunks.select("id", held.alias("terms"), *([F.col("government_arm").alias("scope")] if scope else []))
-        if stem is not None:
-            known = stems if stems is not None else stem(corpus.select(F.explode("terms").alias("term")))
-            stems = known.select("term", "stem").union(stem(terms.select(F.explode("terms").alias("term"))).select("term", "stem")).distinct()
-        lists.append(limited(lexical_top_k(terms, corpus, k, scope=scope, stems=stems if stem is not None else None)))
+        arm = [F.col("government_arm").alias("scope")] if scope else []
+        own = written_stems(stem(terms.select(F.explode("terms").alias("term"))).select("term", "stem")) if stem is not None else None
+        if stem is not None and "stemmed" in chunks.columns:
+            # both sides are stems already: no surface term is spelt out, however many share a stem
+            terms = stemmed_queries(terms, own if stems is None else own.union(stems.select("term", "stem")))
+            found = lexical_top_k(terms, chunks.select("id", F.col("stemmed").alias("terms"), *arm), k, scope=scope)
+        else:
+            held = F.col("terms") if "terms" in chunks.columns else tx.lexical_terms(F.col("chunk_text"))
+            corpus = chunks.select("id", held.alias("terms"), *arm)
+            if stem is not None:
+                known = stems if stems is not None else written_stems(stem(corpus.select(F.explode("terms").alias("term"))))
+                stems = known.select("term", "stem").union(own)  # both are tables, so the larger one is not copied
+            found = lexical_top_k(terms, corpus, k, scope=scope, stems=stems if stem is not None else None, stored=True)
+        lists.append(limited(found))
     return limited(reciprocal_rank_fusion(lists, k))
 
 

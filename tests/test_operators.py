@@ -461,3 +461,18 @@ def test_stem_dictionary_is_made_once(spark):
     found = lexical.lexical_top_k(queries, documents, 2, stems=terms.withColumn("stem", stem("term")))
     assert sorted((r.query_id, r.id) for r in found.collect()) == [(7, 1), (7, 2)]
     assert made.value == 5
+
+
+def test_stems_are_joined_where_many_terms_share_them(spark):
+    """However many surface terms a stem has, a task looks up a bounded number of them; rows that repeat an id stay apart."""
+    rnd = random.Random(4)
+    words = [f"{w}{e}" for w in ("road", "stall", "work") for e in ("", "s", "ed", "ing")]
+    rows = [(i % 30, [rnd.choice(words + ["ward"]) for _ in range(rnd.randint(0, 9))], rnd.choice(["a", "b", None])) for i in range(60)] + [(99, None, "a")]
+    d = spark.createDataFrame(rows, "id long, terms array<string>, scope string")
+    q = spark.createDataFrame([(i, [rnd.choice(words + ["ward", "none"]) for _ in range(3)], rnd.choice(["a", "b", None])) for i in range(8)],
+                              "query_id long, terms array<string>, scope string")
+    stems = spark.createDataFrame([(w, w.removesuffix("s").removesuffix("ed").removesuffix("ing")) for w in words], "term string, stem string")
+    for scope in (False, True):
+        want, got = [sorted((r.query_id, r.id, r.lexical_rank) for r in lexical.lexical_top_k(q, d, 7, scope=scope, stems=stems, spelt_terms=n).collect())
+                     for n in (100, 1)]
+        assert got == want and want

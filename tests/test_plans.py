@@ -470,3 +470,21 @@ def test_stems_widen_the_lexical_list(spark):
     given = {"plain": {"stem": None}, "stored": {"stems": stems}, "default": {}}
     found = {s: {r["id"] for r in retrieval.hybrid_hits(asked, chunks, hash_embed, 3, **o).where("lexical_rank > 0").collect()} for s, o in given.items()}
     assert found == {"plain": {0}, "stored": {0, 1}, "default": {0, 1}}
+
+
+def test_chunks_bring_their_stems(spark):
+    """Stems beside the chunks give the hits that a dictionary gives; terms at hand give the vectors that the text gives."""
+    from baraza.catalog import hash_embed, stand_in_stems
+    from baraza.functions import text as tx
+    from baraza.plans import retrieval
+
+    base = spark.createDataFrame([(1, "county roads stalled in Njoro", "a"), (2, "roadside works", "a"), (3, "the of", "b"), (3, "roads roads", "b")],
+                                 "id long, text string, government_arm string")
+    chunks = hash_embed(base).withColumnRenamed("vector", "embedding").withColumnRenamed("text", "chunk_text")
+    told = hash_embed(base.withColumn("terms", tx.lexical_terms(F.col("text"))), F.col("terms"))
+    assert sorted(map(tuple, told.select("id", "vector").collect())) == sorted(map(tuple, chunks.select("id", "embedding").collect()))
+    asked = spark.createDataFrame([(7, "roads stalling", "a"), (8, "roads", "b"), (9, "of", None)], "query_id long, text string, scope string")
+    terms = chunks.withColumn("terms", tx.lexical_terms(F.col("chunk_text")))
+    stemmed = terms.withColumn("stemmed", F.transform("terms", lambda t: F.left(t, F.lit(5)))).drop("terms")
+    found = [sorted(map(tuple, retrieval.hybrid_hits(asked, c, hash_embed, 3, scope=True, stem=stand_in_stems).collect())) for c in (terms, stemmed)]
+    assert found[0] == found[1] and any(r[-1] for r in found[0])

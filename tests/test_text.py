@@ -3,6 +3,7 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from baraza import fixed_values as fv
 from baraza.functions import text as tx
@@ -133,3 +134,11 @@ def test_slang_matches_model(one, texts):
     pattern = re.compile(r"\b(" + "|".join(keys) + r")\b", re.I)
     model = [pattern.sub(lambda m: fv.SLANG_TO_SWAHILI[m.group(0).lower()], t) for t in texts]
     assert one(tx.expand_slang, texts) == model
+
+
+def test_white_space_is_the_fixed_set(one):
+    """Every character beside a word, in both modes of the pattern: only the fixed ones part it."""
+    text = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    left = "".join(c for c in text if c not in tx._SPACE_CHARS)
+    assert [one(lambda c: F.regexp_replace(c, mode + tx.SPACE, ""), text) for mode in ("", "(?iU)")] == [left, left]
+    assert "&&" in tx.SPACE  # characters beyond Latin-1 are told apart by one comparison

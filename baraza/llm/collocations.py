@@ -33,6 +33,7 @@ FILTER_BITS = 1 << 28  # 32 MB, however large the corpus
 PROBES = 4
 BLOCK_BYTES = 1 << 20  # of text hashed at once
 HELD_PRINTS = 1 << 20  # summed inside the task at once
+PRINT_BITS = 40  # of a fingerprint: what is shuffled is five bytes of it and its count
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ENDS]] = True
@@ -195,11 +196,12 @@ def _rows(langs, texts, counts) -> pa.RecordBatch:
         pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.asarray(counts, np.int64))], names=["lang", "phrase", "a"])
 
 
-def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, filter_bits: int = FILTER_BITS, print_bits: int = 64) -> DataFrame:
+def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, filter_bits: int = FILTER_BITS, print_bits: int = PRINT_BITS) -> DataFrame:
     """``lang, phrase, size, a``: every run of 1 to ``longest`` words that occurs at least ``least`` times and its exact count, and per
     language one row of size 0 with all its words.
 
-    ``filter_bits``, a power of two, bounds what is broadcast. ``print_bits`` is smaller only in tests.
+    ``filter_bits``, a power of two, bounds what is broadcast. ``print_bits`` bounds what a fingerprint adds to a shuffle: of ten to the eighth frequent
+    phrases one rare fingerprint in ten thousand meets one and is materialised in vain. It is smaller only in tests.
     """
     spark = docs.sparkSession
     mask = np.uint64((1 << print_bits) - 1)

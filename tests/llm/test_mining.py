@@ -1,12 +1,14 @@
 """Phrases, hard negatives and chat windows: against plain versions over odd rows."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +74,14 @@ def test_collocations_survive_collisions_and_a_full_filter(spark):
     assert mined(collocations.collocations(documents(spark, rows), least=5, print_bits=64, filter_bits=64)) == want
 
 
+def test_fingerprints_ship_few_bytes(spark):
+    """What a fingerprint adds to a shuffle is bounded; the counts stay exact, as above."""
+    bits = inspect.signature(collocations.frequent_phrases).parameters["print_bits"].default
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": [f"word {i} and {i * i} more" for i in range(50)]})
+    prints = np.concatenate([b.column(0).to_numpy() for b in collocations._counted([1, 2], np.uint64((1 << bits) - 1))(iter([batch]))])
+    assert len(prints) > 100 and prints.min() >= 0 and prints.max() < 1 << 40
+
+
 @pytest.mark.parametrize("m, k, n", [(1, 1, 1), (3, 5, 7), (64, 64, 64), (65, 33, 129), (0, 4, 5), (130, 64, 40)])
 def test_strassen(m, k, n):
     draw = np.random.default_rng(m + k + n)

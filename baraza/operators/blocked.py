@@ -18,6 +18,7 @@ from baraza.session import run_folder
 SCALE = 10_000  # scores are kept to four decimals
 CELLS = 1 << 18  # scores held at once in a task
 RESCORED = 8192  # pairs scored in double precision at once
+FIRST_ROWS, GROUPS = 2048, 64  # a task's first rows are scored twice: the best of their groups give a floor, then what reaches it is taken
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -71,6 +72,18 @@ class BestPerQuery:
         self.last = np.full(len(query_ids), np.iinfo("int64").max)
         self.held, self.waiting = [], 0
 
+    def raise_floor(self, maxima: np.ndarray, slack: float) -> None:
+        """A first floor from the best scores, known up to ``slack``, that each query has in disjoint groups of rows ``(queries, groups)``.
+        The rows must be offered yet.
+
+        ``k`` groups with a score of at least ``b`` hold ``k`` such rows, so no lower row is among the best.
+        """
+        if maxima.shape[1] < self.k:
+            return
+        found = np.where(np.isnan(maxima), -np.inf, maxima).astype("float64")
+        least = -np.partition(-found, self.k - 1, axis=1)[:, self.k - 1] - slack
+        self.floor = np.maximum(self.floor, np.rint(least * SCALE) - 1)  # rows of that score still enter, whatever their ids
+
     def near(self, scores: np.ndarray, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of a score block ``(queries, rows)`` whose score, ``slack`` added, may enter; NaN never does."""
         least = np.maximum((self.floor - 0.5) / SCALE - slack, self.lowest).astype(scores.dtype)
@@ -121,6 +134,10 @@ class BestPerQuery:
         if self.waiting > self.k * len(self.query_ids):
             self._settle()
 
+    def settle(self) -> None:
+        if self.held:
+            self._settle()
+
     def _settle(self) -> None:
         who, ids, score = (np.concatenate(parts) for parts in zip(*self.held))
         order = np.lexsort((ids, -score, who))
@@ -133,8 +150,7 @@ class BestPerQuery:
         self.held, self.waiting = [(who[best], ids[best], score[best])], 0
 
     def frame(self, name: str) -> pd.DataFrame:
-        if self.held:
-            self._settle()
+        self.settle()
         who, ids, score = self.held[0] if self.held else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
         return pd.DataFrame({"query_id": self.query_ids[who], "id": ids, name: score / SCALE})
 

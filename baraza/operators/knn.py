@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, scan
+from baraza.operators.blocked import CELLS, FIRST_ROWS, GROUPS, BestPerQuery, in_passes, scan
 from baraza.operators.topk import top_k
 
 BROADCAST_BYTES = 64 << 20
@@ -40,9 +40,12 @@ class _Block:
         # rounding of single precision, of the unit vectors and of their products
         self.slack = 2e-7 * (matrix.shape[1] + 4)
         self.order = np.argsort(ids, kind="stable") if skip_same_id else None
+        self.begun = False
 
     def offer(self, held: np.ndarray, single: np.ndarray, ids: np.ndarray) -> None:
         step = max(1, CELLS // len(self.matrix))
+        if not self.begun and len(ids):
+            self._begin(single[:FIRST_ROWS], ids[:FIRST_ROWS], step)
         for start in range(0, len(ids), step):
             here = slice(start, start + step)
             vectors, own = held[here], ids[here]
@@ -50,6 +53,15 @@ class _Block:
                              lambda r, c: np.einsum("ij,ij->i", self.matrix[r], vectors[c]),
                              lambda: self._without_same(self.matrix @ vectors.T, own))
 
+    def _begin(self, single: np.ndarray, ids: np.ndarray, step: int) -> None:
+        self.begun, size, maxima = True, max(1, len(ids) // GROUPS), []
+        step = max(step - step % size, size)
+        for start in range(0, len(ids), step):
+            here = slice(start, start + step)
+            scores = self._without_same(self.single @ single[here].T, ids[here])
+            maxima.append(np.fmax.reduceat(scores, np.arange(0, scores.shape[1], size), axis=1))
+        self.best.raise_floor(np.hstack(maxima), self.slack)
+
     def _without_same(self, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
         if self.order is not None:
             own = self.best.query_ids[self.order]

@@ -2,7 +2,8 @@
 
 The rank is the mean over the query's distinct terms of a saturating term frequency, scaled to at most 1.
 Stems are matched by spelling out the query's stems. For a counted, bounded table of query terms, documents stream past the broadcast
-terms and only the best ``k`` per query leave a task: no term is exploded, no (query, document) pair is shuffled. A larger
+terms and only the best ``k`` per query leave a task: no term is exploded, no (query, document) pair is shuffled. Documents are bits of words
+there, 64 of which are counted by one operation. A larger
 query table is taken in parts of that size, one pass over the documents for each. ``lexical_matches`` gives all matches, by joins on the
 term, for those who want all of them.
 """
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baraza.operators.blocked import CELLS, BestPerQuery, in_passes, scan
+from baraza.operators.blocked import CELLS, RESCORED, SCALE, BestPerQuery, in_passes, scan
 from baraza.operators.topk import top_k
 from baraza.session import run_folder
 
@@ -22,10 +23,11 @@ _FULL = 6 / math.pi ** 2  # 1 / (1 + 1/4 + 1/9 + ...): a term repeated without e
 BROADCAST_TERMS = 2_000_000
 BROADCAST_QUERIES = 50_000
 LEAST = 1e-9  # less than the rank of one term in any query
-SLAB_TERMS = 1 << 19  # terms of documents coded at once
-ASKED = 2048  # queries scored at once
+SLAB_TERMS, SLAB_ROWS = 1 << 19, 4096  # terms of documents coded and documents counted at once
+SLAB_BYTES = 32 << 20  # of the bits of some documents' terms; of more, fewer documents are taken
+ASKED = 512  # queries counted at once
+WEIGHTS = np.cumsum([0, *1.0 / np.arange(1, 8) ** 2])  # of a term by how often it is found
 SPELT_TERMS = 100_000  # surface terms looked up in a task; of more, documents are stemmed by a join
-COMMON, COMMON_SHARE = 256, 32  # at most so many terms, each of at least one query in so many, are taken by a matrix product
 
 
 def saturated(count: Column) -> Column:
@@ -151,7 +153,14 @@ def _matches(asked: DataFrame, documents: DataFrame, k: int, scope: bool, spelli
 
 
 def _start(index: dict, k: int):
-    blocks = [_Block(index, first, k) for first in range(0, len(index["ids"]), ASKED)]
+    size = np.diff(index["own"])
+    order = np.argsort(size, kind="stable")
+    size, blocks = size[order], []
+    first = int(np.searchsorted(size, 1))  # without terms nothing is found
+    while first < len(order):  # queries of like numbers of terms are counted together
+        last = min(first + ASKED, int(np.searchsorted(size, max(16, 2 * size[first]), side="right")))
+        blocks.append(_Block(index, order[first:last], k))
+        first = last
 
     def offer(batch: pa.RecordBatch) -> None:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -159,28 +168,41 @@ def _start(index: dict, k: int):
         start = 0
         while start < len(ids):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLAB_TERMS, side="right")))
-            document, term, weight = _weights(batch.column("terms").slice(start, stop - start), index)
+            stop = max(start + 1, min(start + SLAB_ROWS, int(np.searchsorted(ends, base + SLAB_TERMS, side="right"))))
+            entries = _weights(batch.column("terms").slice(start, stop - start), index)
             scopes = _scope_codes(batch.column("scope").slice(start, stop - start), index) if index["scopes"] is not None else None
-            for block in blocks if len(term) else ():
-                block.offer(document, term, weight, ids[start:stop], scopes)
+            for slab in _slabs(entries, ids[start:stop], scopes, index):
+                for block in blocks:
+                    block.offer(slab)
             start = stop
 
     return [block.best for block in blocks], offer
 
 
+def _slabs(entries: tuple, ids: np.ndarray, scopes: np.ndarray | None, index: dict):
+    """Documents with some of the queries' terms, as few at a time as their bits ask for."""
+    document, term, weight = entries
+    if not len(term):
+        return
+    size = np.count_nonzero(np.bincount(term)) * len(ids) // 8
+    step = max(64, -(-len(ids) // -(-size // SLAB_BYTES))) if size else len(ids)
+    for start in range(0, len(ids), step):
+        here = slice(*np.searchsorted(document, [start, start + step]))
+        if here.stop > here.start:
+            own = scopes[start:start + step] if scopes is not None else None
+            yield _Slab(document[here] - start, term[here], weight[here], ids[start:start + step], own, index)
+
+
 def _query_index(table: pa.Table, scope: bool) -> dict:
-    """The queries' terms as numbers: term ``term[i]`` stands in the query at place ``owner[i]``."""
+    """The queries' terms as numbers: those of the query at place ``q`` are ``term[own[q]:own[q + 1]]``."""
     lists = table.column("terms").combine_chunks()
     owner = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(lists.flatten())
     term = coded.indices.to_numpy(zero_copy_only=False)
-    held = np.bincount(term, minlength=len(coded.dictionary))
-    common = np.argsort(-held, kind="stable")[:COMMON]
     scopes = pc.dictionary_encode(table.column("scope").combine_chunks()) if scope else None
     return {
-        "ids": table.column("query_id").to_numpy(), "vocabulary": coded.dictionary.cast(pa.string()), "term": term, "owner": owner,
-        "common": common[held[common] * COMMON_SHARE >= table.num_rows], "terms": len(coded.dictionary),
+        "ids": table.column("query_id").to_numpy(), "vocabulary": coded.dictionary.cast(pa.string()), "terms": len(coded.dictionary),
+        "term": term.astype("int32"), "own": np.searchsorted(owner, np.arange(table.num_rows + 1)),
         "weight": _FULL / np.maximum(np.bincount(owner, minlength=table.num_rows), 1),
         "scopes": scopes.indices.fill_null(-1).to_numpy(zero_copy_only=False) if scope else None,
         "scope_names": scopes.dictionary if scope else None}
@@ -203,74 +225,159 @@ def _weights(lists: pa.Array, index: dict) -> tuple[np.ndarray, np.ndarray, np.n
     return *np.divmod(pair, index["terms"]), weight
 
 
+class _Slab:
+    """Some documents as bits. A term counts as many quarters as its weight has, rounded up: 4, 5, 6 or 7 where it is found once, twice, three
+    times or seven times and more. Row ``rows[p][t]`` of ``bits`` is bit ``2 - p`` of that number for term ``t``.
+    """
+
+    def __init__(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, scopes: np.ndarray | None, index: dict):
+        self.ids, self.terms, self.words = ids, index["terms"], -(-len(ids) // 64)
+        self.rows, places, count = [], [], 1  # row 0 is empty, for terms that no document holds
+        twice, thrice, seven = (weight > WEIGHTS[often] - 1e-9 for often in (2, 3, 7))
+        for held in (np.arange(len(term)), np.flatnonzero(thrice), np.flatnonzero(twice & ~thrice | seven)):
+            present = np.flatnonzero(np.bincount(term[held], minlength=self.terms))
+            row = np.zeros(self.terms + 1, "int64")  # one more for places without a term
+            row[present] = np.arange(count, count + len(present))
+            places.append((row[term[held]] * self.words + (document[held] >> 6), document[held] & 63))
+            self.rows.append(row)
+            count += len(present)
+        self.key, self.weight = document[thrice] * self.terms + term[thrice], weight[thrice]  # in this order
+        bits = np.zeros(count * self.words, "uint64")
+        for word, bit in places:
+            np.add.at(bits, word, np.uint64(1) << bit.astype("uint64"))
+        self.bits = bits.reshape(count, self.words)
+        if scopes is not None:  # bits of the documents that a scope sees; the last scope sees all
+            known = np.flatnonzero(scopes >= 0)
+            present, own = np.unique(scopes[known], return_inverse=True)
+            flags = np.zeros((len(present) + 2, self.words * 64), bool)
+            flags[own, known] = True
+            flags[-1] = True
+            self.seen = np.packbits(flags, axis=1, bitorder="little").view("uint64")
+            self.scope = np.full(len(index["scope_names"]) + 1, len(present))  # the row before the last is empty
+            self.scope[present], self.scope[-1] = np.arange(len(present)), len(present) + 1
+
+
 class _Block:
-    """Up to ``ASKED`` queries from place ``first`` on and what they have found.
+    """Some queries, those at the places ``who``, and what they have found.
 
-    Terms that many queries hold are a dense matrix, the others name their queries: for term ``t`` the places
-    ``who[start[t]:start[t + 1]]``.
+    For every query and document the weights of the terms they share are added up in quarters, rounded up: one bit of 64 documents' sums
+    lies in a word, and adders made of logical operations take the words of one term after the other. Only documents whose sum may reach
+    the query's best so far are ranked, term by term.
     """
 
-    def __init__(self, index: dict, first: int, k: int):
-        here = slice(*np.searchsorted(index["owner"], [first, first + ASKED]))
-        term, owner = index["term"][here], index["owner"][here] - first
-        self.best = BestPerQuery(index["ids"][first:first + ASKED], k, LEAST)
-        self.weight = index["weight"][first:first + ASKED, None]
-        self.scopes = index["scopes"][first:first + ASKED, None] if index["scopes"] is not None else None
-        self.place = np.full(index["terms"], -1)
-        self.place[index["common"]] = np.arange(len(index["common"]))
-        dense = self.place[term] >= 0
-        self.dense = np.zeros((len(self.weight), len(index["common"])))
-        self.dense[owner[dense], self.place[term[dense]]] = 1.0
-        self.single = self.dense.astype("float32")
-        self.slack = 2e-7 * (self.dense.shape[1] + 4)  # rounding of single precision; a rank is at most 1
-        order = np.argsort(term[~dense], kind="stable")
-        self.who = owner[~dense][order]
-        self.start = np.searchsorted(term[~dense][order], np.arange(index["terms"] + 1))
-
-    def offer(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, scopes: np.ndarray | None) -> None:
-        step = max(1, CELLS // len(self.weight))
-        for start in range(0, len(ids), step):
-            here = slice(*np.searchsorted(document, [start, start + step]))
-            allowed = None if scopes is None else ((self.scopes == -1) | (self.scopes == scopes[None, start:start + step])).T
-            self._offer(document[here] - start, term[here], weight[here], ids[start:start + step], allowed)
-
-    def _offer(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None) -> None:
-        """Ranks of some documents; a document's lie together, as its entries do."""
-        place, share = self.place[term], self.weight[:, 0]
-        common = place >= 0
-        held = np.zeros((len(ids), self.dense.shape[1]))
-        held[document[common], place[common]] = weight[common]
-        rest = self._rest(document[~common], term[~common], weight[~common], len(ids))
-        rough = held.astype("float32") @ self.single.T
-        rough += rest
-        rough *= share.astype("float32")
-        if allowed is not None:
-            rough[~allowed] = np.nan
-
-        def whole() -> np.ndarray:
-            ranks = (held @ self.dense.T + rest) * share
-            return (ranks if allowed is None else np.where(allowed, ranks, np.nan)).T
-
-        self.best.screen(rough.T, self.slack, ids,
-                         lambda r, c: (np.einsum("ij,ij->i", held[c], self.dense[r]) + rest[c, r]) * share[r], whole)
-
-    def _rest(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
-        """The less common terms' part of the ranks, ``(documents, queries)``."""
-        queries = len(self.weight)
-        total = None
-        first = self.start[term]
-        fan = self.start[term + 1] - first
-        # One entry per (document, term, query holding the term), summed piece by piece so that
-        # a common term cannot blow up the intermediate arrays.
-        ends = np.cumsum(fan)
-        start = 0
-        while start < len(fan):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CELLS, side="right")))
-            here = slice(start, stop)
-            own = fan[here]
-            entry = np.arange(own.sum()) + np.repeat(first[here] + base - (ends[here] - own), own)
-            part = np.bincount(self.who[entry] + np.repeat(document[here] * queries, own), weights=np.repeat(weight[here], own), minlength=queries * count)
-            total = part if total is None else total + part
-            start = stop
-        return (np.zeros(count * queries) if total is None else total).reshape(count, queries)
+    def __init__(self, index: dict, who: np.ndarray, k: int):
+        self.best, self.share = BestPerQuery(index["ids"][who], k, LEAST), index["weight"][who]
+        self.scopes = index["scopes"][who] if index["scopes"] is not None else None
+        first, size = index["own"][who], index["own"][who + 1] - index["own"][who]
+        place = np.arange(size.max())
+        self.term = np.full((len(who), len(place)), index["terms"], "int32")
+        held = place < size[:, None]
+        self.term[held] = index["term"][(first[:, None] + place)[held]]
+        self.depth, self.begun = int(7 * len(place)).bit_length(), False
+
+    def offer(self, slab: _Slab) -> None:
+        sums = self._sums(slab)
+        seen = slab.seen[slab.scope[self.scopes]] if self.scopes is not None else None
+        taken = None
+        if not self.begun:  # a first floor from the documents with the largest sums
+            self.begun = True
+            taken = self._reached(sums, self._first(sums, seen), seen)
+            self._take(slab, taken)
+        if self.best.waiting * 8 > self.best.k * len(self.share):
+            self.best.settle()
+        # a rank equal to the last one's needs a smaller id
+        same = np.where(slab.ids.min() >= self.best.last, 0.5, -0.5)
+        least = ((self.best.floor + same) / SCALE - LEAST) / self.share
+        reached = self._reached(sums, np.ceil(np.clip(4 * least - 1e-6, 1, 1 << self.depth)).astype("int64"), seen)
+        if taken is not None:
+            reached &= ~taken
+        self._take(slab, reached)
+
+    def _sums(self, slab: _Slab) -> list[np.ndarray]:
+        """The bits of the sums, lowest first: words ``(queries, documents / 64)``."""
+        levels, spare = [[] for _ in range(self.depth + 8)], []
+
+        def room() -> np.ndarray:
+            return spare.pop() if spare else np.empty((len(self.share), slab.words), "uint64")
+
+        def add(level: int, word: np.ndarray) -> None:
+            levels[level].append(word)
+            if len(levels[level]) == 3:
+                x, y, z = levels[level]
+                one = np.bitwise_xor(x, y, out=room())
+                x &= y
+                np.bitwise_xor(one, z, out=y)
+                one &= z
+                x |= one
+                levels[level] = [y]
+                spare.extend((one, z))
+                add(level + 1, x)
+
+        for level, rows in zip((2, 1, 0), slab.rows):
+            row = rows[self.term]
+            row[:, ::-1].sort(axis=1)  # empty ones last
+            for at in np.ascontiguousarray(row.T):
+                if not at.any():
+                    break
+                add(level, slab.bits.take(at, axis=0, out=room(), mode="clip"))
+        for level in range(self.depth):
+            if len(levels[level]) == 2:
+                x, y = levels[level]
+                both = np.bitwise_and(x, y, out=room())
+                x ^= y
+                levels[level] = [x]
+                add(level + 1, both)
+            elif not levels[level]:
+                levels[level] = [np.zeros((len(self.share), slab.words), "uint64")]
+        return [word for word, in levels[:self.depth]]
+
+    def _reached(self, sums: list[np.ndarray], least: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
+        """Bits of the documents whose sum is at least ``least``, a number for each query."""
+        found = np.full(sums[0].shape, ~np.uint64(0))
+        for level, word in enumerate(sums):
+            zero = np.where(least >> level & 1, np.uint64(0), ~np.uint64(0))[:, None]
+            either = word | found
+            either &= zero
+            found &= word
+            found |= either
+        found[least >> self.depth > 0] = 0
+        if seen is not None:
+            found &= seen
+        return found
+
+    def _first(self, sums: list[np.ndarray], seen: np.ndarray | None) -> np.ndarray:
+        """The largest number that the sums of ``k`` documents reach, at least 1."""
+        least = np.zeros(len(self.share), "int64")
+        for level in reversed(range(self.depth)):
+            tried = least | 1 << level
+            enough = np.bitwise_count(self._reached(sums, tried, seen)).sum(axis=1, dtype="int64") >= self.best.k
+            least = np.where(enough, tried, least)
+        return np.maximum(least, 1)
+
+    def _take(self, slab: _Slab, reached: np.ndarray) -> None:
+        words = np.flatnonzero(reached)
+        flat = reached.reshape(-1)
+        for start in range(0, len(words), RESCORED):
+            part = words[start:start + RESCORED]
+            at, bit = np.nonzero(np.unpackbits(flat[part].view("uint8").reshape(-1, 8), axis=1, bitorder="little"))
+            query, word = np.divmod(part[at], slab.words)
+            document = word * 64 + bit
+            step = max(1, CELLS // self.term.shape[1])
+            for first in range(0, len(query), step):
+                q, d = query[first:first + step], document[first:first + step]
+                self.best.take(q, slab.ids[d], self._ranks(slab, q, d))
+
+    def _ranks(self, slab: _Slab, query: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """The ranks of some pairs. Bits tell which terms a document holds, and which of them twice; more weight is looked up."""
+        bits, terms = slab.bits.reshape(-1), self.term[query]
+        word, bit = document >> 6, np.uint64(1) << (document & 63).astype("uint64")
+        shared = np.flatnonzero(bits.take(slab.rows[0][terms] * slab.words + word[:, None]) & bit[:, None])
+        pair, term, weight = shared // terms.shape[1], terms.reshape(-1)[shared], np.ones(len(shared))
+
+        def held(plane: int) -> np.ndarray:
+            return bits.take(slab.rows[plane][term] * slab.words + word[pair]) & bit[pair] > 0
+
+        weight[held(2)] = WEIGHTS[2]
+        often = np.flatnonzero(held(1))
+        weight[often] = slab.weight[np.searchsorted(slab.key, document[pair[often]] * slab.terms + term[often])]
+        return np.bincount(pair, weight, len(query)) * self.share[query]

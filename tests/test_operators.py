@@ -476,3 +476,92 @@ def test_stems_are_joined_where_many_terms_share_them(spark):
         want, got = [sorted((r.query_id, r.id, r.lexical_rank) for r in lexical.lexical_top_k(q, d, 7, scope=scope, stems=stems, spelt_terms=n).collect())
                      for n in (100, 1)]
         assert got == want and want
+
+
+def _lexical_model(queries, documents, k, scopes=None, own=None):
+    """The best ``k`` of each query: ``(query, document, rank)``, one document and one term after the other."""
+    found = []
+    for q, asked in enumerate(queries):
+        ranks = []
+        for d, terms in enumerate(documents):
+            shared = [terms.count(t) for t in asked if t in terms]
+            if shared and (scopes is None or scopes[q] is None or scopes[q] == own[d]):
+                rank = sum(sum(1 / j ** 2 for j in range(1, n + 1)) for n in shared) * 6 / np.pi ** 2 / len(asked)
+                ranks.append((-round(rank, 4), d))
+        found += [(q, d, -r) for r, d in sorted(ranks)[:k]]
+    return found
+
+
+@pytest.mark.parametrize("scope", [False, True])
+@pytest.mark.parametrize("small", [False, True])
+def test_counted_sums_give_the_best_ranks(monkeypatch, small, scope):
+    import pyarrow as pa
+
+    if small:
+        for name, value in (("SLAB_ROWS", 70), ("ASKED", 7), ("SLAB_BYTES", 900)):
+            monkeypatch.setattr(lexical, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    words = [f"w{n}" for n in range(300)]
+    share = 1 / np.arange(1, 301)
+    documents = [list(rng.choice(words, rng.integers(0, 60), p=share / share.sum())) for _ in range(330)]
+    documents[17] = ["w290"] * 9
+    queries = [sorted(set(rng.choice(words, rng.integers(0, 30)))) for _ in range(40)] + [["w0"], ["w290"], ["other"], [], words[:200]]
+    scopes = [["a", "b", "unseen", None][n % 4] for n in range(len(queries))]
+    own = [["a", "b", "c", None][n % 7 % 4] for n in range(len(documents))]
+    columns = {"terms": pa.array(queries, pa.list_(pa.string())), "query_id": pa.array(range(len(queries)), pa.int64())}
+    index = lexical._query_index(pa.table(columns | ({"scope": pa.array(scopes)} if scope else {})), scope)
+    best, offer = lexical._start(index, 5)
+    held = {"id": pa.array(range(len(documents)), pa.int64()), "terms": pa.array(documents, pa.list_(pa.string()))}
+    rows = pa.record_batch(held | ({"scope": pa.array(own)} if scope else {}))
+    for start in reversed(range(0, len(documents), 110)):  # later ids first
+        offer(rows.slice(start, 110))
+    got = sorted((int(q), int(i), round(float(r), 4)) for b in best for q, i, r in b.frame("rank").itertuples(index=False))
+    assert got == sorted(_lexical_model(queries, documents, 5, *([scopes, own] if scope else [])))
+
+
+def test_few_pairs_are_scored_one_by_one(monkeypatch):
+    """Of a first batch only pairs that may stay are ranked, not all that share a term, and no block is scored whole in double precision."""
+    import pyarrow as pa
+
+    from baraza.operators import blocked
+
+    taken, whole = [], []
+    real, offered = blocked.BestPerQuery.take, blocked.BestPerQuery.offer
+    monkeypatch.setattr(blocked.BestPerQuery, "take", lambda self, who, *rest: (taken.append(len(who)), real(self, who, *rest))[1])
+    monkeypatch.setattr(blocked.BestPerQuery, "offer", lambda self, *rest: (whole.append(1), offered(self, *rest))[1])
+    rng = np.random.default_rng(5)
+    words = [f"w{n}" for n in range(500)]
+    documents = [list(rng.choice(words, 60)) for _ in range(2500)]
+    queries = [sorted(set(rng.choice(words, 24))) for _ in range(50)]
+    index = lexical._query_index(pa.table({"terms": pa.array(queries), "query_id": pa.array(range(50), pa.int64())}), False)
+    best, offer = lexical._start(index, 8)
+    offer(pa.record_batch({"id": pa.array(range(2500), pa.int64()), "terms": pa.array(documents)}))
+    assert not whole and sum(taken) <= 50 * 8 * 10
+    taken.clear()
+    vectors, asked = rng.normal(size=(2500, 32)), rng.normal(size=(50, 32))
+    vectors, asked = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (vectors, asked))
+    block = knn._Block(np.arange(50), asked, 8, False)
+    block.offer(vectors, vectors.astype("float32"), np.arange(2500))
+    got = block.best.frame("similarity")
+    assert not whole and sum(taken) <= 50 * 8 * 10
+    want = [(q, i) for q in range(50) for i in np.lexsort((np.arange(2500), -np.rint(vectors @ asked[q] * 10_000)))[:8]]
+    assert sorted(zip(got["query_id"], got["id"])) == sorted(want)
+
+
+def test_a_first_floor_turns_no_best_row_away():
+    from baraza.operators import blocked
+
+    rng = np.random.default_rng(9)
+    scores = np.round(rng.random((30, 256)), 2)  # many ties
+    scores[3] = np.nan
+    scores[4, 5:] = np.nan
+    ids = rng.permutation(256)
+    best = blocked.BestPerQuery(np.arange(30), 6)
+    with np.errstate(all="raise"):
+        best.raise_floor(np.fmax.reduceat(scores + rng.uniform(-1e-4, 1e-4, scores.shape), np.arange(0, 256, 4), axis=1), 1e-4)
+    assert np.isneginf(best.floor[3:5]).all() and (np.delete(best.floor, [3, 4]) > 8000).all()
+    best.offer(scores, ids)
+    got = best.frame("score")
+    for q in range(30):
+        want = sorted((-round(s, 2), i) for s, i in zip(scores[q], ids) if s == s)[:6]
+        assert sorted((-round(s, 2), i) for s, i in got[got.query_id == q][["score", "id"]].itertuples(index=False)) == want

@@ -296,37 +296,21 @@ class _Block:
     def _sums(self, slab: _Slab) -> list[np.ndarray]:
         """The bits of the sums, lowest first: words ``(queries, documents / 64)``."""
         levels, spare = [[] for _ in range(self.depth + 8)], []
-
-        def room() -> np.ndarray:
-            return spare.pop() if spare else np.empty((len(self.share), slab.words), "uint64")
-
-        def add(level: int, word: np.ndarray) -> None:
-            levels[level].append(word)
-            if len(levels[level]) == 3:
-                x, y, z = levels[level]
-                one = np.bitwise_xor(x, y, out=room())
-                x &= y
-                np.bitwise_xor(one, z, out=y)
-                one &= z
-                x |= one
-                levels[level] = [y]
-                spare.extend((one, z))
-                add(level + 1, x)
-
         for level, rows in zip((2, 1, 0), slab.rows):
             row = rows[self.term]
             row[:, ::-1].sort(axis=1)  # empty ones last
             for at in np.ascontiguousarray(row.T):
                 if not at.any():
                     break
-                add(level, slab.bits.take(at, axis=0, out=room(), mode="clip"))
+                room = spare.pop() if spare else np.empty((len(at), slab.words), "uint64")
+                _add(levels, spare, level, slab.bits.take(at, axis=0, out=room, mode="clip"))
         for level in range(self.depth):
             if len(levels[level]) == 2:
                 x, y = levels[level]
-                both = np.bitwise_and(x, y, out=room())
+                both = x & y
                 x ^= y
                 levels[level] = [x]
-                add(level + 1, both)
+                _add(levels, spare, level + 1, both)
             elif not levels[level]:
                 levels[level] = [np.zeros((len(self.share), slab.words), "uint64")]
         return [word for word, in levels[:self.depth]]
@@ -381,3 +365,19 @@ class _Block:
         often = np.flatnonzero(held(1))
         weight[often] = slab.weight[np.searchsorted(slab.key, document[pair[often]] * slab.terms + term[often])]
         return np.bincount(pair, weight, len(query)) * self.share[query]
+
+
+def _add(levels: list[list[np.ndarray]], spare: list[np.ndarray], level: int, word: np.ndarray) -> None:
+    """Add bits worth ``2^level``: a level keeps two words, of three it keeps the sum's bit and passes the carry on."""
+    levels[level].append(word)
+    while len(levels[level]) == 3:
+        x, y, z = levels[level]
+        one = np.bitwise_xor(x, y, out=spare.pop() if spare else None)
+        x &= y
+        np.bitwise_xor(one, z, out=y)
+        one &= z
+        x |= one
+        levels[level] = [y]
+        spare += [one, z]
+        level += 1
+        levels[level].append(x)
